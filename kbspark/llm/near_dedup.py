@@ -4,9 +4,10 @@ One pass over the texts gives each row its set size, a digest of the set, 32 ban
 of all 128 minima packed into eight longs.  Equal sets collapse to one node, named by their smallest doc_id.  Band keys bring
 candidates: every node of a bucket is paired with the bucket's smallest node only, the collision-corrected similarity of the
 packed bits discards pairs that are far off (``MARGIN`` below the threshold, over five standard deviations), and the rest is
-confirmed by intersecting full sets.  Links so found give components; where a bucket still holds nodes of two components, those
-nodes (not pairs within a component) are compared by packed bits in blocks of bounded size, and what passes is confirmed
-too.  A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6; nothing is capped.
+confirmed by intersecting full sets.  Links so found give components.  Where a bucket still holds nodes of two components, its
+nodes are compared in blocks of bounded size: pairs across components whose packed bits are similar enough are tested on 32-bit
+forms of the full sets on the spot, and a block gives on at most one pair for each merger it finds, which is then confirmed
+like the others.  A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6; nothing is capped.
 
 Defined cases: null, empty or blank texts have an empty set, are linked with nothing and kept; under five words the whole
 sequence is one shingle; a null doc_id has a null component, is linked with nothing and kept; repeated rows get the same
@@ -27,7 +28,7 @@ from .common import U64, WordHashes, gram_hashes, materialize, mix, signed
 WORDS = 5
 PERMS, ROWS, BITS = 128, 4, 4
 MARGIN = 0.2
-BLOCK = 1024
+BLOCK = 2048
 _rng = np.random.default_rng(20240901)
 _A = (_rng.integers(0, 1 << 31, PERMS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
@@ -94,7 +95,8 @@ def _sets(k: int):
             texts = batch.column("text").cast(pa.binary())
             sets = [shingle_set(texts[i].as_py().lower().split(), hashes, k).tobytes() for i in range(len(texts))]
             digests = signed(np.array([xxhash.xxh3_128_intdigest(s) >> 64 for s in sets], U64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests), pa.array(sets, pa.binary())], names=["node", "d1", "shingles"])
+            small = [(np.frombuffer(s, U64) >> U64(32)).astype(np.uint32).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests), pa.array(sets, pa.binary()), pa.array(small, pa.binary())], names=["node", "d1", "shingles", "small"])
 
     return run
 
@@ -124,27 +126,44 @@ def similarity(x: str, y: str):
     return F.expr(f"(({PERMS} - {fold}) / {float(PERMS)}D - {2.0**-BITS}D) / {1 - 2.0**-BITS}D")
 
 
-def _blocks(least: float):
-    """Pairs of one block pair of a bucket that lie in different components and whose packed bits are similar enough."""
+def _blocks(least: float, percent: int):
+    """Links of one block pair of a bucket between nodes of different components: a forest, no more."""
     field = np.uint64(0x1111111111111111)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
-        left, right = part[part["blk"] == i], part[part["blk"] == j]
-        rb = np.stack(right["bits"].to_numpy()).astype(np.int64).view(U64)
-        lb = np.stack(left["bits"].to_numpy()).astype(np.int64).view(U64) if len(left) else rb[:0]
-        ln, rn, lc, rc = left["node"].to_numpy(), right["node"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
+        part = part.sort_values("node", kind="stable")
+        node, comp, blk = part["node"].to_numpy(), part["comp"].to_numpy().copy(), part["blk"].to_numpy()
+        bits = np.stack(part["bits"].to_numpy()).astype(np.int64).view(U64)
+        bands = np.stack(part["bands"].to_numpy()).astype(np.int64)
+        earlier = bands[:, : int(np.flatnonzero(bands[0] == part["bucket"].iloc[0])[0])]
+        sets = [np.frombuffer(x, np.uint32) for x in part["small"]]
+        size = np.array([len(x) for x in sets])
+        names, places = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        here = np.zeros(len(names), np.int32)
+        right = np.flatnonzero(blk == j)
         us, vs = [], []
-        for p in range(len(left)):
-            x = rb ^ lb[p]
+        for p in np.flatnonzero(blk == i).tolist():
+            if (comp[right] == comp[p]).all():
+                continue
+            x = bits[right] ^ bits[p]
             x |= x >> U64(1)
             x |= x >> U64(2)
             est = ((PERMS - np.bitwise_count(x & field).sum(axis=1, dtype=np.int64)) / PERMS - 2.0**-BITS) / (1 - 2.0**-BITS)
-            ok = (est >= least) & (rc != lc[p]) & ((rn > ln[p]) if i == j else True)
-            vs.append(rn[ok])
-            us.append(np.full(int(ok.sum()), ln[p]))
-        u, v = np.concatenate(us or [ln[:0]]), np.concatenate(vs or [rn[:0]])
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)})
+            at = right[(est >= least) & (comp[right] != comp[p]) & ((right > p) if i == j else True)]
+            at = at[~(earlier[at] == earlier[p]).any(axis=1)]  # the pair's first common bucket compares it
+            if not len(at):
+                continue
+            here[places[ends[p] - size[p] : ends[p]]] = 1
+            inner = np.arange(size[at].sum()) - np.repeat(np.cumsum(size[at]) - size[at], size[at])
+            both = np.add.reduceat(here[places[np.repeat(ends[at] - size[at], size[at]) + inner]], np.cumsum(size[at]) - size[at])
+            here[places[ends[p] - size[p] : ends[p]]] = 0
+            for q in at[100 * both >= percent * (size[p] + size[at] - both)].tolist():
+                if comp[q] != comp[p]:
+                    us.append(max(node[p], node[q])), vs.append(min(node[p], node[q]))
+                    comp[comp == comp[q]] = comp[p]
+        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
 
     return run
 
@@ -169,44 +188,45 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    least = percent / 100 - MARGIN
+    least, parts = percent / 100 - MARGIN, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = materialize(docs.mapInArrow(_signatures(words), _SIGS), "signatures")
     some = sigs.where("n_shingles > 0 and doc_id is not null")
     nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("r"))
     nodes = materialize(nodes.selectExpr("d1", "d2", "r.doc_id as node", "r.bands as bands", "r.bits as bits"), "nodes")
-    bits = nodes.select("node", "d1", "bits")
+    bits = nodes.select("node", "bits")
 
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     leads = rows.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lead < hi")
     rows = materialize(rows.join(leads.select("bucket", "lead", "size"), "bucket"), "buckets")
     stars = rows.where("node > lead").selectExpr("node as u", "lead as v").distinct()
 
-    def near(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(bits.selectExpr("node as u", "d1 as du", "bits as bu"), "u").join(bits.selectExpr("node as v", "d1 as dv", "bits as bv"), "v")
-        return pairs.where(similarity("bu", "bv") >= least).select("u", "v", "du", "dv")
+    # full sets once, for every node that has company in a bucket
+    wanted = rows.select("node").distinct()
+    texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node").join(wanted.hint("shuffle_hash"), "node", "left_semi")
+    sets = texts.mapInArrow(_sets(words), "node long, d1 long, shingles binary, small binary").dropDuplicates(["node", "d1"])
+    sets = materialize(sets.join(nodes.select("node", "d1"), ["node", "d1"], "left_semi"), "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = materialize(pairs, f"{name}-pairs")
-        wanted = pairs.selectExpr("u as node", "du as want").unionByName(pairs.selectExpr("v as node", "dv as want")).distinct()
-        texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node").join(wanted.select("node").distinct().hint("shuffle_hash"), "node", "left_semi")
-        sets = texts.mapInArrow(_sets(words), "node long, d1 long, shingles binary").join(wanted.selectExpr("node", "want as d1"), ["node", "d1"], "left_semi")
-        sets = materialize(sets.dropDuplicates(["node", "d1"]), f"{name}-sets")
-        full = pairs.join(sets.selectExpr("node as u", "d1 as du", "shingles as sa"), ["u", "du"]).join(sets.selectExpr("node as v", "d1 as dv", "shingles as sb"), ["v", "dv"])
-        return materialize(full.select("u", "v", "sa", "sb").mapInArrow(_confirmed(percent), "u long, v long"), f"{name}-links")
-
-    links = confirm(near(stars), "star")
+        full = pairs.join(sets.selectExpr("node as u", "shingles as sa"), "u").join(sets.selectExpr("node as v", "shingles as sb"), "v")
+        return materialize(full.select("u", "v", "sa", "sb").mapInArrow(_confirmed(percent), "u long, v long"), name)
+
+    stars = stars.join(bits.selectExpr("node as u", "bits as bu"), "u").join(bits.selectExpr("node as v", "bits as bv"), "v").where(similarity("bu", "bv") >= least)
+    links = confirm(stars.select("u", "v"), "star-links")
     comps = components(links)
-    mixed = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = mixed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-    mixed = mixed.join(open_, "bucket").join(bits.select("node", "bits"), "node")
-    mixed = mixed.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
-    mixed = mixed.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).selectExpr("bucket", "node", "comp", "bits", "blk", "least(blk, o) as i", "greatest(blk, o) as j")
-    more = mixed.groupBy("bucket", "i", "j").applyInPandas(_blocks(least), "u long, v long").distinct()
-    more = materialize(more.join(stars, ["u", "v"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        late = confirm(near(more), "late")
-        if not late.isEmpty():
-            comps = components(links.unionByName(late))
+    while True:
+        mixed = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = mixed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
+        mixed = mixed.join(open_, "bucket").join(nodes.select("node", "bits", "bands"), "node").join(sets.select("node", "small"), "node")
+        mixed = mixed.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
+        mixed = mixed.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).selectExpr("bucket", "node", "comp", "bits", "bands", "small", "blk", "least(blk, o) as i", "greatest(blk, o) as j")
+        more = materialize(mixed.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_blocks(least, percent), "u long, v long").distinct(), "more-pairs")
+        late = confirm(more, "more-links")
+        found = late.count()
+        if found:
+            links = links.unionByName(late)
+            comps = components(links)
+        if not found or found == more.count():  # else a pair that 32 bits let through may have hidden another
+            break
 
     named = sigs.select("doc_id", "n_shingles", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comps, "node", "left")
     own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "node"))
