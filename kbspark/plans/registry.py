@@ -2,11 +2,341 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from kbspark import policy as P
+from kbspark.functions.chunks import chunks
+from kbspark.operators import dedup, drift, organize, recall, search
+from kbspark.sources import export, snapshots, transcripts
+
+POLICY = """
+[[rule]]
+name = "readable"
+match = { ext = ["md", "txt"] }
+label = ["readable"]
+[[rule]]
+name = "spanish"
+match = { path = "es/*/doc-*" }
+into = "sorted/{year}/spanish"
+rename = "{day}.{ext}"
+label = ["es"]
+[[rule]]
+name = "licensed"
+match = { mime = ["text/*"], content_matches = "apache license" }
+into = "sorted/licensed"
+autonomy = "propose"
+[[rule]]
+name = "logs"
+match = { ext = ["log"] }
+label = ["log", "good"]
+"""
+QUERY_AND, QUERY_OR = "the tion", "token license"
+VECTORS_EVERY = 50
+
+
+def entries_of(spark: SparkSession, sf: str) -> DataFrame:
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    return snapshots.from_documents(read("documents"), read("labels"))
+
+
+def second(spark: SparkSession, sf: str) -> DataFrame:
+    """A later state: some entries removed, edited, moved; conversations added."""
+    e = entries_of(spark, sf).where("doc_id % 11 <> 0")
+    edited = F.col("doc_id") % 13 == 0
+    e = e.withColumn("blob", F.when(edited, F.concat(F.lit("s2:"), F.sha2(F.concat("text", F.lit("!")).cast("binary"), 256))).otherwise(F.col("blob")))
+    e = e.withColumn("path", F.when(~edited & (F.col("doc_id") % 17 == 0), F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
+    c = spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").agg(F.min("text").alias("text"))
+    new = c.select(F.concat(F.lit("memory/"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("s2:"), F.sha2(F.col("text").cast("binary"), 256)).alias("blob"))
+    return e.select("path", "blob", "labels", "rule").unionByName(new.withColumn("labels", F.array().cast("array<string>")).withColumn("rule", F.lit(None).cast("string")))
+
+
+def joined(column: str, ordered: bool = False):
+    return F.array_join(column if ordered else F.array_sort(column), ",")
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+@query
+def scan_entries(spark, sf):
+    return entries_of(spark, sf).select("path", "blob", "size", "mod_time", joined("labels").alias("labels"))
+
+
+@query
+def blob_store(spark, sf):
+    return entries_of(spark, sf).select("blob", "size").dropDuplicates(["blob"])
+
+
+def _matching(m: P.Match):
+    def run(spark, sf):
+        return entries_of(spark, sf).where(P.condition(m)).select("path")
+
+    return run
+
+
+QUERIES["match_ext"] = _matching(P.Match(ext=("MD", "csv")))
+QUERIES["match_mime"] = _matching(P.Match(mime=("text/*",)))
+QUERIES["match_glob"] = _matching(P.Match(path="en/src1?/doc-*[02468].md"))
+QUERIES["match_content"] = _matching(P.Match(content_matches="LICENSED under"))
+
+
+@query
+def template_target(spark, sf):
+    rule = P.Rule("t", P.Match(ext=("md",)), into="a/{year}/{month}", rename="{name}-{day}.{ext}")
+    return entries_of(spark, sf).select("path", P.target(rule).alias("target"))
+
+
+@query
+def plan_ops(spark, sf):
+    planned = organize.plan(entries_of(spark, sf), P.load(POLICY))
+    return planned.select("path", "class", "rule", F.col("to").alias("target"), joined("labels").alias("labels"), "reason")
+
+
+@query
+def apply_plan(spark, sf):
+    e = entries_of(spark, sf)
+    return organize.apply(e, organize.plan(e, P.load(POLICY))).select("path", "blob", joined("labels").alias("labels"), "rule")
+
+
+def _dedup(strategy):
+    def run(spark, sf):
+        return dedup.plan(entries_of(spark, sf), strategy).select("blob", "keep", joined("paths").alias("paths"), "is_conflict")
+
+    return run
+
+
+QUERIES["dedup_plan_oldest"], QUERIES["dedup_plan_newest"] = _dedup("keep-oldest"), _dedup("keep-newest")
+
+
+@query
+def dedup_apply(spark, sf):
+    e = entries_of(spark, sf)
+    return dedup.apply(e, dedup.plan(e)).select("path", "blob")
+
+
+@query
+def drift_changes(spark, sf):
+    return drift.changes(entries_of(spark, sf), second(spark, sf))
+
+
+@query
+def drift_absorbed(spark, sf):
+    return drift.absorb(entries_of(spark, sf), second(spark, sf)).select("path", "blob", joined("labels").alias("labels"))
+
+
+@query
+def changed_paths(spark, sf):
+    return drift.changed_paths(entries_of(spark, sf), second(spark, sf))
+
+
+@query
+def revert_plan(spark, sf):
+    return snapshots.revert_plan(entries_of(spark, sf), second(spark, sf))
+
+
+@query
+def history(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    m = n.selectExpr("concat('M', n_nationkey) as id", "if(n_nationkey = 0, null, concat('M', cast(n_nationkey - 1 - n_nationkey % 2 as int))) as parent", "if(n_regionkey = 0, 'observe', 'mutate') as kind", "n_name as created_by")
+    return snapshots.history(m, "M24").select("id", "depth", "parent", "kind", "created_by")
+
+
+@query
+def export_records(spark, sf):
+    rows = export.records(entries_of(spark, sf), "M1", ["label:good", "path:doc-*.md", "after:2024-01-02", "before:2024-01-07"])
+    return rows.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), joined("labels").alias("labels"), "size", "mod_time", "manifest")
+
+
+@query
+def export_semi_structured(spark, sf):
+    rows = export.records(entries_of(spark, sf).where("doc_id % 5 = 0"), "M1").select("path", "size", "manifest")
+    return rows.select(F.to_json(F.struct("path", "size", "manifest")).alias("value"))
+
+
+def _fts(q, mode=None):
+    def run(spark, sf):
+        return search.full_text(search.indexed(entries_of(spark, sf)), q, 20, mode).select("path", F.round("score", 6).alias("score"), "rank")
+
+    return run
+
+
+QUERIES["fts_and"], QUERIES["fts_or"], QUERIES["fts_fallback"] = _fts(QUERY_AND, "and"), _fts(QUERY_OR, "or"), _fts("license zzzzqqq")
+
+
+def _chunks(spark, sf):
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return v.select(F.concat(F.lit("v/"), F.lpad((F.col("vec_id") % 100).cast("string"), 3, "0")).alias("path"), F.col("embedding").alias("vec"), "vec_id", "label")
+
+
+@query
+def vector_topk(spark, sf):
+    held = _chunks(spark, sf).where("vec_id = 7").select("vec").first()[0]
+    return search.vector(_chunks(spark, sf), held, 20).select("path", F.round("score", 6).alias("score"), "rank")
+
+
+def _batch(spark, sf):
+    c = _chunks(spark, sf).withColumn("path", F.concat(F.lit("v"), "vec_id"))
+    return search.vector_batch(c, c.where(f"vec_id % {VECTORS_EVERY} = 0").select(F.col("vec_id").alias("qid"), F.col("vec").alias("q")), 11), c
+
+
+@query
+def vector_batch(spark, sf):
+    return _batch(spark, sf)[0].select("qid", "path", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def eval_metrics(spark, sf):
+    found, c = _batch(spark, sf)
+    q = c.where(f"vec_id % {VECTORS_EVERY} = 0").select(F.col("vec_id").alias("qid"), "label")
+    gold = c.select("path", "label", "vec_id").join(q, "label").where("vec_id <> qid").select("qid", "path")
+    scoped = found.join(c.select("path", "vec_id"), "path").where("vec_id <> qid")  # the scope leaves the query out, then ranks anew
+    scoped = scoped.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
+    return search.metrics(scoped.select("qid", "path", "rank"), gold)
+
+
+@query
+def hybrid_rrf(spark, sf):
+    a, b = _fts(QUERY_AND, "and")(spark, sf), _fts(QUERY_OR, "or")(spark, sf)
+    return search.fuse(a, b).select("path", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def pending_blobs(spark, sf):
+    e = entries_of(spark, sf)
+    return e.select("blob").distinct().join(e.where("doc_id % 3 = 0").select("blob"), "blob", "left_anti")
+
+
+@query
+def retain_entry(spark, sf):
+    e = entries_of(spark, sf)
+    new = e.where("doc_id = 5").withColumn("blob", F.lit("s2:new"))
+    return snapshots.retain(e, new).select("path", "blob")
+
+
+@query
+def transcript_render(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
+    md = transcripts.sections(c.select(F.struct("conv_id", "turn").alias("seq"), line.alias("value")))
+    parts = md.select("seq.conv_id", "seq.turn", "md").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "md"))).alias("x"))
+    return parts.select("conv_id", F.array_join(F.transform("x", lambda x: x["md"]), "\n\n").alias("md"))
+
+
+@query
+def chunk_text(spark, sf):
+    cut = entries_of(spark, sf).select("path", F.posexplode(chunks(1000, 200)("text")).alias("seq", "chunk"))
+    return cut.select("path", "seq", F.octet_length("chunk").alias("bytes"), F.md5("chunk").alias("hash"))
+
+
+@query
+def recall_windows(spark, sf):
+    return recall.windows(entries_of(spark, sf).where("path like '%.md'"), "the license token", 400).select("path", "seq", "score", F.md5("window").alias("hash"))
+
+
+@query
+def watch_autonomy(spark, sf):
+    pol = P.load(POLICY)
+    auto = [r.name for r in pol.rules if r.autonomy != "propose"]
+    ops = organize.plan(entries_of(spark, sf), pol).where("class in ('move', 'label')")
+    return ops.select("path", "rule", F.col("rule").isin(auto).alias("acts"))
+
+
+@query
+def events_windows(spark, sf):
+    """Extension: counts by event-time window, as the streaming query of the same plan gives them."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    return hybrid_rrf(spark, sf)
+
+
+# --- SQL ---------------------------------------------------------------------------------------------------------------
+
+ENTRIES = """entries as (select lang || '/' || source || '/doc-' || lpad(doc_id::varchar, 6, '0') || '.' || (['md', 'txt', 'log', 'csv', 'pdf'])[doc_id % 5 + 1] as path,
+ 's2:' || sha256(text) as blob, strlen(text)::bigint as size, timestamp '2024-01-01' + to_days((doc_id * 37 % 7)::int) as mod_time,
+ list_filter([case when q = 1 then 'good' end, case when t = 1 then 'toxic' end], lambda x: x is not null) as labels, text, doc_id
+ from documents left join (select doc_id, max(quality) q, max(toxic) t from labels group by 1) using (doc_id))"""
+SECOND = """second as (select case when doc_id % 13 <> 0 and doc_id % 17 = 0 then 'moved/' || path else path end as path, case when doc_id % 13 = 0 then 's2:' || sha256(text || '!') else blob end as blob from entries where doc_id % 11 <> 0
+ union all select 'memory/' || conv_id || '.md', 's2:' || sha256(min(text)) from conversations group by conv_id)"""
+CHANGES = f"""with {ENTRIES}, {SECOND}, j as (select coalesce(e.path, s.path) path, e.blob old, s.blob new from entries e full join second s on e.path = s.path),
+ a as (select path, new as blob, row_number() over (partition by new order by path) k from j where old is null),
+ g as (select path as from_path, old as blob, row_number() over (partition by old order by path) k from j where new is null),
+ changes as (select 'modified' as kind, path, null::varchar as from_path, new as blob from j where old <> new
+ union all select case when a.path is null then 'removed' when g.from_path is null then 'added' else 'renamed' end, coalesce(a.path, g.from_path), case when a.path is not null then g.from_path end, coalesce(a.blob, g.blob) from a full join g on a.blob = g.blob and a.k = g.k)"""
+PLAN = f"""with {ENTRIES}, c as (select *, split_part(path, '.', -1) as ext, path like 'es/%' as spanish, split_part(path, '.', -1) in ('md', 'txt', 'log', 'csv') and contains(lower(left(text, 1048576)), 'apache license') as licensed from entries),
+ d as (select *, ext in ('md', 'txt') as readable, case when spanish then 'sorted/2024/spanish/' || strftime(mod_time, '%d') || '.' || ext when licensed then 'sorted/licensed/' || split_part(path, '/', -1) else path end as goal,
+ case when spanish then 'spanish' when licensed then 'licensed' when ext in ('md', 'txt') then 'readable' when ext = 'log' then 'logs' end as rule from c),
+ w as (select *, list_sort(list_filter(list_concat(case when readable then ['readable'] else [] end, case when spanish then ['es'] else [] end, case when ext = 'log' and not spanish and not licensed then ['log', 'good'] else [] end), lambda x: not list_contains(labels, x))) as want, min(path) over (partition by goal) as first from d),
+ plan as (select path, case when rule is null then 'unsorted' when goal = path then 'label' when path = first then 'move' else 'conflict' end as class, rule, case when goal <> path then goal end as target,
+ case when rule is null then ['unsorted'] else want end as labels, case when goal <> path and path <> first then 'target claimed by ' || first end as reason from w where rule is null or goal <> path or len(want) > 0)"""
+
+
+def _fts_sql(phrases: list[str], every: bool, limit: int = 20) -> str:
+    tok = lambda x: f"regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+    f = ", ".join(f"len(list_filter(toks, lambda t: starts_with(t, '{p}'))) as f{i}" for i, p in enumerate(phrases))
+    n = range(len(phrases))
+    stats = ", ".join(f"count(*) filter (f{i} > 0) as n{i}" for i in n)
+    score = " + ".join(f"(case when ln((r - n{i} + 0.5) / (n{i} + 0.5)) <= 0 then 1e-6 else ln((r - n{i} + 0.5) / (n{i} + 0.5)) end) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in n)
+    hit = (" and " if every else " or ").join(f"f{i} > 0" for i in n)
+    return f"""t as (select path, list_concat({tok("path")}, {tok("array_to_string(labels, ' ')")}, {tok("translate(path, '/_-.', '    ') || chr(10) || text")}) as toks from entries),
+ c as (select path, len(toks) as len, {f} from t), s as (select count(*) as r, avg(len) as avgdl, {stats} from c),
+ top as (select path, {score} as score from c, s where {hit} order by score desc, path limit {limit})"""
+
+
+_AND, _OR = _fts_sql(["the", "tion"], True), _fts_sql(["token", "license"], False)
+_RANK = "row_number() over (order by score desc, path)::int as rank"
+_BATCH = f"""b as (select q.vec_id as qid, v.vec_id, 'v' || v.vec_id as path, list_dot_product(v.embedding::double[], q.embedding::double[]) as score, v.label, q.label as ql from embeddings v, embeddings q where q.vec_id % {VECTORS_EVERY} = 0),
+ top as (select *, row_number() over (partition by qid order by score desc, path) as rank from b qualify rank <= 11)"""
+
+
+def _dedup_sql(best: str) -> str:
+    return f"""with {ENTRIES}, g as (select blob, {best}(mod_time) t from entries group by 1 having count(*) > 1),
+ k as (select g.blob, count(*) as n, min(path) as p from g join entries e on e.blob = g.blob and e.mod_time = g.t group by 1)
+ select k.blob, case when n = 1 then p end as keep, string_agg(path, ',' order by path) filter (n > 1 or path <> p) as paths, any_value(n > 1) as is_conflict from k join entries e using (blob) group by k.blob, n, p"""
+
+
+ORACLES: dict[str, str] = {
+    "scan_entries": f"with {ENTRIES} select path, blob, size, mod_time, array_to_string(list_sort(labels), ',') as labels from entries",
+    "blob_store": f"with {ENTRIES} select distinct blob, size from entries",
+    "match_ext": f"with {ENTRIES} select path from entries where split_part(path, '.', -1) in ('md', 'csv')",
+    "match_mime": f"with {ENTRIES} select path from entries where split_part(path, '.', -1) in ('md', 'txt', 'log', 'csv')",
+    "match_glob": f"with {ENTRIES} select path from entries where regexp_full_match(path, 'en/src1[^/]/doc-[^/]*[02468]\\.md')",
+    "match_content": f"with {ENTRIES} select path from entries where contains(lower(left(text, 1048576)), 'licensed under')",
+    "template_target": f"with {ENTRIES} select path, 'a/2024/01/' || split_part(split_part(path, '/', -1), '.', 1) || '-' || strftime(mod_time, '%d') || '.' || split_part(path, '.', -1) as target from entries",
+    "plan_ops": f"{PLAN} select path, class, rule, target, array_to_string(list_sort(labels), ',') as labels, reason from plan",
+    "apply_plan": f"{PLAN} select case when p.class = 'move' then p.target else e.path end as path, e.blob, array_to_string(list_sort(list_concat(e.labels, case when p.class <> 'conflict' then p.labels else [] end)), ',') as labels, case when p.class <> 'conflict' then p.rule end as rule from entries e left join plan p on p.path = e.path",
+    "dedup_plan_oldest": _dedup_sql("min"),
+    "dedup_plan_newest": _dedup_sql("max"),
+    "dedup_apply": f"with {ENTRIES}, g as (select *, count(*) over (partition by blob) n, min(mod_time) over (partition by blob) t from entries), k as (select *, count(*) filter (mod_time = t) over (partition by blob) ties from g) select path, blob from k where n = 1 or ties > 1 or mod_time = t",
+    "drift_changes": f"{CHANGES} select kind, path, from_path, blob from changes",
+    "drift_absorbed": f"{CHANGES}, r as (select path, from_path from changes where kind = 'renamed') select s.path, s.blob, array_to_string(list_sort(list_concat(coalesce(e.labels, []), case when r.path is null then [] else ['{P.PINNED}'] end)), ',') as labels from second s left join r on r.path = s.path left join entries e on e.path = coalesce(r.from_path, s.path)",
+    "changed_paths": f"{CHANGES} select path from j where old is distinct from new",
+    "revert_plan": f"{CHANGES}, gone as (select path, old as blob from j where new is null), extra as (select path, new as blob from j where old is null), x as (select blob, min(path) as from_path from extra group by 1) select case when from_path is null then 'restored' else 'moved' end as action, path, from_path from gone left join x using (blob) union all select 'removed', path, null from extra where blob not in (select blob from gone)",
+    "history": "with recursive m as (select 'M' || n_nationkey as id, case when n_nationkey = 0 then null else 'M' || (n_nationkey - 1 - n_nationkey % 2)::int end as parent, case when n_regionkey = 0 then 'observe' else 'mutate' end as kind, n_name as created_by from nation), c as (select *, 0 as depth from m where id = 'M24' union all select m.*, c.depth + 1 from m join c on m.id = c.parent) select id, depth, parent, kind, created_by from c",
+    "export_records": f"with {ENTRIES} select path, sha256(text) as text_hash, array_to_string(list_sort(labels), ',') as labels, size, strftime(mod_time, '%Y-%m-%dT%H:%M:%SZ') as mod_time, 'M1' as manifest from entries where list_contains(labels, 'good') and path like '%.md' and mod_time > timestamp '2024-01-02' and mod_time < timestamp '2024-01-07'",
+    "export_semi_structured": f"""with {ENTRIES} select '{{"path":"' || path || '","size":' || size || ',"manifest":"M1"}}' as value from entries where doc_id % 5 = 0""",
+    "fts_and": f"with {ENTRIES}, {_AND} select path, round(score, 6) as score, {_RANK} from top",
+    "fts_or": f"with {ENTRIES}, {_OR} select path, round(score, 6) as score, {_RANK} from top",
+    "fts_fallback": f"with {ENTRIES}, {_fts_sql(['license', 'zzzzqqq'], False)} select path, round(score, 6) as score, {_RANK} from top",
+    "vector_topk": f"with s as (select 'v/' || lpad((v.vec_id % 100)::varchar, 3, '0') as path, max(list_dot_product(v.embedding::double[], q.embedding::double[])) as score from embeddings v, embeddings q where q.vec_id = 7 group by 1 order by score desc, path limit 20) select path, round(score, 6) as score, {_RANK} from s",
+    "vector_batch": f"with {_BATCH} select qid, path, round(score, 6) as score, rank::int as rank from top",
+    "eval_metrics": f"""with {_BATCH}, f as (select qid, path, label = ql as good, row_number() over (partition by qid order by rank) as rank from top where vec_id <> qid),
+ g as (select qid, count(*) as gold from b where label = ql and vec_id <> qid group by 1),
+ h as (select qid, {", ".join(f"count(*) filter (good and rank <= {k}) as h{k}" for k in (1, 3, 5, 10))}, min(rank) filter (good) as first, coalesce(sum(1 / log2(rank + 1.0)) filter (good and rank <= 10), 0) as dcg from f group by 1)
+ select qid, {", ".join(f"round(h{k} / gold, 6) as recall_{k}, (h{k} > 0)::int as hit_{k}" for k in (1, 3, 5, 10))}, round(coalesce(1 / first, 0), 6) as mrr, round(dcg / list_sum(list_transform(range(1, least(10, gold) + 1), lambda i: 1 / log2(i + 1.0))), 6) as ndcg_10 from g join h using (qid)""",
+    "hybrid_rrf": f"with {ENTRIES}, {_AND}, r1 as (select path, {_RANK} from top), {_OR.replace('t as (', 't2 as (').replace('from t)', 'from t2)').replace('c as (', 'c2 as (').replace('from c)', 'from c2)').replace('s as (', 's2 as (').replace('from c, s ', 'from c2, s2 ').replace('top as (', 'top2 as (')}, r2 as (select path, {_RANK} from top2), u as (select path, sum(1.0 / (60 + rank)) as score from (select * from r1 union all select * from r2) group by 1 order by score desc, path limit 20) select path, round(score, 6) as score, {_RANK} from u",
+    "pending_blobs": f"with {ENTRIES} select distinct blob from entries where blob not in (select blob from entries where doc_id % 3 = 0)",
+    "retain_entry": f"with {ENTRIES} select path, case when doc_id = 5 then 's2:new' else blob end as blob from entries",
+    "transcript_render": """with x as (select conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as t from conversations where role in ('user', 'assistant')) select conv_id, string_agg('## ' || case role when 'user' then 'User' else 'Assistant' end || chr(10) || chr(10) || t, chr(10) || chr(10) order by turn) as md from x where t <> '' group by 1""",
+    "watch_autonomy": f"{PLAN} select path, rule, rule <> 'licensed' as acts from plan where class in ('move', 'label')",
+    "events_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
+}
