@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SCALE = 256
-SHARD, LEAF, FAN, QUERIES = 8192, 64, 16, 256
+SHARD, LEAF, FAN, QUERIES = 8192, 256, 32, 256
 #: Bounds must miss by this share of the distances at hand before they exclude anything.
 SLACK = 1e-9
 
@@ -37,20 +37,27 @@ class MTree:
     """nodes: (routing objects, radii, distances to the own routing object, children) or leaves (rows, distances)."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF, fan: int = FAN):
-        self.ids, self.vectors = ids, vectors
         norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         self.top = float(norms.max(initial=0.0))
         self.points = np.concatenate([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]], axis=1).astype(np.float64)
         self.nodes: list[tuple] = []
         self.leaf, self.fan = leaf, fan
-        self.root = self._load(np.arange(len(ids)), self.points.mean(axis=0) if len(ids) else np.zeros(vectors.shape[1] + 1))
+        self.pages: list[np.ndarray] = []
+        self.filled = 0
+        self.center = self.points.mean(axis=0) if len(ids) else np.zeros(vectors.shape[1] + 1)
+        self.root = self._load(np.arange(len(ids)), self.center)
+        # leaves are slices of one table in page order
+        order = np.concatenate(self.pages) if self.pages else np.empty(0, np.int64)
+        self.ids, self.points, self.pages = ids[order], self.points[order], []
 
     def _load(self, rows: np.ndarray, center: np.ndarray) -> int:
         """Number of the node over rows, whose routing object is center."""
         if len(rows) <= self.leaf:
             d = np.sqrt(((self.points[rows] - center) ** 2).sum(axis=1))
             order = np.argsort(d, kind="stable")
-            self.nodes.append((True, rows[order], d[order]))
+            self.nodes.append((True, self.filled, d[order]))
+            self.pages.append(rows[order])
+            self.filled += len(rows)
             return len(self.nodes) - 1
         k = min(self.fan, -(-len(rows) // self.leaf))
         picked, p = [rows[0]], self.points[rows]
@@ -75,7 +82,6 @@ class MTree:
             up.append(np.sqrt(((obj - center) ** 2).sum()))
             children.append(self._load(own, obj))
         self.nodes.append((False, np.array(objects), np.array(radii), np.array(up), children))
-        self.center = center
         return len(self.nodes) - 1
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int]:
@@ -84,7 +90,10 @@ class MTree:
         base = float((point**2).sum()) + self.top
         best: list[tuple[int, int]] = []  # heap of (score, -id), the worst first
         limit, computed = np.inf, 0
-        start = np.sqrt(((point - self.points.mean(axis=0)) ** 2).sum()) if len(self.ids) else 0.0
+        start = np.sqrt(((point - self.center) ** 2).sum())
+        # whole numbers stay exact in doubles while no sum can pass 2^52
+        exact = base - self.top == 0 or self.top * (base - self.top) < 2.0**104
+        whole = point[:-1] if exact else q.astype(object)
         queue = [(0.0, self.root, start)]
         while queue:
             least, node, d0 = heapq.heappop(queue)
@@ -92,17 +101,18 @@ class MTree:
                 break
             page = self.nodes[node]
             if page[0]:
-                rows, d = page[1], page[2]
-                if limit < np.inf:
-                    rows = rows[np.searchsorted(d, d0 - limit) : np.searchsorted(d, d0 + limit, side="right")]
-                if not len(rows):
+                first, d = page[1], page[2]
+                lo, hi = (np.searchsorted(d, d0 - limit), np.searchsorted(d, d0 + limit, side="right")) if limit < np.inf else (0, len(d))
+                if lo >= hi:
                     continue
-                computed += len(rows)
-                scores = self.vectors[rows] @ q
+                computed += hi - lo
+                rows = self.points[first + lo : first + hi, :-1]
+                scores = rows @ whole if exact else rows.astype(np.int64).astype(object) @ whole
+                ids = self.ids[first + lo : first + hi]
                 if len(best) == k:
                     near = scores >= best[0][0]
-                    rows, scores = rows[near], scores[near]
-                for s, i in zip(scores.tolist(), self.ids[rows].tolist(), strict=True):
+                    ids, scores = ids[near], scores[near]
+                for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
                     if i == own:
                         continue
                     if len(best) < k:
@@ -120,7 +130,7 @@ class MTree:
                     low = x - radii[i]
                     if low <= limit:
                         heapq.heappush(queue, (max(low, least, 0.0), children[i], x))
-        return [(s, -i) for s, i in sorted(best, reverse=True)], computed
+        return [(int(s), -i) for s, i in sorted(best, reverse=True)], computed
 
 
 def _tree(part: pd.DataFrame) -> pd.DataFrame:
