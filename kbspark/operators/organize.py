@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import paths
 from kbspark.policy import PINNED, UNSORTED, Policy, condition, target
+from kbspark.sources.durable import written
 
 
 def classify(entries: DataFrame, policy: Policy) -> DataFrame:
@@ -30,28 +31,23 @@ def settle(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     """moves (path, to) with ok and claimer: a target is free if unoccupied or left by an earlier accepted move.
 
     The sequential rule is a least fixpoint: per target only the smallest eligible path can win; it wins at once where the
-    target is empty, else iff the occupant's own move is accepted.  Chains grow along paths, so pointer joins settle them.
+    target is empty, else iff the occupant's own move is accepted.  Paths strictly grow along a chain, so each round of joins settles new moves only and the rounds end.
     """
     occ = occupied.select(F.col("path").alias("to")).distinct().withColumn("full", F.lit(True))
     m = moves.join(occ, "to", "left").withColumn("full", F.coalesce("full", F.lit(False)))
     cand = m.where(~F.col("full") | (F.col("path") > F.col("to"))).groupBy("to").agg(F.min("path").alias("cand"))
-    m = m.join(cand, "to", "left")
-    ok = m.where("path = cand and not full").select(F.col("path").alias("winner"))
-    waiting = m.where("path = cand and full").select("path", "to").persist()
-    try:
-        frontier = ok
-        while True:
-            found = waiting.join(frontier, F.col("to") == F.col("winner")).select(F.col("path").alias("winner")).join(ok, "winner", "left_anti")
-            if found.isEmpty():
-                break
-            ok, frontier = ok.unionByName(found), found
-        m = m.join(ok.withColumn("ok", F.lit(True)), F.col("path") == F.col("winner"), "left").withColumn("ok", F.col("winner").isNotNull()).drop("winner")
-        won = ok.select(F.col("winner").alias("cand"), F.lit(True).alias("won"))
-        m = m.join(won, "cand", "left")
-        claimer = F.when(F.col("ok"), F.lit(None)).when(F.col("won") & (F.col("path") > F.col("cand")), F.col("cand")).otherwise(F.col("to"))
-        return m.select("path", "to", "ok", claimer.alias("claimer"))
-    finally:
-        waiting.unpersist()
+    m = written(m.join(cand, "to", "left"), "claims")
+    ok = frontier = m.where("path = cand and not full").select(F.col("path").alias("winner"))
+    waiting = m.where("path = cand and full").select("path", "to")
+    while not waiting.isEmpty():
+        found = written(waiting.join(frontier, F.col("to") == F.col("winner"), "left_semi").select(F.col("path").alias("winner")), "winners")
+        if found.isEmpty():
+            break
+        ok, frontier = ok.unionByName(found), found
+    out = m.join(ok.withColumn("ok", F.lit(True)), F.col("path") == F.col("winner"), "left").withColumn("ok", F.col("winner").isNotNull()).drop("winner")
+    out = out.join(ok.select(F.col("winner").alias("cand"), F.lit(True).alias("won")), "cand", "left")
+    claimer = F.when(F.col("ok"), F.lit(None)).when(F.col("won") & (F.col("path") > F.col("cand")), F.col("cand")).otherwise(F.col("to"))
+    return out.select("path", "to", "ok", claimer.alias("claimer"))
 
 
 def plan(entries: DataFrame, policy: Policy) -> DataFrame:

@@ -131,8 +131,7 @@ def revert_plan(parent: DataFrame, undone: DataFrame) -> DataFrame:
 def scan_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, blobs) of the files under path, labels and rules empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/") + "/")
-    rel = F.substring_index(F.col("path"), root, -1)
+    rel = F.substring_index(F.col("path"), path.rstrip("/") + "/", -1)
     files = files.select(rel.alias("path"), content_hash("content").alias("blob"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").where(~F.col("path").rlike(r"(^|/)\.kb(/|$)"))
     entries = files.select("path", "blob", "size", "mod_time", F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("rule"))
     return entries, files.select("blob", "content").dropDuplicates(["blob"])
