@@ -57,4 +57,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_source_mixing, op4_near_dedup, op5_html_text, op6_lm_scoring, op7_topk_search, op8_secret_scan, op9_packing, op10_quality)}
-ORACLES: dict[str, str] = {}
+
+_SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": f"""with d as (select doc_id, {_SPLIT} as w from documents),
+ win as (select doc_id, i, array_to_string(w[i : i + 49], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+ firsts as (select s, min(doc_id) as m from win group by s), bad as (select doc_id, i from win join firsts using (s) where m < doc_id),
+ gone as (select distinct doc_id, unnest(range(i, i + 50)) as j from bad), word as (select doc_id, unnest(w) as x, unnest(range(1, len(w) + 1)) as j from d),
+ kept as (select doc_id, count(*) as n, string_agg(x, ' ' order by j) as t from word anti join gone using (doc_id, j) group by doc_id)
+ select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)""",
+    "op4_near_dedup": f"""with recursive d as (select doc_id, {_SPLIT.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+ sh as (select distinct doc_id, s from (select doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0))),
+ n as (select doc_id, count(*) as n from sh group by 1), pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+ links as (select a, b from pairs p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)), sym as (select a, b from links union select b, a from links),
+ reach as (select doc_id as a, doc_id as b from d union select reach.a, sym.b from reach join sym on sym.a = reach.b), c as (select a, min(b) as m from reach group by 1)
+ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, m as component_id, m = d.doc_id as kept from d join c on c.a = d.doc_id left join n using (doc_id)""",
+    "op7_topk_search": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ p as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+ select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from p qualify rank <= 5""",
+}
