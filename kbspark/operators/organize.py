@@ -52,10 +52,11 @@ def settle(moves: DataFrame, occupied: DataFrame) -> DataFrame:
 
 def plan(entries: DataFrame, policy: Policy) -> DataFrame:
     """path, class (move, label, pinned, conflict, unsorted), rule, to, labels (to add), reason."""
-    c = classify(entries, policy)
+    # every class reads the rules' verdicts; they are made once, without the texts
+    c = written(classify(entries, policy).select("path", "to", "rule", "want", "pinned", "matched", "labels"), "classified")
     moving = c.where("matched and to <> path and not pinned")
     bad = moving.where(paths.escapes(F.col("to")))
-    settled = settle(moving.where(~paths.escapes(F.col("to"))).select("path", "to"), entries)
+    settled = settle(moving.where(~paths.escapes(F.col("to"))).select("path", "to"), c)
     moves = moving.select("path", "rule", "want").join(settled, "path")
     none = F.lit(None).cast("string")
     out = moves.where("ok").select("path", F.lit("move").alias("class"), "rule", "to", F.col("want").alias("labels"), none.alias("reason"))
