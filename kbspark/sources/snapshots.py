@@ -7,6 +7,7 @@ A store is a folder: ``entries/manifest_id=M<n>/`` (one immutable table a snapsh
 from __future__ import annotations
 
 import datetime
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,7 +102,8 @@ class Store:
         new = blobs.select("blob", "content").dropDuplicates(["blob"])
         if self._exists("blobs"):
             new = new.join(self.blobs().select("blob"), "blob", "left_anti")
-        new.write.mode("append").parquet(f"{self.path}/blobs")
+        if not self._exists("blobs") or not new.isEmpty():  # quiet passes leave no files
+            new.write.mode("append").parquet(f"{self.path}/blobs")
 
     def blobs(self) -> DataFrame:
         return self.spark.read.schema("blob string, content binary").parquet(f"{self.path}/blobs")
@@ -131,8 +133,10 @@ def revert_plan(parent: DataFrame, undone: DataFrame) -> DataFrame:
 def scan_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries, blobs) of the files under path, labels and rules empty."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    rel = F.substring_index(F.col("path"), path.rstrip("/") + "/", -1)
-    files = files.select(rel.alias("path"), content_hash("content").alias("blob"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").where(~F.col("path").rlike(r"(^|/)\.kb(/|$)"))
+    root = path.rstrip("/").partition(":")[2] if "://" in path or path.startswith("file:") else path.rstrip("/")
+    root = re.sub(r"^//[^/]*", "", root) + "/"
+    rel = F.expr("substring(path, locate(__root, path) + length(__root))")
+    files = files.withColumn("__root", F.lit(root)).select(rel.alias("path"), content_hash("content").alias("blob"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").where(~F.col("path").rlike(r"(^|/)\.kb(/|$)"))
     entries = files.select("path", "blob", "size", "mod_time", F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("rule"))
     return entries, files.select("blob", "content").dropDuplicates(["blob"])
 

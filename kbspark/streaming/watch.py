@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import dedup, drift, organize
 from kbspark.policy import Policy
+from kbspark.sources.folder import Folder
 from kbspark.sources.snapshots import Store, scan_folder
 
 
@@ -24,10 +25,11 @@ class Summary:
         return not (self.absorbed or self.applied or self.deduped or self.pending)
 
 
-def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False) -> Summary:
+def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, folder: Folder | None = None) -> Summary:
     """Absorbs changes, applies the plan's allowed operations and collapses copies, each as a snapshot of its own; quiet passes commit nothing.
 
-    One-shot runs act unless a rule says propose; watching acts only where it says auto and never collapses copies.
+    One-shot runs act unless a rule says propose; watching acts only where it says auto and never collapses copies.  Where
+    folder is given, its files follow the moves and removals, before they are committed.
     """
     out, head = Summary(), store.at()
     if not drift.changes(head, current).isEmpty() and not dry:
@@ -39,12 +41,16 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
     held = planned.where(~F.col("rule").isin(allowed) | F.col("class").isin("conflict", "pinned")).where("class <> 'unsorted'")
     out.pending = [(r["class"], r["path"]) for r in held.select("class", "path").orderBy("class", "path").limit(1000).collect()]
     if not dry and not ops.isEmpty():
+        if folder:
+            folder.move(lambda: ((r["path"], r["to"]) for r in ops.where("class = 'move'").select("path", "to").toLocalIterator()))
         out.applied = store.commit(organize.apply(head, ops), "mutate", "reconcile")
         head = store.at()
     copies = dedup.plan(head, policy.dedup.strategy or "keep-oldest")
     if watching:
         out.pending += [("copies", r["blob"]) for r in copies.select("blob").orderBy("blob").limit(1000).collect()]
     elif not dry and not (gone := dedup.removed(copies)).isEmpty():
+        for r in gone.toLocalIterator() if folder else ():
+            folder.remove(r["path"])
         out.deduped = store.commit(head.join(gone, "path", "left_anti"), "mutate", "reconcile")
     planned.unpersist()
     return out
@@ -57,7 +63,8 @@ def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pas
     def tick(_: DataFrame, __: int) -> None:
         entries, blobs = scan_folder(spark, folder)
         texts = entries.join(blobs, "blob").select("path", F.expr("case when is_valid_utf8(cast(content as string)) then cast(content as string) end").alias("text"))
-        got = reconcile(store, entries, texts, policy, watching=True)
+        store.put_blobs(blobs)
+        got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder))
         got.pending = [p for p in got.pending if p not in seen]
         seen.update(got.pending)
         if not got.empty():
