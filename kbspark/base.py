@@ -200,8 +200,8 @@ class KnowledgeBase:
         out: dict = {"groups": _plain(planned.orderBy("blob")), "manifest": None}
         gone = dedup.removed(planned)
         if apply and not gone.isEmpty():
-            for r in gone.toLocalIterator():
-                self.folder.remove(r["path"])
+            keep = planned.where("not is_conflict").select("keep")
+            self.folder.collapse((r[0] for r in keep.toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
             out["manifest"] = self._commit(dedup.apply(self.store.at(), planned), "mutate", "dedup")
         return out
 
@@ -236,9 +236,10 @@ class KnowledgeBase:
         before = self.store.at()
         if kind == "mutate":
             plan = snapshots.revert_plan(before, undone).persist()
-            moved = plan.where("action = 'moved'")
-            self.folder.move(lambda: ((r["from_path"], r["path"]) for r in moved.toLocalIterator()))
-            lost = plan.where("action = 'restored'").join(before.select("path", "blob"), "path").join(self.store.blobs(), "blob")
+            # one file can go back to one place; further places of its content are restored from the blobs
+            moved = plan.where("action = 'moved'").groupBy("from_path").agg(F.min("path").alias("path"))
+            self.folder.move(lambda: ((r["from_path"], r["path"]) for r in moved.toLocalIterator()), missing_ok=True)
+            lost = plan.where("action in ('restored', 'moved')").join(before.select("path", "blob"), "path").join(self.store.blobs(), "blob")
             for r in lost.select("path", "content").toLocalIterator():
                 if not self.folder.exists(r["path"]):
                     self.folder.write(r["path"], bytes(r["content"]))

@@ -43,16 +43,29 @@ class Folder:
         self._fs.delete(self._path(name), False)
         self._prune(name)
 
-    def move(self, pairs: Callable[[], Iterable[tuple[str, str]]]) -> int:
-        """Renames in two passes over the pairs, by way of a staging folder, so chains and swaps don't overwrite each other."""
+    def move(self, pairs: Callable[[], Iterable[tuple[str, str]]], missing_ok: bool = False) -> int:
+        """Renames in passes over the pairs, by way of a staging folder, so chains and swaps don't overwrite each other.
+
+        A target that a file holds which isn't itself moved puts everything back and raises.
+        """
         staged = lambda name: f".kb/moving/{hashlib.sha256(name.encode()).hexdigest()}"
         self._fs.mkdirs(self._path(".kb/moving"))
-        for source, _ in pairs():
-            self._rename(source, staged(source))
+        try:
+            for source, _ in pairs():
+                if not missing_ok or self.exists(source):
+                    self._rename(source, staged(source))
+            for _, to in pairs():
+                if self.exists(to):
+                    raise FileExistsError(to)
+        except OSError:
+            for source, _ in pairs():
+                if self.exists(staged(source)):
+                    self._rename(staged(source), source)
+            raise
         n = 0
         for source, to in pairs():
-            if self.exists(to):
-                raise FileExistsError(to)
+            if missing_ok and not self.exists(staged(source)):
+                continue
             if "/" in to:
                 self._fs.mkdirs(self._path(to.rpartition("/")[0]))
             self._rename(staged(source), to)
@@ -60,7 +73,17 @@ class Folder:
             n += 1
         return n
 
+    def collapse(self, keep: Iterable[str], gone: Iterable[str]) -> None:
+        """Removes copies, once every file that stands for them is seen to be there."""
+        for name in keep:
+            if not self.exists(name):
+                raise FileNotFoundError(f"{name} is missing; its copies stay")
+        for name in gone:
+            self.remove(name)
+
     def _rename(self, source: str, to: str) -> None:
+        if not self.exists(source):
+            raise FileNotFoundError(source)
         if not self._fs.rename(self._path(source), self._path(to)):
             raise OSError(f"{source} can't be moved to {to}")
 

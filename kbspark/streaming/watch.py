@@ -49,8 +49,9 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
     if watching:
         out.pending += [("copies", r["blob"]) for r in copies.select("blob").orderBy("blob").limit(1000).collect()]
     elif not dry and not (gone := dedup.removed(copies)).isEmpty():
-        for r in gone.toLocalIterator() if folder else ():
-            folder.remove(r["path"])
+        if folder:
+            keep = copies.where("not is_conflict").select("keep")
+            folder.collapse((r[0] for r in keep.toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
         out.deduped = store.commit(head.join(gone, "path", "left_anti"), "mutate", "reconcile")
     planned.unpersist()
     return out

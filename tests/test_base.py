@@ -24,6 +24,7 @@ def kb(spark, tmp_path):
     (root / "in" / "a b.txt").write_text("walnut harvest in autumn")
     (root / "b.md").write_text("walnut oil")
     (root / "c.md").write_text("walnut oil")
+    os.utime(root / "b.md", (1e9, 1e9))  # the older copy
     (root / "x.bin").write_bytes(b"\xff\xfe\x00")
     return base.KnowledgeBase.init(spark, str(root))
 
@@ -46,7 +47,6 @@ def test_files_follow_org_dedup_and_undo(kb, tmp_path):
     assert not (tmp_path / "kb/in").exists()
     assert kb.drift()["changes"] == []
     assert kb.undo() == {"manifest": "M1"} and files(kb, tmp_path) == before == paths(kb)
-    os.utime(tmp_path / "kb/b.md", (1, 1))
     got = kb.reconcile(apply=True)
     collapsed = ["b.md", "notes/a b.txt", "x.bin"]
     assert got["applied"] and got["deduped"] and paths(kb) == files(kb, tmp_path) == collapsed
@@ -56,6 +56,19 @@ def test_files_follow_org_dedup_and_undo(kb, tmp_path):
     assert kb.dedup()["manifest"] is None and kb.dedup(apply=True)["manifest"] and paths(kb) == files(kb, tmp_path) == collapsed
 
 
+def test_moves_are_all_or_none(kb, tmp_path):
+    root = tmp_path / "kb"
+    swap = lambda: [("b.md", "x.bin"), ("x.bin", "b.md")]
+    assert kb.folder.move(swap) == 2 and (root / "x.bin").read_text() == "walnut oil" and kb.folder.move(swap) == 2
+    for bad in ([("b.md", "n.md"), ("x.bin", "c.md")], [("b.md", "n.md"), ("gone", "o.md")]):
+        with pytest.raises(Exception):  # noqa: B017
+            kb.folder.move(lambda bad=bad: bad)
+        assert files(kb, tmp_path) == ["b.md", "c.md", "in/a b.txt", "x.bin"] and (root / "b.md").read_text() == "walnut oil"
+    with pytest.raises(FileNotFoundError):
+        kb.folder.collapse(["gone"], ["b.md"])
+    assert (root / "b.md").exists()
+
+
 def test_find_recall_retain_export(kb, tmp_path):
     kb.scan()
     assert {h["path"] for h in kb.find("walnut")} == {"in/a b.txt", "b.md", "c.md"} and kb.find("nothinglikeit") == []
