@@ -38,6 +38,6 @@ def phrase_count(toks: str, phrase: list[str]) -> Column:
         return F.lit(0)
     if k == 1:
         return F.size(F.filter(toks, lambda t: t.startswith(phrase[0])))
-    quoted = [p.replace("'", "''") for p in phrase]
-    test = " and ".join([*(f"element_at({toks}, i + {j + 1}) = '{p}'" for j, p in enumerate(quoted[:-1])), f"startswith(element_at({toks}, i + {k}), '{quoted[-1]}')"])
-    return F.expr(f"case when size({toks}) >= {k} then size(filter(sequence(0, size({toks}) - {k}), i -> {test})) else 0 end")
+    # one pass over the joined tokens; looking ahead for the rest lets occurrences overlap, and the array is made once a row
+    first, rest = phrase[0], " ".join(phrase[1:])
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(toks, " ")), F.lit(f" {first}(?= {rest})"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark import policy as P
 from kbspark.functions.chunks import chunks
-from kbspark.operators import dedup, drift, organize, recall, search
+from kbspark.operators import dedup, drift, merge, organize, recall, search
 from kbspark.sources import export, snapshots, transcripts
 
 POLICY = """
@@ -120,6 +120,12 @@ def dedup_apply(spark, sf):
     return dedup.apply(e, dedup.plan(e)).select("path", "blob")
 
 
+@query
+def dedup_conflicts(spark, sf):
+    """Groups whose oldest copies are of the same time, and how many paths a person has to choose from."""
+    return dedup.plan(entries_of(spark, sf)).where("is_conflict").select("blob", F.size("paths").cast("long").alias("n"), joined("paths").alias("paths"))
+
+
 @query
 def drift_changes(spark, sf):
     return drift.changes(entries_of(spark, sf), second(spark, sf))
@@ -155,7 +161,7 @@ def export_records(spark, sf):
 
 @query
 def export_semi_structured(spark, sf):
-    rows = export.records(entries_of(spark, sf).where("doc_id % 5 = 0"), "M1").select("path", "size", "manifest")
+    rows = export.records(entries_of(spark, sf), "M1").select("path", "size", "manifest")
     return rows.select(F.to_json(F.struct("path", "size", "manifest")).alias("value"))
 
 
@@ -169,6 +175,27 @@ def _fts(q, mode=None):
 QUERIES["fts_and"], QUERIES["fts_or"], QUERIES["fts_fallback"] = _fts(QUERY_AND, "and"), _fts(QUERY_OR, "or"), _fts("license zzzzqqq")
 
 
+QUERIES["fts_phrase"] = _fts("apache-lic", "and")
+
+
+@query
+def merge_outcome(spark, sf):
+    """A view that labels every toxic document, merged into a later head: files that moved are followed, files that are gone held."""
+    base, head = entries_of(spark, sf), second(spark, sf)
+    ops = tuple(merge.Op(r["path"], labels=("review",), rule="toxic") for r in base.where(F.array_contains("labels", "toxic")).select("path").orderBy("path").collect())
+    view = merge.View("v", "M1", "STAGED", ops)
+    return merge.merge(view, base, head)[0].select("path", "blob", joined("labels").alias("labels"), "rule")
+
+
+@query
+def recall_pack(spark, sf):
+    e = entries_of(spark, sf).select("path", "blob", "labels", "text")
+    found = search.full_text(search.indexed(e), "apache license", recall.CANDIDATES).select("path", "score", "rank")
+    items = recall.pack(found, e, "apache license", 1000, "M1")
+    rows = [(i, x["path"], round(x["score"], 6), len(x["content"].encode()), x["manifest"]) for i, x in enumerate(items)]
+    return spark.createDataFrame(rows, "place int, path string, score double, bytes int, manifest string")
+
+
 def _chunks(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
     return v.select(F.concat(F.lit("v/"), F.lpad((F.col("vec_id") % 100).cast("string"), 3, "0")).alias("path"), F.col("embedding").alias("vec"), "vec_id", "label")
@@ -236,7 +263,7 @@ def chunk_text(spark, sf):
 
 @query
 def recall_windows(spark, sf):
-    return recall.windows(entries_of(spark, sf).where("path like '%.md'"), "the license token", 400).select("path", "seq", "score", F.md5("window").alias("hash"))
+    return recall.windows(entries_of(spark, sf), "the license token", 400).select("path", "seq", "score", F.md5("window").alias("hash"))
 
 
 @query
@@ -280,8 +307,12 @@ PLAN = f"""with {ENTRIES}, c as (select *, split_part(path, '.', -1) as ext, pat
  case when rule is null then ['unsorted'] else want end as labels, case when goal <> path and path <> first then 'target claimed by ' || first end as reason from w where rule is null or goal <> path or len(want) > 0)"""
 
 
+def _tokens_sql(x: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+
+
 def _fts_sql(phrases: list[str], every: bool, limit: int = 20) -> str:
-    tok = lambda x: f"regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+    tok = _tokens_sql
     f = ", ".join(f"len(list_filter(toks, lambda t: starts_with(t, '{p}'))) as f{i}" for i, p in enumerate(phrases))
     n = range(len(phrases))
     stats = ", ".join(f"count(*) filter (f{i} > 0) as n{i}" for i in n)
@@ -317,13 +348,22 @@ ORACLES: dict[str, str] = {
     "dedup_plan_oldest": _dedup_sql("min"),
     "dedup_plan_newest": _dedup_sql("max"),
     "dedup_apply": f"with {ENTRIES}, g as (select *, count(*) over (partition by blob) n, min(mod_time) over (partition by blob) t from entries), k as (select *, count(*) filter (mod_time = t) over (partition by blob) ties from g) select path, blob from k where n = 1 or ties > 1 or mod_time = t",
+    "dedup_conflicts": f"with {ENTRIES}, g as (select *, min(mod_time) over (partition by blob) as t from entries) select blob, count(*) as n, string_agg(path, ',' order by path) as paths from g group by blob having count(*) > 1 and count(*) filter (mod_time = t) > 1",
+    "merge_outcome": f"""with {ENTRIES}, {SECOND}, hit as (select distinct coalesce(s.path, (select min(m.path) from second m where m.blob = e.blob)) as path from entries e left join second s on s.path = e.path where list_contains(e.labels, 'toxic')),
+ had as (select s.path, s.blob, coalesce(e.labels, []) as labels from second s left join entries e on e.path = case when starts_with(s.path, 'moved/') then substr(s.path, 7) else s.path end)
+ select had.path, blob, array_to_string(list_sort(case when hit.path is null then labels else list_concat(labels, ['review']) end), ',') as labels, case when hit.path is not null then 'toxic' end as rule from had left join hit on hit.path = had.path""",
+    "fts_phrase": f"""with {ENTRIES}, t as (select path, {_tokens_sql("path")} as tp, {_tokens_sql("array_to_string(labels, ' ')")} as tl, {_tokens_sql("translate(path, '/_-.', '    ') || chr(10) || text")} as tb from entries),
+ c as (select path, len(tp) + len(tl) + len(tb) as len, {" + ".join(f"len(list_filter(range(1, len({x})), lambda i: {x}[i] = 'apache' and starts_with({x}[i + 1], 'lic')))" for x in ("tp", "tl", "tb"))} as f from t),
+ s as (select count(*) as r, avg(len) as avgdl, count(*) filter (f > 0) as n from c),
+ top as (select path, (case when ln((r - n + 0.5) / (n + 0.5)) <= 0 then 1e-6 else ln((r - n + 0.5) / (n + 0.5)) end) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)) as score from c, s where f > 0 order by score desc, path limit 20)
+ select path, round(score, 6) as score, {_RANK} from top""",
     "drift_changes": f"{CHANGES} select kind, path, from_path, blob from changes",
     "drift_absorbed": f"{CHANGES}, r as (select path, from_path from changes where kind = 'renamed') select s.path, s.blob, array_to_string(list_sort(list_concat(coalesce(e.labels, []), case when r.path is null then [] else ['{P.PINNED}'] end)), ',') as labels from second s left join r on r.path = s.path left join entries e on e.path = coalesce(r.from_path, s.path)",
     "changed_paths": f"{CHANGES} select path from j where old is distinct from new",
     "revert_plan": f"{CHANGES}, gone as (select path, old as blob from j where new is null), extra as (select path, new as blob from j where old is null), x as (select blob, min(path) as from_path from extra group by 1) select case when from_path is null then 'restored' else 'moved' end as action, path, from_path from gone left join x using (blob) union all select 'removed', path, null from extra where blob not in (select blob from gone)",
     "history": "with recursive m as (select 'M' || n_nationkey as id, case when n_nationkey = 0 then null else 'M' || (n_nationkey - 1 - n_nationkey % 2)::int end as parent, case when n_regionkey = 0 then 'observe' else 'mutate' end as kind, n_name as created_by from nation), c as (select *, 0 as depth from m where id = 'M24' union all select m.*, c.depth + 1 from m join c on m.id = c.parent) select id, depth, parent, kind, created_by from c",
     "export_records": f"with {ENTRIES} select path, sha256(text) as text_hash, array_to_string(list_sort(labels), ',') as labels, size, strftime(mod_time, '%Y-%m-%dT%H:%M:%SZ') as mod_time, 'M1' as manifest from entries where list_contains(labels, 'good') and path like '%.md' and mod_time > timestamp '2024-01-02' and mod_time < timestamp '2024-01-07'",
-    "export_semi_structured": f"""with {ENTRIES} select '{{"path":"' || path || '","size":' || size || ',"manifest":"M1"}}' as value from entries where doc_id % 5 = 0""",
+    "export_semi_structured": f"""with {ENTRIES} select '{{"path":"' || path || '","size":' || size || ',"manifest":"M1"}}' as value from entries""",
     "fts_and": f"with {ENTRIES}, {_AND} select path, round(score, 6) as score, {_RANK} from top",
     "fts_or": f"with {ENTRIES}, {_OR} select path, round(score, 6) as score, {_RANK} from top",
     "fts_fallback": f"with {ENTRIES}, {_fts_sql(['license', 'zzzzqqq'], False)} select path, round(score, 6) as score, {_RANK} from top",

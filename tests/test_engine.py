@@ -151,3 +151,11 @@ def test_reconcile_is_idempotent(spark, tmp_path):
     texts = now.join(blobs, "blob").selectExpr("path", "cast(content as string) as text")
     quiet = watch.reconcile(store, now, texts, pol, watching=True)
     assert quiet.absorbed == "M3" and quiet.applied is None and ("label", "c.md") in quiet.pending and any(k == "copies" for k, _ in quiet.pending)
+
+
+def test_phrase_counts(spark):
+    from kbspark.functions.text import phrase_count, tokens
+
+    df = spark.createDataFrame([("a a ab, xa b. A-a",), ("",), ("a",)], "t string").select(tokens("t").alias("k"))
+    got = df.select(*(phrase_count("k", p).alias(f"p{i}") for i, p in enumerate((["a", "a"], ["a", "a", "a"], ["a"], [], ["xa", "b"])))).collect()
+    assert [tuple(r) for r in got] == [(3, 1, 5, 0, 1), (0, 0, 0, 0, 0), (0, 0, 1, 0, 0)]
