@@ -36,7 +36,9 @@ def statistics(text: bytes, hashes: WordHashes) -> tuple[list[int], list[float]]
     words = text.split()
     n = len(words)
     b = np.frombuffer(text, np.uint8)
-    chars = int(((b & 0xC0) != 0x80).sum() - _SPACE[b].sum())
+    space = np.ones(len(b) + 2, bool)
+    space[1:-1] = _SPACE[b]
+    chars = int(((b & 0xC0) != 0x80).sum() - space[1:-1].sum())
     by = np.bincount(b, minlength=256)
     symbols = int(by[_SYMBOLS].sum())
     seen, dups, lines = set(), 0, 0
@@ -66,7 +68,8 @@ def statistics(text: bytes, hashes: WordHashes) -> tuple[list[int], list[float]]
     stutter = float((h[1:] == h[:-1]).mean()) if n > 1 else 0.0
     hs = np.sort(h)
     distinct = (1 + int((hs[1:] != hs[:-1]).sum())) / n
-    shorts = sum(len(w) <= 2 for w in words[:: max(1, n // 400)]) / len(words[:: max(1, n // 400)])
+    edges = np.flatnonzero(space[1:] != space[:-1])  # begin and end of each word in turn
+    shorts = int((edges[1::2] - edges[::2] <= 2).sum()) / n
     feats = [float(np.log1p(n)), chars / n, symbols / chars, dups / max(1, lines), repeats / n, by[_UPPER].sum() / chars, by[_DIGIT].sum() / chars, by[_MARK].sum() / n, by[ord("|")] / n, stutter, distinct, shorts]
     return [n, chars, symbols, dups, repeats], feats
 

@@ -159,6 +159,13 @@ def test_quality(odd, empty, labels):
     assert kept.columns == odd.columns and kept.count() == sum(not r.base_failed for r in got)
 
 
+@pytest.mark.parametrize("text", ["is " + "word " * 399, "a word " * 600, "word a " * 600, " ab\tabc\x0bé é1\r\n" * 2000, "word " * 19_999 + "a"])
+def test_short_words_are_counted_over_the_whole_text(text):
+    w = text.encode().split()
+    feats = dict(zip(quality.FEATURES, quality.statistics(text.encode(), WordHashes())[1], strict=True))
+    assert feats["shorts"] == sum(len(x) <= 2 for x in w) / len(w)
+
+
 def test_forest_is_monotone():
     rng = np.random.default_rng(3)
     x = rng.random((4000, len(quality.FEATURES)))
