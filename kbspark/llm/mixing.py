@@ -1,15 +1,18 @@
 """op 3: mixing sources to target weights by Pfair scheduling.
 
-The documents of a source are numbered by a hash of their doc_id and cut into blocks of a common size.  With weight w (a
-fraction of one block per slot) block i of a source is released at slot floor((i - 1) / w) and due by slot ceil(i / w); the
-schedule gives each slot to the released block of the earliest deadline, so at every slot each source has had within one
-block of w times the slots so far.  When a source runs out, a new phase starts in which the others share its weight in
-proportion; every document gets exactly one place.
-
-Numbering needs no global sort: rows are dealt to bounded (source, salt) groups, the counts of the groups give each its
-first number, and only the narrow rows (doc_id, hash) are numbered inside a group.  The schedule is computed on the driver
-over blocks, of which there are at most ``MAX_BLOCKS`` (block size grows beyond that), and joined back by a broadcast of that
-bounded table.
+The documents of a source are numbered by a hash of their doc_id and cut into blocks of a common size.  The ideal schedule is
+fluid: in every slot the sources that have blocks left share one block in proportion to their weights, so when a source runs
+out the others share its weight.  Block i of a source is released at the slot in which the fluid reaches it and due when the
+fluid has passed it; the schedule gives each slot to the released block of the earliest deadline.  Such a schedule meets all
+deadlines (the fluid is a fractional matching of blocks and slots, so a whole one exists), and at every slot each source has
+had within one block of its fluid share.  Every document gets exactly one place.
+
+Nothing is numbered by a global sort of rows: they are dealt to bounded (source, salt) groups, the counts of the groups give
+each its first number, and only the narrow rows (doc_id, hash) are numbered inside a group.  With weights q in whole parts the
+fluid reaches the end of block i of a source at slot D + i * Q / q, where D is the number of blocks of the sources that end
+before and Q the sum of the other sources' q: running sums over range partitions of sources and blocks.  Slots are given out
+in one pass over the narrow blocks in the order of their release.  The driver reads them as a stream and holds those that are
+released and not yet placed, one a source at most, and the rows of one written piece.
 
 Defined cases: a null source is a source of its own; a source without a given weight, or with one not above zero, follows
 when all weighted sources have run out; repeated rows are scheduled once each; an empty table gives an empty result.
@@ -18,83 +21,151 @@ when all weighted sources have run out; repeated rows are scheduled once each; a
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shared_dir
 
-#: Documents in a block, blocks at most, rows in a numbered group about, sources at most.
-BLOCK, MAX_BLOCKS, GROUP, MAX_SOURCES = 64, 100_000, 20_000, 50_000
-#: Weights are whole numbers of this many parts.
+#: Documents in a block, rows in a numbered group about, blocks in a written piece of the schedule.
+BLOCK, GROUP, PIECE = 64, 20_000, 200_000
+#: Weights are whole numbers of this many parts, or of two a source where there are more sources.
 PARTS = 1_000_000
 #: Power of a source's size that its default weight follows: under 1 lifts the small sources.
 TEMPER = 0.5
 
 
 def quanta(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Whole parts, one at least, that add up to parts; the largest remainders get what rounding leaves."""
+    """Whole parts, one at least, that add up to parts (to more where raising small weights to one part takes more than is left); the largest remainders get what rounding leaves."""
     total = sum(weights.values())
     exact = {s: w / total * parts for s, w in weights.items()}
     out = {s: max(1, int(x)) for s, x in exact.items()}
     left = parts - sum(out.values())
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    while left:
-        for s in order:
-            if left == 0 or (left < 0 and out[s] == 1):
-                continue
-            step = 1 if left > 0 else -1
-            out[s] += step
-            left -= step
+    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, left)]:
+        out[s] += 1
     return out
 
 
+def earliest_deadline(blocks: Iterable[tuple[int, int, str, int, bool]]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(source, block, slot, release, due, phase) by slot for blocks (release, due, source, block, last of its source) in the order of release."""
+    blocks = iter(blocks)
+    ready: list[tuple[int, int, str, int, bool]] = []
+    coming, slot, phase = next(blocks, None), 0, 0
+    while coming or ready:
+        while coming and (coming[0] <= slot or not ready):
+            release, due, *rest = coming
+            heapq.heappush(ready, (due, release, *rest))
+            coming = next(blocks, None)
+        due, release, s, block, last = heapq.heappop(ready)
+        yield s, block, slot, release, due, phase
+        phase += last
+        slot += 1
+
+
 def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int, int, int, int, int]]:
-    """(source, block, slot, release, due, phase) of every block; release and due are slots of the whole schedule."""
-    out: list[tuple[str, int, int, int, int, int]] = []
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    phase = 0
-    while left:
-        live = {s: weights.get(s, 0) for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        q, t0 = quanta(live, max(PARTS, 2 * len(live))), len(out)
-        parts = sum(q.values())
-        # (release, source, i) waits; (due, release, source, i) is ready
-        waits = [(0, s, 1) for s in sorted(live)]
-        ready: list[tuple[int, int, str, int]] = []
-        t = 0
-        while True:
-            while waits and waits[0][0] <= t:
-                release, s, i = heapq.heappop(waits)
-                heapq.heappush(ready, (-(-i * parts // q[s]), release, s, i))
-            due, release, s, i = heapq.heappop(ready)
-            out.append((s, done[s], t0 + t, t0 + release, t0 + due, phase))
-            done[s] += 1
-            left[s] -= 1
-            t += 1
-            if not left[s]:
-                del left[s]
-                break
-            heapq.heappush(waits, (i * parts // q[s], s, i + 1))
-        phase += 1
-    return out
+    """(source, block, slot, release, due, phase) of every block, of few sources and without Spark."""
+    out: list[tuple[int, int, str, int, bool]] = []
+    weighted = {s for s, n in blocks.items() if n > 0 and weights.get(s, 0) > 0}
+    base = 0
+    for tier in (weighted, {s for s, n in blocks.items() if n > 0} - weighted):
+        if not tier:
+            continue
+        q = quanta({s: weights[s] if s in weighted else 1.0 for s in tier}, max(PARTS, 2 * len(tier)))
+
+        def at(s: str, i: int, tier=tier, q=q, base=base) -> tuple[int, int]:
+            """The fluid's time at the end of block i of s: floor and ceiling."""
+            ended = {x for x in tier if blocks[x] * q[s] <= i * q[x]}
+            d, rate = base + sum(blocks[x] for x in ended), i * sum(q[x] for x in tier - ended)
+            return d + rate // q[s], d - (-rate // q[s])
+
+        for s in tier:
+            out += [(at(s, i)[0], at(s, i + 1)[1], s, i, i + 1 == blocks[s]) for i in range(blocks[s])]
+        base += sum(blocks[s] for s in tier)
+    return list(earliest_deadline(sorted(out)))
+
+
+def _running(rows: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """rows with before_x, the sum of x over the rows before in a unique order, for each x of sums; range partitions are summed alone."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = materialize(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "running")
+    firsts, total = [], [0] * len(sums)
+    # a row a partition
+    for r in parts.groupBy("part").agg(*(F.sum(x).alias(x) for x in sums)).orderBy("part").collect():
+        firsts.append((r["part"], *total))
+        total = [a + r[x] for a, x in zip(total, sums, strict=True)]
+    firsts = rows.sparkSession.createDataFrame(firsts, "part int, " + ", ".join(f"first_{x} long" for x in sums))
+    window = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parts.withColumns({f"in_{x}": F.coalesce(F.sum(x).over(window), F.lit(0)) for x in sums})
+    out = inside.join(F.broadcast(firsts), "part").withColumns({f"before_{x}": F.col(f"first_{x}") + F.col(f"in_{x}") for x in sums})
+    return out.select(*rows.columns, *(f"before_{x}" for x in sums))
+
+
+def _windows(sizes: DataFrame, weights: DataFrame | None, size: int) -> DataFrame:
+    """release, due, src, block, last of every block of sizes (src, n rows)."""
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / size))
+    if weights is None:
+        sizes = sizes.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(TEMPER)))
+    else:
+        sizes = sizes.join(weights, "src", "left")
+    sizes = sizes.withColumn("tier", F.when(F.col("w") > 0, 0).otherwise(1)).withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(1.0))
+    sizes = materialize(sizes, "sizes")
+    tiers = {r["tier"]: r for r in sizes.groupBy("tier").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.sum("blocks").alias("blocks")).collect()}
+    by_tier = lambda values: F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), F.col("tier"))
+    if not tiers:
+        return sizes.selectExpr("0L as release", "0L as due", "src", "0L as block", "true as last")
+    parts = {t: max(PARTS, 2 * r["n"]) for t, r in tiers.items()}
+    exact = sizes.withColumn("exact", F.col("w") / by_tier({t: float(r["w"]) for t, r in tiers.items()}) * by_tier({t: float(p) for t, p in parts.items()}))
+    exact = exact.withColumns({"q": F.greatest(F.lit(1).cast("long"), F.floor("exact")), "rest": F.floor("exact") - F.col("exact"), "one": F.lit(1).cast("long")})
+    counted = _running(exact, ["tier", "rest", "src"], ["one"])
+    sums = {r["tier"]: r["q"] for r in exact.groupBy("tier").agg(F.sum("q").alias("q")).collect()}
+    left = by_tier({t: parts[t] - q for t, q in sums.items()})
+    before = by_tier({t: sum(r["n"] for u, r in tiers.items() if u < t) for t in tiers})
+    q = materialize(counted.withColumn("q", F.col("q") + (F.col("before_one") - before < left).cast("long")).select("src", "tier", "blocks", "q"), "quanta")
+    sums = {r["tier"]: r["q"] for r in q.groupBy("tier").agg(F.sum("q").alias("q")).collect()}
+    # ends of sources, then the begin (which 1) and end (which 2) of every block, in the order of the fluid
+    ends = q.selectExpr("tier", "blocks / q as v", "0 as which", "src", "blocks as i", "q", "blocks as end_blocks", "q as end_q", "blocks")
+    block = q.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    points = [block.selectExpr("tier", f"(i + {k}) / q as v", f"{k + 1} as which", "src", "i", "q", "0L as end_blocks", "0L as end_q", "blocks") for k in (0, 1)]
+    order = ["tier", "v", "which", "src", "i"]
+    events = _running(ends.unionByName(points[0]).unionByName(points[1]), order, ["end_blocks", "end_q"]).where("which > 0")
+    # sources of the tiers before have all ended, so the blocks need no base of their own
+    gone = by_tier({t: sum(x for u, x in sums.items() if u < t) for t in tiers})
+    rate = by_tier(sums) - (F.col("before_end_q") - gone)
+    events = events.withColumn("rate", rate * F.expr("i + which - 1"))
+    events = events.withColumn("time", F.expr("before_end_blocks + rate div q + if(which = 2 and rate % q > 0, 1L, 0L)"))
+    return events.groupBy("src", F.col("i").alias("block")).agg(F.max(F.when(F.col("which") == 1, F.col("time"))).alias("release"), F.max(F.when(F.col("which") == 2, F.col("time"))).alias("due"), F.max(F.col("i") + 1 == F.col("blocks")).alias("last")).select("release", "due", "src", "block", "last")
+
+
+def _plan(spark: SparkSession, windows: DataFrame) -> DataFrame:
+    """src, block, slot, release, due, phase of windows; written in pieces as the driver passes over the blocks."""
+    schema = "src string, block long, slot long, release long, due long, phase int"
+    path = f"{shared_dir(spark)}/kbspark/{spark.sparkContext.applicationId}/schedule-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    ordered = windows.orderBy("release", "due", "src", "block").select("release", "due", "src", "block", "last")
+    piece: list[tuple] = []
+    for x in earliest_deadline(ordered.toLocalIterator(prefetchPartitions=True)):
+        piece.append(x)
+        if len(piece) == PIECE:
+            spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+            piece.clear()
+    if piece:
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _numbered(docs: DataFrame):
     """Narrow rows (source, h, doc_id, number) and the number of rows by source."""
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), F.xxhash64("doc_id").alias("h"))
-    sizes = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    got = sizes.limit(MAX_SOURCES + 1).collect()
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    counts = {r["src"]: r["n"] for r in got}
-    salts = max(1, -(-max(counts.values(), default=0) // GROUP))
+    sizes = materialize(rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "counts")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    salts = max(1, -(-largest // GROUP))
     rows = rows.withColumn("salt", F.pmod("h", F.lit(salts)).cast("int"))
     by = rows.groupBy("src", "salt").agg(F.count(F.lit(1)).alias("n"))
     first = by.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inside = F.row_number().over(Window.partitionBy("src", "salt").orderBy("h", "doc_id")) - 1
-    return rows.withColumn("inside", inside).join(first, ["src", "salt"]).withColumn("number", F.col("first") + F.col("inside")), counts
+    return rows.withColumn("inside", inside).join(first, ["src", "salt"]).withColumn("number", F.col("first") + F.col("inside")), sizes
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
@@ -103,14 +174,13 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     weights: target share by source; default: the power TEMPER of the source's number of rows.
     """
     spark = docs.sparkSession
-    rows, counts = _numbered(docs)
-    size = max(block, -(-sum(counts.values()) // MAX_BLOCKS))
-    target = {s: float(n) ** TEMPER for s, n in counts.items()} if weights is None else {("" if s is None else f"={s}"): w for s, w in weights.items()}
-    plan = schedule({s: -(-n // size) for s, n in counts.items()}, target)
-    # MAX_BLOCKS + MAX_SOURCES rows of a few dozen bytes at most
-    plan = spark.createDataFrame(plan, "src string, block long, slot long, release long, due long, phase int")
-    rows = rows.withColumn("block", F.floor(F.col("number") / size)).withColumn("position", F.col("number") % size)
-    out = rows.join(F.broadcast(plan), ["src", "block"])
+    rows, sizes = _numbered(docs)
+    target = None
+    if weights is not None:
+        target = spark.createDataFrame([("" if s is None else f"={s}", float(w)) for s, w in weights.items()], "src string, w double")
+    plan = _plan(spark, _windows(sizes, target, block))
+    rows = rows.withColumn("block", F.floor(F.col("number") / block)).withColumn("position", F.col("number") % block)
+    out = rows.join(plan, ["src", "block"])
     return out.selectExpr("doc_id", "if(src = '', null, substring(src, 2)) as source", "block", "position", "slot", "release", "due", "phase")
 
 

@@ -134,6 +134,25 @@ def test_schedule_bounds():
     assert plan[-9:] == [p for p in plan if p[0] == "d"]  # without a weight: last
 
 
+def test_mixing_equals_the_schedule_without_spark(spark):
+    sizes = {"a": 700, "b": 50, "c": 3, "d": 9, "e": 1, "f": 131, "g": 1}
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    for weights in (None, {"a": 0.5, "b": 0.3, "c": 0.2}, {"f": 1.0}):
+        target = weights or {s: n**mixing.TEMPER for s, n in sizes.items()}
+        want = mixing.schedule({s: -(-n // 4) for s, n in sizes.items()}, target)
+        got = mixing.mix_sources(docs, weights, block=4).collect()
+        assert sorted({(r.slot, r.source, r.block, r.release, r.due, r.phase) for r in got}) == [(t, s, i, a, d, k) for s, i, t, a, d, k in want]
+        assert len(got) == sum(sizes.values()) and all(a <= t < d for _, _, t, a, d, _ in want)
+
+
+def test_mixing_of_many_sources_and_blocks(spark):
+    docs = spark.range(100_001).selectExpr("id as doc_id", "concat('www.', id % 50001, '.example') as source")
+    got = mixing.mix_sources(docs, block=1).toPandas()
+    assert len(got) == got.doc_id.nunique() == 100_001 and got.source.nunique() == 50_001
+    assert (got.position == 0).all() and sorted(got.slot) == list(range(100_001))
+    assert ((got.release <= got.slot) & (got.slot < got.due)).all()
+
+
 def test_packing(odd, empty):
     got = packing.pack(odd, tokenizer_path(), near=0, fan=2, carry=1, chunk=3).collect()
     fill = {}
