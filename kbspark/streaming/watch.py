@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,6 +14,8 @@ from kbspark.policy import Policy
 from kbspark.sources.folder import Folder
 from kbspark.sources.snapshots import Store, scan_folder
 
+SHOWN = "class string, path string"
+
 
 @dataclass
 class Summary:
@@ -25,11 +28,18 @@ class Summary:
         return not (self.absorbed or self.applied or self.deduped or self.pending)
 
 
-def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, folder: Folder | None = None) -> Summary:
+def _pending(rows: DataFrame, shown: DataFrame | None) -> list[tuple[str, str]]:
+    """All of rows (class, path) by name, without those of shown."""
+    fresh = rows if shown is None else rows.join(shown, ["class", "path"], "left_anti")
+    return [(r["class"], r["path"]) for r in fresh.orderBy("class", "path").toLocalIterator()]
+
+
+def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, folder: Folder | None = None, shown: DataFrame | None = None) -> Summary:
     """Absorbs changes, applies the plan's allowed operations and collapses copies, each as a snapshot of its own; quiet passes commit nothing.
 
     One-shot runs act unless a rule says propose; watching acts only where it says auto and never collapses copies.  Where
-    folder is given, its files follow the moves and removals, before they are committed.
+    folder is given, its files follow the moves and removals, before they are committed.  What is held back is listed whole,
+    but for what shown (class, path) has already.
     """
     out, head = Summary(), store.at()
     if not drift.changes(head, current).isEmpty() and not dry:
@@ -39,7 +49,7 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
     allowed = [r.name for r in policy.rules if (r.autonomy == "auto" if watching else r.autonomy != "propose")]
     ops = planned.where(F.col("rule").isin(allowed) & F.col("class").isin("move", "label"))
     held = planned.where(~F.col("rule").isin(allowed) | F.col("class").isin("conflict", "pinned")).where("class <> 'unsorted'")
-    out.pending = [(r["class"], r["path"]) for r in held.select("class", "path").orderBy("class", "path").limit(1000).collect()]
+    out.pending = _pending(held.select("class", "path"), shown)
     if not dry and not ops.isEmpty():
         if folder:
             folder.move(lambda: ((r["path"], r["to"]) for r in ops.where("class = 'move'").select("path", "to").toLocalIterator()))
@@ -47,7 +57,7 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
         head = store.at()
     copies = dedup.plan(head, policy.dedup.strategy or "keep-oldest")
     if watching:
-        out.pending += [("copies", r["blob"]) for r in copies.select("blob").orderBy("blob").limit(1000).collect()]
+        out.pending += _pending(copies.select(F.lit("copies").alias("class"), F.col("blob").alias("path")), shown)
     elif not dry and not (gone := dedup.removed(copies)).isEmpty():
         if folder:
             keep = copies.where("not is_conflict").select("keep")
@@ -58,16 +68,17 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
 
 
 def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pass: Callable[[Summary], None], interval: str = "2 seconds"):
-    """A running query; each tick reads the whole folder, since file streams miss edits and deletions. What was shown once isn't shown again."""
-    seen: set[tuple[str, str]] = set()
+    """A running query; each tick reads the whole folder, since file streams miss edits and deletions. What was shown once isn't shown again; a table of this query keeps it."""
+    seen = f"{store.path}/shown/{uuid.uuid4().hex}"
+    spark.createDataFrame([], SHOWN).write.parquet(seen)
 
     def tick(_: DataFrame, __: int) -> None:
         entries, blobs = scan_folder(spark, folder)
         texts = entries.join(blobs, "blob").select("path", F.expr("case when is_valid_utf8(cast(content as string)) then cast(content as string) end").alias("text"))
         store.put_blobs(blobs)
-        got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder))
-        got.pending = [p for p in got.pending if p not in seen]
-        seen.update(got.pending)
+        got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder), shown=spark.read.schema(SHOWN).parquet(seen))
+        if got.pending:
+            spark.createDataFrame(got.pending, SHOWN).coalesce(1).write.mode("append").parquet(seen)
         if not got.empty():
             on_pass(got)
 

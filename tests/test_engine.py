@@ -153,6 +153,36 @@ def test_reconcile_is_idempotent(spark, tmp_path):
     assert quiet.absorbed == "M3" and quiet.applied is None and ("label", "c.md") in quiet.pending and any(k == "copies" for k, _ in quiet.pending)
 
 
+def test_reconcile_lists_all_that_is_held_back(spark, tmp_path):
+    store = snapshots.Store(spark, str(tmp_path / "kb")).init()
+    rows = entries(spark, *(entry(f"{side}/{i:04}.md", f"b{i:04}") for i in range(1100) for side in "xy"))
+    now, texts = rows.drop("text"), rows.select("path", "text")
+    pol = P.load("[[rule]]\nname='r'\nmatch={path='x/*.md'}\nlabel=['x']\nautonomy='propose'\n")
+    got = watch.reconcile(store, now, texts, pol, watching=True).pending
+    assert got == [("label", f"x/{i:04}.md") for i in range(1100)] + [("copies", f"b{i:04}") for i in range(1100)]
+    shown = spark.createDataFrame(got[:1000] + got[1100:2100], watch.SHOWN)
+    assert watch.reconcile(store, now, texts, pol, watching=True, shown=shown).pending == got[1000:1100] + got[2100:]
+
+
+def test_watch_shows_each_held_back_item_once(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.md").write_text("one")
+    store = snapshots.Store(spark, str(tmp_path / "kb")).init()
+    pol = P.load("[[rule]]\nname='r'\nmatch={ext=['md']}\nlabel=['x']\nautonomy='propose'\n")
+    passes = []
+
+    def on_pass(got):
+        passes.append(got.pending)
+        if len(passes) == 1:
+            (folder / "b.md").write_text("two")
+
+    running = watch.watch(spark, store, str(folder), pol, on_pass, "1 second")
+    running.awaitTermination(20)
+    running.stop()
+    assert passes == [[("label", "a.md")], [("label", "b.md")]]
+
+
 def test_phrase_counts(spark):
     from kbspark.functions.text import phrase_count, tokens
 
