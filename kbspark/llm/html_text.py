@@ -5,7 +5,9 @@ links, the share of stop words, and whether it stands in the article or in a con
 or by class, id or role).  Pass one decides what it can: named boilerplate and link-heavy blocks are bad, long blocks with
 stop words are good, long blocks without are bad; short ones stay open.  Pass two gives each open block the label of its
 nearest decided neighbours; where those differ, of the nearer one, and good if as near.  Where a page has article containers,
-only blocks inside them can be good, and a block there with no decided neighbour is good.
+only blocks inside them can be good, and a block there with no decided neighbour is good.  Where a page has none, and its long
+blocks together hold almost no known stop words, its language counts as unknown and they are good if they hold few links; where
+it has no long blocks, the open ones are judged by their links alone.
 
 Defined cases: null and empty pages give the empty text; unclosed and crossed tags, stray ``<`` and cut-off pages are read as far
 as they go; repeated rows give equal results.  Other columns than page_id, url and html are not read.
@@ -21,6 +23,8 @@ from pyspark.sql import DataFrame
 
 #: Share of link characters from which a block is bad; words of a long block; least share of stop words in a good one.
 LINKS, LONG, STOPS = 0.5, 12, 0.12
+#: Share of stop words in all running text of a page under which its language counts as unknown; link share of a good block there.
+UNKNOWN, FEW_LINKS = 0.03, 0.25
 #: Frequent function words of the languages at hand.
 STOP_WORDS = frozenset(
     b"the of and to in is that it for was on are as with be at by this have from or an they which you not his her but had we there been has were"
@@ -145,19 +149,31 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
     return out, any_article
 
 
+def _stops(words: list[str]) -> int:
+    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks, article = blocks_of(page)
     labels: list[bool | None] = []
+    n_long = n_stops = 0
+    if not article:
+        for clean, links, bad, _ in blocks:
+            if not bad and links < LINKS and len(words := clean.lower().split()) >= LONG:
+                n_long, n_stops = n_long + len(words), n_stops + _stops(words)
+    by_links = not article and n_stops < UNKNOWN * max(1, n_long)
     for clean, links, bad, inside in blocks:
         if bad or (article and not inside) or links >= LINKS:
             labels.append(False)
             continue
         words = clean.lower().split()
         if len(words) < LONG:
-            labels.append(None)
-        elif sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) >= STOPS * len(words):
+            labels.append(links < FEW_LINKS if by_links and not n_long else None)
+        elif by_links:
+            labels.append(links < FEW_LINKS)
+        elif _stops(words) >= STOPS * len(words):
             labels.append(True)
         else:
             labels.append(None if article else False)

@@ -206,6 +206,13 @@ def test_html():
     assert text("<article>a <b>b</b>c<!-- x --> d") == "a bc d" and len(text("<article>" + "<p>z " * 20_000)) == 39_999
 
 
+@pytest.mark.parametrize("long", ["Вчера вечером жители нашего города собрались на площади, чтобы вместе встретить первый снег этой зимы.", "Wczoraj wieczorem mieszkańcy naszego miasta zebrali się na rynku, aby wspólnie powitać pierwszy śnieg tej zimy."])
+def test_html_of_other_languages_without_a_container(long):
+    menu = "<div class=menu><a href=x>A</a></div><p>" + "<a href=y>link word</a> " * 9 + "</p>"
+    assert html_text.main_text(f"{menu}<h1>Title</h1><p>{long}</p><p>{long}</p><footer>x</footer>") == f"Title {long} {long}"
+    assert html_text.main_text(f"{menu}<h1>Снег</h1><p>Первый снег.</p><footer>x</footer>") == "Снег Первый снег."
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "<article>a</article>", 3)], "page_id long, url string, html string, text int")
     assert sorted(r.n_chars for r in html_text.extract(pages).collect()) == [0, 0, 1]
