@@ -6,15 +6,14 @@ exactly those six characters, so the Python side works on bytes and never decode
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.sources.durable import new_path, release  # noqa: F401
+from kbspark.sources.durable import written as materialize  # noqa: F401
+
 U64 = np.uint64
 _MULT = 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
@@ -28,22 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), f"kbspark-{os.getuid()}")
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kbspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class WordHashes(dict):
     """word -> 64-bit hash, computed once per distinct word and worker."""
 

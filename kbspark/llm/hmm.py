@@ -1,44 +1,52 @@
 """op 6: language-model scoring by a hidden Markov model.
 
-Counts of all training tokens come from a map-side combined aggregate and are kept as a table.  The ``HEAD`` most frequent
-words are sent to the workers; the ``VOCABULARY`` most frequent of them and the end token are symbols of the model, every other
-word is the symbol RARE, whose words share its probability in proportion to their counts plus one (one more word stands for
-all unseen).  Baum-Welch starts from a bounded sample on the driver and then runs ``ROUNDS`` times over all training
-texts: each batch gives its expected counts, summed by symbol across partitions.  Training recursions run over segments of ``SEGMENT``
-tokens; scoring runs the scaled forward recursion over whole texts, so the likelihood is exact.  Texts are read twice, for the
-counts and for a table of their symbols as packed integers; sample, training and scoring read that table.
-
-Words outside the head are scored by an exact join of their per-document counts with the table of counts, so nothing is
-capped and only bounded data is sent.
+Counts of all training tokens come from a map-side combined aggregate and are kept as a table.  Every word is a symbol of the
+model: each of the ``HEAD`` most frequent words one of its own, the others one of ``CLASSES`` classes by their crc32, in which they
+share the class's probability in proportion to their counts plus one (one more word of each class stands for the unseen).
+So rare words too have emissions that depend on the state, and the model sums to one over all sequences.  Baum-Welch starts from
+a bounded sample on the driver and then runs ``ROUNDS`` times over all training texts: each batch gives its expected counts,
+summed by symbol across partitions.  Both the training recursions and the scaled forward recursion of scoring run over whole
+texts; texts of one length about are stepped through together, and of long ones only the values at every ``STEPS``-th token
+are held, the rest being computed again on the way back.  Texts are read twice, for the counts and for a table of their
+symbols as packed integers; sample, training and scoring read that table.
+
+Counts of words outside the head come by an exact join of the documents' words with the table of counts, so nothing is capped
+and only bounded data is sent.
 
 Defined cases: null and empty texts are one end token; without training rows N and V are 0; a null doc_id is never held out;
-repeated rows get equal results.  Other columns than doc_id and text are not read.
+repeated rows get equal results; an empty table gives an empty result.  Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, materialize
 
-HEAD, VOCABULARY, STATES, ROUNDS, SEGMENT = 1 << 17, 1 << 14, 8, 2, 64
-#: Start sample: documents, segments of each, rounds.
-SAMPLE, SAMPLE_SEGMENTS, SAMPLE_ROUNDS = 1500, 4, 25
+#: Words of their own and classes are as many as symbols of two bytes can tell apart, with the end.
+CLASSES, STATES, ROUNDS = 1 << 11, 8, 2
+HEAD = (1 << 16) - CLASSES - 1
+#: Start sample: documents, pieces of each, tokens of a piece, rounds.
+SAMPLE, SAMPLE_PIECES, SAMPLE_TOKENS, SAMPLE_ROUNDS = 1500, 4, 64, 25
+#: Tokens of a sequence between the values that a training recursion holds.
+STEPS = 1 << 16
 #: Weight of the words' overall frequencies in a state's emissions, and of even chances in its transitions.
 PRIOR, SMOOTH = 400.0, 1.0
 #: Distinct words that a worker holds before it gives them on.
 FLUSH = 300_000
 #: Tokens that a worker takes at a time.
 RUN = 1 << 19
-_SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, n_rare long, log_rare double"
+_SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, log_class double"
 _ENCODED = f"{_SUMS}, tail array<struct<word:string,n:long>>, ids binary"
-_PLAIN = ("rid", "doc_id", "held_out", "n_tokens", "n_known", "log_known", "n_rare", "log_rare")
+_PLAIN = ("rid", "doc_id", "held_out", "n_tokens", "n_known", "log_known", "log_class")
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -64,7 +72,7 @@ def _counts(batches):
 
 
 class Hmm:
-    """start, move (K x K) and emit (symbols x K): plain numpy arrays; the last two symbols are RARE and END."""
+    """start, move (K x K) and emit (symbols x K): plain numpy arrays; the last symbol is the end."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
@@ -86,38 +94,48 @@ class Hmm:
         out[order] = log
         return out
 
-    def expected(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, first: np.ndarray, totals: list[np.ndarray]) -> None:
-        """Adds the segments' expected start, move and emit counts to totals; first: which segments begin a text."""
-        order = np.argsort(-size, kind="stable")
-        begin, size, first = begin[order], size[order], first[order]
-        steps, k = int(size[0]), len(self.start)
-        active = (len(size) - np.searchsorted(size[::-1], np.arange(steps), side="right")).tolist()
-        alpha = np.zeros((steps, len(size), k))
-        scale = np.ones((steps, len(size)))
-        seen = [self.emit[ids[begin[:n] + t]] for t, n in enumerate(active)]
-        even = np.full(k, 1.0 / k)
-        for t, n in enumerate(active):
-            a = (np.where(first[:, None], self.start, even) if t == 0 else alpha[t - 1, :n] @ self.move) * seen[t]
-            c = a.sum(axis=1)
-            scale[t, :n] = c
-            alpha[t, :n] = a / c[:, None]
-        beta = np.ones((len(size), k))
-        flat_ids, flat = [], []
-        for t in range(steps - 1, -1, -1):
+    def _alphas(self, ids, begin, active, lo, hi, before):
+        """Scaled forward values, scales and emissions of the tokens lo to hi, from the values before (none: the start)."""
+        alphas, scales, seen = [], [], []
+        for t in range(lo, hi):
             n = active[t]
-            after = active[t + 1] if t + 1 < steps else 0
-            if after:
-                b = seen[t + 1] * beta[:after] / scale[t + 1, :after, None]
-                totals[1] += self.move * (alpha[t, :after].T @ b)
-                beta[:after] = b @ self.move.T
-            gamma = alpha[t, :n] * beta[:n]
-            if t == 0:
-                totals[0] += gamma[first].sum(axis=0)
-            flat_ids.append(ids[begin[:n] + t])
-            flat.append(gamma)
-        at, weight = np.concatenate(flat_ids), np.concatenate(flat)
-        for s in range(k):
-            totals[2][:, s] += np.bincount(at, weight[:, s], len(self.emit))
+            e = self.emit[ids[begin[:n] + t]]
+            a = (before[:n] @ self.move if t else self.start) * e
+            c = a.sum(axis=1, keepdims=True)
+            before = a / c
+            alphas.append(before), scales.append(c), seen.append(e)
+        return alphas, scales, seen
+
+    def expected(self, ids: np.ndarray, begin: np.ndarray, size: np.ndarray, totals: list[np.ndarray], steps: int = STEPS) -> None:
+        """Adds the expected start, move and emit counts of whole sequences to totals."""
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], size[order]
+        longest, k = int(size[0]), len(self.start)
+        active = (len(size) - np.searchsorted(size[::-1], np.arange(longest), side="right")).tolist()
+        blocks = range(0, longest, steps)
+        edges = [None]  # forward values before each block
+        for lo in blocks[:-1]:
+            edges.append(self._alphas(ids, begin, active, lo, lo + steps, edges[-1])[0][-1])
+        later = None  # of the token after: scaled emission times backward value
+        for lo, edge in zip(reversed(blocks), reversed(edges), strict=True):
+            hi = min(lo + steps, longest)
+            alphas, scales, seen = self._alphas(ids, begin, active, lo, hi, edge)
+            flat_ids, flat = [], []
+            for t in range(hi - 1, lo - 1, -1):
+                n, alpha = active[t], alphas[t - lo]
+                beta = np.ones((n, k))
+                if later is not None:
+                    after = len(later)
+                    totals[1] += self.move * (alpha[:after].T @ later)
+                    beta[:after] = later @ self.move.T
+                gamma = alpha * beta
+                later = seen[t - lo] * beta / scales[t - lo]
+                flat_ids.append(ids[begin[:n] + t])
+                flat.append(gamma)
+            at, weight = np.concatenate(flat_ids), np.concatenate(flat)
+            for s in range(k):
+                totals[2][:, s] += np.bincount(at, weight[:, s], len(self.emit))
+        totals[0] += gamma.sum(axis=0)
 
     def updated(self, totals: list[np.ndarray], base: np.ndarray) -> Hmm:
         k = len(self.start)
@@ -127,15 +145,6 @@ class Hmm:
         return Hmm(start, move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True)) if k else self
 
 
-def segments(sizes: list[int], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """begin, size, first of the segments of consecutive texts of the given sizes."""
-    n = np.array(sizes, np.int64)
-    pieces = -(-n // length)
-    inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = np.repeat(np.cumsum(n) - n, pieces) + inner * length
-    return begin, np.minimum(np.repeat(n, pieces) - inner * length, length), inner == 0
-
-
 class Places(dict):
     """word -> its place in the head; words outside share the place after the last."""
 
@@ -147,67 +156,73 @@ class Places(dict):
         return self.outside
 
 
-def _encode(head: list[bytes], counts: np.ndarray, vocabulary: int, end: int):
-    """One row a document: its symbols as packed integers, its sums over head words, its words outside the head (tail)."""
+def _encode(head: list[bytes], counts: np.ndarray, totals: np.ndarray, end: int):
+    """One row a document: its symbols as packed integers, its sums over head words, its words outside the head (tail).
+
+    Symbols are the head's words, the classes (totals: the shares that the words of each have together) and the end.
+    """
 
     def run(batches):
-        places, m = Places(head), min(vocabulary, len(head))
-        kind, logs, log_end = symbol_type(m), np.append(np.log10(counts + 1.0), 0.0), math.log10(end + 1.0)
+        places, m = Places(head), len(head)
+        kind, logs, log_end = symbol_type(m + len(totals)), np.append(np.log10(counts + 1.0), 0.0), math.log10(end + 1.0)
+        log_totals = np.log10(totals)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            n, known, log_known, n_rare, log_rare, packed = [], [], [], [], [], []
+            n, known, log_known, log_class, packed = [], [], [], [], []
             tail_words, tail_counts, tail_ends = [], [], [0]
             for i in range(len(texts)):
                 words = _words(texts[i].as_py())
                 at = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
                 ids = np.empty(len(words) + 1, kind)
-                ids[:-1], ids[-1] = np.minimum(at, m), m + 1
-                rare, log = at >= m, logs[at]
-                outside = np.flatnonzero(at == places.outside).tolist()
-                if outside:
-                    tail = Counter(words[j] for j in outside)
+                ids[:-1], ids[-1] = at, m + len(totals)
+                outside = np.flatnonzero(at == places.outside)
+                shared = 0.0
+                if len(outside):
+                    crc = np.fromiter((zlib.crc32(words[j]) for j in outside.tolist()), np.int64, len(outside)) % len(totals)
+                    ids[outside] = m + crc
+                    shared = float(log_totals[crc].sum())
+                    tail = Counter(words[j] for j in outside.tolist())
                     tail_words.extend(tail.keys()), tail_counts.extend(tail.values())
                 tail_ends.append(len(tail_words))
-                n.append(len(ids)), known.append(len(words) - len(outside) + (end > 0)), n_rare.append(int(rare.sum()))
-                log_known.append(float(log.sum()) + log_end), log_rare.append(float(log[rare].sum())), packed.append(ids.tobytes())
+                n.append(len(ids)), known.append(len(words) - len(outside) + (end > 0))
+                log_known.append(float(logs[at].sum()) + log_end), log_class.append(shared), packed.append(ids.tobytes())
             pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_counts, pa.int64())], names=["word", "n"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log_known, pa.float64()), pa.array(n_rare, pa.int64()), pa.array(log_rare, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs), pa.array(packed, pa.binary())],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "log_known", "n_rare", "log_rare", "tail", "ids"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(log_known, pa.float64()), pa.array(log_class, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pairs), pa.array(packed, pa.binary())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "log_known", "log_class", "tail", "ids"],
             )
 
     return run
 
 
-def symbol_type(vocabulary: int) -> str:
-    """Packed form of the symbols 0 to vocabulary + 1."""
-    return "<u2" if vocabulary + 2 <= 1 << 16 else "<u4"
+def symbol_type(last: int) -> str:
+    """Packed form of the symbols 0 to last."""
+    return "<u2" if last < 1 << 16 else "<u4"
 
 
 def _runs(column, kind: str):
-    """Symbols of consecutive texts and the texts' sizes, in runs of about RUN tokens and whole texts."""
-    held, size = [], 0
-    for x in column.to_pylist():
-        held.append(np.frombuffer(x, kind))
-        size += len(held[-1])
-        if size >= RUN:
-            yield np.concatenate(held), [len(y) for y in held]
-            held, size = [], 0
+    """Whole texts by length, in runs of about RUN tokens: symbols, begins, sizes, places in the column."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+    held, places, total = [], [], 0
+    for i in np.argsort(-size, kind="stable").tolist():
+        held.append(np.frombuffer(column[i].as_py(), kind)), places.append(i)
+        total += int(size[i])
+        if total >= RUN:
+            yield np.concatenate(held), np.cumsum(size[places]) - size[places], size[places], places
+            held, places, total = [], [], 0
     if held:
-        yield np.concatenate(held), [len(y) for y in held]
+        yield np.concatenate(held), np.cumsum(size[places]) - size[places], size[places], places
 
 
-def _expected(model: Hmm, segment: int):
+def _expected(model: Hmm):
     """Rows (symbol, counts by state): -1 the starts, -2 - i the moves out of state i."""
 
     def run(batches):
         k = len(model.start)
         totals = [np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k))]
         for batch in batches:
-            for ids, sizes in _runs(batch.column("ids"), symbol_type(len(model.emit) - 2)):
-                begin, size, first = segments(sizes, segment)
-                for lo in range(0, len(begin), 2048):
-                    model.expected(ids, begin[lo : lo + 2048], size[lo : lo + 2048], first[lo : lo + 2048], totals)
+            for ids, begin, size, _ in _runs(batch.column("ids"), symbol_type(len(model.emit) - 1)):
+                model.expected(ids, begin, size, totals)
         some = np.flatnonzero(totals[2].any(axis=1))
         if len(some):
             names = np.concatenate([some, [-1], -2 - np.arange(k)])
@@ -217,23 +232,23 @@ def _expected(model: Hmm, segment: int):
     return run
 
 
-def _sampled(kind: str, segment: int, most: int):
-    """At most so many segments of a text, spread over it."""
+def _sampled(kind: str, tokens: int, most: int):
+    """At most so many pieces of a text, spread over it."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for x in batch.column("ids").to_pylist():
                 ids = np.frombuffer(x, kind)
-                n = -(-len(ids) // segment)
+                n = -(-len(ids) // tokens)
                 at = sorted({j * n // most for j in range(most)}) if n > most else range(n)
-                rows.append(np.concatenate([ids[j * segment : (j + 1) * segment] for j in at]).tobytes())
+                rows.append(np.concatenate([ids[j * tokens : (j + 1) * tokens] for j in at]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def first_model(samples: list[np.ndarray], base: np.ndarray, states: int, segment: int, rounds: int) -> Hmm:
+def first_model(samples: list[np.ndarray], base: np.ndarray, states: int, rounds: int) -> Hmm:
     """Starts from states tied to random texts, which then sort themselves out by the words that go together."""
     rng = np.random.default_rng(11)
     emit = base[:, None] * rng.uniform(0.5, 1.5, (len(base), states))
@@ -243,7 +258,7 @@ def first_model(samples: list[np.ndarray], base: np.ndarray, states: int, segmen
         rows = np.sqrt(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1))
         picked = [int(np.argmax([len(x) for x in samples]))]
         near = rows @ rows[picked[0]]
-        long = np.array([len(x) for x in samples]) >= min(segment, max(len(x) for x in samples))
+        long = np.array([len(x) for x in samples]) >= min(SAMPLE_TOKENS, max(len(x) for x in samples))
         while len(picked) < min(states, len(samples)):
             picked.append(int(np.argmin(np.where(long, near, np.inf))))
             near = np.maximum(near, rows @ rows[picked[-1]])
@@ -256,11 +271,10 @@ def first_model(samples: list[np.ndarray], base: np.ndarray, states: int, segmen
     model = Hmm(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0, keepdims=True))
     if samples:
         joined = np.concatenate(samples)
-        begin, size, first = segments([len(x) for x in samples], segment)
+        size = np.array([len(x) for x in samples])
         for _ in range(rounds):
             totals = [np.zeros(states), np.zeros((states, states)), np.zeros((len(base), states))]
-            for lo in range(0, len(begin), 2048):
-                model.expected(joined, begin[lo : lo + 2048], size[lo : lo + 2048], first[lo : lo + 2048], totals)
+            model.expected(joined, np.cumsum(size) - size, size, totals)
             model = model.updated(totals, base)
     return model
 
@@ -270,18 +284,16 @@ def _forward(model: Hmm):
 
     def run(batches):
         for batch in batches:
-            got = [np.empty(0)]
-            for ids, sizes in _runs(batch.column("ids"), symbol_type(len(model.emit) - 2)):
-                n = np.array(sizes, np.int64)
-                got.append(model.forward(ids, np.cumsum(n) - n, n))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in _PLAIN), pa.array(np.concatenate(got))], names=[*_PLAIN, "forward"])
+            got = np.zeros(len(batch))
+            for ids, begin, size, places in _runs(batch.column("ids"), symbol_type(len(model.emit) - 1)):
+                got[places] = model.forward(ids, begin, size)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in _PLAIN), pa.array(got)], names=[*_PLAIN, "forward"])
 
     return run
 
 
-def score_texts(docs: DataFrame, mod: int = 7, remainder: int = 2, head: int = HEAD, vocabulary: int = VOCABULARY, states: int = STATES, rounds: int = ROUNDS, segment: int = SEGMENT, sample: int = SAMPLE) -> DataFrame:
+def score_texts(docs: DataFrame, mod: int = 7, remainder: int = 2, head: int = HEAD, n_classes: int = CLASSES, states: int = STATES, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out(mod, remainder))
     train = docs.where("not held_out")
     counts = materialize(train.mapInArrow(_counts, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
@@ -289,7 +301,7 @@ def score_texts(docs: DataFrame, mod: int = 7, remainder: int = 2, head: int = H
     end = train.count()
     n, v = total + end, kinds + (end > 0)
     # head words: whole classes of about equal counts, the most frequent first, as many as fit.  A class spans 1/16 of a power
-    # of two, so there are under 1024 of them; head words and counts are about 4 MB at the default, whatever the input
+    # of two, so there are under 1024 of them; head words and counts are about 2 MB at the default, whatever the input
     rank = F.floor(F.log2(F.col("c").cast("double")) * 16)
     least, room = math.inf, head
     for r in sorted(counts.groupBy(rank.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["r"]):
@@ -299,27 +311,31 @@ def score_texts(docs: DataFrame, mod: int = 7, remainder: int = 2, head: int = H
         least = r["r"]
     top = sorted(counts.where(rank >= least).collect() if least < math.inf else [], key=lambda r: (-r["c"], r["word"]))
     words, c = [r["word"].encode() for r in top], np.array([r["c"] for r in top], np.float64)
-    m = min(vocabulary, len(words))
-    rare_n, rare_v = total - int(c[:m].sum()), kinds - m
-    base = np.concatenate([c[:m], [rare_n + 1], [end + 1]]) + 0.5
+    m = len(words)
+    # what the words of a class have together: their counts plus one each, and one for the unseen; n_classes rows
+    shares = np.ones(n_classes)
+    rest = counts.where(rank < least) if least < math.inf else counts
+    for r in rest.groupBy((F.crc32(F.col("word").cast("binary")) % n_classes).alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect():
+        shares[r["k"]] += r["s"]
+    base = np.concatenate([c, shares, [end + 1]]) + 0.5
     base /= base.sum()
 
-    encoded = docs.mapInArrow(_encode(words, c, vocabulary, end), _ENCODED).withColumn("rid", F.monotonically_increasing_id())
+    encoded = docs.mapInArrow(_encode(words, c, shares, end), _ENCODED).withColumn("rid", F.monotonically_increasing_id())
     encoded = materialize(encoded, "encoded")
     train = encoded.where("not held_out")
     some = train.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample)
     picked = train.select("doc_id", "ids").join(F.broadcast(some.distinct()), "doc_id", "left_semi")
-    kind = symbol_type(m)
-    got = picked.mapInArrow(_sampled(kind, segment, SAMPLE_SEGMENTS), "doc_id long, ids binary").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "ids").limit(sample).collect()
-    model = first_model([np.frombuffer(r["ids"], kind) for r in got], base, states, segment, SAMPLE_ROUNDS)
+    kind = symbol_type(m + n_classes)
+    got = picked.mapInArrow(_sampled(kind, SAMPLE_TOKENS, SAMPLE_PIECES), "doc_id long, ids binary").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "ids").limit(sample).collect()
+    model = first_model([np.frombuffer(r["ids"], kind) for r in got], base, states, SAMPLE_ROUNDS)
 
     columns = [f"s{s}" for s in range(states)]
     for _ in range(rounds if got else 0):
-        sums = train.select("ids").mapInArrow(_expected(model, segment), "symbol int, " + ", ".join(f"{x} double" for x in columns))
-        # one row a symbol: vocabulary + states + 3 at most
+        sums = train.select("ids").mapInArrow(_expected(model), "symbol int, " + ", ".join(f"{x} double" for x in columns))
+        # one row a symbol: head + n_classes + states + 2 at most
         sums = sums.groupBy("symbol").agg(*(F.sum(x).alias(x) for x in columns)).toPandas().sort_values("symbol")
         at, rows = sums["symbol"].to_numpy(), sums[columns].to_numpy()
-        totals = [np.zeros(states), np.zeros((states, states)), np.zeros((m + 2, states))]
+        totals = [np.zeros(states), np.zeros((states, states)), np.zeros((len(base), states))]
         totals[0], totals[2][at[at >= 0]] = rows[at == -1].sum(axis=0), rows[at >= 0]
         totals[1][-2 - at[at <= -2]] = rows[at <= -2]
         model = model.updated(totals, base)
@@ -331,5 +347,5 @@ def score_texts(docs: DataFrame, mod: int = 7, remainder: int = 2, head: int = H
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + found).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("log_known") + more - F.col("n_tokens") * F.lit(math.log10(n + 1.0 * (v + 1)))).alias("base_score"),
-        (F.col("forward") + F.col("log_rare") + more - F.col("n_rare") * F.lit(math.log10(rare_n + rare_v + 1.0))).alias("score"),
+        (F.col("forward") + more - F.col("log_class")).alias("score"),
     )

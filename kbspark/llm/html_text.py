@@ -1,51 +1,88 @@
 """op 5: main text of web pages by two-pass block rules.
 
-The page is read once, tag by tag, into blocks: text between block-level tags, with its words, the share of characters inside
-links, the share of stop words, and whether it stands in the article or in a container that names itself as something else (by tag,
-or by class, id or role).  Pass one decides what it can: named boilerplate and link-heavy blocks are bad, long blocks with
-stop words are good, long blocks without are bad; short ones stay open.  Pass two gives each open block the label of its
-nearest decided neighbours; where those differ, of the nearer one, and good if as near.  Where a page has article containers,
-only blocks inside them can be good, and a block there with no decided neighbour is good.  Where a page has none, and its long
-blocks together hold almost no known stop words, its language counts as unknown and they are good if they hold few links; where
-it has no long blocks, the open ones are judged by their links alone.
+The page is read once, tag by tag, into blocks: text between block-level tags, with its length in words (two characters a word
+in scripts without spaces), the share of characters inside links, the share of stop words, whether it stands in an article
+container, in a list, and whether in a container that names itself as something else (by tag, or by class, id or role).
+
+Pass one decides what densities can: link-heavy blocks are bad, long ones with stop words are good, long ones without are bad;
+short ones, and those between, stay open.  Stop words are those of ``STOP_WORDS``; where a page's long blocks together hold almost none,
+its language counts as unknown and long blocks are good if they hold few links.  Named boilerplate is out, and says nothing of its
+neighbours.  Then the good words are counted inside and outside of article containers: if at least ``SHARE`` of them are inside,
+the article is where the text is, blocks outside it are bad, and of those inside only link lists are (a paragraph of links, or
+one without stop words, is open again).  Otherwise containers decide nothing.
+
+Pass two gives each open block the label of its nearest decided neighbours; where those differ, of the nearer one, and good if as
+near.  Where nothing is good, what isn't named is kept: in article containers if there are any, else but for link-heavy blocks; link
+lists go.
 
 Defined cases: null and empty pages give the empty text; unclosed and crossed tags, stray ``<`` and cut-off pages are read as far
-as they go; repeated rows give equal results.  Other columns than page_id, url and html are not read.
+as they go; repeated rows give equal results; an empty table gives an empty result.  Other columns than page_id, url and html are
+not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import string
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Share of link characters from which a block is bad; words of a long block; least share of stop words in a good one.
-LINKS, LONG, STOPS = 0.5, 12, 0.12
+#: Share of link characters from which a block is bad; words of a long block; shares of stop words from which a long block is
+#: good, and under which it is bad.
+LINKS, LONG, STOPS, FEW_STOPS = 0.5, 12, 0.12, 0.06
 #: Share of stop words in all running text of a page under which its language counts as unknown; link share of a good block there.
 UNKNOWN, FEW_LINKS = 0.03, 0.25
-#: Frequent function words of the languages at hand.
+#: Share of a page's good words that must stand in article containers for these to count.
+SHARE = 1 / 3
+#: Frequent function words, by language.
 STOP_WORDS = frozenset(
-    b"the of and to in is that it for was on are as with be at by this have from or an they which you not his her but had we there been has were"
-    b" de la le et les des en un une du que dans pour qui sur par est au avec pas ce il plus son sont se ne aux"
-    b" der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach bei"
-    b" el los del las con para una por su al lo como mas pero sus sin sobre ser tiene".decode().split()
+    " ".join(
+        (
+            "the of and to in is that it for was on are as with be at by this have from or an they which you not his her but had we there been has were",
+            "de la le et les des en un une du que dans pour qui sur par est au avec pas ce il plus son sont se ne aux",
+            "der die und den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach bei",
+            "el los del las con para una por su al lo como mas pero sus sin sobre ser tiene",
+            "di che è il per non una sono della con si le dei nel alla più come anche gli ha questo era",
+            "o da em um para com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou",
+            "het een van dat op te zijn voor met niet aan er om ook als dan maar bij uit nog naar",
+            "i w z na do się nie że to jest o jak za po co ale przez od są tym dla czy był tylko oraz jego",
+            "och att det som en på är av för med den till inte om har de ett var jag men så från vid kan",
+            "og er til av som på det med for at en den ikke om har de et jeg var men så fra ved kan",
+            "и в не на что с он как это по но она из за то все так его к у же вы от бы мы о был для или только",
+            "і у в не на що з як це за але до та від його він вона про або також був",
+            "ve bir bu da de için ile çok daha olarak gibi ne var ben o ama kadar sonra olan en",
+            "a je v na se že s z do to o i ve jako by po které ale pro jsou od za byl tak není",
+            "και το να του η της με που από για την είναι στο τα οι δεν σε τον ότι θα",
+            "في من على أن إلى هذا التي الذي عن مع كان هذه لا ما هو قد بعد كل بين لم",
+            "של את על לא זה עם הוא גם כי היא אני יש או אל כל היה מה אבל",
+            "में है के की का को से और पर यह कि हैं ने भी एक था नहीं जो इस तो",
+        )
+    ).split()
 )
+#: Frequent function characters of scripts without spaces.
+STOP_CHARACTERS = frozenset("的是了在有和不这他我们就也与而及の に は を が で と も た て".replace(" ", ""))
 _DROP = frozenset("nav aside footer form button select option textarea noscript template iframe svg canvas object audio video menu dialog head title label fieldset input header".split())
 _RAW = frozenset("script style textarea title noscript template iframe svg xmp noembed noframes".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul title option caption".split()
 )
+_LISTS = frozenset("ul ol dl menu dir".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _NAMES = frozenset(
     "nav navbar navigation menu menubar topbar header masthead footer foot sidebar aside ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice alert popup modal overlay"
     " share sharing social related recommended recommendations comment comments disqus respond reply replies discussion breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login search searchbox widget toolbar copyright disclaimer contentinfo complementary".split()
 )
+#: Of a name with one of these words, "header" is the article's own.
+_CONTENT = frozenset("post article entry content story".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[^\s_.:-]+")
+_MARKS = string.punctuation + "«»„“”‘’…–—¿¡"
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: Han, kana, Thai, Lao, Khmer and Burmese: written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _named_bad(attributes: str) -> bool:
@@ -58,17 +95,22 @@ def _named_bad(attributes: str) -> bool:
         if key == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif key != "aria-hidden" and any(w.lower() in _NAMES for w in _WORDS.findall(_CAMEL.sub(" ", value))):
-            return True
+        elif key != "aria-hidden":
+            for name in value.split():
+                words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+                if words & _CONTENT:
+                    words.discard("header")
+                if not words.isdisjoint(_NAMES):
+                    return True
     return False
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
-    """(text, share of link characters, in a named boilerplate container, in an article) of each block; any article."""
-    out: list[tuple[str, float, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
+    """(text, share of link characters, in a named boilerplate container, in an article, in a list) of each block."""
+    out: list[tuple[str, float, bool, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, bad, article
     parts: list[str] = []
-    linked, in_link, bad, article, any_article, at = 0, 0, 0, 0, False, 0
+    linked, in_link, bad, article, at = 0, 0, 0, 0, 0
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -82,7 +124,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
         if parts:
             clean = " ".join(html.unescape("".join(parts)).split())
             if clean:
-                out.append((clean, min(1.0, linked / max(1, sum(map(len, parts)))), bad > 0, article > 0))
+                out.append((clean, min(1.0, linked / max(1, sum(map(len, parts)))), bad > 0, article > 0, any(x[0] in _LISTS for x in stack)))
             parts.clear()
         linked = 0
 
@@ -141,55 +183,67 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool, bool]], bool]:
         is_bad = not (tag in ("html", "body") or is_article and not named) and (tag in _DROP and not (tag == "header" and article) or named)
         if is_bad and tag not in _BLOCK:
             flush()
-        any_article |= is_article and not bad and not is_bad
         stack.append((tag, is_bad, is_article))
         bad += is_bad
         article += is_article
     flush()
-    return out, any_article
+    return out
 
 
-def _stops(words: list[str]) -> int:
-    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+def _measure(text: str) -> tuple[float, float]:
+    """Words and stop words of a block."""
+    words = text.lower().split()
+    n, stops = len(words), sum(w.strip(_MARKS) in STOP_WORDS for w in words)
+    if unspaced := _UNSPACED.findall(text):
+        # a run without spaces counts two characters a word, a function character one stop word
+        n = max(n, len(unspaced) / 2 + sum(not _UNSPACED.search(w) for w in words))
+        stops += sum(c in STOP_CHARACTERS for c in unspaced)
+    return n, stops
+
+
+def _labels(blocks: list[tuple[str, float, bool, bool, bool]]) -> list[bool | None]:
+    """Pass one: good, bad or open."""
+    size = [(0, 0) if bad else _measure(clean) for clean, _, bad, _, _ in blocks]
+    running = [i for i, (_, links, bad, _, _) in enumerate(blocks) if not bad and links < LINKS and size[i][0] >= LONG]
+    unknown = sum(size[i][1] for i in running) < UNKNOWN * sum(size[i][0] for i in running)
+    labels: list[bool | None] = [None if not bad and links < LINKS else False for _, links, bad, _, _ in blocks]
+    for i in running:
+        n, stops = size[i]
+        good = blocks[i][1] < FEW_LINKS if unknown else stops >= STOPS * n
+        labels[i] = True if good else False if unknown or stops < FEW_STOPS * n else None
+    words = [sum(size[i][0] for i in running if labels[i] and blocks[i][3] == inside) for inside in (False, True)]
+    if words[1] > 0 and words[1] >= SHARE * sum(words):
+        for i, (_, links, bad, inside, listed) in enumerate(blocks):
+            if not bad and not labels[i]:
+                labels[i] = False if not inside or listed and links >= LINKS else None
+            elif not inside:
+                labels[i] = False
+    return labels
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks, article = blocks_of(page)
-    labels: list[bool | None] = []
-    n_long = n_stops = 0
-    if not article:
-        for clean, links, bad, _ in blocks:
-            if not bad and links < LINKS and len(words := clean.lower().split()) >= LONG:
-                n_long, n_stops = n_long + len(words), n_stops + _stops(words)
-    by_links = not article and n_stops < UNKNOWN * max(1, n_long)
-    for clean, links, bad, inside in blocks:
-        if bad or (article and not inside) or links >= LINKS:
-            labels.append(False)
-            continue
-        words = clean.lower().split()
-        if len(words) < LONG:
-            labels.append(links < FEW_LINKS if by_links and not n_long else None)
-        elif by_links:
-            labels.append(links < FEW_LINKS)
-        elif _stops(words) >= STOPS * len(words):
-            labels.append(True)
-        else:
-            labels.append(None if article else False)
-    decided = [i for i, x in enumerate(labels) if x is not None and (not article or blocks[i][3] and not blocks[i][2])]
+    blocks = blocks_of(page)
+    labels = _labels(blocks)
+    if True not in labels:
+        # densities find nothing: what isn't named, in article containers if any; no link lists, no links at all if there's other text
+        free = [b for b in blocks if not b[2]]
+        free = [b for b in free if b[3]] or [b for b in free if b[1] < LINKS] or free
+        return " ".join(b[0] for b in free if not (b[4] and b[1] >= LINKS))
+    # inside an article that counts, only its own blocks are neighbours
+    scope = all(b[3] for b, label in zip(blocks, labels, strict=True) if label)
+    decided = [i for i, x in enumerate(labels) if x is not None and not blocks[i][2] and (x or not scope or blocks[i][3])]
     kept, j = [], 0
     for i, label in enumerate(labels):
         while j < len(decided) and decided[j] < i:
             j += 1
         if label is None:
             before, after = decided[j - 1] if j else None, decided[j] if j < len(decided) else None
-            if before is None and after is None:
-                label = article
-            elif before is None or after is None:
-                label = bool(labels[before if after is None else after])
+            if before is None or after is None:
+                label = labels[after if before is None else before]
             else:
-                label = bool(labels[before] if i - before < after - i else labels[after] if after - i < i - before else labels[before] or labels[after])
+                label = labels[before] if i - before < after - i else labels[after] if after - i < i - before else labels[before] or labels[after]
         if label:
             kept.append(blocks[i][0])
     return " ".join(kept)

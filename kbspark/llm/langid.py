@@ -1,16 +1,20 @@
 """op 2: language identification by string kernels.
 
-The kernel of two texts is the number of hashed byte n-grams (n = 1 to 4, lower case) present in both, over the root of the
-product of their numbers: a blended-spectrum presence kernel.  ``LANDMARKS`` texts of the labelled sample span a Nystrom
-feature space; one kernel ridge regression a language (+1 for its texts, -1 for the rest) is solved in it on the driver.  Scoring
-multiplies batches of presence rows with the landmarks' rows, then with the regression weights.
-
-The sample is bounded: at most ``MAX_LANGS`` languages, the most frequent ones, and ``PER_LANG`` texts of each, chosen by a hash
-of doc_id; only their presence bits (2 KB each) come to the driver, never texts.  Only text and lang of learning rows are used
-to learn, and only text to predict.
+The kernel of two texts is the number of byte n-grams (n = 1 to 4, lower case) present in both, over the root of the product
+of their numbers: a blended-spectrum presence kernel over the exact sets of n-grams, so it doesn't blur as texts grow.
+Landmark texts of the labelled sample span a Nystrom feature space; one kernel ridge regression a language (+1 for its texts,
+-1 for the rest) is solved in it on the driver.  Scoring multiplies batches of presence rows with the landmarks' rows, then
+with the regression weights.
+
+The labelled sample is bounded, not the languages: ``PER_LANG`` texts of each, fewer where more than SAMPLE / PER_LANG languages
+share ``SAMPLE``, but one at least, chosen by a hash of doc_id and text among those of at most ``LONGEST`` characters (where a language has
+no such text, by the longer ones' first so many characters).  Landmarks are dealt over the languages in turn: ``LANDMARKS``, or four a
+language up to ``MOST_LANDMARKS``.  The driver gets the landmarks' texts and, of the sample, its kernel rows.  Only text and
+lang of learning rows are used to learn, and only text to predict.  Prediction reads whole texts.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is everything if there is nothing to learn from;
-a null doc_id is never held out; repeated rows get equal results.  Other columns than doc_id, text and lang are not read.
+a null doc_id is never held out and never learned from; repeated rows get equal results; an empty table gives an empty result.
+Other columns than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -22,85 +26,139 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, held_out
+from .common import held_out, materialize, release
 
-BUCKETS = 1 << 14
 GRAMS = 4
-LANDMARKS, PER_LANG, MAX_LANGS = 160, 500, 64
+SAMPLE, PER_LANG, LONGEST = 20_000, 500, 20_000
+LANDMARKS, MOST_LANDMARKS = 160, 2000
 RIDGE = 1e-2
+#: Bytes whose n-grams are made distinct at a time.
+PIECE = 1 << 18
+#: Numbers in the product of landmark rows and weights up to which it is made.
+FOLD = 1 << 24
 _LETTER = re.compile(r"[^\W\d_]")
-_ODD = np.uint32(0x9E3779B1)
-
-
-def presence(text: str) -> np.ndarray:
-    """Which of the buckets the n-grams of text fall in."""
-    out = np.zeros(BUCKETS, bool)
-    b = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint32)
-    code = b
-    for n in range(1, GRAMS + 1):
-        if len(code) == 0:
-            break
-        out[((code + np.uint32(n)) * _ODD) >> np.uint32(32 - 14)] = True
-        code = (code[:-1] << np.uint32(8)) | b[n:] if len(b) > n else code[:0]
-    return out
-
-
-def _bits(batches):
-    for batch in batches:
-        rows = [np.packbits(presence(batch.column("text")[i].as_py())).tobytes() for i in range(len(batch))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "bits"])
 
 
-class Model:
-    def __init__(self, langs: list[str], landmarks: np.ndarray, weights: np.ndarray):
-        self.langs, self.landmarks, self.weights = langs, landmarks, weights
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        """Regression value of each language for rows of presence (0 or 1, float32)."""
-        return kernel(x, self.landmarks) @ self.weights
+def grams(text: str) -> np.ndarray:
+    """Sorted distinct n-grams of the text's bytes; n is in the fifth byte of the code."""
+    b = np.frombuffer(text.lower().encode(errors="replace"), np.uint8).astype(np.uint64)
+    out = np.empty(0, np.uint64)
+    for lo in range(0, len(b), PIECE):
+        part = b[lo : lo + PIECE + GRAMS - 1]
+        found, code = [], part
+        for n in range(1, GRAMS + 1):
+            if not len(code):
+                break
+            found.append(code | np.uint64(n << 32))
+            code = (code[:-1] << np.uint64(8)) | part[n:]
+        fresh = np.unique(np.concatenate(found))
+        out = np.union1d(out, fresh) if len(out) else fresh
+    return out
 
 
-def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    root = lambda z: np.sqrt(np.maximum(z.sum(axis=1), 1))
-    return (x @ y.T) / root(x)[:, None] / root(y)[None, :]
+class Landmarks:
+    """The presence rows of the landmark texts, by n-gram: sorted codes, and the numbers of the landmarks that have each."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        sets = [grams(t) for t in texts]
+        size = np.array([len(s) for s in sets])
+        every, mark = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(every, kind="stable")
+        self.codes, first = np.unique(every[order], return_index=True)
+        self.marks, self.ends = mark[order], np.append(first, len(every))
+        self.root = np.sqrt(np.maximum(size, 1))
+
+    def __reduce__(self):
+        return Landmarks, (self.texts,)  # workers count the texts again: they are smaller than the table
+
+    def rows(self, text: str) -> tuple[np.ndarray, float]:
+        """Places of the codes that text shares with any landmark; root of the number of its own."""
+        g = grams(text)
+        at = np.searchsorted(self.codes, g)
+        at[at == len(self.codes)] = 0
+        return at[self.codes[at] == g], max(1, len(g)) ** 0.5
+
+    def kernel(self, texts: list[str]) -> np.ndarray:
+        """Kernel of each text with each landmark: presence rows times the landmarks' rows."""
+        out = np.zeros((len(texts), len(self.root)))
+        for i, t in enumerate(texts):
+            at, root = self.rows(t)
+            n = self.ends[at + 1] - self.ends[at]
+            marks = self.marks[np.repeat(self.ends[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            out[i] = np.bincount(marks, minlength=len(self.root)) / root
+        return out / self.root
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """The landmarks' rows times weights: one row a code."""
+        return np.add.reduceat((weights / self.root[:, None])[self.marks], self.ends[:-1], axis=0)
 
 
-def fit(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """x: presence rows in the order of their hashes; landmarks are dealt over the languages in turn."""
-    if not len(langs):
-        return None
+class Model:
+    """Scores are presence x (landmark rows x weights); where that second product is large, (presence x landmark rows) x weights."""
+
+    def __init__(self, langs: list[str], landmarks: Landmarks, weights: np.ndarray):
+        self.langs, self.landmarks, self.weights, self.table = langs, landmarks, weights, None
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Regression value of each language for each text."""
+        if len(self.landmarks.codes) * len(self.langs) > FOLD:
+            return self.landmarks.kernel(texts) @ self.weights
+        if self.table is None:
+            self.table = self.landmarks.folded(self.weights)
+        out = np.empty((len(texts), len(self.langs)))
+        for i, t in enumerate(texts):
+            at, root = self.landmarks.rows(t)
+            out[i] = self.table[at].sum(axis=0) / root
+        return out
+
+
+def fit(landmarks: Landmarks, marks: np.ndarray, rows: np.ndarray, langs: list[str], ridge: float = RIDGE) -> Model:
+    """marks: kernel of the landmarks with one another; rows: of the sample with the landmarks."""
     names = sorted(set(langs))
-    lang = np.array([names.index(s) for s in langs])
-    seen: dict[int, int] = {}
-    turn = np.array([seen.setdefault(int(c), 0) + (seen.update({int(c): seen[int(c)] + 1}) or 0) - 1 for c in lang])
-    marks = x[np.argsort(turn, kind="stable")[:landmarks]]
-    k = kernel(marks, marks).astype(np.float64)
-    value, vector = np.linalg.eigh(k)
+    lang = np.searchsorted(np.array(names, object), np.array(langs, object))
+    value, vector = np.linalg.eigh(marks)
     ok = value > 1e-6 * value.max()
     root = vector[:, ok] / np.sqrt(value[ok])  # Nystrom map: k(x, marks) @ root
-    phi = kernel(x, marks).astype(np.float64) @ root
+    phi = rows @ root
     y = np.where(lang[:, None] == np.arange(len(names))[None, :], 1.0, -1.0)
     # each language's own rows weigh as much as all others
     weight = 1.0 / np.bincount(lang)[lang]
     a = phi.T @ (phi * weight[:, None]) + ridge * np.eye(phi.shape[1])
-    beta = np.linalg.solve(a, phi.T @ (y * weight[:, None]))
-    return Model(names, marks, (root @ beta).astype(np.float32))
+    return Model(names, landmarks, root @ np.linalg.solve(a, phi.T @ (y * weight[:, None])))
+
+
+def _kernel_rows(landmarks: Landmarks):
+    def run(batches):
+        for batch in batches:
+            rows = landmarks.kernel(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(list(rows), pa.list_(pa.float64()))], names=["lang", "k"])
+
+    return run
 
 
-def learn(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> Model | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, per_lang: int = PER_LANG, most: int = MOST_LANDMARKS) -> Model | None:
     """Model of the labelled rows of docs (doc_id, text, lang), each of which is a learning row."""
-    rows = docs.where("doc_id is not null and text is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    # share of a language's rows to look at, of 2^20; max_langs rows, so the side is small
-    share = sizes.selectExpr("lang as l", f"cast(ceil({per_lang} * 1.5 / n * 1048576) as bigint) + 64 as share")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
-    picked = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).where(draw < F.col("share")).select("doc_id", "text", "lang")
-    got = picked.mapInArrow(_bits, "doc_id long, lang string, bits binary").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(2 * per_lang * max_langs).toPandas()
-    got = got.groupby("lang", sort=False).head(per_lang)
-    if not len(got):
+    rows = docs.where("doc_id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum((F.length("text") <= LONGEST).cast("long")).alias("short")), "langs")
+    n_langs = sizes.count()
+    if not n_langs:
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(got["bits"]), np.uint8)).reshape(len(got), BUCKETS).astype(np.float32)
-    return fit(x, got["lang"].tolist())
+    each = max(1, min(per_lang, sample // n_langs))
+    # one and a half times as many as wanted are drawn by share, then cut by rank
+    share = sizes.selectExpr("lang as l", "short", f"cast(ceil({each} * 1.5 / greatest(short, if(short = 0, n, 1)) * 1048576) as bigint) + 64 as share")
+    h = F.xxhash64("doc_id", "text")
+    some = rows.join(share, F.col("lang") == F.col("l")).where((F.pmod(h, F.lit(1 << 20)) < F.col("share")) & ((F.length("text") <= LONGEST) | (F.col("short") == 0)))
+    some = some.select("doc_id", F.substring("text", 1, LONGEST).alias("text"), "lang", h.alias("h"))
+    ranked = some.selectExpr("*", "row_number() over (partition by lang order by h, doc_id, text) as turn").where(F.col("turn") <= each)
+    picked = materialize(ranked, "learned")
+    marks = min(max(LANDMARKS, 4 * n_langs), most)
+    # at most MOST_LANDMARKS texts of LONGEST characters, 400 KB for four languages
+    texts = [r["text"] for r in picked.orderBy("turn", "h", "lang", "doc_id").limit(marks).select("text").collect()]
+    landmarks = Landmarks(texts)
+    got = picked.orderBy("lang", "turn").select("text", "lang").mapInArrow(_kernel_rows(landmarks), "lang string, k array<double>").toPandas()
+    release(sizes, picked)
+    return fit(landmarks, landmarks.kernel(texts), np.array(got["k"].tolist()), got["lang"].tolist())
 
 
 def _predict(model: Model | None):
@@ -112,10 +170,7 @@ def _predict(model: Model | None):
                 part = [(i, t) for i in range(lo, min(n, lo + 256)) if (t := texts[i].as_py()) and _LETTER.search(t)] if model else []
                 if not part:
                     continue
-                x = np.zeros((len(part), BUCKETS), np.float32)
-                for r, (_, t) in enumerate(part):
-                    x[r] = presence(t)
-                s = model.scores(x)
+                s = model.scores([t for _, t in part])
                 at, best = [i for i, _ in part], s.argmax(axis=1)
                 langs[at] = np.array(model.langs, object)[best]
                 scores[at] = np.clip((s[np.arange(len(part)), best] + 1) / 2, 0, 1)

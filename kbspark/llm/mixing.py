@@ -21,13 +21,12 @@ when all weighted sources have run out; repeated rows are scheduled once each; a
 from __future__ import annotations
 
 import heapq
-import uuid
 from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, new_path
 
 #: Documents in a block, rows in a numbered group about, blocks in a written piece of the schedule.
 BLOCK, GROUP, PIECE = 64, 20_000, 200_000
@@ -141,7 +140,7 @@ def _windows(sizes: DataFrame, weights: DataFrame | None, size: int) -> DataFram
 def _plan(spark: SparkSession, windows: DataFrame) -> DataFrame:
     """src, block, slot, release, due, phase of windows; written in pieces as the driver passes over the blocks."""
     schema = "src string, block long, slot long, release long, due long, phase int"
-    path = f"{shared_dir(spark)}/kbspark/{spark.sparkContext.applicationId}/schedule-{uuid.uuid4().hex}"
+    path = new_path(spark, "schedule")
     spark.createDataFrame([], schema).write.parquet(path)
     ordered = windows.orderBy("release", "due", "src", "block").select("release", "due", "src", "block", "last")
     piece: list[tuple] = []

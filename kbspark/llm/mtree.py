@@ -2,16 +2,18 @@
 
 Vectors become whole numbers floor(256 x).  With m the largest norm of a page set, the extra coordinate sqrt(m^2 - |v|^2)
 turns the largest inner product into the smallest Euclidean distance, a metric, so an M-tree applies.  The vectors are
-dealt by a hash of vec_id to shards of about ``SHARD`` rows (copies of one vector spread evenly); each shard is bulk-loaded into
+dealt by a hash of vec_id and row to shards of about ``SHARD`` rows (copies of one vector, and repeated rows, spread evenly); each shard is bulk-loaded into
 one M-tree of paged nodes: routing entries hold an object, its covering radius and its distance to the parent, leaves hold the
 distances of their vectors to the routing object.  A search keeps a queue of nodes by their least possible distance and stops
-when that exceeds the k-th best; stored parent distances and the triangle inequality spare distance computations.  Queries
-go to the shards in blocks, each block keeps its k best of a shard, and the bests of all shards are merged.  Scores are exact
+when that exceeds the k-th best; stored parent distances and the triangle inequality spare distance computations.  A shard's tree
+goes to one task, and the queries come to it in blocks, one at a time, so a task holds one tree and one block; the k best that
+each block finds in each shard are merged.  Queries are far smaller than trees, and vectors are sent once.  Scores are exact
 integers; bounds are only used with a slack for rounding.
 
 Defined cases: null vectors and those with null, NaN or infinite components take no part; only vectors of equal length are
 compared; a row of the same vec_id as the query counts as its own; repeated vec_ids of other rows are candidates once per row;
-ties go to the smaller vec_id; with fewer than k candidates all are given; an empty table gives an empty result.
+ties go to the smaller vec_id; with fewer than k candidates all are given; an empty table gives an empty result.  Components of
+which floor(256 x) leaves the range of a long, and scores that do, count as its least or greatest number.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .common import materialize
 SCALE = 256
 SHARD, LEAF, FAN, QUERIES = 8192, 256, 32, 256
 #: Bounds must miss by this share of the distances at hand before they exclude anything.
-SLACK = 1e-9
+SLACK, ROUGH = 1e-9, 1e-6
+_LONG = 2**63 - 1
 
 
 class MTree:
@@ -49,6 +52,8 @@ class MTree:
         # leaves are slices of one table in page order
         order = np.concatenate(self.pages) if self.pages else np.empty(0, np.int64)
         self.ids, self.points, self.pages = ids[order], self.points[order], []
+        # doubles hold whole numbers up to 2^53; larger ones are kept as they are
+        self.whole = vectors[order] if len(ids) and np.abs(vectors.astype(np.float64)).max() > 2.0**53 else None
 
     def _load(self, rows: np.ndarray, center: np.ndarray) -> int:
         """Number of the node over rows, whose routing object is center."""
@@ -92,8 +97,9 @@ class MTree:
         limit, computed = np.inf, 0
         start = np.sqrt(((point - self.center) ** 2).sum())
         # whole numbers stay exact in doubles while no sum can pass 2^52
-        exact = base - self.top == 0 or self.top * (base - self.top) < 2.0**104
+        exact = self.whole is None and self.top * (base - self.top) < 2.0**104
         whole = point[:-1] if exact else q.astype(object)
+        slack = SLACK if exact else ROUGH
         queue = [(0.0, self.root, start)]
         while queue:
             least, node, d0 = heapq.heappop(queue)
@@ -106,8 +112,11 @@ class MTree:
                 if lo >= hi:
                     continue
                 computed += hi - lo
-                rows = self.points[first + lo : first + hi, :-1]
-                scores = rows @ whole if exact else rows.astype(np.int64).astype(object) @ whole
+                if exact:
+                    scores = self.points[first + lo : first + hi, :-1] @ whole
+                else:
+                    rows = (self.points[:, :-1] if self.whole is None else self.whole)[first + lo : first + hi]
+                    scores = np.array([max(-_LONG, min(_LONG, x)) for x in rows.astype(np.int64).astype(object) @ whole], object)
                 ids = self.ids[first + lo : first + hi]
                 if len(best) == k:
                     near = scores >= best[0][0]
@@ -120,7 +129,7 @@ class MTree:
                     elif (s, -i) > best[0]:
                         heapq.heapreplace(best, (s, -i))
                 if len(best) == k:
-                    limit = np.sqrt(max(base - 2 * best[0][0], 0.0)) + SLACK * (1 + np.sqrt(base))
+                    limit = np.sqrt(max(base - 2 * float(best[0][0]), 0.0)) + slack * (1 + np.sqrt(base))
             else:
                 _, objects, radii, up, children = page
                 ok = np.flatnonzero(np.abs(d0 - up) - radii <= limit)
@@ -140,16 +149,23 @@ def _tree(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block(part: pd.DataFrame) -> pd.DataFrame:
-    block = (part["vec_id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.int64))
-    return pd.DataFrame({"dim": [part["dim"].iloc[0]], "qb": [part["qb"].iloc[0]], "block": [pickle.dumps(block)]})
+    v = np.stack(part["v"].to_numpy()).astype(np.int64)
+    narrow = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= v.min() and v.max() <= np.iinfo(t).max)
+    return pd.DataFrame({"dim": [part["dim"].iloc[0]], "qb": [part["qb"].iloc[0]], "block": [pickle.dumps((part["vec_id"].to_numpy(np.int64), v.astype(narrow)))]})
 
 
 def _search(k: int):
+    """Rows in the order of (dim, shard, qb): a shard's tree (qb -1), then the blocks of queries for it."""
+
     def run(batches):
+        tree = None
         for batch in batches:
-            for i in range(len(batch)):
-                tree, (ids, vectors) = pickle.loads(batch.column("tree")[i].as_py()), pickle.loads(batch.column("block")[i].as_py())
-                rows = [(own, s, x) for own, q in zip(ids.tolist(), vectors, strict=True) for s, x in tree.search(own, q, k)[0]]
+            for qb, data in zip(batch.column("qb").to_pylist(), batch.column("data"), strict=True):
+                if qb < 0:
+                    tree = pickle.loads(data.as_py())
+                    continue
+                ids, vectors = pickle.loads(data.as_py())
+                rows = [(own, s, x) for own, q in zip(ids.tolist(), vectors.astype(np.int64), strict=True) for s, x in tree.search(own, q, k)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["query_id", "vec_id", "score"])
 
     return run
@@ -158,15 +174,18 @@ def _search(k: int):
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, shard: int = SHARD) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of each row of vectors (vec_id, embedding) whose vec_id is divisible by every."""
     good = "vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    rows = vectors.select("vec_id", "embedding").where(good).selectExpr("vec_id", "size(embedding) as dim", f"transform(embedding, x -> floor({SCALE} * cast(x as double))) as v")
+    scaled = f"transform(embedding, x -> cast(greatest(least(floor({SCALE}D * cast(x as double)), {_LONG}L), -{_LONG}L) as bigint))"
+    rows = vectors.select("vec_id", "embedding").where(good).selectExpr("vec_id", "size(embedding) as dim", f"{scaled} as v", "monotonically_increasing_id() as rid")
     n = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("vec_id") % every == 0).cast("int")).alias("q"))
     parts = n.selectExpr("dim as d", f"cast(ceil(n / {shard}) as int) as shards", f"cast(ceil(greatest(q, 1) / {QUERIES}) as int) as blocks")
     rows = rows.join(parts, F.col("dim") == F.col("d"))
-    trees = rows.withColumn("shard", F.expr("cast(pmod(xxhash64(vec_id), shards) as int)")).groupBy("dim", "shard").applyInPandas(_tree, "dim int, shard int, tree binary")
+    trees = rows.withColumn("shard", F.expr("cast(pmod(xxhash64(vec_id, rid), shards) as int)")).groupBy("dim", "shard").applyInPandas(_tree, "dim int, shard int, tree binary")
     trees = materialize(trees, "trees")
     queries = rows.where(F.col("vec_id") % every == 0).select("dim", "vec_id", "v", "blocks").dropDuplicates(["vec_id", "v"])
-    blocks = queries.withColumn("qb", F.expr("cast(pmod(xxhash64(vec_id, 1), blocks) as int)")).groupBy("dim", "qb").applyInPandas(_block, "dim int, qb int, block binary")
-    sent = trees.join(parts.select(F.col("d").alias("dim"), "blocks"), "dim").withColumn("qb", F.explode(F.expr("sequence(0, blocks - 1)")))
-    found = sent.join(blocks, ["dim", "qb"]).repartition("shard", "qb").select("tree", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    blocks = queries.withColumn("qb", F.expr("cast(pmod(xxhash64(vec_id, v, 1), blocks) as int)")).groupBy("dim", "qb").applyInPandas(_block, "dim int, qb int, block binary")
+    asked = blocks.join(parts.select(F.col("d").alias("dim"), "shards"), "dim").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)")))
+    both = trees.selectExpr("dim", "shard", "-1 as qb", "tree as data").unionByName(asked.selectExpr("dim", "shard", "qb", "block as data"))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = both.repartition(tasks, "dim", "shard").sortWithinPartitions("dim", "shard", "qb").select("qb", "data").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,8 @@
 """op 4: b-bit MinHash near-duplicate classes, confirmed on full shingle sets.
 
-One pass over the texts gives each row its set size, a digest of the set, 32 band keys of 4 minima each and the low 4 bits
-of all 128 minima packed into eight longs.  Equal sets collapse to one node, named by their smallest doc_id.  Band keys bring
+One pass over the texts gives each row its set size, a 128-bit digest of the set, 32 band keys of 4 minima each and the low 4
+bits of all 128 minima packed into eight longs.  Rows of equal digests collapse to one node with a number of its own; doc_ids
+come in again only at the end, so rows that share a doc_id but not their text never join what isn't alike.  Band keys bring
 candidates: every node of a bucket is paired with the bucket's smallest node only, the collision-corrected similarity of the
 packed bits discards pairs that are far off (``MARGIN`` below the threshold, over five standard deviations), and the rest is
 confirmed by intersecting full sets.  Links so found give components.  Where a bucket still holds nodes of two components, its
@@ -11,7 +12,8 @@ like the others.  A pair at the threshold shares no band with probability (1 - 0
 
 Defined cases: null, empty or blank texts have an empty set, are linked with nothing and kept; under five words the whole
 sequence is one shingle; a null doc_id has a null component, is linked with nothing and kept; repeated rows get the same
-values; rows that repeat a doc_id with other texts are judged by their own text.  Other columns are not read.
+values; rows that repeat a doc_id with other texts are judged by their own text, and are all kept if their doc_id is the
+smallest of their component.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, gram_hashes, materialize, mix, signed
+from .common import U64, WordHashes, gram_hashes, materialize, mix, release, signed
 
 WORDS = 5
 PERMS, ROWS, BITS = 128, 4, 4
@@ -32,7 +34,7 @@ BLOCK = 2048
 _rng = np.random.default_rng(20240901)
 _A = (_rng.integers(0, 1 << 31, PERMS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint64).astype(np.uint32)
-_SIGS = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>"
+_SIGS = "doc_id long, th long, n_shingles long, d1 long, d2 long, bands array<long>, bits array<long>"
 
 
 def shingle_set(words: list[bytes], hashes: WordHashes, k: int = WORDS) -> np.ndarray:
@@ -81,8 +83,8 @@ def _signatures(k: int):
             bits = (low.reshape(len(n), -1, 16) << shift).sum(axis=2, dtype=U64)
             longs = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(signed(np.ascontiguousarray(x)).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, U64))), pa.array(signed(np.array(d2, U64))), longs(bands), longs(bits)],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands", "bits"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column("th"), pa.array(n, pa.int64()), pa.array(signed(np.array(d1, U64))), pa.array(signed(np.array(d2, U64))), longs(bands), longs(bits)],
+                names=["doc_id", "th", "n_shingles", "d1", "d2", "bands", "bits"],
             )
 
     return run
@@ -94,9 +96,10 @@ def _sets(k: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             sets = [shingle_set(texts[i].as_py().lower().split(), hashes, k).tobytes() for i in range(len(texts))]
-            digests = signed(np.array([xxhash.xxh3_128_intdigest(s) >> 64 for s in sets], U64))
+            digests = [xxhash.xxh3_128_intdigest(s) for s in sets]
+            d1, d2 = (signed(np.array([f(d) for d in digests], U64)) for f in (lambda d: d >> 64, lambda d: d & ((1 << 64) - 1)))
             small = [(np.frombuffer(s, U64) >> U64(32)).astype(np.uint32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(digests), pa.array(sets, pa.binary()), pa.array(small, pa.binary())], names=["node", "d1", "shingles", "small"])
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(sets, pa.binary()), pa.array(small, pa.binary())], names=["d1", "d2", "shingles", "small"])
 
     return run
 
@@ -178,33 +181,35 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.selectExpr("v as u", "m as v").where("u <> v").unionByName(low.selectExpr("u", "m as v"))
-        cur = materialize(small.selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct(), "edges")
+        last, cur = cur, materialize(small.selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct(), "edges")
         now = cur.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        release(last)
         if now == before:
             return cur.selectExpr("u as node", "v as comp")
         before = now
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+def classes(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), n_shingles, comp (number of the component; null: linked with nothing), component_id of every row of docs."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     least, parts = percent / 100 - MARGIN, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sigs = materialize(docs.mapInArrow(_signatures(words), _SIGS), "signatures")
     some = sigs.where("n_shingles > 0 and doc_id is not null")
-    nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("r"))
-    nodes = materialize(nodes.selectExpr("d1", "d2", "r.doc_id as node", "r.bands as bands", "r.bits as bits"), "nodes")
+    nodes = some.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "bands", "bits")).alias("r"))
+    # numbers are given once: the table is written before anything reads them
+    nodes = materialize(nodes.select("d1", "d2", "r.*", F.monotonically_increasing_id().alias("node")), "nodes")
     bits = nodes.select("node", "bits")
 
-    rows = nodes.select("node", F.explode("bands").alias("bucket"))
-    leads = rows.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lead < hi")
-    rows = materialize(rows.join(leads.select("bucket", "lead", "size"), "bucket"), "buckets")
+    pairs = nodes.select("node", F.explode("bands").alias("bucket"))
+    leads = pairs.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lead < hi")
+    rows = materialize(pairs.join(leads.select("bucket", "lead", "size"), "bucket"), "buckets")
     stars = rows.where("node > lead").selectExpr("node as u", "lead as v").distinct()
 
-    # full sets once, for every node that has company in a bucket
-    wanted = rows.select("node").distinct()
-    texts = docs.where("doc_id is not null and text is not null").withColumnRenamed("doc_id", "node").join(wanted.hint("shuffle_hash"), "node", "left_semi")
-    sets = texts.mapInArrow(_sets(words), "node long, d1 long, shingles binary, small binary").dropDuplicates(["node", "d1"])
-    sets = materialize(sets.join(nodes.select("node", "d1"), ["node", "d1"], "left_semi"), "sets")
+    # full sets once, for every node that has company in a bucket, from one of its rows
+    wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
+    texts = docs.where("doc_id is not null and text is not null").join(wanted.select("doc_id", "th").distinct().hint("shuffle_hash"), ["doc_id", "th"], "left_semi")
+    sets = texts.select("text").mapInArrow(_sets(words), "d1 long, d2 long, shingles binary, small binary").dropDuplicates(["d1", "d2"])
+    sets = materialize(sets.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "shingles", "small"), "sets")
 
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         full = pairs.join(sets.selectExpr("node as u", "shingles as sa"), "u").join(sets.selectExpr("node as v", "shingles as sb"), "v")
@@ -227,7 +232,38 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> D
             comps = components(links)
         if not found or found == more.count():  # else a pair that 32 bits let through may have hidden another
             break
+    release(rows, sets)
+
+    # each node with its component's smallest doc_id
+    named = nodes.select("d1", "d2", "doc_id", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = materialize(named.drop("node"), "named")
+    first = named.groupBy("comp").agg(F.min("doc_id").alias("first"))
+    named = named.select("d1", "d2", "comp").join(first, "comp")
+    linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    out = sigs.select("doc_id", "th", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    return out.select("doc_id", "th", "n_shingles", F.when(linked, F.col("comp")).alias("comp"), F.when(linked, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
 
-    named = sigs.select("doc_id", "n_shingles", "d1", "d2").join(nodes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(comps, "node", "left")
-    own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "node"))
-    return named.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return classes(docs, percent, words).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
+    """Rows of docs, all columns as they are: one of each component, and one of the rows that repeat a doc_id and its text.
+
+    Of a component the row of the smallest doc_id stays (of two texts under it, that of the smaller text hash); rows with an
+    empty set are one component each; rows without a doc_id all stay.  Which of several rows of equal doc_id and text stays is
+    settled by a hash of their other columns.
+    """
+    judged = classes(docs, percent, words).where("doc_id is not null")
+    best = judged.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
+    best = best.unionByName(judged.where("comp is null").select("doc_id", "th"))
+    best = materialize(best.select(F.col("doc_id").alias("__kb_id"), F.col("th").alias("__kb_th")).distinct(), "representatives")
+    known = docs.withColumn("__kb_h", F.xxhash64("text"))
+    stay = known.join(best, (F.col("doc_id") == F.col("__kb_id")) & (F.col("__kb_h") == F.col("__kb_th")), "left_semi")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    once = F.row_number().over(Window.partitionBy("doc_id", "__kb_h").orderBy(F.xxhash64(*plain)))
+    stay = stay.withColumn("__kb_n", once).where("__kb_n = 1").drop("__kb_n", "__kb_h")
+    return stay.unionByName(docs.where("doc_id is null"))

@@ -181,11 +181,14 @@ def _judge(forest: Forest | None, least: float):
     return run
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = LEAST) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and score (probability of good) of every row of docs (doc_id, text)."""
-    forest = learn(docs, labels, sample)
+def judge(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: float = LEAST, docs: DataFrame | None = None) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and score (probability of good) of every row of rows (doc_id, text).
+
+    docs: the documents that labels are of, if others than rows.
+    """
+    forest = learn(rows if docs is None else docs, labels, sample)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
-    return docs.select("doc_id", "text").mapInArrow(_judge(forest, least), schema)
+    return rows.select("doc_id", "text").mapInArrow(_judge(forest, least), schema)
 
 
 def _keep(forest: Forest | None, least: float, at: int, names: list[str]):

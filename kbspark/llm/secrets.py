@@ -2,9 +2,10 @@
 
 Base kinds are found in every text by their patterns.  Two more kinds are candidates only: vendor-formatted keys, and long
 opaque strings that mix upper case, lower case and digits.  The value of every span is hashed and counted over distinct
-(owner, repository) pairs of the whole corpus, pre-aggregated before each shuffle.  A value seen under at most
-``OWNERS`` owners looks live; a value seen under more is a widely copied example.  Candidate kinds are reported only if they
-look live and overlap no base span; base spans are always reported, and counted as live or copied.
+(owner, repository) pairs of the whole corpus, pre-aggregated before each shuffle.  A value seen under at most ``OWNERS``
+owners and in at most ``REPOSITORIES`` repositories of theirs looks live, as a credential that an owner uses in several places
+does; a value seen under more owners or in more repositories is a widely copied example.  Candidate kinds are reported only if
+they look live and overlap no base span; base spans are always reported, and counted as live or copied.
 
 An owner is the ``source`` of a row, a repository its (source, lang) pair; nulls count as one owner of their own.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-OWNERS = 2
+OWNERS, REPOSITORIES = 2, 6
 #: kind, pattern, value group, fewest characters of that group; fixed values of the contract, then the candidate kinds.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -71,17 +72,17 @@ def _found(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "owner", "repository", F.array_sort(F.concat("s0", "s1", "s2")).alias("base"), F.concat("s3", "s4").alias("more"))
 
 
-def _verdicts(found: DataFrame, owners: int) -> DataFrame:
-    """doc_id, th, shown (all spans reported, in order), live, copied of the rows that have candidates."""
+def _verdicts(found: DataFrame, owners: int, repositories: int) -> DataFrame:
+    """doc_id, th, shown (all spans reported, in order, with verdict and counts) of the rows that have candidates."""
     keyed = found.where("size(base) + size(more) > 0")
     spans = keyed.select("doc_id", "th", "owner", "repository", F.explode(F.concat("base", F.filter("more", lambda x: ~F.exists("base", lambda y: _overlaps(x, y))))).alias("s"))
     seen = spans.select(F.col("s.value").alias("value"), "owner", "repository").distinct()
     seen = seen.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
     seen = seen.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
     known = spans.select("doc_id", "th", "s").distinct().withColumn("value", F.col("s.value")).join(seen, "value")
-    live = F.col("owners") <= owners
+    live = (F.col("owners") <= owners) & (F.col("repositories") <= repositories)
     known = known.where((F.col("s.kind") < len(BASE)) | live)
-    shown = F.struct(F.col("s.start"), F.col("s.kind"), F.col("s.stop"), live.alias("live"))
+    shown = F.struct(F.col("s.start"), F.col("s.kind"), F.col("s.stop"), live.alias("live"), "owners", "repositories")
     return known.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(shown)).alias("shown"))
 
 
@@ -94,26 +95,30 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
 
 
-def scan(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of every row of docs (doc_id, text, source, lang)."""
+def scan(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of every row of docs (doc_id, text, source, lang).
+
+    max_owners and max_repositories follow: of the row's most widely seen span (0 without spans).
+    """
     found = materialize(_found(docs), "spans")
-    verdicts = _verdicts(found, owners)
+    verdicts = _verdicts(found, owners, repositories)
     out = found.join(verdicts.withColumnsRenamed({"doc_id": "doc", "th": "hash"}), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("hash")), "left")
     of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    most = lambda c: F.coalesce(F.array_max(F.transform("shown", lambda x: x[c])), F.lit(0)).cast("long").alias(f"max_{c}")
     live = lambda yes: F.coalesce(F.size(F.filter("shown", lambda x: x["live"] == yes)), F.lit(0)).cast("long")
     return out.select(
         "doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(_written("base").cast("binary"), 256).alias("base_sha256"), F.coalesce(_written("shown"), F.lit("")).alias("spans"),
-        F.when(F.col("shown").isNull(), 0).otherwise(live(True)).cast("long").alias("n_live"), F.when(F.col("shown").isNull(), 0).otherwise(live(False)).cast("long").alias("n_copied"),
+        F.when(F.col("shown").isNull(), 0).otherwise(live(True)).cast("long").alias("n_live"), F.when(F.col("shown").isNull(), 0).otherwise(live(False)).cast("long").alias("n_copied"), most("owners"), most("repositories"),
     )
 
 
 LIVE, COPIED = "[SECRET]", "[EXAMPLE]"
 
 
-def redact(docs: DataFrame, owners: int = OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """docs, all columns kept, with live-looking spans written over by [SECRET] and widely copied ones by [EXAMPLE]; n_chars, if there, follows."""
     found = materialize(_found(docs), "spans")
-    verdicts = _verdicts(found, owners).select(F.col("doc_id").alias("__kb_doc"), F.col("th").alias("__kb_th"), F.col("shown").alias("__kb_shown"))
+    verdicts = _verdicts(found, owners, repositories).select(F.col("doc_id").alias("__kb_doc"), F.col("th").alias("__kb_th"), F.col("shown").alias("__kb_shown"))
     joined = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__kb_doc")) & (F.xxhash64("text") == F.col("__kb_th")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 

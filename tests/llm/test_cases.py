@@ -2,9 +2,15 @@
 
 import hashlib
 import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from kbspark.llm import hmm, html_text, langid, mixing, mtree, near_dedup, packing, quality, secrets, substring_dedup
 from kbspark.llm.common import WordHashes, gram_hashes
@@ -12,6 +18,7 @@ from kbspark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, node int, comp int, kept string, quality string, c int, word string, bin int, s int, slot int"
 LONG = " ".join(f"w{i * 7919 % 100003}" for i in range(30_000))
+TOKENS = packing.Tokens(tokenizer_path())
 
 
 def row(doc, text, lang="en", source="a"):
@@ -81,7 +88,44 @@ def test_near_duplicates(odd, empty):
     assert by[1, 0].kept and by[2, 0].component_id == 2 and by[4, 1].kept
     assert by[6, 77].component_id == 5 and not by[6, 77].kept and by[None, 76].component_id is None and by[None, 76].kept
     assert by[8, 29_997].component_id == 7
-    assert near_dedup.near_duplicates(empty).count() == 0
+    assert near_dedup.near_duplicates(empty).count() == near_dedup.keep_one(empty).count() == 0
+
+
+def test_near_duplicates_under_repeated_ids_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    bases = [[f"b{i}_{j}" for j in range(60)] for i in range(12)]
+    rows = []
+    for n in range(240):  # unlike texts under one id, alike texts under many, whole rows repeated
+        w = list(bases[rng.integers(0, 12)])
+        for j in rng.integers(0, 60, rng.integers(0, 2)):
+            w[j] = f"n{n}"
+        rows.append((int(rng.integers(0, 40)), " ".join(w), f"s{n}"))
+    rows += rows[:30] + [(1, None, "x"), (1, "", "x"), (None, rows[0][1], "x"), (None, None, "x")]
+    p, q = " ".join(bases[0]), " ".join(bases[1])
+    rows += [(105, p.replace("b0", "z"), "x"), (106, p.replace("b0", "z") + " tail", "x"), (106, q.replace("b1", "y"), "x"), (107, q.replace("b1", "y"), "x")]
+    texts = sorted({(d, t) for d, t, _ in rows if d is not None and t})
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k in texts for w in [k[1].split()]}
+    top = {k: k for k in texts}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {t: len(x) for (_, t), x in sets.items()}
+    want = sorted(str((d, size.get(t, 0), find((d, t))[0] if (d, t) in top else d)) for d, t, _ in rows)
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in near_dedup.near_duplicates(docs).collect()) == want
+    kept = near_dedup.keep_one(docs).collect()
+    named = [(r.doc_id, r.text) for r in kept if r.doc_id is not None and r.text]
+    assert sorted(find(k) for k in named) == sorted({find(k) for k in texts}) and all(find(k)[0] == k[0] for k in named)
+    assert {(106, q.replace("b1", "y"))} <= set(named) and (106, p.replace("b0", "z") + " tail") not in named
+    assert sum(r.doc_id is None for r in kept) == 2 and sorted(str(r.text) for r in kept if r.doc_id is not None and not r.text) == ["", "None"]
 
 
 def test_near_duplicates_of_a_drifting_group_against_brute_force(spark):
@@ -117,6 +161,43 @@ def test_language(odd, empty):
     assert nothing[0].lang_pred == "und"
 
 
+def test_language_kernel_against_brute_force():
+    texts = ["Ab, abc", "é日本 x", "zz" * 50, LONG, "a", "日本語" * 40_000]
+
+    def sets(t):
+        b = t.lower().encode()
+        return {b[i : i + n] for n in range(1, 5) for i in range(len(b) - n + 1)}
+
+    own = [sets(t) for t in texts]
+    want = [[len(x & y) / (len(x) * len(y)) ** 0.5 for y in own[:4]] for x in own]
+    marks = langid.Landmarks(texts[:4])
+    assert np.allclose(marks.kernel(texts), want)
+    model = langid.Model(["a", "b"], marks, np.arange(8.0).reshape(4, 2))
+    assert np.allclose(model.scores(texts), np.array(want) @ model.weights)
+
+
+def test_grams_of_long_texts_are_those_of_the_whole(monkeypatch):
+    whole = langid.grams(LONG)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    assert (langid.grams(LONG) == whole).all()
+
+
+def test_no_language_is_left_out(spark):
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + 8 * i + j) for i in range(90) for j in range(8)]
+    rows = [(90 * k + i, " ".join("".join(rng.choice(letters[8 * i : 8 * i + 8], 5)) for _ in range(20)), f"l{i:02}") for k in range(12) for i in range(90)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    lang = {d: x for d, _, x in rows}
+    assert {r.lang_pred for r in got} == set(lang.values()) and np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.97
+
+
+def test_texts_longer_than_those_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LONGEST", 40)
+    rows = [(i, ("the of and to " if i % 2 else "der die und das ") * 30, "en" if i % 2 else "de") for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got)
+
+
 def test_mixing(odd, empty):
     got = mixing.mix_sources(odd).collect()
     assert len(got) == odd.count() and len({(r.slot, r.position) for r in got}) == len(got) and None in {r.source for r in got}
@@ -154,7 +235,7 @@ def test_mixing_of_many_sources_and_blocks(spark):
 
 
 def test_packing(odd, empty):
-    got = packing.pack(odd, tokenizer_path(), near=0, fan=2, carry=1, chunk=3).collect()
+    got = packing.pack(odd, tokenizer_path(), near=0, fan=2, chunk=3).collect()
     fill = {}
     for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == fill.get(r.sequence_id, 0)
@@ -163,6 +244,51 @@ def test_packing(odd, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_runs_pack_like_items():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        capacity, n, parts = int(rng.integers(8, 60)), int(rng.integers(1, 300)), int(rng.integers(1, 5))
+        fills = rng.integers(1, capacity + 1, n)
+        histogram = Counter(zip(rng.integers(0, parts, n).tolist(), fills.tolist(), strict=True))
+        rows = packing.pack_runs([k[0] for k in histogram], [k[1] for k in histogram], list(histogram.values()), capacity, 0, False)
+        bins, ends, seen = defaultdict(list), defaultdict(set), Counter()
+        for part, fill, lo, hi, base, m, bin0, shift, into, rank, _ in rows:
+            for r in range(lo, hi):
+                seen[part, fill] += 1
+                b = bin0 + (r - base) // m
+                bins[b].append((shift + (r - base) % m * fill, fill))
+                ends[b].add((into, rank + (r - base) // m))
+        assert seen == histogram and len(bins) == len(packing.best_fit(fills, capacity)[2])
+        ranks = defaultdict(list)
+        for b, items in bins.items():
+            at = 0
+            for offset, length in sorted(items):
+                assert offset == at
+                at += length
+            ((into, rank),) = ends[b]
+            assert at == into <= capacity
+            ranks[into].append(rank)
+        assert all(sorted(r) == list(range(len(r))) for r in ranks.values())
+
+
+def test_packing_of_many_underfull_bins(spark):
+    texts = ["word " * (600 + i % 5) for i in range(300)] + ["word " * (100 + i % 7) for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+    got = packing.pack(docs, tokenizer_path(), fan=2, chunk=4).collect()
+    fill = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill.get(r.sequence_id, 0)
+        fill[r.sequence_id] = r.offset + r.length
+    assert max(fill.values()) <= 1024 and len(got) == 800 and len({(r.doc_id, r.piece) for r in got}) == 800
+    assert len(fill) == 300  # nothing joins two of the large ones, and the small ones fit in beside them
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=60) | st.text("aé's  \n\t1#日\u0130\u00a0<|>", max_size=60))
+def test_any_text_has_the_tokenizers_ids(text):
+    assert TOKENS.ids(text).tolist() == TOKENS.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("text", ["a  b   c\n\n d\t\tx ", "it's  I'LL we've ’s 日本 x", "<|endoftext|> hi", "\x1c a \x1d", " 　  ", "don't 'tis", "a\x85b", "123abc ½ ª", "y" * 5000, " " * 5000 + "a", "\U0001f600 z"])
 def test_tokens_equal_the_tokenizer(text):
     from tokenizers import Tokenizer
@@ -206,11 +332,44 @@ def test_html():
     assert text("<article>a <b>b</b>c<!-- x --> d") == "a bc d" and len(text("<article>" + "<p>z " * 20_000)) == 39_999
 
 
-@pytest.mark.parametrize("long", ["Вчера вечером жители нашего города собрались на площади, чтобы вместе встретить первый снег этой зимы.", "Wczoraj wieczorem mieszkańcy naszego miasta zebrali się na rynku, aby wspólnie powitać pierwszy śnieg tej zimy."])
-def test_html_of_other_languages_without_a_container(long):
+SNOW = {
+    "ru": "Вчера вечером жители нашего города собрались на площади, чтобы вместе встретить первый снег этой зимы.",
+    "zh": "昨天晚上，城里的居民聚集在广场上，一起迎接这个冬天的第一场雪。孩子们在雪地里奔跑，老人们坐在长椅上聊天。",
+    "ja": "昨夜、町の人々は広場に集まり、この冬の初雪を一緒に迎えました。子供たちは雪の中を走り回っていました。",
+    "it": "Ieri sera gli abitanti della nostra città si sono riuniti nella piazza per accogliere insieme la prima neve di questo inverno.",
+    "th": "เมื่อวานตอนเย็นชาวเมืองมารวมตัวกันที่จัตุรัสเพื่อต้อนรับหิมะแรกของฤดูหนาวนี้ด้วยกัน",
+    "pl": "Wczoraj wieczorem mieszkańcy naszego miasta zebrali się na rynku, aby wspólnie powitać pierwszy śnieg tej zimy.",
+    "ar": "تجمع سكان مدينتنا مساء أمس في الساحة من أجل استقبال أول ثلوج هذا الشتاء معا في أجواء من الفرح التي لم نر مثلها",
+    "eo": "Hieraŭ vespere loĝantoj kolektiĝis placo kune bonvenigi unuan neĝon vintro infanoj kuris neĝo maljunuloj sidis benkoj babilis",
+}
+
+
+@pytest.mark.parametrize("lang", sorted(SNOW))
+def test_html_of_other_languages_without_a_container(lang):
+    long, short = SNOW[lang], SNOW[lang][:9].strip()
     menu = "<div class=menu><a href=x>A</a></div><p>" + "<a href=y>link word</a> " * 9 + "</p>"
-    assert html_text.main_text(f"{menu}<h1>Title</h1><p>{long}</p><p>{long}</p><footer>x</footer>") == f"Title {long} {long}"
-    assert html_text.main_text(f"{menu}<h1>Снег</h1><p>Первый снег.</p><footer>x</footer>") == "Снег Первый снег."
+    assert html_text.main_text(f"{menu}<h1>Title</h1><p>{long}</p><p>{short}</p><p>{long}</p><footer>x</footer>") == f"Title {long} {short} {long}"
+    assert html_text.main_text(f"{menu}<h1>{short}</h1><p>{short}.</p><footer>x</footer>") == f"{short} {short}."
+    assert html_text.main_text(f"{menu}<article><p>{short}</p></article><footer>x</footer>") == short
+
+
+def test_html_densities_decide(monkeypatch):
+    text, en = html_text.main_text, "The plain page of the site with words that are in it and not for the rest of us."
+    assert text(f"<article><p>{en}</p><p><a href=x>Only a link here</a></p><p>Short.</p><p>{en}</p></article>") == f"{en} Only a link here Short. {en}"
+    assert text(f"<article><div class='post-header'><h1>T</h1></div><p>{en}</p><div class='share-bar'>Share</div></article>") == f"T {en}"
+    junk = "<p>" + "Lorem quux " * 20 + "</p>"
+    pages = {
+        f"<div><p>{en}</p>{junk}<p>{en}</p></div>": f"{en} {en}",  # long, no stop words, outside an article
+        f"<article><p>{en}</p>{junk}<p>{en}</p></article>": f"{en} {'Lorem quux ' * 20}{en}",
+        f"<article><p>Teaser.</p></article><div><p>{en}</p><p>{en}</p></div><ul><li><a href=x>{en}</a></ul>": f"Teaser. {en} {en}",
+        f"<article><p>{en}</p></article><div><p>Near.</p></div><p>{en}</p>" + f"<article><p>{en}</p></article>": f"{en} {en}",
+        f"<p><a href=a>{en}</a></p><p>Menu</p><p><a href=a>x y</a></p><p>x</p><p>{en}</p>": f"x {en}",
+    }
+    for page, want in pages.items():
+        assert text(page) == want
+    monkeypatch.setattr(html_text, "LONG", 10**9)
+    monkeypatch.setattr(html_text, "LINKS", 2)
+    assert [text(page) == want for page, want in pages.items()] == [False, True, False, True, False]
 
 
 def test_html_rows(spark):
@@ -219,7 +378,7 @@ def test_html_rows(spark):
 
 
 def test_language_model(odd, empty):
-    got = hmm.score_texts(odd, head=50, vocabulary=20, rounds=1, sample=8).collect()
+    got = hmm.score_texts(odd, head=50, n_classes=20, rounds=1, sample=8).collect()
     assert len(got) == odd.count() and all(np.isfinite([r.score, r.base_score]).all() and r.score <= 0 for r in got)
     assert {r.n_tokens for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert hmm.score_texts(empty).count() == 0
@@ -243,20 +402,69 @@ def test_forward_is_exact_and_proper():
 def test_baum_welch_raises_the_likelihood():
     rng = np.random.default_rng(6)
     ids = np.concatenate([rng.integers(0, 4, 40) if i % 2 else rng.integers(4, 8, 40) for i in range(50)])
-    begin, size, first = hmm.segments([40] * 50, 16)
-    model, last = hmm.first_model([], np.full(8, 1 / 8), 2, 16, 0), -np.inf
+    begin, size = np.arange(0, 2000, 40), np.full(50, 40)
+    model, last = hmm.first_model([], np.full(8, 1 / 8), 2, 0), -np.inf
     model.emit = model.emit * rng.uniform(0.8, 1.2, model.emit.shape)
     model.emit /= model.emit.sum(axis=0)
     for _ in range(8):
-        now = model.forward(ids, np.arange(0, 2000, 40), np.full(50, 40)).sum()
+        now = model.forward(ids, begin, size).sum()
         assert now > last - 1e-3 * abs(now)
         last, totals = now, [np.zeros(2), np.zeros((2, 2)), np.zeros((8, 2))]
-        model.expected(ids, begin, size, first, totals)
-        assert totals[2].sum() == pytest.approx(2000)
+        model.expected(ids, begin, size, totals)
+        assert totals[2].sum() == pytest.approx(2000) and totals[1].sum() == pytest.approx(1950) and totals[0].sum() == pytest.approx(50)
         model = model.updated(totals, np.full(8, 1e-6))
     assert last > 2000 * np.log10(1 / 8) * 0.8
 
 
+def test_expected_counts_against_all_paths():
+    rng = np.random.default_rng(14)
+    norm = lambda a, axis: a / a.sum(axis=axis, keepdims=True)
+    model = hmm.Hmm(norm(rng.random(3), 0), norm(rng.random((3, 3)), 1), norm(rng.random((5, 3)), 0))
+    size = np.array([1, 6, 3, 6, 2])
+    ids = rng.integers(0, 5, size.sum())
+    begin = np.cumsum(size) - size
+    want = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+    for lo, n in zip(begin, size, strict=True):
+        x = ids[lo : lo + n]
+        paths = np.array(np.meshgrid(*[range(3)] * n)).T.reshape(-1, n)
+        p = np.array([model.start[s[0]] * np.prod([model.emit[x[t], s[t]] for t in range(n)]) * np.prod([model.move[s[t], s[t + 1]] for t in range(n - 1)]) for s in paths])
+        for s, w in zip(paths, p / p.sum(), strict=True):
+            want[0][s[0]] += w
+            for t in range(n):
+                want[2][x[t], s[t]] += w
+                if t:
+                    want[1][s[t - 1], s[t]] += w
+    for steps in (1, 2, 4, 100):  # held values a step, some steps, or the whole sequence apart
+        got = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
+        model.expected(ids, begin, size, got, steps)
+        assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_scores_are_those_of_the_model_over_all_words(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    docs = [(i, " ".join(f"W{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 60)).clip(max=400))) for i in range(150)]
+    models, forward = [], hmm._forward
+    monkeypatch.setattr(hmm, "_forward", lambda model: models.append(model) or forward(model))
+    got = {r.doc_id: r for r in hmm.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), head=30, n_classes=7).collect()}
+    (model,) = models
+    train = Counter(w for d, t in docs if zlib.crc32(str(d).encode()) % 7 != 2 for w in t.lower().split())
+    least = min(sorted(np.floor(16 * np.log2(c)) for c in train.values())[-(len(model.emit) - 8) :])
+    head = sorted((w for w, c in train.items() if np.floor(16 * np.log2(c)) >= least), key=lambda w: (-train[w], w))
+    assert len(head) == len(model.emit) - 8 > 10
+    shares = [1] * 7
+    for w, c in train.items():
+        if w not in head:
+            shares[zlib.crc32(w.encode()) % 7] += c + 1
+    for d, t in docs:
+        alpha, score = model.start, 0.0
+        for k, w in enumerate([*t.lower().split(), None]):
+            k7 = zlib.crc32((w or "").encode()) % 7
+            e = model.emit[-1] if w is None else model.emit[head.index(w)] if w in head else model.emit[len(head) + k7] * (train[w] + 1) / shares[k7]
+            alpha = (alpha @ model.move if k else alpha) * e
+            score, alpha = score + np.log10(alpha.sum()), alpha / alpha.sum()
+        assert got[d].score == pytest.approx(score)
+
+
 def test_top_k(spark):
     rows = [(i, [float(i % 7), 0.5, -1.0]) for i in range(200)] + [(300, None), (301, [1.0, None, 0.0]), (302, [float("nan"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (400, [1.0, 2.0]), (50, [9.0, 9.0, 9.0])]
     got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=40).collect()
@@ -266,6 +474,19 @@ def test_top_k(spark):
     assert mtree.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_of_huge_components_and_repeated_rows(spark):
+    rows = [(50, [1e18, 1.0]), (1, [1e18, -3.0]), (2, [-1e300, 1.0]), (3, [0.5, 1.0]), (100, [2.0**40, 3.0]), (4, [2.0**40, 4.0]), (5, [2.0**40, 4.0])] + [(7, [0.0, 1.0])] * 300
+    got = defaultdict(dict)
+    for r in mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=40).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    cut = lambda x: max(-(2**63) + 1, min(2**63 - 1, x))
+    whole = [(i, [cut(floor(256 * Fraction(x))) for x in v]) for i, v in rows]
+    for q in (50, 100):
+        (own,) = [v for i, v in whole if i == q]
+        want = sorted((-cut(sum(a * b for a, b in zip(own, v, strict=True))), i) for i, v in whole if i != q)[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(i, -s) for s, i in want]
+
+
 def test_m_tree_prunes():
     rng = np.random.default_rng(8)
     v = np.repeat(rng.normal(0, 2000, (40, 8)), 100, axis=0) + rng.normal(0, 20, (4000, 8))
@@ -283,6 +504,9 @@ def test_secrets(spark, odd, empty):
     got = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert got[0].spans == "assign:3:23,access:25:45" and (got[0].n_assign, got[0].n_copied, got[0].n_live) == (1, 1, 1)
     assert got[2].spans.endswith("opaque:23:59") and got[3].n_live == 2 and got[4].spans == "hex:0:24"
+    assert (got[0].max_owners, got[0].max_repositories) == (3, 3) and (got[4].max_owners, got[4].max_repositories) == (1, 1)
+    spread = spark.createDataFrame([row(i, f"key {rare}", f"l{i % n}", s) for n, s in ((7, "a"), (6, "b")) for i in range(14) for rare in ["AKIA" + s.upper() * 16]], SCHEMA)
+    assert {(r.spans, r.n_live) for r in secrets.scan(spread).collect()} == {("access:4:24", 0), ("access:4:24", 1)}
     clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert clean[1] == "x [EXAMPLE]" and clean[4] == "[SECRET] " and clean[0].startswith("é\U0001f600 [SECRET]' [EXAMPLE] token:x")
     assert secrets.scan(odd).count() == secrets.redact(odd).count() == odd.count() and secrets.scan(empty).count() == 0
@@ -296,6 +520,8 @@ def test_pipeline(spark, sf, odd, empty, tmp_path, labels):
         got = stage(spark, odd, str(tmp_path))
         assert got.columns == odd.columns and got.count() <= odd.count()
         assert stage(spark, empty, str(tmp_path)).count() == 0
+    pieces = C.packing_stage(spark, odd, str(tmp_path)).collect()
+    assert sum(r.piece == 0 for r in pieces) == odd.count() and C.packing_stage(spark, empty, str(tmp_path)).count() == 0
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in C.quality_rules(spark, docs, sf).select("doc_id").collect()}
     assert kept == {r.doc_id for r in quality.judge(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("kept").collect()}

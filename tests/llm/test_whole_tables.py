@@ -71,6 +71,16 @@ def test_op3_stays_within_one_block(spark, sf, docs):
         assert all(abs(seen[s] - w * t / mixing.PARTS) < 1 for s, w in weights.items())
 
 
+def test_op3_against_the_schedule_without_spark(spark, sf, docs):
+    from kbspark.llm import mixing
+
+    got = Q.op3_source_mixing(spark, sf).collect()
+    sizes = Counter(d[3] for d in docs)
+    want = mixing.schedule({s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, {s: n**mixing.TEMPER for s, n in sizes.items()})
+    assert sorted({(r.slot, r.source, r.block, r.release, r.due, r.phase) for r in got}) == [(t, s, i, a, d, k) for s, i, t, a, d, k in want]
+    assert sorted(r.doc_id for r in got) == sorted(d[0] for d in docs)
+
+
 def test_op4_against_brute_force(spark, sf, docs):
     sets = {}
     for doc, text, *_ in docs:
@@ -163,6 +173,33 @@ def test_op8_base_spans(spark, sf, docs):
     assert n > 5
 
 
+def test_op8_added_spans_and_verdicts(spark, sf, docs):
+    from kbspark.llm import secrets
+
+    def live_and_shown(docs):
+        added = [(n, re.compile(p)) for n, p, _, _ in secrets.MORE]
+        spans, seen = [], defaultdict(set)
+        for _, text, lang, source in docs:
+            text = text or ""
+            base = [(m.start(), k, m.end(), m[g]) for k, (_, p, g, least) in enumerate(PATTERNS) for m in p.finditer(text) if len(m[g]) >= least]
+            more = [(m.start(), k + 3, m.end(), m[0]) for k, (n, p) in enumerate(added) for m in p.finditer(text) if n == "vendor" or all(re.search(x, m[0]) for x in ("[0-9]", "[a-z]", "[A-Z]"))]
+            own = base + [x for x in more if not any(x[0] < b[2] and b[0] < x[2] for b in base)]
+            spans.append(sorted(own))
+            for x in own:
+                seen[x[3]].add((source, lang))
+        good = {v: len({o for o, _ in s}) <= secrets.OWNERS and len(s) <= secrets.REPOSITORIES for v, s in seen.items()}
+        names = [k[0] for k in secrets.KINDS]
+        return {d[0]: (",".join(f"{names[k]}:{a}:{b}" for a, k, b, v in own if k < 3 or good[v]), sum(good[x[3]] for x in own), sum(not good[x[3]] and x[1] < 3 for x in own)) for d, own in zip(docs, spans, strict=True)}
+
+    assert {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in Q.op8_secret_scan(spark, sf).collect()} == live_and_shown(docs)
+    rng = np.random.default_rng(3)  # more of them, in few places and many
+    keys = ["ghp_" + "aB3x" * 10 + str(i) for i in range(30)] + ["Zz9" * 11 + str(i) for i in range(30)] + [f"password = pass{i}word" for i in range(30)]
+    made = [(i, f"é {keys[min(89, int(rng.exponential(30)))]} x {keys[rng.integers(0, 90)]}", f"l{rng.integers(0, 3)}", f"s{rng.integers(0, 4)}") for i in range(200)]
+    got = secrets.scan(spark.createDataFrame(made, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in got} == live_and_shown(made)
+    assert len({r.n_live > 0 for r in got}) == 2 and len({r.n_copied > 0 for r in got}) == 2
+
+
 def test_op9_round_trip(spark, sf, docs):
     from tokenizers import Tokenizer
 
@@ -207,3 +244,18 @@ def test_op10_counts_and_verdict(spark, sf, docs):
             hits[labels[r.doc_id], r.kept] += 1
     assert hits[1, True] >= 0.98 * (hits[1, True] + hits[1, False])
     assert hits[0, False] >= 0.8 * (hits[0, True] + hits[0, False])
+
+
+def test_op10_on_labels_not_learned_from(spark):
+    from kbspark.llm import quality
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = labels.where("quality is not null")
+    hits = Counter()
+    held = {r.doc_id: r.quality for r in known.where("doc_id % 2 = 1").collect()}
+    judged = quality.judge(docs.join(known.where("doc_id % 2 = 1"), "doc_id", "left_semi"), known.where("doc_id % 2 = 0"), docs=docs)
+    for r in judged.where("not base_failed").select("doc_id", "kept").collect():
+        hits[held[r.doc_id], r.kept] += 1
+    assert hits[1, True] >= 0.97 * (hits[1, True] + hits[1, False])
+    assert hits[0, False] >= 0.75 * (hits[0, True] + hits[0, False])
