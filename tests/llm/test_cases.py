@@ -63,7 +63,7 @@ def test_substring_dedup(odd, empty):
     assert len(got) == odd.count() and by[1, 0].kept_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[5, 80].n_removed == 0 and by[6, 81].n_removed == 80 and by[6, 81].kept_text == "tail" and by[6, 5].n_removed == 0
     assert by[None, 80].n_removed == 0 and by[7, 30_000].n_removed == 0 and by[8, 30_001].n_removed == 30_000 and by[9, 400].n_removed == 0
-    assert substring_dedup.remove_repeated_spans(empty).count() == 0
+    assert substring_dedup.remove_repeated_spans(empty).count() == substring_dedup.repeated_spans(empty).count() == 0
 
 
 def test_substring_dedup_small_windows_against_brute_force(spark):
@@ -81,6 +81,31 @@ def test_substring_dedup_small_windows_against_brute_force(spark):
         assert got[d] == len(gone)
 
 
+def test_spans_come_from_source_coordinates(spark):
+    rng = np.random.default_rng(12)
+    w = [f"w{i}" for i in range(400)]
+    texts = [w[:120], w[60:300] + ["x"] * 5 + w[0:70], ["y"] * 3 + w[10:320], w, w[200:260] + w[30:90]]
+    texts += [[f"r{x}" for x in rng.integers(0, 4, 90)] for _ in range(6)]
+    docs = spark.createDataFrame([(10 * i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = substring_dedup.repeated_spans(docs).collect()
+    gone = defaultdict(set)
+    for r in spans:
+        own, source = texts[r.doc_id // 10], texts[r.source_id // 10]
+        assert r.source_id < r.doc_id and r.length >= 50 and own[r.start : r.start + r.length] == source[r.source_start : r.source_start + r.length]
+        gone[r.doc_id] |= set(range(r.start, r.start + r.length))
+    for r in substring_dedup.remove_repeated_spans(docs).collect():
+        assert r.n_removed == len(gone[r.doc_id]) and r.kept_text.split() == [x for i, x in enumerate(texts[r.doc_id // 10]) if i not in gone[r.doc_id]]
+    assert (10, 0, 60) in {(r.doc_id, r.start, r.length) for r in spans}  # the path goes on as long as the source does
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    a, b, c = ([f"{x}{i}" for i in range(100)] for x in "abc")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([a + b, a + b, a + c, a + c, b])], "doc_id long, text string")
+    _, runs = substring_dedup.graph(docs)
+    starts = {(r.source, r.path) for r in runs.select("source", "path").distinct().collect()}
+    assert starts == {(0, 0), (0, 51), (2, 51)}  # 49 words of a, then b or c
+
+
 def test_near_duplicates(odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -153,6 +178,38 @@ def test_near_duplicates_of_a_drifting_group_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == {d: find(d) for d in sets}
 
 
+def test_near_duplicates_of_a_template_in_narrow_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    template, docs = [f"t{i}" for i in range(60)], []
+    for i in range(60):  # pages of one template that don't link, and near copies of some of them
+        page = template + [f"p{i}_{j}" for j in range(16)]
+        for k in range(1 + i % 3):
+            w = list(page)
+            if k:
+                w[rng.integers(60, 76)] = f"x{i}_{k}"
+            docs.append((int(rng.permutation(10_000)[0]) * 100 + len(docs), " ".join(w)))
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in docs for w in [t.split()]}
+    top = {d: d for d in sets}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    frame, compared = spark.createDataFrame(docs, "doc_id long, text string"), []
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    narrowed = near_dedup._narrowed
+    monkeypatch.setattr(near_dedup, "_narrowed", lambda *a: compared.append(narrowed(*a)) or compared[-1])
+    got = near_dedup.near_duplicates(frame).collect()
+    assert {r.doc_id: r.component_id for r in got} == {d: find(d) for d in sets} and len(set(map(find, sets))) > 30
+    assert compared and compared[0].groupBy("bucket").count().agg({"count": "max"}).first()[0] <= 3
+
+
 def test_language(odd, empty):
     got = langid.identify(odd).collect()
     assert len(got) == odd.count() and all(r.lang_pred == "und" and r.score == 0 for r in got if r.doc_id in (1, 2, 3, 10))
@@ -226,6 +283,16 @@ def test_mixing_equals_the_schedule_without_spark(spark):
         assert len(got) == sum(sizes.values()) and all(a <= t < d for _, _, t, a, d, _ in want)
 
 
+def test_rows_without_ids_are_spread_and_kept(spark):
+    docs = spark.range(3000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "'hot' as source", "concat('t', id % 700) as text")
+    got = mixing.mix_sources(docs, block=4).collect()
+    assert sorted((r.slot, r.position) for r in got) == [(i // 4, i % 4) for i in range(3000)]
+    rows, _ = mixing._numbered(docs)
+    groups = [r["count"] for r in rows.groupBy("salt").count().collect()]
+    assert sorted(r.number for r in rows.collect()) == list(range(3000)) and len(groups) > 4 and max(groups) < 1000
+    assert sorted(map(str, mixing.in_order(docs).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_mixing_of_many_sources_and_blocks(spark):
     docs = spark.range(100_001).selectExpr("id as doc_id", "concat('www.', id % 50001, '.example') as source")
     got = mixing.mix_sources(docs, block=1).toPandas()
