@@ -3,10 +3,11 @@
 One pass over the texts gives each row its set size, a 128-bit digest of the set, 32 band keys of 4 minima each and the low 4
 bits of all 128 minima packed into eight longs.  Rows of equal digests collapse to one node with a number of its own; doc_ids
 come in again only at the end, so rows that share a doc_id but not their text never join what isn't alike.  Band keys bring
-candidates: every node of a bucket is paired with the bucket's smallest node only, the collision-corrected similarity of the
+candidates: every node of a bucket is paired with the bucket's node of the smallest doc_id only, the collision-corrected similarity of the
 packed bits discards pairs that are far off (``MARGIN`` below the threshold, over five standard deviations), and the rest is
-confirmed by intersecting full sets.  Links so found give components.  Where a bucket still holds nodes of two components, its
-nodes are compared in blocks of bounded size: pairs across components whose packed bits are similar enough are tested on 32-bit
+confirmed by intersecting full sets.  Links so found give components.  Where a bucket of more than ``BLOCK`` nodes still holds
+two components, it is dealt to narrower ones by the rarest shingles of its nodes, which every pair at the threshold shares.  The
+nodes of a bucket with two components are compared in blocks of bounded size: pairs across components whose packed bits are similar enough are tested on 32-bit
 forms of the full sets on the spot, and a block gives on at most one pair for each merger it finds, which is then confirmed
 like the others.  A pair at the threshold shares no band with probability (1 - 0.75^4)^32 = 5e-6; nothing is capped.
 
@@ -104,6 +105,38 @@ def _sets(k: int):
     return run
 
 
+def _unpacked(batches):
+    """A row a shingle."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("shingles")]
+        n = np.array([len(x) for x in sets], np.int64)
+        for lo in range(0, len(sets), 256):
+            part, many = sets[lo : lo + 256], n[lo : lo + 256]
+            b, v = (np.repeat(batch.column(c).to_numpy(zero_copy_only=False)[lo : lo + 256], many) for c in ("bucket", "node"))
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(v), pa.array(np.repeat(many, many)), pa.array(np.concatenate(part))], names=["bucket", "node", "size", "shingle"])
+
+
+def _narrowed(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """bucket, node of narrower buckets that hold every pair of large (bucket, node) with percent of its shingles in common.
+
+    In any common order of shingles, the first n - ceil(t * n) + 1 of the larger set of such a pair and the first
+    n - ceil(2 * t / (1 + t) * n) + 1 of the smaller one, n being their sizes and t the threshold, meet.  The order is that of
+    frequency in the bucket, rarest first, so pages of one template, alike but for what each has alone, share none of those.
+    A narrow bucket is a shingle that is among the fewer first ones of some set.
+    """
+    rows = large.select("bucket", "node").join(sets.select("node", "shingles"), "node").select("bucket", "node", "shingles")
+    rows = materialize(rows.mapInArrow(_unpacked, "bucket long, node long, size long, shingle long"), "shingles")
+    shared = rows.groupBy("bucket", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.join(shared, ["bucket", "shingle"])
+    own = Window.partitionBy("bucket", "node")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("alone", F.col("size") - F.count(F.lit(1)).over(own))
+    place = F.col("place") + F.col("alone")
+    rows = rows.withColumn("short", place <= F.col("size") - F.ceil(F.col("size") * 2 * percent / (100 + percent)) + 1)
+    first = rows.where(place <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select(F.xxhash64("bucket", "shingle").alias("bucket"), "node", "short")
+    first = materialize(first, "first-shingles")
+    return first.join(first.where("short").select("bucket").distinct(), "bucket", "left_semi").select("bucket", "node")
+
+
 def _confirmed(percent: int):
     def run(batches):
         for batch in batches:
@@ -139,7 +172,8 @@ def _blocks(least: float, percent: int):
         node, comp, blk = part["node"].to_numpy(), part["comp"].to_numpy().copy(), part["blk"].to_numpy()
         bits = np.stack(part["bits"].to_numpy()).astype(np.int64).view(U64)
         bands = np.stack(part["bands"].to_numpy()).astype(np.int64)
-        earlier = bands[:, : int(np.flatnonzero(bands[0] == part["bucket"].iloc[0])[0])]
+        own = np.flatnonzero(bands[0] == part["bucket"].iloc[0])
+        earlier = bands[:, : int(own[0]) if len(own) else 0]  # a narrower bucket is none of the bands
         sets = [np.frombuffer(x, np.uint32) for x in part["small"]]
         size = np.array([len(x) for x in sets])
         names, places = np.unique(np.concatenate(sets), return_inverse=True)
@@ -189,6 +223,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, comp) of the buckets that hold two components, with size, their number in the bucket."""
+    found = rows.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b")
+    return rows.drop("size").join(found.select("bucket", "size"), "bucket")
+
+
 def classes(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles, comp (number of the component; null: linked with nothing), component_id of every row of docs."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
@@ -200,10 +240,11 @@ def classes(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame
     nodes = materialize(nodes.select("d1", "d2", "r.*", F.monotonically_increasing_id().alias("node")), "nodes")
     bits = nodes.select("node", "bits")
 
-    pairs = nodes.select("node", F.explode("bands").alias("bucket"))
-    leads = pairs.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lead < hi")
-    rows = materialize(pairs.join(leads.select("bucket", "lead", "size"), "bucket"), "buckets")
-    stars = rows.where("node > lead").selectExpr("node as u", "lead as v").distinct()
+    # a bucket's lead is its node of the smallest doc_id: buckets then share their leads, and pairs repeat
+    pairs = nodes.select("doc_id", "node", F.explode("bands").alias("bucket"))
+    leads = pairs.groupBy("bucket").agg(F.min(F.struct("doc_id", "node")).alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = materialize(pairs.drop("doc_id").join(leads.selectExpr("bucket", "lead.node as lead", "size"), "bucket"), "buckets")
+    stars = rows.where("node <> lead").selectExpr("node as u", "lead as v").distinct()
 
     # full sets once, for every node that has company in a bucket, from one of its rows
     wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
@@ -220,8 +261,11 @@ def classes(docs: DataFrame, percent: int = 75, words: int = WORDS) -> DataFrame
     comps = components(links)
     while True:
         mixed = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = mixed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-        mixed = mixed.join(open_, "bucket").join(nodes.select("node", "bits", "bands"), "node").join(sets.select("node", "small"), "node")
+        mixed = _open(mixed)
+        if not mixed.where(F.col("size") > BLOCK).isEmpty():
+            narrow = _narrowed(mixed.where(F.col("size") > BLOCK), sets, percent).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = mixed.where(F.col("size") <= BLOCK).select("bucket", "node", "size", "comp").unionByName(_open(narrow).select("bucket", "node", "size", "comp"))
+        mixed = mixed.join(nodes.select("node", "bits", "bands"), "node").join(sets.select("node", "small"), "node")
         mixed = mixed.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("blk", F.expr("cast(pmod(xxhash64(node), nb) as int)"))
         mixed = mixed.withColumn("o", F.explode(F.expr("sequence(0, nb - 1)"))).selectExpr("bucket", "node", "comp", "bits", "bands", "small", "blk", "least(blk, o) as i", "greatest(blk, o) as j")
         more = materialize(mixed.repartition(parts, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(_blocks(least, percent), "u long, v long").distinct(), "more-pairs")
