@@ -7,7 +7,7 @@ fluid has passed it; the schedule gives each slot to the released block of the e
 deadlines (the fluid is a fractional matching of blocks and slots, so a whole one exists), and at every slot each source has
 had within one block of its fluid share.  Every document gets exactly one place.
 
-Nothing is numbered by a global sort of rows: they are dealt to bounded (source, salt) groups, the counts of the groups give
+Nothing is numbered by a global sort of rows: they are dealt to small (source, salt) groups, the counts of the groups give
 each its first number, and only the narrow rows (doc_id, hash) are numbered inside a group.  With weights q in whole parts the
 fluid reaches the end of block i of a source at slot D + i * Q / q, where D is the number of blocks of the sources that end
 before and Q the sum of the other sources' q: running sums over range partitions of sources and blocks.  Slots are given out
@@ -156,10 +156,15 @@ def _plan(spark: SparkSession, windows: DataFrame) -> DataFrame:
 
 def _numbered(docs: DataFrame):
     """Narrow rows (source, h, doc_id, number) and the number of rows by source."""
-    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), F.xxhash64("doc_id").alias("h"))
+    # rows without an id are alike here; their places in the input spread them
+    h = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))))
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), h.alias("h"))
+    rows = materialize(rows, "narrow")
     sizes = materialize(rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "counts")
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    salts = max(1, -(-largest // GROUP))
+    largest, total = (x or 0 for x in sizes.agg(F.max("n"), F.sum("n")).first())
+    # groups are so small that a source of any size spreads over all tasks, and no larger than GROUP
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-largest // max(64, min(GROUP, total // (2 * tasks)))))
     rows = rows.withColumn("salt", F.pmod("h", F.lit(salts)).cast("int"))
     by = rows.groupBy("src", "salt").agg(F.count(F.lit(1)).alias("n"))
     first = by.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -186,17 +191,19 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
 def in_order(docs: DataFrame, weights: Mapping[str | None, float] | None = None, block: int = BLOCK) -> DataFrame:
     """docs, every row and column, physically laid out in schedule order: partitions are ranges of slots, sorted inside.
 
-    Rows that share a doc_id and a source take the places of that pair in the order of their texts' hashes.
+    Rows that share a doc_id and a source take the places of that pair in the order of their hashes; rows without a doc_id are
+    told apart by a hash of all their columns.
     """
-    places = mix_sources(docs, weights, block)
-    key = lambda d, s: (F.coalesce(F.concat(F.lit("="), F.col(s)), F.lit("")), F.col(d))
-    places = places.select("slot", "position", *(c.alias(f"__kb_{n}") for c, n in zip(key("doc_id", "source"), "sd", strict=True)))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    source = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.xxhash64(*plain).cast("string")))
+    rows = docs.withColumn("__kb_s2", source("source")).withColumn("__kb_d2", key)
+    places = mix_sources(rows.select(F.col("__kb_d2").alias("doc_id"), "source"), weights, block)
+    places = places.select("slot", "position", source("source").alias("__kb_s"), F.col("doc_id").alias("__kb_d"))
     places = places.withColumn("__kb_k", F.row_number().over(Window.partitionBy("__kb_s", "__kb_d").orderBy("slot", "position")))
     places = places.select("__kb_s", "__kb_d", "__kb_k", (F.col("slot") * (1 << 31) + F.col("position")).alias("__kb_place"))
-    s, d = key("doc_id", "source")
-    rows = docs.withColumn("__kb_s2", s).withColumn("__kb_d2", d)
-    rows = rows.withColumn("__kb_k2", F.row_number().over(Window.partitionBy("__kb_s2", "__kb_d2").orderBy(F.xxhash64(*docs.columns))))
-    same = (F.col("__kb_s") == F.col("__kb_s2")) & F.col("__kb_d").eqNullSafe(F.col("__kb_d2")) & (F.col("__kb_k") == F.col("__kb_k2"))
+    rows = rows.withColumn("__kb_k2", F.row_number().over(Window.partitionBy("__kb_s2", "__kb_d2").orderBy(F.xxhash64(*plain))))
+    same = (F.col("__kb_s") == F.col("__kb_s2")) & (F.col("__kb_d") == F.col("__kb_d2")) & (F.col("__kb_k") == F.col("__kb_k2"))
     placed = rows.join(places, same).drop("__kb_s", "__kb_d", "__kb_k", "__kb_s2", "__kb_d2", "__kb_k2")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(parts, "__kb_place").sortWithinPartitions("__kb_place").select(*docs.columns)
