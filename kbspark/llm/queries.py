@@ -58,6 +58,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_source_mixing, op4_near_dedup, op5_html_text, op6_lm_scoring, op7_topk_search, op8_secret_scan, op9_packing, op10_quality)}
 
+
+
+def _secrets_sql() -> str:
+    """Spans by the lengths of the pieces between matches; counts of owners and repositories by value; then the rows."""
+    kinds = []
+    for k, (name, pattern, group, least) in enumerate(secrets.KINDS):
+        p = pattern.replace("'", "''")
+        rule = f"length(g) >= {least}" + (" and regexp_matches(m, '[0-9]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]')" if name == "opaque" else "")
+        kinds.append(
+            f"""select doc_id, owner, repository, {k} as kind, '{name}' as name, g, start, start + length(m) as stop from (select *, ms[i] as m, gs[i] as g, list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) as start
+ from (select *, unnest(range(1, len(ms) + 1)) as i from (select *, string_split_regex(text, '{p}') as parts, regexp_extract_all(text, '{p}', 0) as ms, regexp_extract_all(text, '{p}', {group}) as gs from t))) where {rule}"""
+        )
+    return f"""with t as (select doc_id, coalesce(text, '') as text, coalesce('=' || source, '') as owner, coalesce('=' || source, '') || '/' || coalesce(lang, '') as repository from documents),
+ found as ({" union all ".join(kinds)}),
+ clear as (select * from found f where kind < {len(secrets.BASE)} or not exists (select 1 from found b where b.doc_id = f.doc_id and b.kind < {len(secrets.BASE)} and b.start < f.stop and f.start < b.stop)),
+ seen as (select g, count(distinct owner) as owners, count(distinct repository) as repositories from clear group by 1),
+ shown as (select c.*, owners, repositories, owners <= {secrets.OWNERS} and repositories <= {secrets.REPOSITORIES} as live from clear c join seen using (g)),
+ a as (select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex, string_agg(name || ':' || start || ':' || stop, ',' order by start, kind, stop) filter (kind < {len(secrets.BASE)}) as base, string_agg(name || ':' || start || ':' || stop, ',' order by start, kind, stop) as spans,
+ count(*) filter (live) as n_live, count(*) filter (not live) as n_copied, max(owners) as max_owners, max(repositories) as max_repositories from shown where kind < {len(secrets.BASE)} or live group by 1)
+ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied,
+ coalesce(max_owners, 0) as max_owners, coalesce(max_repositories, 0) as max_repositories from t left join a using (doc_id)"""
+
+
 _SPLIT = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": f"""with d as (select doc_id, {_SPLIT} as w from documents),
@@ -75,4 +98,5 @@ ORACLES: dict[str, str] = {
     "op7_topk_search": """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
  p as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from p qualify rank <= 5""",
+    "op8_secret_scan": _secrets_sql(),
 }
