@@ -79,9 +79,9 @@ def run(spark: SparkSession, a: argparse.Namespace):
         case "views":
             return [asdict(v) for v in kb.views()]
         case "watch":
-            from kbspark.streaming.watch import watch
+            from kbspark.streaming.watch import rendered
 
-            return watch(spark, kb.store, kb.root, kb.policy(), lambda s: print(dumps(asdict(s)), flush=True), a.interval).awaitTermination()
+            return kb.watch(lambda s: print("\n".join(rendered(s)), flush=True), a.interval).awaitTermination()
         case "work-create":
             return asdict(kb.work_create(a.name))
         case "work-abort":

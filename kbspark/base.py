@@ -10,6 +10,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
+import uuid
+from collections.abc import Iterator
 from dataclasses import asdict
 from pathlib import Path
 
@@ -21,7 +23,7 @@ from kbspark.functions import paths
 from kbspark.operators import dedup, drift, merge, organize, recall, search
 from kbspark.sources import export, sinks, snapshots, transcripts
 from kbspark.sources.folder import Folder
-from kbspark.sources.vectors import VectorCache
+from kbspark.sources.vectors import EmbeddingError, VectorCache
 from kbspark.streaming import watch
 
 MODES = ("fts", "vector", "hybrid")
@@ -55,6 +57,7 @@ class KnowledgeBase:
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder
         self.folder, self.store = Folder(spark, self.root), snapshots.Store(spark, f"{self.root}/.kb/store")
         self.failed_sinks: list[str] = []
+        self.failed_embedding = ""
         if not self.folder.exists(".kb"):
             raise KbError(f"no knowledge base at {root}")
 
@@ -97,9 +100,8 @@ class KnowledgeBase:
         return entries.join(self.store.blobs().withColumn("text", F.when(F.is_valid_utf8(cut), cut)).drop("content"), "blob", "left")
 
     def _current(self) -> DataFrame:
-        entries, blobs = snapshots.scan_folder(self.spark, self.root)
-        self.store.put_blobs(blobs)
-        return entries
+        """The folder's entries; each file is read and hashed once, so entries and contents are of one moment."""
+        return snapshots.take_in(self.store, self.root)
 
     def _done(self, manifest: str, kind: str, by: str) -> str:
         """Fires the sinks and embeds a bounded number of new blobs where the policy searches by vector."""
@@ -108,18 +110,24 @@ class KnowledgeBase:
         if pol.sinks:
             self.failed_sinks = sinks.fire(pol.sinks, sinks.Event(sinks.COMMITTED, self.root, manifest, kind, by, head.count()))
         if pol.retrieval.mode in ("vector", "hybrid"):
-            self._cache().drain(self._texts(head), INLINE)
+            try:
+                self._cache().drain(self._texts(head), INLINE)
+            except EmbeddingError as e:  # the commit stands; what is left is embedded later
+                self.failed_embedding = str(e)
         return manifest
 
-    def _commit(self, entries: DataFrame, kind: str, by: str) -> str:
-        return self._done(self.store.commit(entries, kind, by), kind, by)
+    def _commit(self, entries: DataFrame, kind: str, by: str, expected=snapshots.ANY) -> str:
+        """expected: the head that entries were derived from."""
+        return self._done(self.store.commit(entries, kind, by, expected), kind, by)
 
     # --- operations ------------------------------------------------------------------------------------------------
 
     def scan(self, dry: bool = False) -> dict:
         """The folder as it is; labels and rules of the head aren't carried (reconcile carries them)."""
-        entries = snapshots.scan_folder(self.spark, self.root)[0] if dry else self._current()
-        return {"files": entries.count(), "manifest": None if dry else self._commit(entries, "observe", "scan")}
+        if dry:
+            return {"files": snapshots.scan_folder(self.spark, self.root)[0].count(), "manifest": None}
+        entries = self._current()
+        return {"files": entries.count(), "manifest": self._commit(entries, "observe", "scan")}
 
     def search(self, query: str, mode: str = "", limit: int = 20) -> DataFrame:
         """path, score, rank."""
@@ -128,16 +136,41 @@ class KnowledgeBase:
         if mode not in MODES:
             raise KbError(f"mode {mode!r}; one of {', '.join(MODES)}")
         limit = limit if limit > 0 else 20
-        tuned, head = settings.tuning(), self.store.at()
+        tuned, at = settings.tuning(), self.store.head
+        head = self.store.at(at)
         pool = limit * tuned["candidate_factor"] if mode == "hybrid" else limit
         found = []
         if mode != "vector":
-            found.append(search.full_text(search.indexed(self._texts(head)), query, pool))
+            found.append(search.full_text(self.index(at), query, pool))
         if mode != "fts":
             cache = self._cache()
             found.append(search.vector(cache.chunks_of(head), cache.query(query), pool))
         return search.fuse(*found, k=tuned["rrf_k"], limit=limit) if mode == "hybrid" else found[0]
 
+    def index(self, manifest: str | None) -> search.Index:
+        """The stored postings of a snapshot, made when they are first asked for; those of all but it and the one before go."""
+        if manifest is None:
+            return search.indexed(self._texts(self.store.at()))
+        marker = f".kb/index/{manifest}.ready"
+        if not self.folder.exists(marker):
+            place = f"{manifest}-{uuid.uuid4().hex}"
+            search.indexed(self._texts(self.store.at(manifest)), f"{self.root}/.kb/index/{place}")
+            if not self.folder.create(marker, place.encode()):  # another was first
+                self.folder.remove_all(f".kb/index/{place}")
+            keep = {manifest, self.store.manifest(manifest)["parent"]}
+            for name in self.folder.names(".kb/index"):
+                if name.endswith(".ready") and name[:-6] not in keep:
+                    old = self.folder.read(f".kb/index/{name}").decode()
+                    self.folder.remove_all(f".kb/index/{name}")
+                    self.folder.remove_all(f".kb/index/{old}")
+        return search.opened(self.spark, f"{self.root}/.kb/index/{self.folder.read(marker).decode()}")
+
+    def watch(self, on_pass, interval: str = "2 seconds"):
+        """A running loop that absorbs, organizes, indexes and, where the policy searches by vector, embeds."""
+        pol = self.policy()
+        cache = self._cache() if pol.retrieval.mode in ("vector", "hybrid") else None
+        return watch.watch(self.spark, self.store, self.root, pol, on_pass, interval, self.index, cache, self._texts)
+
     def find(self, query: str, mode: str = "", limit: int = 20) -> list[dict]:
         hits = self.search(query, mode, limit).select("path", "score", "rank")
         return _plain(hits.join(self.store.at().select("path", "blob", "labels"), "path").orderBy("rank"))
@@ -146,7 +179,8 @@ class KnowledgeBase:
         head = self.store.head or ""
         found = self.search(query, mode, recall.CANDIDATES).select("path", "score", "rank")
         items = recall.pack(found, self._texts(self.store.at()), query, budget, head)
-        return {"query": query, "budget": budget or recall.BUDGET, "used": sum(len(x["content"].encode()) for x in items) // recall.CHARS, "manifest": head, "items": items}
+        budget = budget if budget > 0 else recall.BUDGET
+        return {"query": query, "budget": budget, "used": sum(len(x["content"].encode()) for x in items) // recall.CHARS, "manifest": head, "items": items}
 
     def retain(self, content: str | bytes, path: str = "", day: datetime.date | None = None, transcript: bool = False) -> dict:
         """Writes one file and commits exactly that change."""
@@ -162,7 +196,7 @@ class KnowledgeBase:
         blob = "s2:" + hashlib.sha256(data).hexdigest()
         self.store.put_blobs(self.spark.createDataFrame([(blob, bytearray(data))], "blob string, content binary"))
         row = self.spark.createDataFrame([(name, blob, size, datetime.datetime.fromtimestamp(seconds, datetime.UTC), [], None)], snapshots.ENTRY)
-        return {"path": name, "manifest": self._commit(snapshots.retain(self.store.at(), row), "mutate", "retain")}
+        return {"path": name, "manifest": self._done(self.store.update(lambda head: snapshots.retain(head, row), "mutate", "retain"), "mutate", "retain")}
 
     def embed(self, most: int | None = None) -> dict:
         texts, cache = self._texts(self.store.at()), self._cache()
@@ -173,22 +207,29 @@ class KnowledgeBase:
         """Records of a snapshot in path order; written as JSON lines where a place is named."""
         manifest = at or self.store.head or ""
         entries = self._texts(self.store.at(manifest or None), export.TEXT_LIMIT)
-        rows = export.records(entries, manifest, filter.split(), self.root)
+        rows = export.records(entries, manifest, filter.split())
         if to:
             export.write(rows, to)
             return {"to": to, "manifest": manifest}
-        return [{k: v for k, v in json.loads(r["value"]).items()} for r in rows.orderBy("path").select(F.to_json(F.struct(*rows.columns)).alias("value")).toLocalIterator()]
+        return list(self.exported(rows))
+
+    @staticmethod
+    def exported(rows: DataFrame) -> Iterator[dict]:
+        """Records in path order, a partition at a time."""
+        for r in export.lines(rows).toLocalIterator():
+            yield json.loads(r["value"])
 
     def _planned(self) -> DataFrame:
         return organize.plan(self._texts(self.store.at(), P.CONTENT_LIMIT), self.policy())
 
     def org(self, apply: bool = False) -> dict:
         """The policy's plan for the head; with apply the files move, then the new state is committed."""
+        at = self.store.head
         planned = self._planned()
         out: dict = {"ops": _plain(planned.orderBy("path", "class")), "manifest": None}
         if apply and not planned.where("class in ('move', 'label', 'unsorted')").isEmpty():
             self._move(planned)
-            out["manifest"] = self._commit(organize.apply(self.store.at(), planned), "mutate", "org")
+            out["manifest"] = self._commit(organize.apply(self.store.at(at), planned), "mutate", "org", at)
         return out
 
     def _move(self, planned: DataFrame) -> None:
@@ -196,42 +237,42 @@ class KnowledgeBase:
         self.folder.move(lambda: ((r["path"], r["to"]) for r in moves.toLocalIterator()))
 
     def dedup(self, apply: bool = False) -> dict:
-        planned = dedup.plan(self.store.at(), self._lenient().dedup.strategy or "keep-oldest")
-        out: dict = {"groups": _plain(planned.orderBy("blob")), "manifest": None}
-        gone = dedup.removed(planned)
+        at = self.store.head
+        rows = dedup.members(self.store.at(at), self._lenient().dedup.strategy or "keep-oldest")
+        out: dict = {"groups": _plain(dedup.grouped(rows).orderBy("blob")), "manifest": None}
+        gone = dedup.removed(rows)
         if apply and not gone.isEmpty():
-            keep = planned.where("not is_conflict").select("keep")
-            self.folder.collapse((r[0] for r in keep.toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
-            out["manifest"] = self._commit(dedup.apply(self.store.at(), planned), "mutate", "dedup")
+            self.folder.collapse((r[0] for r in dedup.kept(rows).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
+            out["manifest"] = self._commit(dedup.apply(self.store.at(at), rows), "mutate", "dedup", at)
         return out
 
     def drift(self) -> dict:
         """Changes of the folder against the head, and what the policy and dedup would do after absorbing them; no commit."""
-        pol, head, now = self.policy(), self.store.at(), self._current()
-        absorbed = drift.absorb(head, now)
-        return {
-            "changes": _plain(drift.changes(head, now).orderBy("path", "kind")),
-            "ops": _plain(organize.plan(self._texts(absorbed, P.CONTENT_LIMIT), pol).orderBy("path", "class")),
-            "copies": _plain(dedup.plan(absorbed, pol.dedup.strategy or "keep-oldest").orderBy("blob")),
-        }
+        now = self._current()
+        got = self._reconciled(now, dry=True)
+        return {"changes": _plain(drift.changes(self.store.at(), now).orderBy("path", "kind")), "ops": _plain(got.ops.orderBy("path", "class")), "pending": got.pending, "copies": _plain(dedup.grouped(got.copies).orderBy("blob"))}
+
+    def _reconciled(self, now: DataFrame, dry: bool) -> watch.Summary:
+        return watch.reconcile(self.store, now, self._texts(now, P.CONTENT_LIMIT).select("path", "text"), self.policy(), dry=dry, folder=self.folder)
 
     def reconcile(self, apply: bool = False) -> dict:
+        """Absorbs, organizes and collapses; without apply, what that would do, one stage after the other, and nothing is changed."""
         if not apply:
             return self.drift()
-        now = self._current()
-        got = watch.reconcile(self.store, now, self._texts(now, P.CONTENT_LIMIT).select("path", "text"), self.policy(), folder=self.folder)
+        got = self._reconciled(self._current(), dry=False)
         for m, kind in ((got.absorbed, "observe"), (got.applied, "mutate"), (got.deduped, "mutate")):
             if m:
                 self._done(m, kind, "reconcile")
-        return asdict(got)
+        return {"absorbed": got.absorbed, "applied": got.applied, "deduped": got.deduped, "pending": got.pending}
 
     def log(self) -> list[dict]:
+        """id, depth, parent, kind, created_by, created_at and the number of entries, newest first."""
         return _plain(self.store.history())
 
     def undo(self) -> dict:
         """The head goes back to its parent; files follow where the undone snapshot had changed them."""
         head = self.store.head
-        kind = self.store.manifests().where(F.col("id") == head).first()["kind"] if head else None
+        kind = self.store.manifest(head)["kind"] if head else None
         undone, back = self.store.at(), self.store.undo()
         before = self.store.at()
         if kind == "mutate":
@@ -290,18 +331,30 @@ class KnowledgeBase:
         return self._keep(self.view(name).moved("ABORTED"))
 
     def work_merge(self, name: str, ranked: bool = True) -> tuple[merge.View, merge.Outcome]:
-        """Applied operations are committed; those held stay in the view, which goes on from the new head."""
-        view, head = self.view(name), self.store.at()
-        new, out = merge.merge(view, self.store.at(view.base), head, self.policy().rank() if ranked else None)
-        state = "ESCALATED" if out.held else "MERGED"
-        moved = view.moved(state, ops=tuple(o for o, _ in out.held), conflict="; ".join(r for _, r in out.held))
+        """Files of applied moves follow, then the new state is committed; what is held stays in the view, which goes on from the new head."""
+        view, at = self.view(name), self.store.head
+        new, out = merge.merge(view, self.store.at(view.base), self.store.at(at), self.policy().rank() if ranked else None)
+        return self._merged(view, merge.settled(view, out), new, out, at)
+
+    def _merged(self, before: merge.View, view: merge.View, new: DataFrame, out: merge.Outcome, at: str | None) -> tuple[merge.View, merge.Outcome]:
         if out.applied:
-            self._commit(new, "mutate", f"merge/{name}")
-            moved = merge.replace(moved, base=self.store.head)
-        return self._keep(moved), out
+            self.folder.move(lambda: _ends(out.moves))
+            self._commit(new, "mutate", f"merge/{before.name}", at)
+        return self._keep(merge.replace(view, base=self.store.head or "") if out.held else view), out
 
     def work_resolve(self, name: str, mine: bool) -> merge.View:
-        return self.work_merge(name, ranked=False)[0] if mine else self.work_abort(name)
+        """Only escalated views are resolved."""
+        view, at = self.view(name), self.store.head
+        new, moved, out = merge.resolve(view, self.store.at(at), mine)
+        return self._merged(view, moved, new, out, at)[0] if mine else self._keep(moved)
+
+
+def _ends(moves: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Moves of one file after another as one, from its first place to its last."""
+    first: dict[str, str] = {}
+    for source, to in moves:
+        first[to] = first.pop(source, source)
+    return [(s, t) for t, s in first.items() if s != t]
 
 
 #: name -> (method, what it does, parameters and their types, whether it changes anything); the services offer these.

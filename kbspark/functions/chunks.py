@@ -63,3 +63,11 @@ def embeddings(f=embed, prefix: str = ""):
 def truncate(text: str, limit: int) -> str:
     """Longest prefix of at most limit bytes."""
     return text.encode()[: max(0, limit)].decode("utf-8", "ignore")
+
+
+def truncated(limit: int):
+    @F.pandas_udf("string")
+    def f(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else truncate(t, limit))
+
+    return f

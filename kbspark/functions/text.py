@@ -1,20 +1,34 @@
-"""Tokens and phrase counts for full-text search."""
+"""Tokens of texts and phrases of queries for full-text search."""
 
 from __future__ import annotations
 
-import re
+import unicodedata
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to.
-ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüýÿñç"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyync"
+
+def _folds() -> tuple[str, str, str]:
+    """By Unicode's own decomposition: letters that are one plain letter with marks, those plain letters, and the marks."""
+    marks = [c for i in range(0x110000) if unicodedata.category(c := chr(i)) == "Mn"]
+    marked, plain = [], []
+    for i in range(0xC0, 0x30000):
+        parts = [x for x in unicodedata.normalize("NFD", chr(i)) if unicodedata.category(x) != "Mn"]
+        if len(parts) == 1 and parts[0] != chr(i) and unicodedata.category(chr(i)) != "Mn":
+            marked.append(chr(i)), plain.append(parts[0])
+    return "".join(marked), "".join(plain), "".join(marks)
+
+
+ACCENTED, PLAIN, MARKS = _folds()
+#: Letters, numbers and private-use characters, as in both of the regular expressions.
+_TOKENS = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
 def fold(text) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case, letters without their marks; marks that stand alone go."""
+    return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)
 
 
 def tokens(text) -> Column:
@@ -27,17 +41,5 @@ def path_terms(path) -> Column:
 
 def parse_query(query: str) -> list[list[str]]:
     """Phrases of a query: each white-space field gives its tokens, the last of them a prefix."""
-    plain = query.lower().translate(str.maketrans(ACCENTED, PLAIN))
-    return [re.findall(r"[^\W_]+", field) for field in plain.split()]
-
-
-def phrase_count(toks: str, phrase: list[str]) -> Column:
-    """Occurrences of a phrase in the token array; an empty phrase never occurs."""
-    k = len(phrase)
-    if not k:
-        return F.lit(0)
-    if k == 1:
-        return F.size(F.filter(toks, lambda t: t.startswith(phrase[0])))
-    # one pass over the joined tokens; looking ahead for the rest lets occurrences overlap, and the array is made once a row
-    first, rest = phrase[0], " ".join(phrase[1:])
-    return F.regexp_count(F.concat(F.lit(" "), F.array_join(toks, " ")), F.lit(f" {first}(?= {rest})"))
+    plain = query.lower().translate(str.maketrans(ACCENTED, PLAIN, MARKS))
+    return [_TOKENS.findall(field) for field in plain.split()]

@@ -42,8 +42,8 @@ STEPS = 1 << 16
 PRIOR, SMOOTH = 400.0, 1.0
 #: Distinct words that a worker holds before it gives them on.
 FLUSH = 300_000
-#: Tokens that a worker takes at a time.
-RUN = 1 << 19
+#: Tokens that a worker steps through at a time; texts that it encodes at a time.
+RUN, TEXTS = 1 << 18, 512
 _SUMS = "doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, log_class double"
 _ENCODED = f"{_SUMS}, tail array<struct<word:string,n:long>>, ids binary"
 _PLAIN = ("rid", "doc_id", "held_out", "n_tokens", "n_known", "log_known", "log_class")
@@ -166,7 +166,7 @@ def _encode(head: list[bytes], counts: np.ndarray, totals: np.ndarray, end: int)
         places, m = Places(head), len(head)
         kind, logs, log_end = symbol_type(m + len(totals)), np.append(np.log10(counts + 1.0), 0.0), math.log10(end + 1.0)
         log_totals = np.log10(totals)
-        for batch in batches:
+        for batch in (whole.slice(lo, TEXTS) for whole in batches for lo in range(0, len(whole), TEXTS)):
             texts = batch.column("text").cast(pa.binary())
             n, known, log_known, log_class, packed = [], [], [], [], []
             tail_words, tail_counts, tail_ends = [], [], [0]

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.operators.numbering import numbered
 from kbspark.policy import PINNED
+from kbspark.sources.durable import written
 
 
 def changes(head: DataFrame, current: DataFrame) -> DataFrame:
-    """kind, path, from_path, blob; each leftover pair of equal blobs is one rename, paired in path order."""
+    """kind, path, from_path, blob; each leftover pair of equal blobs is one rename, paired in path order.
+
+    Numbers are given across partitions, so one content at many paths (empty files, say) isn't one task's.
+    """
     h, c = head.select("path", F.col("blob").alias("old")), current.select("path", F.col("blob").alias("new"))
-    both = h.join(c, "path", "full_outer")
+    both = written(h.join(c, "path", "full_outer").where(~F.col("old").eqNullSafe(F.col("new"))), "differences")
     modified = both.where("old is not null and new is not null and old <> new").select(F.lit("modified").alias("kind"), "path", F.lit(None).cast("string").alias("from_path"), F.col("new").alias("blob"))
-    turn = F.row_number().over(Window.partitionBy("blob").orderBy("path"))
-    added = both.where("old is null").select("path", F.col("new").alias("blob")).withColumn("k", turn)
-    gone = both.where("new is null").select(F.col("path").alias("from_path"), F.col("old").alias("blob"))
-    gone = gone.withColumn("k", F.row_number().over(Window.partitionBy("blob").orderBy("from_path")))
+    added = numbered(both.where("old is null").select("path", F.col("new").alias("blob")), "blob", "path")
+    gone = numbered(both.where("new is null").select(F.col("path").alias("from_path"), F.col("old").alias("blob")), "blob", "from_path")
     pairs = added.join(gone, ["blob", "k"], "full_outer")
     kind = F.when(F.col("path").isNull(), "removed").when(F.col("from_path").isNull(), "added").otherwise("renamed")
     rest = pairs.select(kind.alias("kind"), F.coalesce("path", "from_path").alias("path"), F.when(kind == "renamed", F.col("from_path")).alias("from_path"), "blob")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.operators.drift import changed_paths
+from kbspark.sources.durable import written
 
 STATES = {"CREATED": {"PROPOSED", "STAGED", "ABORTED"}, "PROPOSED": {"STAGED", "ABORTED"}, "STAGED": {"STAGED", "MERGED", "ESCALATED", "ABORTED"}, "ESCALATED": {"STAGED", "MERGED", "ESCALATED", "ABORTED"}, "MERGED": set(), "ABORTED": set()}
 
@@ -36,73 +37,148 @@ class View:
 
 @dataclass
 class Outcome:
+    """moves: from where to where files go, in the order of the operations."""
+
     applied: list[Op] = field(default_factory=list)
     dropped: list[Op] = field(default_factory=list)
     held: list[tuple[Op, str]] = field(default_factory=list)
+    moves: list[tuple[str, str]] = field(default_factory=list)
+
+
+OPS = "seq long, path string, to string, labels array<string>, rule string"
+_EDITS = "path string, __to string, __add array<string>, __rule string"
+
+
+def table_of(spark: SparkSession, ops: Iterable[Op]) -> DataFrame:
+    return spark.createDataFrame([(i, o.path, o.to, list(o.labels), o.rule) for i, o in enumerate(ops)], OPS)
 
 
 def stage(view: View, base: DataFrame, ops: list[Op]) -> View:
-    paths = [o.path for o in ops]
-    known = {r["path"] for r in base.where(F.col("path").isin(paths)).select("path").collect()}
-    if missing := [p for p in paths if p not in known]:
+    wanted = table_of(base.sparkSession, ops)
+    if missing := [r["path"] for r in wanted.join(base.select("path"), "path", "left_anti").orderBy("seq").collect()]:
         raise ValueError(f"not in the base: {missing}")
     if bad := [o.to for o in ops if o.to.startswith("/") or o.to == ".." or o.to.startswith("../")]:
         raise ValueError(f"leaves the collection: {bad}")
     return view.moved("STAGED", ops=(*view.ops, *ops))
 
 
-def merge(view: View, base: DataFrame, head: DataFrame, rank: dict[str, int] | None = None) -> tuple[DataFrame, Outcome]:
-    """(new head, outcome).  Spark narrows base and head to the rows that the ops touch; only those are folded in op order."""
-    names = sorted({x for o in view.ops for x in (o.path, o.to) if x})
-    touched = base.where(F.col("path").isin(names)).select("path", "blob")
-    blob_of = {r["path"]: r["blob"] for r in touched.collect()}
-    changed = {r["path"] for r in changed_paths(base, head).where(F.col("path").isin(names)).collect()}
-    blobs = [b for p, b in blob_of.items() if p in {o.path for o in view.ops}]
-    near = head.where(F.col("path").isin(names) | F.col("blob").isin(blobs)).select("path", "blob", "labels", "rule").orderBy("path").collect()
-    rows = {r["path"]: {"from": r["path"], "blob": r["blob"], "labels": list(r["labels"] or []), "rule": r["rule"] or ""} for r in near}
-    rank, out = rank or {}, Outcome()
-    for op in view.ops:
-        path, reason = op.path, ""
-        goal = op.to or op.path
-        if path not in rows:
-            moved = next((p for p in sorted(rows) if rows[p]["blob"] == blob_of.get(op.path)), None)
-            if moved is None:
-                reason = "the file is gone"
-            elif op.to and moved != op.to:
-                weak, strong = rank.get(rows[moved]["rule"], -1), rank.get(op.rule, -1)
-                if weak < 0 or strong < 0:
-                    reason = f"moved to {moved} meanwhile"
-                elif strong >= weak:
-                    out.dropped.append(op)
-                    continue
-            path, goal = moved, op.to or moved
-        elif path in changed and rows[path]["blob"] != blob_of.get(op.path) and op.to:
-            weak, strong = rank.get(rows[path]["rule"], -1), rank.get(op.rule, -1)
-            if weak < 0 or strong < 0:
-                reason = "the content changed meanwhile"
-            elif strong >= weak:
-                out.dropped.append(op)
-                continue
-        if not reason and goal != path and goal in rows:
-            reason = f"{goal} is occupied"
-        if reason:
-            out.held.append((op, reason))
-            continue
-        row = rows.pop(path)
-        row["labels"] += [x for x in op.labels if x not in row["labels"]]
-        row["rule"] = op.rule or row["rule"]
-        rows[goal] = row
-        out.applied.append(op)
+def _placed(ops: DataFrame, base: DataFrame, head: DataFrame) -> DataFrame:
+    """ops with was (blob in the base), blob (in the head; null: gone), follow (first path in the head that holds was)."""
+    b, h = base.select("path", F.col("blob").alias("was")), head.select("path", "blob")
+    leaving = ops.where("to <> ''").select("path").distinct().withColumn("leaves", F.lit(True))
+    out = written(ops.join(b, "path", "left").join(h, "path", "left").join(leaving, "path", "left"), "placed")
+    # a path that is gone, or that an operation of the same view may empty
+    lost = F.col("blob").isNull() | F.col("leaves").isNotNull()
+    wanted = out.where(lost).select("was").distinct()
+    follow = h.join(wanted, F.col("blob") == F.col("was"), "left_semi").groupBy(F.col("blob").alias("was")).agg(F.min("path").alias("follow"))
+    return written(out.join(follow, "was", "left").withColumn("follow", F.when(lost, F.col("follow"))).drop("leaves"), "placed-operations")
+
+
+def _fold(ops: list, rows: dict[str, dict], rank: dict[str, int]) -> tuple[list[tuple], list[tuple[str, str]]]:
+    """(seq, status, reason) of ops in their order, and the moves; rows, the head's by path, are changed in place."""
+    out, moves = [], []
+    now_at = {p: p for p in rows}  # where each of the head's rows is by now
+
+    def put(path: str, op) -> None:
+        row = rows[path]
+        if op["to"] and op["to"] != path:
+            moves.append((path, op["to"]))
+            rows[op["to"]] = rows.pop(path)
+            now_at[row["first"]] = op["to"]
+        row["add"] += [x for x in op["labels"] if x not in row["add"] and x not in row["labels"]]
+        row["rule"] = op["rule"] or row["rule"]
+        out.append((op["seq"], "applied", ""))
+
+    for op in ops:
+        path, to = op["path"], op["to"]
+        row = rows.get(path)
+        taken = bool(to) and to != path and to in rows
+        if row is None:
+            # gone: labels follow the file; a move only if the file is where it should go
+            now = now_at.get(op["follow"])
+            if now and (not to or now == to):
+                put(now, op)
+            else:
+                out.append((op["seq"], "held", f"moved to {now} meanwhile" if now else "the file is gone"))
+        elif op["blob"] == op["was"] or not to or to == path:
+            if taken:
+                out.append((op["seq"], "held", f"{to} is occupied"))
+            else:
+                put(path, op)
+        else:
+            own, theirs = rank.get(op["rule"], -1) if op["rule"] else -1, rank.get(row["rule"], -1) if row["rule"] else -1
+            if own < 0 or theirs < 0:
+                out.append((op["seq"], "held", "the content changed meanwhile"))
+            elif own >= theirs:
+                out.append((op["seq"], "dropped", f"rule {row['rule']} stands"))
+            elif taken:
+                out.append((op["seq"], "held", f"{to} is occupied"))
+            else:
+                put(path, op)
+    return out, moves
+
+
+def merge_table(ops: DataFrame, base: DataFrame, head: DataFrame, rank: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
+    """(new head, outcome (seq, status, reason), moves) of ops (seq, path, to, labels, rule; to empty: labels only).
+
+    In the order of seq, an operation on a path whose content is still the base's applies, as do labels on a path whose content
+    changed, and a move to where the file is already.  Where the path is gone, labels follow the file, and a move does only
+    if the file is where it should go; else it is held.  A move of a path whose content changed is settled by the order of
+    the rules, and held where either side has none.  An occupied target holds a move.
+
+    Labels on paths that no move of ops touches don't depend on the order but for the last rule; they are joined.  Only the
+    moves, and what shares a path with them, are folded one by one on the driver, with the head's rows of those paths.
+    """
     spark = head.sparkSession
-    edits = spark.createDataFrame([(r["from"], p, r["labels"], r["rule"] or None) for p, r in rows.items()], "path string, __to string, __labels array<string>, __rule string")
-    new = head.join(F.broadcast(edits), "path", "left").withColumn("labels", F.coalesce("__labels", "labels")).withColumn("rule", F.coalesce("__rule", "rule")).withColumn("path", F.coalesce("__to", "path")).drop("__to", "__labels", "__rule")
+    placed = _placed(ops.withColumns({"to": F.coalesce("to", F.lit("")), "labels": F.coalesce("labels", F.array().cast("array<string>")), "rule": F.coalesce("rule", F.lit(""))}), base, head)
+    names = F.array_compact(F.array("path", F.when(F.col("to") != "", F.col("to")), "follow"))
+    shared = written(placed.where("to <> ''").select(F.explode(names).alias("name")).distinct(), "move-paths")
+    folded = placed.withColumn("name", F.explode(names)).join(shared, "name", "left_semi").select("seq").distinct()
+    joined = placed.join(folded, "seq", "left_anti").withColumn("at", F.coalesce(F.when(F.col("blob").isNotNull(), F.col("path")), F.col("follow")))
+    done = joined.where("at is not null")
+    last = F.max_by(F.col("rule"), F.when(F.col("rule") != "", F.col("seq")))
+    added = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "labels"))), lambda x: x["labels"])))
+    edits = done.groupBy("at").agg(added.alias("__add"), last.alias("__rule")).select(F.col("at").alias("path"), F.lit(None).cast("string").alias("__to"), "__add", "__rule")
+    outcome = joined.select("seq", F.when(F.col("at").isNotNull(), "applied").otherwise("held").alias("status"), F.when(F.col("at").isNull(), "the file is gone").otherwise("").alias("reason"))
+
+    moving = [r.asDict() for r in placed.join(folded, "seq", "left_semi").orderBy("seq").collect()]
+    touched = placed.join(folded, "seq", "left_semi").select(F.explode(names).alias("path")).distinct()
+    near = head.join(touched, "path", "left_semi").select("path", "blob", "labels", "rule").orderBy("path").collect()
+    rows = {r["path"]: {"first": r["path"], "blob": r["blob"], "labels": list(r["labels"] or []), "add": [], "rule": r["rule"] or "", "had": r["rule"] or ""} for r in near}
+    verdicts, moves = _fold(moving, rows, rank or {})
+    changed = [(r["first"], p, r["add"], r["rule"] or None) for p, r in rows.items() if p != r["first"] or r["add"] or r["rule"] != r["had"]]
+    edits = edits.unionByName(spark.createDataFrame(changed, _EDITS))
+    outcome = outcome.unionByName(spark.createDataFrame(verdicts, "seq long, status string, reason string"))
+    none = F.array().cast("array<string>")
+    new = head.join(edits, "path", "left").withColumn("labels", F.array_union(F.coalesce("labels", none), F.coalesce("__add", none))).withColumn("rule", F.coalesce("__rule", "rule")).withColumn("path", F.coalesce("__to", "path"))
+    return new.drop("__to", "__add", "__rule"), outcome, moves
+
+
+def merge(view: View, base: DataFrame, head: DataFrame, rank: dict[str, int] | None = None) -> tuple[DataFrame, Outcome]:
+    """(new head, outcome) of a view's staged operations."""
+    out = Outcome()
+    new, outcome, out.moves = merge_table(table_of(head.sparkSession, view.ops), base, head, rank)
+    for r in outcome.orderBy("seq").collect():
+        op = view.ops[r["seq"]]
+        if r["status"] == "held":
+            out.held.append((op, r["reason"]))
+        else:
+            (out.applied if r["status"] == "applied" else out.dropped).append(op)
     return new, out
 
 
-def resolve(view: View, base: DataFrame, head: DataFrame, mine: bool):
-    """theirs: the view is given up; mine: merged again without ranks, and may stay escalated."""
+def settled(view: View, out: Outcome) -> View:
+    """The view after a merge: merged, or escalated with what is held."""
+    if not out.held:
+        return view.moved("MERGED", ops=(), conflict="")
+    return view.moved("ESCALATED", ops=tuple(o for o, _ in out.held), conflict="; ".join(r for _, r in out.held))
+
+
+def resolve(view: View, head: DataFrame, mine: bool):
+    """Of an escalated view.  theirs: the view is given up; mine: merged again, from the head as its base and without ranks; it may stay escalated."""
+    if view.state != "ESCALATED":
+        raise ValueError(f"{view.name} is {view.state}, not ESCALATED")
     if not mine:
         return head, view.moved("ABORTED"), Outcome()
-    new, out = merge(view, base, head)
-    state = "ESCALATED" if out.held else "MERGED"
-    return new, view.moved(state, ops=tuple(o for o, _ in out.held), conflict="; ".join(r for _, r in out.held)), out
+    new, out = merge(view, head, head)
+    return new, settled(view, out), out

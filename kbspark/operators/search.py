@@ -2,40 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pickle
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kbspark.functions.text import parse_query, path_terms, phrase_count, tokens
+from kbspark.functions.text import parse_query, path_terms, tokens
+from kbspark.interfaces import TextIndex
+from kbspark.sources.durable import release, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def indexed(entries: DataFrame) -> DataFrame:
-    """path, blob, labels, toks by column and total length."""
+@dataclass(frozen=True)
+class Index:
+    """docs (doc, path, blob, labels, len) and postings (token, doc, pos), dealt and sorted by token.
+
+    Positions run through path, labels and body with a gap between, so no phrase spans two of them.  A query reads the row
+    groups that its tokens fall in, and no text.
+    """
+
+    docs: DataFrame
+    postings: DataFrame
+
+
+def indexed(entries: DataFrame, path: str = "") -> Index:
+    """The index of entries (path, blob, labels, text), each text read once; kept under path, or as an intermediate."""
+    spark = entries.sparkSession
     body = F.concat_ws("\n", path_terms("path"), F.col("text"))
-    t = entries.select("path", "blob", "labels", tokens("path").alias("tp"), tokens(F.array_join("labels", " ")).alias("tl"), tokens(body).alias("tb"))
-    return t.withColumn("len", F.size("tp") + F.size("tl") + F.size("tb"))
+    none, gap = F.array().cast("array<string>"), F.array(F.lit(""))
+    parts = [F.coalesce(tokens(x), none) for x in (F.col("path"), F.array_join("labels", " "), body)]
+    cut = entries.select("path", "blob", "labels", F.concat(parts[0], gap, parts[1], gap, parts[2]).alias("toks"))
+    cut = written(cut.withColumn("doc", F.monotonically_increasing_id()), "tokens")
+    docs = cut.select("doc", "path", "blob", "labels", (F.size("toks") - 2).alias("len"))
+    postings = cut.select("doc", F.posexplode("toks").alias("pos", "token")).where("token <> ''").select("token", "doc", "pos")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = postings.repartitionByRange(tasks, "token", "doc").sortWithinPartitions("token", "doc", "pos")
+    if not path:
+        out = Index(written(docs, "docs"), written(postings, "postings"))
+    else:
+        docs.write.parquet(f"{path}/docs")
+        postings.write.parquet(f"{path}/postings")
+        out = opened(spark, path)
+    release(cut)
+    return out
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+    return Index(read("docs", "doc long, path string, blob string, labels array<string>, len int"), read("postings", "token string, doc long, pos int"))
+
 
+def _occurrences(postings: DataFrame, phrase: list[str]) -> DataFrame:
+    """doc, n: how often the phrase occurs, its last token as a prefix."""
+    *first, last = phrase
+    rows = postings.where(F.col("token").startswith(last)).select("doc", (F.col("pos") - len(first)).alias("at"))
+    if first:
+        for j, word in enumerate(first):
+            rows = rows.unionByName(postings.where(F.col("token") == word).select("doc", (F.col("pos") - j).alias("at")))
+        rows = rows.groupBy("doc", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(phrase))
+    return rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
 
-def full_text(index: DataFrame, query: str, limit: int = 20, mode: str | None = None) -> DataFrame:
+
+def full_text(index: TextIndex, query: str, limit: int = 20, mode: str | None = None) -> DataFrame:
     """path, blob, labels, score, rank: all phrases, or any where no row has all (mode 'and' / 'or' fixes it).
 
-    One pass counts phrases per row; the corpus figures are one aggregate row, joined back as a bounded broadcast.
+    The counts of the phrases come from the postings; the corpus figures are one aggregate row, joined back as a bounded broadcast.
     """
     phrases = parse_query(query)
-    if not phrases:
-        return index.select("path", "blob", "labels", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    if not any(phrases):
+        return index.docs.select("path", "blob", "labels", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     limit = limit if limit > 0 else 20
     n = range(len(phrases))
-    counts = index.select("path", "blob", "labels", "len", *(sum((phrase_count(c, p) for c in ("tp", "tl", "tb")), F.lit(0)).alias(f"f{i}") for i, p in enumerate(phrases)))
-    hits = [F.col(f"f{i}") > 0 for i in n]
-    everything = hits[0]
-    for h in hits[1:]:
-        everything = everything & h
-    stats = counts.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"), F.max(everything.cast("int")).alias("strict"), *(F.sum(h.cast("long")).alias(f"n{i}") for i, h in enumerate(hits)))
-    rows = counts.join(F.broadcast(stats))
+    found = None
+    for i in n:
+        if phrases[i]:  # a field without a token never occurs
+            rows = _occurrences(index.postings, phrases[i]).select("doc", F.lit(i).alias("i"), "n")
+            found = rows if found is None else found.unionByName(rows)
+    counts = found.groupBy("doc").agg(*(F.sum(F.when(F.col("i") == i, F.col("n")).otherwise(0)).alias(f"f{i}") for i in n))
+    everything = F.lit(True)
+    for i in n:
+        everything = everything & (F.col(f"f{i}") > 0)
+    stats = counts.agg(F.max(everything.cast("int")).alias("strict"), *(F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"n{i}") for i in n))
+    corpus = index.docs.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"))
+    rows = counts.join(F.broadcast(stats.join(F.broadcast(corpus))))
     wanted = {"and": F.lit(1), "or": F.lit(0)}.get(mode or "", F.col("strict")) == 1
-    rows = rows.where(F.when(wanted, everything).otherwise(F.greatest(F.lit(0), F.lit(0), *(F.col(f"f{i}") for i in n)) > 0))
+    rows = rows.where(~wanted | everything).join(index.docs, "doc")
     score = F.lit(0.0)
     for i in n:
         idf = F.log((F.col("rows") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
@@ -45,6 +101,67 @@ def full_text(index: DataFrame, query: str, limit: int = 20, mode: str | None =
     return ranked(top)
 
 
+def full_text_batch(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """qid, path, score of every row that a query of a stated set (qid, text) finds: its whole ranking.
+
+    Each distinct phrase is looked up once.  A prefix meets the vocabulary on its first three characters, then is compared.
+    """
+    spark = index.docs.sparkSession
+    asked = [(r["qid"], i, " ".join(p), len(p)) for r in queries.select("qid", "text").collect() for i, p in enumerate(parse_query(r["text"] or ""))]
+    phrases = spark.createDataFrame(asked, "qid string, i int, phrase string, k int")
+    sizes = phrases.groupBy("qid").agg(F.count(F.lit(1)).alias("phrases"))
+    words = phrases.where("k > 0").select("phrase", "k").distinct().select("phrase", "k", F.posexplode(F.split("phrase", " ")).alias("j", "word"))
+    exact = words.where("j < k - 1").select("phrase", "k", "j", F.col("word").alias("token"))
+    vocabulary = index.postings.select("token").distinct().withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("token", 1, n) for n in (1, 2, 3))))))
+    prefixes = words.where("j = k - 1").withColumn("key", F.substring("word", 1, 3))
+    opened = vocabulary.join(prefixes, "key").where(F.col("token").startswith(F.col("word"))).select("phrase", "k", "j", "token")
+    hits = index.postings.join(exact.unionByName(opened), "token").groupBy("phrase", "k", "doc", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("n")).where("n = k")
+    f = written(hits.groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("f")), "occurrences")
+    df = f.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    corpus = index.docs.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"))
+    rows = phrases.join(f, "phrase").join(df, "phrase").join(index.docs.select("doc", "path", "len"), "doc").join(F.broadcast(corpus))
+    idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    scored = rows.groupBy("qid", "path").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found")).join(sizes, "qid")
+    strict = scored.where("found = phrases").select("qid").distinct().withColumn("strict", F.lit(True))
+    return scored.join(strict, "qid", "left").where("strict is null or found = phrases").select("qid", "path", "score")
+
+
+def in_scope(scored: DataFrame, scope: DataFrame) -> DataFrame:
+    """qid, path, rank of rankings (qid, path, score), cut to the scope (qid, path) of each query before they are numbered."""
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path"))
+    return scored.join(scope, ["qid", "path"], "left_semi").select("qid", "path", rank.alias("rank"))
+
+
+def vector_scores(chunks: DataFrame, queries: DataFrame, scope: DataFrame) -> DataFrame:
+    """qid, path, score for the paths in the scope of each query (qid, q) only: its whole ranking there."""
+    pairs = scope.join(queries.select("qid", "q"), "qid").join(chunks.select("path", "vec"), "path")
+    return pairs.groupBy("qid", "path").agg(F.max(dot("vec", "q")).alias("score"))
+
+
+def fuse_batch(*lists: DataFrame, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of the rankings (qid, path, rank) of each query."""
+    out = lists[0]
+    for x in lists[1:]:
+        out = out.unionByName(x)
+    score = out.groupBy("qid", "path").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+    return score.select("qid", "path", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path")).alias("rank"))
+
+
+def evaluate(benchmark, cache, mode: str = "hybrid") -> DataFrame:
+    """Metrics of each question of a benchmark; rankings are cut to a question's scope before they are fused and judged."""
+    found = []
+    entries = benchmark.files.select("path", F.concat(F.lit("s2:"), F.sha2(F.col("text").cast("binary"), 256)).alias("blob"), F.array().cast("array<string>").alias("labels"), "text")
+    if mode != "vector":
+        found.append(in_scope(full_text_batch(indexed(entries), benchmark.queries), benchmark.scope))
+    if mode != "fts":
+        cache.drain(entries)
+        held = benchmark.queries.select("qid", "text").collect()  # a stated set
+        asked = benchmark.queries.sparkSession.createDataFrame([(r["qid"], cache.query(r["text"])) for r in held], "qid string, q array<double>")
+        found.append(in_scope(vector_scores(cache.chunks_of(entries), asked, benchmark.scope), benchmark.scope))
+    return metrics(fuse_batch(*found) if mode == "hybrid" else found[0], benchmark.gold)
+
+
 def ranked(top: DataFrame) -> DataFrame:
     """Numbers an already limited list."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
@@ -66,11 +183,66 @@ def vector(chunks: DataFrame, query: list[float], limit: int = 20) -> DataFrame:
     return ranked(scored.groupBy("path").agg(F.max("s").alias("score")).orderBy(F.desc("score"), "path").limit(limit if limit > 0 else 20))
 
 
-def vector_batch(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """qid, path, score, rank for a stated set of queries (qid, q) against all chunks, the queries in one broadcast list."""
-    held = queries.agg(F.collect_list(F.struct("qid", "q")).alias("qs"))
-    pairs = chunks.join(F.broadcast(held)).select("path", "vec", F.explode("qs").alias("x")).select("path", "vec", "x.qid", "x.q")
-    best = pairs.withColumn("s", dot("vec", "q")).groupBy("qid", "path").agg(F.max("s").alias("score"))
+def _packed(column: str, names: tuple[str, ...]):
+    """One row a block: its number, its vectors as doubles, and names as they are."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(part[column].to_numpy()).astype(np.float64)
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "data": [pickle.dumps((vectors, *(part[n].tolist() for n in names)))]})
+
+    return run
+
+
+def _scored(limit: int):
+    """Rows in the order of (block, turn): a block of chunks (turn -1), then the blocks of queries for it."""
+
+    def best(vectors, paths, queries, ids, skips):
+        order = np.argsort(np.array(paths, object), kind="stable")
+        names, first = np.unique(np.array(paths, object)[order], return_index=True)
+        vectors = vectors[order]
+        pooled = np.maximum.reduceat(queries @ vectors.T, first, axis=1)
+        most = min(len(names), limit + 1)  # one more than wanted: the path to skip may be among them
+        cut = np.partition(pooled, len(names) - most, axis=1)[:, len(names) - most]
+        ends = np.append(first[1:], len(vectors))
+        for q in range(len(ids)):
+            # products of matrices round by place, so what is near the cut is multiplied once more, one by one
+            for p in np.flatnonzero(pooled[q] >= cut[q] - 1e-9 * (1 + abs(cut[q]))).tolist():
+                if names[p] != skips[q]:
+                    yield ids[q], names[p], float((vectors[first[p] : ends[p]] * queries[q]).sum(axis=1).max())
+
+    def run(batches):
+        chunks = None
+        for batch in batches:
+            for turn, data in zip(batch.column("turn").to_pylist(), batch.column("data"), strict=True):
+                if turn < 0:
+                    chunks = pickle.loads(data.as_py())
+                    continue
+                rows = list(best(*chunks, *pickle.loads(data.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], names=["qid", "path", "s"])
+
+    return run
+
+
+def vector_batch(chunks: DataFrame, queries: DataFrame, limit: int = 20, rows: int = 8192, most: int = 512) -> DataFrame:
+    """qid, path, score, rank of the best paths for a stated set of queries (qid, q, and skip, a path left out, if there) against all chunks (path, vec).
+
+    Chunks are dealt to blocks of about rows, queries to blocks of about most; each block of chunks stays in one task, the
+    blocks of queries come to it one at a time, and of each only the best limit paths a query go on.
+    """
+    spark = chunks.sparkSession
+    if "skip" not in queries.columns:
+        queries = queries.withColumn("skip", F.lit(None).cast("string"))
+    chunks, queries = chunks.select("path", "vec").where("path is not null and vec is not null"), queries.select("qid", "q", "skip").where("q is not null")
+    # two counts: numbers of blocks
+    n = -(-chunks.count() // rows) or 1
+    m = -(-queries.count() // most) or 1
+    held = chunks.withColumn("block", F.expr(f"cast(pmod(xxhash64(path, monotonically_increasing_id()), {n}) as int)")).groupBy("block").applyInPandas(_packed("vec", ("path",)), "block int, data binary")
+    asked = queries.withColumn("block", F.expr(f"cast(pmod(xxhash64(qid), {m}) as int)")).groupBy("block").applyInPandas(_packed("q", ("qid", "skip")), "block int, data binary")
+    asked = asked.select(F.col("block").alias("turn"), "data").withColumn("block", F.explode(F.expr(f"sequence(0, {n - 1})")))
+    both = held.select("block", F.lit(-1).alias("turn"), "data").unionByName(asked.select("block", "turn", "data"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = both.repartition(tasks, "block").sortWithinPartitions("block", "turn").select("turn", "data").mapInArrow(_scored(limit), "qid long, path string, s double")
+    best = found.groupBy("qid", "path").agg(F.max("s").alias("score"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path"))).where(F.col("rank") <= limit)
 
 

@@ -9,6 +9,7 @@ from kbspark import policy as P
 from kbspark.functions.chunks import chunks
 from kbspark.operators import dedup, drift, merge, organize, recall, search
 from kbspark.sources import export, snapshots, transcripts
+from kbspark.sources.durable import new_path
 
 POLICY = """
 [[rule]]
@@ -32,7 +33,8 @@ match = { ext = ["log"] }
 label = ["log", "good"]
 """
 QUERY_AND, QUERY_OR = "the tion", "token license"
-VECTORS_EVERY = 50
+#: A search's queries are the rows whose id is divisible by this.
+VECTORS_EVERY = 20
 
 
 def entries_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +108,7 @@ def apply_plan(spark, sf):
 
 def _dedup(strategy):
     def run(spark, sf):
-        return dedup.plan(entries_of(spark, sf), strategy).select("blob", "keep", joined("paths").alias("paths"), "is_conflict")
+        return dedup.members(entries_of(spark, sf), strategy).select("blob", "path", "n", "keep", "is_conflict")
 
     return run
 
@@ -117,13 +119,13 @@ QUERIES["dedup_plan_oldest"], QUERIES["dedup_plan_newest"] = _dedup("keep-oldest
 @query
 def dedup_apply(spark, sf):
     e = entries_of(spark, sf)
-    return dedup.apply(e, dedup.plan(e)).select("path", "blob")
+    return dedup.apply(e, dedup.members(e)).select("path", "blob")
 
 
 @query
 def dedup_conflicts(spark, sf):
     """Groups whose oldest copies are of the same time, and how many paths a person has to choose from."""
-    return dedup.plan(entries_of(spark, sf)).where("is_conflict").select("blob", F.size("paths").cast("long").alias("n"), joined("paths").alias("paths"))
+    return dedup.members(entries_of(spark, sf)).where("is_conflict").select("blob", "n", "path")
 
 
 @query
@@ -149,14 +151,14 @@ def revert_plan(spark, sf):
 @query
 def history(spark, sf):
     n = spark.read.parquet(f"{sf}/nation.parquet")
-    m = n.selectExpr("concat('M', n_nationkey) as id", "if(n_nationkey = 0, null, concat('M', cast(n_nationkey - 1 - n_nationkey % 2 as int))) as parent", "if(n_regionkey = 0, 'observe', 'mutate') as kind", "n_name as created_by")
-    return snapshots.history(m, "M24").select("id", "depth", "parent", "kind", "created_by")
+    m = n.selectExpr("concat('M', n_nationkey) as id", "if(n_nationkey = 0, null, concat('M', cast(n_nationkey - 1 - n_nationkey % 2 as int))) as parent", "if(n_regionkey = 0, 'observe', 'mutate') as kind", "n_name as created_by", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(n_nationkey) as created_at", "cast(n_regionkey as bigint) as entries")
+    return snapshots.history(m, "M24").select("id", "depth", "parent", "kind", "created_by", "created_at", "entries")
 
 
 @query
 def export_records(spark, sf):
     rows = export.records(entries_of(spark, sf), "M1", ["label:good", "path:doc-*.md", "after:2024-01-02", "before:2024-01-07"])
-    return rows.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), joined("labels").alias("labels"), "size", "mod_time", "manifest")
+    return rows.select("path", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), joined("labels").alias("labels"), "size", "mod_time", "src", "manifest")
 
 
 @query
@@ -165,9 +167,20 @@ def export_semi_structured(spark, sf):
     return rows.select(F.to_json(F.struct("path", "size", "manifest")).alias("value"))
 
 
+_STORED: dict[tuple[str, str], search.Index] = {}
+
+
+def stored_index(spark, sf) -> search.Index:
+    """The postings of the documents, written once an application; queries read only them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = search.indexed(entries_of(spark, sf), new_path(spark, "index"))
+    return _STORED[key]
+
+
 def _fts(q, mode=None):
     def run(spark, sf):
-        return search.full_text(search.indexed(entries_of(spark, sf)), q, 20, mode).select("path", F.round("score", 6).alias("score"), "rank")
+        return search.full_text(stored_index(spark, sf), q, 20, mode).select("path", F.round("score", 6).alias("score"), "rank")
 
     return run
 
@@ -178,19 +191,36 @@ QUERIES["fts_and"], QUERIES["fts_or"], QUERIES["fts_fallback"] = _fts(QUERY_AND,
 QUERIES["fts_phrase"] = _fts("apache-lic", "and")
 
 
+def _merged(spark, sf):
+    """A view merged into a later head.  It labels every toxic document; it moves those with doc_id divisible by 7 to out/, two in three
+    by a rule, which those of an even doc_id had already been placed by another."""
+    e = entries_of(spark, sf)
+    weak = F.when(F.col("doc_id") % 2 == 0, "second")
+    base = e.withColumn("rule", weak)
+    head = second(spark, sf).join(base.select("path", F.col("rule").alias("r")), "path", "left").withColumn("rule", F.coalesce("rule", "r")).drop("r")
+    labels = e.where(F.array_contains("labels", "toxic")).select("doc_id", F.lit(0).alias("kind"), "path", F.lit("").alias("to"), F.array(F.lit("review")).alias("labels"), F.lit("toxic").alias("rule"))
+    rule = F.element_at(F.array(F.lit("first"), F.lit("third"), F.lit("")), (F.col("doc_id") % 3 + 1).cast("int"))
+    moves = e.where("doc_id % 7 = 0").select("doc_id", F.lit(1).alias("kind"), "path", F.concat(F.lit("out/"), F.col("doc_id").cast("string")).alias("to"), F.array(F.lit("moved")).alias("labels"), rule.alias("rule"))
+    ops = labels.unionByName(moves).withColumn("seq", F.col("doc_id") * 2 + F.col("kind"))
+    return merge.merge_table(ops, base, head, {"first": 0, "second": 1, "third": 2})
+
+
 @query
 def merge_outcome(spark, sf):
-    """A view that labels every toxic document, merged into a later head: files that moved are followed, files that are gone held."""
-    base, head = entries_of(spark, sf), second(spark, sf)
-    ops = tuple(merge.Op(r["path"], labels=("review",), rule="toxic") for r in base.where(F.array_contains("labels", "toxic")).select("path").orderBy("path").collect())
-    view = merge.View("v", "M1", "STAGED", ops)
-    return merge.merge(view, base, head)[0].select("path", "blob", joined("labels").alias("labels"), "rule")
+    """The new head: labels follow files that moved; a move applies where the content is the base's or its rule outranks."""
+    return _merged(spark, sf)[0].select("path", "blob", joined("labels").alias("labels"), "rule")
+
+
+@query
+def merge_verdicts(spark, sf):
+    """What became of each staged operation: applied, dropped for a stronger rule, or held."""
+    return _merged(spark, sf)[1].select("seq", "status")
 
 
 @query
 def recall_pack(spark, sf):
     e = entries_of(spark, sf).select("path", "blob", "labels", "text")
-    found = search.full_text(search.indexed(e), "apache license", recall.CANDIDATES).select("path", "score", "rank")
+    found = search.full_text(stored_index(spark, sf), "apache license", recall.CANDIDATES).select("path", "score", "rank")
     items = recall.pack(found, e, "apache license", 1000, "M1")
     rows = [(i, x["path"], round(x["score"], 6), len(x["content"].encode()), x["manifest"]) for i, x in enumerate(items)]
     return spark.createDataFrame(rows, "place int, path string, score double, bytes int, manifest string")
@@ -207,24 +237,23 @@ def vector_topk(spark, sf):
     return search.vector(_chunks(spark, sf), held, 20).select("path", F.round("score", 6).alias("score"), "rank")
 
 
-def _batch(spark, sf):
+def _asked(spark, sf):
     c = _chunks(spark, sf).withColumn("path", F.concat(F.lit("v"), "vec_id"))
-    return search.vector_batch(c, c.where(f"vec_id % {VECTORS_EVERY} = 0").select(F.col("vec_id").alias("qid"), F.col("vec").alias("q")), 11), c
+    return c, c.where(f"vec_id % {VECTORS_EVERY} = 0").select(F.col("vec_id").alias("qid"), F.col("vec").alias("q"), "label", F.col("path").alias("skip"))
 
 
 @query
 def vector_batch(spark, sf):
-    return _batch(spark, sf)[0].select("qid", "path", F.round("score", 6).alias("score"), "rank")
+    c, asked = _asked(spark, sf)
+    return search.vector_batch(c, asked.drop("skip"), 11).select("qid", "path", F.round("score", 6).alias("score"), "rank")
 
 
 @query
 def eval_metrics(spark, sf):
-    found, c = _batch(spark, sf)
-    q = c.where(f"vec_id % {VECTORS_EVERY} = 0").select(F.col("vec_id").alias("qid"), "label")
-    gold = c.select("path", "label", "vec_id").join(q, "label").where("vec_id <> qid").select("qid", "path")
-    scoped = found.join(c.select("path", "vec_id"), "path").where("vec_id <> qid")  # the scope leaves the query out, then ranks anew
-    scoped = scoped.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank")))
-    return search.metrics(scoped.select("qid", "path", "rank"), gold)
+    """Ten best others of each query, the query itself left out before the cut; vectors of the same label are the gold."""
+    c, asked = _asked(spark, sf)
+    gold = c.select("path", "label").join(asked.select("qid", "label", "skip"), "label").where("path <> skip").select("qid", "path")
+    return search.metrics(search.vector_batch(c, asked, 10).select("qid", "path", "rank"), gold)
 
 
 @query
@@ -246,11 +275,26 @@ def retain_entry(spark, sf):
     return snapshots.retain(e, new).select("path", "blob")
 
 
+#: Shapes of transcript lines that the test tables' conversations are written as, by turn: fixed values.
+SHAPES = 6
+
+
+def transcript_lines(c: DataFrame) -> DataFrame:
+    """conversations as transcript lines: a string, blocks with a tool call, a reminder, a command, a dump, a meta line, by (conv_id + turn) % 6."""
+    k, text = (F.col("conv_id") + F.col("turn")) % SHAPES, F.col("text")
+    line = lambda content, **more: F.to_json(F.struct(F.col("role").alias("type"), *(v.alias(n) for n, v in more.items()), F.struct(content.alias("content")).alias("message")))
+    tool = F.struct(F.lit("tool_use").alias("type"), F.struct(F.concat(F.lit(" run:\n"), F.substring("text", 1, 150)).alias("command"), F.lit(" ").alias("description")).alias("input"))
+    blocks = F.array(F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text"))), F.to_json(tool), F.lit('{"type":"tool_result","content":"x"}'))
+    listed = F.concat(F.lit('{"type":"'), "role", F.lit('","message":{"content":['), F.array_join(blocks, ","), F.lit("]}}"))
+    out = F.when(k == 1, listed).when(k == 2, line(F.concat(F.lit("<system-reminder>a\nb</system-reminder>"), text)))
+    out = out.when(k == 3, line(F.concat(F.lit("<command-name> /go </command-name>\n<command-args>"), F.substring("text", 1, 20), F.lit("</command-args>"))))
+    out = out.when(k == 4, line(F.concat(F.lit(" <local-command-caveat>"), text))).when(k == 5, line(text, isMeta=F.col("turn") % 2 == 0)).otherwise(line(text))
+    return c.select(F.struct("conv_id", "turn").alias("seq"), out.alias("value"))
+
+
 @query
 def transcript_render(spark, sf):
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
-    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message")))
-    md = transcripts.sections(c.select(F.struct("conv_id", "turn").alias("seq"), line.alias("value")))
+    md = transcripts.sections(transcript_lines(spark.read.parquet(f"{sf}/conversations.parquet")))
     parts = md.select("seq.conv_id", "seq.turn", "md").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "md"))).alias("x"))
     return parts.select("conv_id", F.array_join(F.transform("x", lambda x: x["md"]), "\n\n").alias("md"))
 
@@ -325,14 +369,21 @@ def _fts_sql(phrases: list[str], every: bool, limit: int = 20) -> str:
 
 _AND, _OR = _fts_sql(["the", "tion"], True), _fts_sql(["token", "license"], False)
 _RANK = "row_number() over (order by score desc, path)::int as rank"
-_BATCH = f"""b as (select q.vec_id as qid, v.vec_id, 'v' || v.vec_id as path, list_dot_product(v.embedding::double[], q.embedding::double[]) as score, v.label, q.label as ql from embeddings v, embeddings q where q.vec_id % {VECTORS_EVERY} = 0),
- top as (select *, row_number() over (partition by qid order by score desc, path) as rank from b qualify rank <= 11)"""
+_BATCH = f"""b as (select q.vec_id as qid, v.vec_id, 'v' || v.vec_id as path, list_dot_product(v.embedding::double[], q.embedding::double[]) as score, v.label, q.label as ql from embeddings v, embeddings q where q.vec_id % {VECTORS_EVERY} = 0)"""
+
+
+def _dedup_sql(best: str, conflicts: bool = False) -> str:
+    return f"""with {ENTRIES}, g as (select blob, {best}(mod_time) t, count(*) as n from entries group by 1 having count(*) > 1),
+ k as (select g.blob, g.n, count(*) as ties, min(path) as p from g join entries e on e.blob = g.blob and e.mod_time = g.t group by 1, 2)
+ select k.blob, {"n, path" if conflicts else "path, n, case when ties = 1 then p end as keep, ties > 1 as is_conflict"} from k join entries e using (blob){" where ties > 1" if conflicts else ""}"""
 
 
-def _dedup_sql(best: str) -> str:
-    return f"""with {ENTRIES}, g as (select blob, {best}(mod_time) t from entries group by 1 having count(*) > 1),
- k as (select g.blob, count(*) as n, min(path) as p from g join entries e on e.blob = g.blob and e.mod_time = g.t group by 1)
- select k.blob, case when n = 1 then p end as keep, string_agg(path, ',' order by path) filter (n > 1 or path <> p) as paths, any_value(n > 1) as is_conflict from k join entries e using (blob) group by k.blob, n, p"""
+MERGED = f"""with {ENTRIES}, {SECOND}, base as (select *, case when doc_id % 2 = 0 then 'second' end as rule from entries),
+ head as (select s.path, s.blob, b.rule, coalesce(e.labels, []) as labels from second s left join base b on b.path = s.path left join entries e on e.path = case when starts_with(s.path, 'moved/') then substr(s.path, 7) else s.path end),
+ ops as (select doc_id * 2 as seq, path, '' as goal, 'review' as label, 'toxic' as rule from entries where list_contains(labels, 'toxic') union all select doc_id * 2 + 1, path, 'out/' || doc_id, 'moved', (['first', 'third', ''])[doc_id % 3 + 1] from entries where doc_id % 7 = 0),
+ x as (select o.*, b.blob as was, h.path is not null as there, h.blob, case when o.goal = '' then null when h.rule = 'second' and o.seq - 1 not in (select seq from ops where goal = '') then 1 end as theirs, case o.rule when 'first' then 0 when 'third' then 2 end as own,
+  (select min(f.path) from head f where f.blob = b.blob) as follow from ops o join base b using (path) left join head h using (path)),
+ verdicts as (select *, case when goal = '' then case when there or follow is not null then 'applied' else 'held' end when not there then 'held' when blob = was then 'applied' when own is null or theirs is null then 'held' when own < theirs then 'applied' else 'dropped' end as status from x)"""
 
 
 ORACLES: dict[str, str] = {
@@ -348,10 +399,10 @@ ORACLES: dict[str, str] = {
     "dedup_plan_oldest": _dedup_sql("min"),
     "dedup_plan_newest": _dedup_sql("max"),
     "dedup_apply": f"with {ENTRIES}, g as (select *, count(*) over (partition by blob) n, min(mod_time) over (partition by blob) t from entries), k as (select *, count(*) filter (mod_time = t) over (partition by blob) ties from g) select path, blob from k where n = 1 or ties > 1 or mod_time = t",
-    "dedup_conflicts": f"with {ENTRIES}, g as (select *, min(mod_time) over (partition by blob) as t from entries) select blob, count(*) as n, string_agg(path, ',' order by path) as paths from g group by blob having count(*) > 1 and count(*) filter (mod_time = t) > 1",
-    "merge_outcome": f"""with {ENTRIES}, {SECOND}, hit as (select distinct coalesce(s.path, (select min(m.path) from second m where m.blob = e.blob)) as path from entries e left join second s on s.path = e.path where list_contains(e.labels, 'toxic')),
- had as (select s.path, s.blob, coalesce(e.labels, []) as labels from second s left join entries e on e.path = case when starts_with(s.path, 'moved/') then substr(s.path, 7) else s.path end)
- select had.path, blob, array_to_string(list_sort(case when hit.path is null then labels else list_concat(labels, ['review']) end), ',') as labels, case when hit.path is not null then 'toxic' end as rule from had left join hit on hit.path = had.path""",
+    "dedup_conflicts": _dedup_sql("min", True),
+    "merge_verdicts": f"{MERGED} select seq, status from verdicts",
+    "merge_outcome": f"""{MERGED}, hit as (select case when there then path else follow end as path, max(goal) filter (goal <> '') as goal, list(label order by seq) as added, arg_max(rule, seq) filter (rule <> '') as rule from verdicts where status = 'applied' group by 1)
+ select coalesce(t.goal, h.path) as path, blob, array_to_string(list_sort(list_distinct(list_concat(h.labels, coalesce(added, [])))), ',') as labels, coalesce(t.rule, h.rule) as rule from head h left join hit t on t.path = h.path""",
     "fts_phrase": f"""with {ENTRIES}, t as (select path, {_tokens_sql("path")} as tp, {_tokens_sql("array_to_string(labels, ' ')")} as tl, {_tokens_sql("translate(path, '/_-.', '    ') || chr(10) || text")} as tb from entries),
  c as (select path, len(tp) + len(tl) + len(tb) as len, {" + ".join(f"len(list_filter(range(1, len({x})), lambda i: {x}[i] = 'apache' and starts_with({x}[i + 1], 'lic')))" for x in ("tp", "tl", "tb"))} as f from t),
  s as (select count(*) as r, avg(len) as avgdl, count(*) filter (f > 0) as n from c),
@@ -361,22 +412,25 @@ ORACLES: dict[str, str] = {
     "drift_absorbed": f"{CHANGES}, r as (select path, from_path from changes where kind = 'renamed') select s.path, s.blob, array_to_string(list_sort(list_concat(coalesce(e.labels, []), case when r.path is null then [] else ['{P.PINNED}'] end)), ',') as labels from second s left join r on r.path = s.path left join entries e on e.path = coalesce(r.from_path, s.path)",
     "changed_paths": f"{CHANGES} select path from j where old is distinct from new",
     "revert_plan": f"{CHANGES}, gone as (select path, old as blob from j where new is null), extra as (select path, new as blob from j where old is null), x as (select blob, min(path) as from_path from extra group by 1) select case when from_path is null then 'restored' else 'moved' end as action, path, from_path from gone left join x using (blob) union all select 'removed', path, null from extra where blob not in (select blob from gone)",
-    "history": "with recursive m as (select 'M' || n_nationkey as id, case when n_nationkey = 0 then null else 'M' || (n_nationkey - 1 - n_nationkey % 2)::int end as parent, case when n_regionkey = 0 then 'observe' else 'mutate' end as kind, n_name as created_by from nation), c as (select *, 0 as depth from m where id = 'M24' union all select m.*, c.depth + 1 from m join c on m.id = c.parent) select id, depth, parent, kind, created_by from c",
-    "export_records": f"with {ENTRIES} select path, sha256(text) as text_hash, array_to_string(list_sort(labels), ',') as labels, size, strftime(mod_time, '%Y-%m-%dT%H:%M:%SZ') as mod_time, 'M1' as manifest from entries where list_contains(labels, 'good') and path like '%.md' and mod_time > timestamp '2024-01-02' and mod_time < timestamp '2024-01-07'",
+    "history": "with recursive m as (select 'M' || n_nationkey as id, case when n_nationkey = 0 then null else 'M' || (n_nationkey - 1 - n_nationkey % 2)::int end as parent, case when n_regionkey = 0 then 'observe' else 'mutate' end as kind, n_name as created_by, timestamp '2024-01-01' + to_days(n_nationkey) as created_at, n_regionkey::bigint as entries from nation), c as (select *, 0 as depth from m where id = 'M24' union all select m.*, c.depth + 1 from m join c on m.id = c.parent) select id, depth, parent, kind, created_by, created_at, entries from c",
+    "export_records": f"with {ENTRIES} select path, sha256(text) as text_hash, array_to_string(list_sort(labels), ',') as labels, size, strftime(mod_time, '%Y-%m-%dT%H:%M:%SZ') as mod_time, blob as src, 'M1' as manifest from entries where list_contains(labels, 'good') and path like '%.md' and mod_time > timestamp '2024-01-02' and mod_time < timestamp '2024-01-07'",
     "export_semi_structured": f"""with {ENTRIES} select '{{"path":"' || path || '","size":' || size || ',"manifest":"M1"}}' as value from entries""",
     "fts_and": f"with {ENTRIES}, {_AND} select path, round(score, 6) as score, {_RANK} from top",
     "fts_or": f"with {ENTRIES}, {_OR} select path, round(score, 6) as score, {_RANK} from top",
     "fts_fallback": f"with {ENTRIES}, {_fts_sql(['license', 'zzzzqqq'], False)} select path, round(score, 6) as score, {_RANK} from top",
     "vector_topk": f"with s as (select 'v/' || lpad((v.vec_id % 100)::varchar, 3, '0') as path, max(list_dot_product(v.embedding::double[], q.embedding::double[])) as score from embeddings v, embeddings q where q.vec_id = 7 group by 1 order by score desc, path limit 20) select path, round(score, 6) as score, {_RANK} from s",
-    "vector_batch": f"with {_BATCH} select qid, path, round(score, 6) as score, rank::int as rank from top",
-    "eval_metrics": f"""with {_BATCH}, f as (select qid, path, label = ql as good, row_number() over (partition by qid order by rank) as rank from top where vec_id <> qid),
+    "vector_batch": f"with {_BATCH} select qid, path, round(score, 6) as score, row_number() over (partition by qid order by score desc, path)::int as rank from b qualify rank <= 11",
+    "eval_metrics": f"""with {_BATCH}, f as (select qid, label = ql as good, row_number() over (partition by qid order by score desc, path) as rank from b where vec_id <> qid qualify rank <= 10),
  g as (select qid, count(*) as gold from b where label = ql and vec_id <> qid group by 1),
- h as (select qid, {", ".join(f"count(*) filter (good and rank <= {k}) as h{k}" for k in (1, 3, 5, 10))}, min(rank) filter (good) as first, coalesce(sum(1 / log2(rank + 1.0)) filter (good and rank <= 10), 0) as dcg from f group by 1)
+ h as (select qid, {", ".join(f"count(*) filter (good and rank <= {k}) as h{k}" for k in (1, 3, 5, 10))}, min(rank) filter (good) as first, coalesce(sum(1 / log2(rank + 1.0)) filter (good), 0) as dcg from f group by 1)
  select qid, {", ".join(f"round(h{k} / gold, 6) as recall_{k}, (h{k} > 0)::int as hit_{k}" for k in (1, 3, 5, 10))}, round(coalesce(1 / first, 0), 6) as mrr, round(dcg / list_sum(list_transform(range(1, least(10, gold) + 1), lambda i: 1 / log2(i + 1.0))), 6) as ndcg_10 from g join h using (qid)""",
     "hybrid_rrf": f"with {ENTRIES}, {_AND}, r1 as (select path, {_RANK} from top), {_OR.replace('t as (', 't2 as (').replace('from t)', 'from t2)').replace('c as (', 'c2 as (').replace('from c)', 'from c2)').replace('s as (', 's2 as (').replace('from c, s ', 'from c2, s2 ').replace('top as (', 'top2 as (')}, r2 as (select path, {_RANK} from top2), u as (select path, sum(1.0 / (60 + rank)) as score from (select * from r1 union all select * from r2) group by 1 order by score desc, path limit 20) select path, round(score, 6) as score, {_RANK} from u",
     "pending_blobs": f"with {ENTRIES} select distinct blob from entries where blob not in (select blob from entries where doc_id % 3 = 0)",
     "retain_entry": f"with {ENTRIES} select path, case when doc_id = 5 then 's2:new' else blob end as blob from entries",
-    "transcript_render": """with x as (select conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as t from conversations where role in ('user', 'assistant')) select conv_id, string_agg('## ' || case role when 'user' then 'User' else 'Assistant' end || chr(10) || chr(10) || t, chr(10) || chr(10) order by turn) as md from x where t <> '' group by 1""",
+    "transcript_render": """with c as (select *, (conv_id + turn) % 6 as k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, trim(regexp_replace(' run:' || chr(10) || left(text, 150), '\\s+', ' ', 'g')) as tool from conversations where role in ('user', 'assistant')),
+ x as (select conv_id, turn, case when k = 1 and role = 'assistant' then 'Assistant' else 'User' end as who, case when k = 1 and role = 'assistant' then t || case when t = '' then '' else chr(10) || chr(10) end || '_tools:_' || chr(10) || '- tool: ' || case when length(tool) > 100 then left(tool, 100) || '…' else tool end
+  when k = 3 then trim('/go ' || regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g')) when k = 4 then '' when k = 5 and turn % 2 = 0 then '' else t end as body from c)
+ select conv_id, string_agg('## ' || who || chr(10) || chr(10) || body, chr(10) || chr(10) order by turn) as md from x where body <> '' group by 1""",
     "watch_autonomy": f"{PLAN} select path, rule, rule <> 'licensed' as acts from plan where class in ('move', 'label')",
     "events_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
 }

@@ -14,6 +14,8 @@ from kbspark.functions import paths
 VARIABLES = ("year", "month", "day", "name", "ext")
 AUTONOMY = ("", "propose", "auto")
 PINNED, UNSORTED = "kb:pinned", "unsorted"
+#: The only event that sinks fire on: fixed value.
+COMMITTED = "changeset.committed"
 #: Characters of a text that content rules look at.
 CONTENT_LIMIT = 1 << 20
 
@@ -147,12 +149,17 @@ def load(text: str) -> Policy:
         raise PolicyError(f"retrieval mode {retrieval.mode!r}")
     if retrieval.mode in ("vector", "hybrid") and not (retrieval.base_url and retrieval.model):
         raise PolicyError("retrieval: base_url and model are needed")
-    if min(retrieval.rrf_k, retrieval.candidate_factor, retrieval.chunk_size, retrieval.chunk_overlap) < 0 or retrieval.chunk_size and retrieval.chunk_overlap >= retrieval.chunk_size:
+    if min(retrieval.rrf_k, retrieval.candidate_factor, retrieval.chunk_size, retrieval.chunk_overlap) < 0:
         raise PolicyError("retrieval: tuning out of range")
+    tuned = retrieval.tuning()
+    if tuned["chunk_overlap"] >= tuned["chunk_size"]:
+        raise PolicyError(f"retrieval: an overlap of {tuned['chunk_overlap']} isn't smaller than a chunk of {tuned['chunk_size']}")
     sinks = []
     for s in raw.get("event_sink", []):
         s = _build(EventSink, s, "event_sink")
-        if s.type not in ("webhook", "exec") or (s.type == "webhook") != bool(s.url) or (s.type == "exec") != bool(s.command):
+        if s.on not in ("", COMMITTED):
+            raise PolicyError(f"event_sink: on {s.on!r}")
+        if s.type not in ("webhook", "exec") or s.type == "webhook" and not s.url or s.type == "exec" and not s.command:
             raise PolicyError(f"event_sink: {s}")
         sinks.append(s)
     return Policy(tuple(rules), dedup, retrieval, tuple(sinks))

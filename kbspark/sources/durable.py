@@ -9,14 +9,24 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Open scratch blocks, each with the paths written inside it; folders of applications that are deleted at the end.
-_BLOCKS: list[list[str]] = []
+
+
+class _Blocks(threading.local):
+    """Open scratch blocks of a thread, each with the paths written inside it."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_BLOCKS = _Blocks()
+#: Folders of applications that are deleted at the end.
 _FOLDERS: set[str] = set()
 
 
@@ -51,8 +61,8 @@ def own_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _BLOCKS:
-        _BLOCKS[-1].append(path)
+    if _BLOCKS.open:
+        _BLOCKS.open[-1].append(path)
     return path
 
 
@@ -78,7 +88,7 @@ def release(*tables: DataFrame | None) -> None:
 def scratch(spark: SparkSession, name: str = "") -> Iterator:
     """Gives a function that writes a table to be kept; all other tables written inside the block are deleted at its end."""
     own: list[str] = []
-    _BLOCKS.append(own)
+    _BLOCKS.open.append(own)
 
     def keep(df: DataFrame) -> DataFrame:
         out = written(df, name or "kept")
@@ -88,6 +98,6 @@ def scratch(spark: SparkSession, name: str = "") -> Iterator:
     try:
         yield keep
     finally:
-        _BLOCKS.remove(own)
+        _BLOCKS.open.remove(own)
         for path in own:
             delete(spark, path)

@@ -32,15 +32,20 @@ def parse_filter(parts: list[str]) -> Column:
     return out
 
 
-def records(entries: DataFrame, manifest: str, filters: list[str] = [], src: str = "") -> DataFrame:  # noqa: B006
-    """path, text, binary, labels, size, mod_time, src, manifest, in this order of fields; entries hold text or content."""
+def records(entries: DataFrame, manifest: str, filters: list[str] = []) -> DataFrame:  # noqa: B006
+    """path, text, binary, labels, size, mod_time, src (the blob), manifest, in this order of fields; entries hold text or content."""
     rows = entries.where(parse_filter(filters))
     if "content" in rows.columns:
         cut = F.substring("content", 1, TEXT_LIMIT)
         rows = rows.withColumn("text", F.when(F.is_valid_utf8(cut.cast("string")), cut.cast("string")))
-    return rows.select("path", "text", F.when(F.col("text").isNull(), True).alias("binary"), F.when(F.size("labels") > 0, F.col("labels")).alias("labels"), "size", F.date_format("mod_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mod_time"), F.lit(src).alias("src"), F.lit(manifest).alias("manifest"))
+    return rows.select("path", "text", F.when(F.col("text").isNull(), True).alias("binary"), F.when(F.size("labels") > 0, F.col("labels")).alias("labels"), "size", F.date_format("mod_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("mod_time"), F.col("blob").alias("src"), F.lit(manifest).alias("manifest"))
+
+
+def lines(rows: DataFrame) -> DataFrame:
+    """value, a JSON line a record, in path order: partitions are ranges of paths."""
+    return rows.repartitionByRange("path").sortWithinPartitions("path").select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value"))
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """JSON lines in path order, range-partitioned: file order is path order."""
-    rows.repartitionByRange("path").sortWithinPartitions("path").select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value")).write.text(path)
+    """JSON lines; file order is path order."""
+    lines(rows).write.text(path)

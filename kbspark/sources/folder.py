@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
+import uuid
 from collections.abc import Callable, Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from kbspark.sources.durable import new_path
+
 
 class Folder:
     def __init__(self, spark: SparkSession, root: str):
@@ -27,6 +32,52 @@ class Folder:
         finally:
             stream.close()
 
+    def bare(self) -> str:
+        """The root's path without scheme and host."""
+        return self._fs.makeQualified(self._path("")).toUri().getPath().rstrip("/")
+
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self._path(name))
+
+    def names(self, name: str) -> list[str]:
+        """Names of the files in a folder; of one that isn't there, none."""
+        if not self.exists(name):
+            return []
+        found = (s.getPath().getName() for s in self._fs.listStatus(self._path(name)))
+        return [n for n in found if not n.startswith(".")]
+
+    def create(self, name: str, content: bytes) -> bool:
+        """Creates a file that must not exist, its content with it; False if it does.
+
+        On a local disk the file is linked into place, which is atomic; other stores refuse the creation themselves, and show the
+        content when the file is closed.
+        """
+        if self._fs.getScheme() == "file":
+            target = self._fs.makeQualified(self._path(name)).toUri().getPath()
+            fresh = f"{target.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+            files, at = self._jvm.java.nio.file.Files, lambda x: self._jvm.java.io.File(x).toPath()
+            files.write(at(fresh), bytearray(content), self.spark.sparkContext._gateway.new_array(self._jvm.java.nio.file.OpenOption, 0))
+            try:
+                files.createLink(at(target), at(fresh))
+            except Py4JJavaError as e:
+                if "FileAlreadyExists" in str(e.java_exception):
+                    return False
+                raise
+            finally:
+                files.delete(at(fresh))
+            return True
+        try:
+            stream = self._fs.create(self._path(name), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in str(e.java_exception):
+                return False
+            raise
+        try:
+            stream.write(bytearray(content))
+        finally:
+            stream.close()
+        return True
+
     def write(self, name: str, content: bytes) -> None:
         stream = self._fs.create(self._path(name), True)
         try:
@@ -43,6 +94,9 @@ class Folder:
         self._fs.delete(self._path(name), False)
         self._prune(name)
 
+    def remove_all(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
     def move(self, pairs: Callable[[], Iterable[tuple[str, str]]], missing_ok: bool = False) -> int:
         """Renames in passes over the pairs, by way of a staging folder, so chains and swaps don't overwrite each other.
 
@@ -94,3 +148,42 @@ class Folder:
             if not self.exists(name) or len(self._fs.listStatus(self._path(name))):
                 return
             self._fs.delete(self._path(name), False)
+
+
+def hidden_files(spark: SparkSession, root: str, skip: str = ".kb") -> tuple[str, list[tuple[str, str, datetime.datetime]]]:
+    """Copies, in a folder of the shared one, of the files whose name or folder begins with a dot or an underscore.
+
+    Rows (copy's name, path below root, time of change).  Patterns find them a level at a time, inside the file system's own
+    listing; only the hidden ones come to the driver.
+    """
+    folder = Folder(spark, root)
+    fs, jvm = folder._fs, spark._jvm
+    base = fs.makeQualified(folder._path("")).toString().rstrip("/")
+    found, level = [], ""
+    while True:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{level}{{.*,_*}}")) or []:
+            if status.isDirectory():
+                if status.getPath().getName() == skip:
+                    continue
+                inside = fs.listFiles(status.getPath(), True)
+                while inside.hasNext():
+                    found.append(inside.next())
+            elif status.isFile():
+                found.append(status)
+        level += "*/"
+        if not len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}/{level}*")) or []):
+            break
+    copies = f"{new_path(spark, 'hidden')}"
+    rows, seen = [], set()
+    for status in found:
+        name = status.getPath().toString()[len(base) + 1 :]
+        checksum = name.endswith(".crc") and name.rpartition("/")[2].startswith(".")  # a local file system's own
+        if name in seen or f"/{skip}/" in f"/{name}" or checksum:
+            continue
+        seen.add(name)
+        copy = hashlib.sha256(name.encode()).hexdigest()
+        target = jvm.org.apache.hadoop.fs.Path(f"{copies}/{copy}")
+        conf = spark._jsc.hadoopConfiguration()
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, status.getPath(), target.getFileSystem(conf), target, False, conf)
+        rows.append((copy, name, datetime.datetime.fromtimestamp(status.getModificationTime() / 1000, datetime.UTC)))
+    return copies, rows

@@ -9,9 +9,8 @@ import urllib.request
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from kbspark.policy import EventSink
+from kbspark.policy import COMMITTED, EventSink  # noqa: F401
 
-COMMITTED = "changeset.committed"
 #: Commands of a policy run only where this variable is 1.
 ALLOW_COMMANDS = "KB_ALLOW_EXEC_SINKS"
 TIMEOUT = 30

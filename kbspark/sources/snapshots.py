@@ -1,27 +1,40 @@
 """Versioned snapshots as immutable Parquet partitions with a head pointer; and the scan that feeds them.
 
-A store is a folder: ``entries/manifest_id=M<n>/`` (one immutable table a snapshot), ``manifests/`` (one row each), ``blobs/``
-(content by hash) and ``head/`` (pointer rows; the one of the largest step counts).  Everything is written through Spark, so any file system it can reach will do.
+A store is a folder: ``entries/manifest_id=M<n>/`` (one immutable table a snapshot), ``manifests/M<n>.json`` (one row each),
+``claims/`` (numbers given out), ``blobs/`` (content by hash, a folder a write) and ``head/<step>`` (a snapshot's id each; the
+largest step counts).  Nothing is overwritten: numbers and steps are taken by creating a file that must not exist, so of two
+writers that start from one head only one moves it, and the other is told.
 """
 
 from __future__ import annotations
 
 import datetime
-import re
+import json
+import time
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.sources.durable import release, written
+from kbspark.sources.folder import Folder, hidden_files
+
 ENTRY = "path string, blob string, size long, mod_time timestamp, labels array<string>, rule string"
-MANIFEST = "id string, seq long, parent string, created_at timestamp, created_by string, kind string"
-HEAD = "step long, head string"
+MANIFEST = "id string, seq long, parent string, created_at timestamp, created_by string, kind string, entries long"
 KINDS = ("observe", "mutate")
+#: Expected head of a commit that takes any.
+ANY = object()
 
 
 class StoreError(RuntimeError):
     pass
 
 
+class HeadMoved(StoreError):
+    """Another commit or undo came between; derive the entries again from the new head."""
+
+
 def content_hash(content):
     return F.concat(F.lit("s2:"), F.sha2(content, 256))
 
@@ -29,84 +42,110 @@ def content_hash(content):
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _exists(self, part: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        self.folder = Folder(spark, self.path)
 
     def init(self) -> Store:
-        if self._exists("manifests"):
+        if self.folder.exists("manifests"):
             raise StoreError("already a store")
-        self.spark.createDataFrame([], MANIFEST).write.parquet(f"{self.path}/manifests")
-        self.spark.createDataFrame([(0, None)], HEAD).write.parquet(f"{self.path}/head")
+        for name in ("manifests", "claims", "head"):
+            self.folder.make(name)
         return self
 
     def manifests(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests")
+        return self.spark.read.schema(MANIFEST).json(f"{self.path}/manifests")
+
+    def manifest(self, name: str) -> dict:
+        return json.loads(self.folder.read(f"manifests/{name}.json"))
 
     def _head(self) -> tuple[int, str | None]:
-        row = self.spark.read.schema(HEAD).parquet(f"{self.path}/head").orderBy(F.desc("step")).first()
-        if row is None:
+        if not self.folder.exists("head"):
             raise StoreError("not a store")
-        return row["step"], row["head"]
+        step = max(map(int, self.folder.names("head")), default=0)
+        for _ in range(100):
+            held = self.folder.read(f"head/{step:012}") if step else b"-"
+            if held:
+                return step, None if held == b"-" else held.decode()
+            time.sleep(0.05)  # on stores without links a file is there before its content
+        raise StoreError(f"head {step} was never written")
 
     @property
     def head(self) -> str | None:
         return self._head()[1]
 
-    def _move(self, to: str | None) -> None:
-        step = self._head()[0] + 1
-        self.spark.createDataFrame([(step, to)], HEAD).coalesce(1).write.mode("append").parquet(f"{self.path}/head")
+    def _move(self, step: int, to: str | None) -> None:
+        """Makes to the head if step is still the last step."""
+        if not self.folder.create(f"head/{step + 1:012}", (to or "-").encode()):
+            raise HeadMoved("the head moved meanwhile")
 
     def at(self, manifest: str | None = None) -> DataFrame:
         """Entries of a snapshot, the head by default: one partition is read."""
         manifest = manifest or self.head
         if manifest is None:
             return self.spark.createDataFrame([], ENTRY)
-        if not self._exists(f"entries/manifest_id={manifest}"):
+        if not self.folder.exists(f"entries/manifest_id={manifest}"):
             raise StoreError(f"no snapshot {manifest}")
         return self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/manifest_id={manifest}")
 
-    def commit(self, entries: DataFrame, kind: str, created_by: str = "") -> str:
-        """Writes a snapshot on top of the head; its folder is created exclusively, so a lost race fails and can be retried."""
+    def commit(self, entries: DataFrame, kind: str, created_by: str = "", expected: str | None | object = ANY) -> str:
+        """Writes a snapshot on top of the head and moves the head to it.
+
+        expected: the head that entries were derived from; if it isn't the head any more, nothing is committed and HeadMoved
+        is raised.  The head is also checked when it is moved, so no commit made meanwhile is ever overwritten.
+        """
         if kind not in KINDS:
             raise StoreError(f"kind {kind!r}")
-        parent = self.head
-        seq = (self.manifests().agg(F.max("seq")).first()[0] or 0) + 1
+        step, parent = self._head()
+        if expected is not ANY and parent != expected:
+            raise HeadMoved(f"the head is {parent}, not {expected}")
+        seq = max((int(n[1:]) for n in self.folder.names("claims")), default=0) + 1
+        while not self.folder.create(f"claims/M{seq}", b"x"):
+            seq += 1
         new = f"M{seq}"
         cols = [F.col(c.split()[0]).cast(c.split()[1]) for c in ENTRY.split(", ")]
         entries.select(*cols).write.mode("errorifexists").parquet(f"{self.path}/entries/manifest_id={new}")
-        now = datetime.datetime.now(datetime.UTC)
-        self.spark.createDataFrame([(new, seq, parent, now, created_by, kind)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifests")
-        self._move(new)
+        row = {"id": new, "seq": seq, "parent": parent, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "created_by": created_by, "kind": kind, "entries": self.at(new).count()}
+        self.folder.create(f"manifests/{new}.json", json.dumps(row).encode())
+        self._move(step, new)
         return new
 
+    def update(self, change: Callable[[DataFrame], DataFrame], kind: str, created_by: str = "", tries: int = 100) -> str:
+        """Commits change(entries of the head), again from the new head whenever another writer was first."""
+        for _ in range(tries):
+            head = self.head
+            try:
+                return self.commit(change(self.at(head)), kind, created_by, head)
+            except HeadMoved:
+                continue
+        raise HeadMoved(f"others were first {tries} times")
+
     def history(self) -> DataFrame:
-        """id, depth, parent, kind, created_by from the head along parents, newest first."""
+        """id, depth, parent, kind, created_by, created_at, entries from the head along parents, newest first."""
         return history(self.manifests(), self.head)
 
     def undo(self) -> str | None:
         """Moves the head to its parent; the undone snapshot stays readable."""
-        head = self.head
+        step, head = self._head()
         if head is None:
             raise StoreError("nothing to undo")
-        parent = self.manifests().where(F.col("id") == head).first()["parent"]
+        parent = self.manifest(head)["parent"]
         if parent is None:
             raise StoreError("the first snapshot can't be undone")
-        self._move(parent)
+        self._move(step, parent)
         return parent
 
     def put_blobs(self, blobs: DataFrame) -> None:
-        """blobs (blob, content): only unseen keys are written."""
-        new = blobs.select("blob", "content").dropDuplicates(["blob"])
-        if self._exists("blobs"):
+        """blobs (blob, content): only unseen keys are written, each write in a folder of its own, so writers don't meet."""
+        known = self.folder.exists("blobs")
+        new = blobs.select("blob").distinct()
+        if known:
             new = new.join(self.blobs().select("blob"), "blob", "left_anti")
-        if not self._exists("blobs") or not new.isEmpty():  # quiet passes leave no files
-            new.write.mode("append").parquet(f"{self.path}/blobs")
+        if not known or not new.isEmpty():  # quiet passes leave no files
+            # contents are read and moved for the unseen keys only
+            blobs.select("blob", "content").join(new, "blob", "left_semi").dropDuplicates(["blob"]).write.parquet(f"{self.path}/blobs/batch={uuid.uuid4().hex}")
 
     def blobs(self) -> DataFrame:
-        return self.spark.read.schema("blob string, content binary").parquet(f"{self.path}/blobs")
+        """Rows by key; two writers that met may both have brought one key, with the same content."""
+        return self.spark.read.schema("blob string, content binary, batch string").parquet(f"{self.path}/blobs").select("blob", "content").dropDuplicates(["blob"])
 
 
 def history(manifests: DataFrame, head: str | None) -> DataFrame:
@@ -115,10 +154,10 @@ def history(manifests: DataFrame, head: str | None) -> DataFrame:
     view = f"manifests_{abs(hash((id(manifests), head)))}"
     manifests.createOrReplaceTempView(view)
     return spark.sql(f"""
-        with recursive chain(id, parent, kind, created_by, depth) max recursion level 100000 as (
-            select id, parent, kind, created_by, 0 from {view} where id = '{head or ""}'
-            union all select m.id, m.parent, m.kind, m.created_by, c.depth + 1 from {view} m join chain c on m.id = c.parent)
-        select id, depth, parent, kind, created_by from chain order by depth""")
+        with recursive chain(id, parent, kind, created_by, created_at, entries, depth) max recursion level 100000 as (
+            select id, parent, kind, created_by, created_at, entries, 0 from {view} where id = '{head or ""}'
+            union all select m.id, m.parent, m.kind, m.created_by, m.created_at, m.entries, c.depth + 1 from {view} m join chain c on m.id = c.parent)
+        select id, depth, parent, kind, created_by, created_at, entries from chain order by depth""")
 
 
 def revert_plan(parent: DataFrame, undone: DataFrame) -> DataFrame:
@@ -130,15 +169,51 @@ def revert_plan(parent: DataFrame, undone: DataFrame) -> DataFrame:
     return out.unionByName(extra.join(gone.select("blob").distinct(), "blob", "left_anti").select(F.lit("removed").alias("action"), "path", F.lit(None).cast("string").alias("from_path")))
 
 
+def scan_rows(spark: SparkSession, path: str, skip: str = ".kb") -> DataFrame:
+    """path, blob, size, mod_time, content of the files under path.
+
+    Folders named skip are left out.  Spark's listing doesn't show files and folders whose names begin with a dot or an
+    underscore; those are read by way of visible copies.
+    """
+    folder = Folder(spark, path)
+    root = folder.bare()
+    columns = ("path", "blob", "size", "mod_time", "content")
+
+    def read(place: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(place)
+        return files.select("path", content_hash("content").alias("blob"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content")
+
+    below = F.lit(f"{root}/")
+    files = read(path).withColumn("path", F.substring(F.col("path"), F.position(below, F.col("path")) + F.length(below), F.length("path")))
+    files = files.where(~F.concat(F.lit("/"), "path").contains(f"/{skip}/")).select(*columns)
+    copies, named = hidden_files(spark, path, skip)
+    if named:
+        names = spark.createDataFrame(named, "copy string, name string, at timestamp")
+        more = read(copies).withColumn("copy", F.element_at(F.split("path", "/"), -1)).drop("path", "mod_time").join(names, "copy")
+        files = files.unionByName(more.withColumnsRenamed({"name": "path", "at": "mod_time"}).select(*columns))
+    return files
+
+
+def _as_entries(rows: DataFrame) -> DataFrame:
+    return rows.select("path", "blob", "size", "mod_time", F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("rule"))
+
+
 def scan_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, blobs) of the files under path, labels and rules empty."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/").partition(":")[2] if "://" in path or path.startswith("file:") else path.rstrip("/")
-    root = re.sub(r"^//[^/]*", "", root) + "/"
-    rel = F.expr("substring(path, locate(__root, path) + length(__root))")
-    files = files.withColumn("__root", F.lit(root)).select(rel.alias("path"), content_hash("content").alias("blob"), F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"), "content").where(~F.col("path").rlike(r"(^|/)\.kb(/|$)"))
-    entries = files.select("path", "blob", "size", "mod_time", F.array().cast("array<string>").alias("labels"), F.lit(None).cast("string").alias("rule"))
-    return entries, files.select("blob", "content").dropDuplicates(["blob"])
+    """(entries, blobs) of the files under path, labels and rules empty; blobs may hold a key more than once."""
+    rows = scan_rows(spark, path)
+    return _as_entries(rows), rows.select("blob", "content")
+
+
+def take_in(store: Store, path: str) -> DataFrame:
+    """Entries of the files under path, their unseen contents stored.
+
+    Each file is read and hashed once: the scan is written, and entries and contents are taken from it.
+    """
+    rows = written(scan_rows(store.spark, path), "scan")
+    store.put_blobs(rows)
+    entries = written(_as_entries(rows), "scanned-entries")
+    release(rows)
+    return entries
 
 
 def retain(head: DataFrame, entry: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import os
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,9 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.functions.chunks import chunks, embed
+from kbspark.interfaces import Embedder
 from kbspark.policy import Retrieval
+from kbspark.sources.durable import release, written
 
-BATCH, TIMEOUT = 64, 120
+#: Texts a request, seconds it may take, contents embedded between two writes.
+BATCH, TIMEOUT, ROUND = 64, 120, 50_000
 VECTORS = "blob string, seq int, vec array<float>"
 
 
@@ -94,11 +98,24 @@ def embedder(settings: Retrieval):
 
 
 def embedded(f: Callable[[list[str]], list[np.ndarray]], prefix: str = ""):
-    """Column function text -> unit vector; f gets whole Arrow batches."""
-
-    @F.pandas_udf("array<float>")
-    def g(texts: pd.Series) -> pd.Series:
-        return pd.Series([v.tolist() for v in f([prefix + (t or "") for t in texts])], dtype=object)
+    """Column function chunks -> (unit vectors, error): f is asked BATCH texts at a time; what failed fails the rows that had a text in it."""
+
+    @F.pandas_udf("vecs array<array<float>>, error string")
+    def g(lists: pd.Series) -> pd.DataFrame:
+        rows = [list(x) if x is not None else [] for x in lists]
+        owner = [i for i, x in enumerate(rows) for _ in x]
+        texts = [prefix + t for x in rows for t in x]
+        vecs: list[list] = [[] for _ in rows]
+        errors: list[str | None] = [None] * len(rows)
+        for lo in range(0, len(texts), BATCH):
+            own = owner[lo : lo + BATCH]
+            try:
+                for i, v in zip(own, f(texts[lo : lo + BATCH]), strict=True):
+                    vecs[i].append(v.tolist())
+            except EmbeddingError as e:
+                for i in own:
+                    errors[i] = str(e)
+        return pd.DataFrame({"vecs": vecs, "error": errors})
 
     return g
 
@@ -107,10 +124,10 @@ class VectorCache:
     """Vectors by blob under path/<fingerprint>: other settings are another folder, so old vectors are never mixed in.
 
     What is pending is an anti-join, so draining may stop anywhere and goes on from there.  A blob without text is
-    recorded with one row without a vector.
+    recorded with one row without a vector.  Each write has a folder of its own, so writers don't meet.
     """
 
-    def __init__(self, spark: SparkSession, path: str, settings: Retrieval, f=None):
+    def __init__(self, spark: SparkSession, path: str, settings: Retrieval, f: Embedder | None = None):
         self.spark, self.settings, self.f = spark, settings, f or embedder(settings)
         tuned = settings.tuning()
         self.size, self.overlap = tuned["chunk_size"], tuned["chunk_overlap"]
@@ -121,21 +138,42 @@ class VectorCache:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
             return self.spark.createDataFrame([], VECTORS)
-        return self.spark.read.schema(VECTORS).parquet(self.path)
+        return self.spark.read.schema(f"{VECTORS}, batch string").parquet(self.path).drop("batch")
 
     def pending(self, texts: DataFrame) -> DataFrame:
         """blob, text of the distinct blobs of texts (blob, text) that aren't embedded yet."""
-        return texts.select("blob", "text").dropDuplicates(["blob"]).join(self.vectors().select("blob"), "blob", "left_anti")
-
-    def drain(self, texts: DataFrame, most: int | None = None) -> None:
-        """Embeds the pending blobs, the first most of them by hash where most is given."""
-        todo = self.pending(texts)
-        if most is not None:
-            todo = todo.orderBy("blob").limit(most)
-        cut = todo.select("blob", F.posexplode_outer(chunks(self.size, self.overlap)("text")).alias("seq", "chunk"))
-        some = cut.where("chunk is not null").withColumn("vec", embedded(self.f, self.settings.doc_prefix)("chunk"))
-        none = cut.where("chunk is null").select("blob", F.lit(0).alias("seq"), F.lit(None).cast("array<float>").alias("vec"))
-        some.select("blob", "seq", "vec").unionByName(none).write.mode("append").parquet(self.path)
+        return self._with_text(texts, self._todo(texts))
+
+    def _todo(self, texts: DataFrame) -> DataFrame:
+        return texts.select("blob").distinct().join(self.vectors().select("blob"), "blob", "left_anti")
+
+    @staticmethod
+    def _with_text(texts: DataFrame, todo: DataFrame) -> DataFrame:
+        return texts.select("blob", "text").join(todo, "blob", "left_semi").dropDuplicates(["blob"])
+
+    def drain(self, texts: DataFrame, most: int | None = None, round_: int = ROUND) -> int:
+        """Embeds the pending blobs, the first most of them where most is given, in rounds that are each kept when done; their number.
+
+        A blob's vectors are kept all or none.  Where requests failed, the round's other blobs are kept, then EmbeddingError
+        is raised.
+        """
+        done = 0
+        while most is None or done < most:
+            # only keys are put in order
+            todo = self._todo(texts).orderBy("blob").limit(min(round_, most - done) if most is not None else round_)
+            got = self._with_text(texts, todo).select("blob", F.coalesce(chunks(self.size, self.overlap)("text"), F.array().cast("array<string>")).alias("c"))
+            got = written(got.withColumn("e", embedded(self.f, self.settings.doc_prefix)("c")), "embedded")
+            n, failed, error = got.agg(F.count(F.lit(1)), F.count("e.error"), F.max("e.error")).first()
+            if n > failed:
+                rows = got.where("e.error is null").select("blob", F.posexplode_outer("e.vecs").alias("seq", "vec"))
+                rows.select("blob", F.coalesce("seq", F.lit(0)).alias("seq"), "vec").write.parquet(f"{self.path}/batch={uuid.uuid4().hex}")
+            release(got)
+            done += n - failed
+            if failed:
+                raise EmbeddingError(f"{failed} of {n} contents: {error}")
+            if n < round_:
+                break
+        return done
 
     def query(self, text: str) -> list[float]:
         return self.f([self.settings.query_prefix + text])[0].tolist()

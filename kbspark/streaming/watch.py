@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,21 +11,32 @@ from pyspark.sql import functions as F
 
 from kbspark.operators import dedup, drift, organize
 from kbspark.policy import Policy
+from kbspark.sources.durable import scratch, written
 from kbspark.sources.folder import Folder
-from kbspark.sources.snapshots import Store, scan_folder
+from kbspark.sources.snapshots import Store, take_in
+from kbspark.sources.vectors import EmbeddingError, VectorCache
 
 SHOWN = "class string, path string"
+#: Contents embedded a tick.
+EMBED = 32
 
 
 @dataclass
 class Summary:
+    """Snapshots committed and what is held back (class, path); changes, ops and copies are the tables behind them."""
+
     absorbed: str | None = None
     applied: str | None = None
     deduped: str | None = None
     pending: list[tuple[str, str]] = field(default_factory=list)
+    changes: DataFrame | None = None
+    ops: DataFrame | None = None
+    held: DataFrame | None = None
+    copies: DataFrame | None = None
+    stalled: str = ""
 
     def empty(self) -> bool:
-        return not (self.absorbed or self.applied or self.deduped or self.pending)
+        return not (self.absorbed or self.applied or self.deduped or self.pending or self.stalled)
 
 
 def _pending(rows: DataFrame, shown: DataFrame | None) -> list[tuple[str, str]]:
@@ -37,50 +48,94 @@ def _pending(rows: DataFrame, shown: DataFrame | None) -> list[tuple[str, str]]:
 def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, folder: Folder | None = None, shown: DataFrame | None = None) -> Summary:
     """Absorbs changes, applies the plan's allowed operations and collapses copies, each as a snapshot of its own; quiet passes commit nothing.
 
-    One-shot runs act unless a rule says propose; watching acts only where it says auto and never collapses copies.  Where
-    folder is given, its files follow the moves and removals, before they are committed.  What is held back is listed whole,
-    but for what shown (class, path) has already.
+    One-shot runs act unless a rule says propose; watching acts only where it says auto and never collapses copies.  What no
+    rule matches is labelled unsorted in any case.  A dry run commits nothing; each of its stages sees what the one before
+    would have left.  Where folder is given, its files follow the moves and removals, before they are committed.  What is held
+    back is listed whole, but for what shown (class, path) has already.  A commit made meanwhile raises HeadMoved.
     """
-    out, head = Summary(), store.at()
-    if not drift.changes(head, current).isEmpty() and not dry:
-        out.absorbed = store.commit(drift.absorb(head, current).cache(), "observe", "reconcile")
-        head = store.at()
-    planned = organize.plan(head.join(texts, "path", "left"), policy).cache()
+    out, at = Summary(), store.head
+    head = store.at(at)
+    out.changes = written(drift.changes(head, current), "changes")
+    if not out.changes.isEmpty():
+        absorbed = drift.absorb(head, current)
+        if dry:
+            head = written(absorbed, "absorbed")
+        else:
+            out.absorbed = at = store.commit(absorbed, "observe", "reconcile", at)
+            head = store.at(at)
+    planned = written(organize.plan(head.join(texts, "path", "left"), policy), "planned")
     allowed = [r.name for r in policy.rules if (r.autonomy == "auto" if watching else r.autonomy != "propose")]
-    ops = planned.where(F.col("rule").isin(allowed) & F.col("class").isin("move", "label"))
-    held = planned.where(~F.col("rule").isin(allowed) | F.col("class").isin("conflict", "pinned")).where("class <> 'unsorted'")
-    out.pending = _pending(held.select("class", "path"), shown)
-    if not dry and not ops.isEmpty():
-        if folder:
-            folder.move(lambda: ((r["path"], r["to"]) for r in ops.where("class = 'move'").select("path", "to").toLocalIterator()))
-        out.applied = store.commit(organize.apply(head, ops), "mutate", "reconcile")
-        head = store.at()
-    copies = dedup.plan(head, policy.dedup.strategy or "keep-oldest")
+    acts = F.col("class").isin("move", "label") & F.col("rule").isin(allowed) | (F.col("class") == "unsorted")
+    out.ops, out.held = planned.where(acts), planned.where(~acts)
+    out.pending = _pending(out.held.select("class", "path"), shown)
+    if not out.ops.isEmpty():
+        after = organize.apply(head, out.ops)
+        if dry:
+            head = written(after, "applied")
+        else:
+            if folder:
+                folder.move(lambda: ((r["path"], r["to"]) for r in out.ops.where("class = 'move'").select("path", "to").toLocalIterator()))
+            out.applied = at = store.commit(after, "mutate", "reconcile", at)
+            head = store.at(at)
+    out.copies = written(dedup.members(head, policy.dedup.strategy or "keep-oldest"), "copies")
     if watching:
-        out.pending += _pending(copies.select(F.lit("copies").alias("class"), F.col("blob").alias("path")), shown)
-    elif not dry and not (gone := dedup.removed(copies)).isEmpty():
+        out.pending += _pending(out.copies.select(F.lit("copies").alias("class"), F.col("blob").alias("path")).distinct(), shown)
+    elif not dry and not (gone := dedup.removed(out.copies)).isEmpty():
         if folder:
-            keep = copies.where("not is_conflict").select("keep")
-            folder.collapse((r[0] for r in keep.toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
-        out.deduped = store.commit(head.join(gone, "path", "left_anti"), "mutate", "reconcile")
-    planned.unpersist()
+            folder.collapse((r[0] for r in dedup.kept(out.copies).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
+        out.deduped = store.commit(dedup.apply(head, out.copies), "mutate", "reconcile", at)
     return out
 
 
-def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pass: Callable[[Summary], None], interval: str = "2 seconds"):
-    """A running query; each tick reads the whole folder, since file streams miss edits and deletions. What was shown once isn't shown again; a table of this query keeps it."""
+def rendered(got: Summary) -> Iterator[str]:
+    """A line for a person about each thing done, then each thing held back."""
+    effect = F.when(F.col("class") == "move", F.concat(F.lit("→ "), "to")).otherwise(F.concat(F.lit("+"), F.array_join("labels", ",")))
+    if got.absorbed:
+        for r in got.changes.orderBy("path", "kind").toLocalIterator():
+            yield f"absorbed {r['kind']} {r['path']}"
+    if got.applied:
+        for r in got.ops.select("path", effect.alias("effect"), "rule").orderBy("path", "effect").toLocalIterator():
+            yield f"applied {r['path']} {r['effect']}" + (f" ({r['rule']})" if r["rule"] else "")
+    says = {"move": "PROPOSED {}: a reconcile would apply it", "label": "PROPOSED {}: a reconcile would apply it", "pinned": "PINNED {}: a person moved it", "conflict": "CONFLICT {}", "copies": "COPIES of {}: a dedup would collapse them"}
+    for kind, path in got.pending:
+        yield says.get(kind, kind + " {}").format(path)
+    if got.stalled:
+        yield f"embedding stalled ({got.stalled}); it goes on when the endpoint does"
+
+
+def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pass: Callable[[Summary], None], interval: str = "2 seconds", on_head: Callable[[str], None] | None = None, cache: VectorCache | None = None, texts_of: Callable[[DataFrame], DataFrame] | None = None):
+    """A running query; each tick reads the whole folder, since file streams miss edits and deletions.
+
+    What was shown once isn't shown again; a table of this query keeps it.  on_head gets the head when it moved, to index it
+    anew; with cache, each tick embeds at most EMBED pending contents of texts_of(head), and a failing endpoint is reported
+    once and tried again.
+    """
     seen = f"{store.path}/shown/{uuid.uuid4().hex}"
     spark.createDataFrame([], SHOWN).write.parquet(seen)
+    last = {"head": None, "stalled": ""}
 
     def tick(_: DataFrame, __: int) -> None:
-        entries, blobs = scan_folder(spark, folder)
-        texts = entries.join(blobs, "blob").select("path", F.expr("case when is_valid_utf8(cast(content as string)) then cast(content as string) end").alias("text"))
-        store.put_blobs(blobs)
-        got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder), shown=spark.read.schema(SHOWN).parquet(seen))
-        if got.pending:
-            spark.createDataFrame(got.pending, SHOWN).coalesce(1).write.mode("append").parquet(seen)
-        if not got.empty():
-            on_pass(got)
+        with scratch(spark):
+            entries = take_in(store, folder)
+            cut = F.col("content").cast("string")
+            texts = entries.select("path", "blob").join(store.blobs(), "blob").select("path", F.when(F.is_valid_utf8(cut), cut).alias("text"))
+            got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder), shown=spark.read.schema(SHOWN).parquet(seen))
+            if got.pending:
+                spark.createDataFrame(got.pending, SHOWN).coalesce(1).write.mode("append").parquet(seen)
+            head = store.head
+            if head != last["head"]:
+                if on_head and head:
+                    on_head(head)
+                last["head"] = head
+            if cache and texts_of and head:
+                try:
+                    cache.drain(texts_of(store.at(head)), EMBED)
+                    last["stalled"] = ""
+                except EmbeddingError as e:
+                    got.stalled = "" if str(e) == last["stalled"] else str(e)
+                    last["stalled"] = str(e)
+            if not got.empty():
+                on_pass(got)
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return clock.writeStream.foreachBatch(tick).trigger(processingTime=interval).start()
