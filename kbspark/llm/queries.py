@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, html_text, langid, mixing, mtree, near_dedup, packing, quality, secrets, substring_dedup
+from . import hmm, html_text, langid, line_dedup, mixing, mtree, near_dedup, packing, quality, secrets, spelling, substring_dedup, whitening
 from .common import table
 
 
@@ -56,7 +56,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("score", F.round("score", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_source_mixing, op4_near_dedup, op5_html_text, op6_lm_scoring, op7_topk_search, op8_secret_scan, op9_packing, op10_quality)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), texts=False)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_source_mixing, op4_near_dedup, op5_html_text, op6_lm_scoring, op7_topk_search, op8_secret_scan, op9_packing, op10_quality, op11_line_dedup, op12_spelling_variants, op13_whitening)}
 
 
 
@@ -99,4 +111,10 @@ ORACLES: dict[str, str] = {
  p as (select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0)
  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from p qualify rank <= 5""",
     "op8_secret_scan": _secrets_sql(),
+    "op11_line_dedup": """with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+ l as (select doc_id, unnest(ls) as line, unnest(range(1, len(ls) + 1)) as j from t),
+ k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+ f as (select key, max(doc_id) as last from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+ kept as (select k.doc_id, count(*) as n, string_agg(line, chr(10) order by j) as t from k left join f using (key) where f.key is null or k.doc_id = last group by 1)
+ select t.doc_id, len(ls)::bigint as n_lines, (len(ls) - coalesce(n, 0))::bigint as n_dropped, sha256(coalesce(kept.t, '')) as kept_sha256 from t left join kept using (doc_id)""",
 }
