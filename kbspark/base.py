@@ -120,6 +120,10 @@ class KnowledgeBase:
         """expected: the head that entries were derived from."""
         return self._done(self.store.commit(entries, kind, by, expected), kind, by)
 
+    def _amend(self, changes: DataFrame, kind: str, by: str, expected=snapshots.ANY) -> str:
+        """As _commit, from the changed paths only."""
+        return self._done(self.store.commit_changes(changes, kind, by, expected), kind, by)
+
     # --- operations ------------------------------------------------------------------------------------------------
 
     def scan(self, dry: bool = False) -> dict:
@@ -196,7 +200,7 @@ class KnowledgeBase:
         blob = "s2:" + hashlib.sha256(data).hexdigest()
         self.store.put_blobs(self.spark.createDataFrame([(blob, bytearray(data))], "blob string, content binary"))
         row = self.spark.createDataFrame([(name, blob, size, datetime.datetime.fromtimestamp(seconds, datetime.UTC), [], None)], snapshots.ENTRY)
-        return {"path": name, "manifest": self._done(self.store.update(lambda head: snapshots.retain(head, row), "mutate", "retain"), "mutate", "retain")}
+        return {"path": name, "manifest": self._done(self.store.amend(lambda head: row.withColumn("gone", F.lit(False)), "mutate", "retain"), "mutate", "retain")}
 
     def embed(self, most: int | None = None) -> dict:
         texts, cache = self._texts(self.store.at()), self._cache()
@@ -229,7 +233,7 @@ class KnowledgeBase:
         out: dict = {"ops": _plain(planned.orderBy("path", "class")), "manifest": None}
         if apply and not planned.where("class in ('move', 'label', 'unsorted')").isEmpty():
             self._move(planned)
-            out["manifest"] = self._commit(organize.apply(self.store.at(at), planned), "mutate", "org", at)
+            out["manifest"] = self._amend(organize.edits(self.store.at(at), planned), "mutate", "org", at)
         return out
 
     def _move(self, planned: DataFrame) -> None:
@@ -243,7 +247,7 @@ class KnowledgeBase:
         gone = dedup.removed(rows)
         if apply and not gone.isEmpty():
             self.folder.collapse((r[0] for r in dedup.kept(rows).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
-            out["manifest"] = self._commit(dedup.apply(self.store.at(at), rows), "mutate", "dedup", at)
+            out["manifest"] = self._amend(snapshots.taken_away(gone), "mutate", "dedup", at)
         return out
 
     def drift(self) -> dict:

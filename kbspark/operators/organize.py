@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import paths
 from kbspark.policy import PINNED, UNSORTED, Policy, condition, target
-from kbspark.sources.durable import written
+from kbspark.sources.durable import release, written
+from kbspark.sources.snapshots import replaced
 
 
 def classify(entries: DataFrame, policy: Policy) -> DataFrame:
@@ -31,19 +32,25 @@ def settle(moves: DataFrame, occupied: DataFrame) -> DataFrame:
     """moves (path, to) with ok and claimer: a target is free if unoccupied or left by an earlier accepted move.
 
     The sequential rule is a least fixpoint: per target only the smallest eligible path can win; it wins at once where the
-    target is empty, else iff the occupant's own move is accepted.  Paths strictly grow along a chain, so each round of joins settles new moves only and the rounds end.
+    target is empty, else iff the occupant's own move is accepted.  So each claim waits for at most one other, and paths strictly
+    fall along a chain of claims; its end decides for all of it.  Chains are followed by pointer doubling: a claim that points
+    to an undecided one points to what that one points to in the next round, so a chain of n claims takes about log2(n) rounds.
     """
     occ = occupied.select(F.col("path").alias("to")).distinct().withColumn("full", F.lit(True))
     m = moves.join(occ, "to", "left").withColumn("full", F.coalesce("full", F.lit(False)))
     cand = m.where(~F.col("full") | (F.col("path") > F.col("to"))).groupBy("to").agg(F.min("path").alias("cand"))
     m = written(m.join(cand, "to", "left"), "claims")
-    ok = frontier = m.where("path = cand and not full").select(F.col("path").alias("winner"))
-    waiting = m.where("path = cand and full").select("path", "to")
-    while not waiting.isEmpty():
-        found = written(waiting.join(frontier, F.col("to") == F.col("winner"), "left_semi").select(F.col("path").alias("winner")), "winners")
-        if found.isEmpty():
-            break
-        ok, frontier = ok.unionByName(found), found
+    # of the claims that wait: on is the claim waited for, ok what has become of it (null: not known yet)
+    first = m.where("path = cand").select("path", F.col("to").alias("on"), F.when(~F.col("full"), F.lit(True)).alias("ok"))
+    ends = first.select(F.col("path").alias("on"), F.col("ok").alias("end"), F.lit(True).alias("claims"))
+    # what isn't anybody's accepted claim stays where it is
+    links = written(first.join(ends, "on", "left").select("path", "on", F.when(F.col("ok") | F.col("claims").isNull(), F.coalesce("ok", F.lit(False))).otherwise(F.col("end")).alias("ok")), "claim-links")
+    while not links.where("ok is null").isEmpty():
+        ahead = links.select(F.col("path").alias("on"), F.col("on").alias("further"), F.col("ok").alias("found"))
+        after = written(links.join(ahead, "on", "left").select("path", F.when(F.col("ok").isNull(), F.col("further")).otherwise(F.col("on")).alias("on"), F.coalesce("ok", "found").alias("ok")), "claim-links")
+        release(links)
+        links = after
+    ok = links.where("ok").select(F.col("path").alias("winner"))
     out = m.join(ok.withColumn("ok", F.lit(True)), F.col("path") == F.col("winner"), "left").withColumn("ok", F.col("winner").isNotNull()).drop("winner")
     out = out.join(ok.select(F.col("winner").alias("cand"), F.lit(True).alias("won")), "cand", "left")
     claimer = F.when(F.col("ok"), F.lit(None)).when(F.col("won") & (F.col("path") > F.col("cand")), F.col("cand")).otherwise(F.col("to"))
@@ -72,3 +79,9 @@ def apply(entries: DataFrame, planned: DataFrame) -> DataFrame:
     ops = planned.where("class in ('move', 'label', 'unsorted')").groupBy("path").agg(F.max("to").alias("__to"), F.max("rule").alias("__rule"), F.flatten(F.collect_list("labels")).alias("__labels"))
     out = entries.join(ops, "path", "left")
     return out.withColumn("labels", F.concat("labels", F.coalesce("__labels", F.array().cast("array<string>")))).withColumn("rule", F.coalesce("__rule", "rule") if "rule" in entries.columns else F.col("__rule")).withColumn("path", F.coalesce("__to", "path")).drop("__to", "__rule", "__labels")
+
+
+def edits(entries: DataFrame, planned: DataFrame) -> DataFrame:
+    """What apply changes: the rows it puts, and the paths it leaves (gone)."""
+    touched = entries.join(planned.where("class in ('move', 'label', 'unsorted')").select("path").distinct(), "path", "left_semi")
+    return replaced(touched, apply(touched, planned))

@@ -1,9 +1,13 @@
-"""Versioned snapshots as immutable Parquet partitions with a head pointer; and the scan that feeds them.
-
-A store is a folder: ``entries/manifest_id=M<n>/`` (one immutable table a snapshot), ``manifests/M<n>.json`` (one row each),
-``claims/`` (numbers given out), ``blobs/`` (content by hash, a folder a write) and ``head/<step>`` (a snapshot's id each; the
-largest step counts).  Nothing is overwritten: numbers and steps are taken by creating a file that must not exist, so of two
-writers that start from one head only one moves it, and the other is told.
+"""Versioned snapshots as a base and a log of changed paths, with a head pointer; and the scan that feeds them.
+
+A store is a folder: ``entries/manifest_id=M<n>/`` (whole tables), ``changes/manifest_id=M<n>/`` (the paths that a commit put or
+took away, one row a path), ``segments/`` (changes of several commits merged), ``manifests/M<n>.json`` (one row each, with the
+base and the segments that make the snapshot), ``claims/`` (numbers given out), ``blobs/`` (content by hash, a folder a write) and
+``head/<step>`` (a snapshot's id each; the largest step counts).  A commit writes the rows of its changed paths only.  Segments
+shrink at least by half from one to the next: a commit that would break this merges the last ones, so a snapshot is a base and
+a logarithmic number of segments, and where these hold more than ``LOG_SHARE`` of the base's rows a new base is written.  Older
+snapshots keep what they were made of, so every one stays readable.  Nothing is overwritten: numbers and steps are taken by
+creating a file that must not exist, so of two writers that start from one head only one moves it, and the other is told.
 """
 
 from __future__ import annotations
@@ -21,12 +25,20 @@ from kbspark.sources.durable import release, written
 from kbspark.sources.folder import Folder, hidden_files
 
 ENTRY = "path string, blob string, size long, mod_time timestamp, labels array<string>, rule string"
+FIELDS = tuple(c.split()[0] for c in ENTRY.split(", "))
+#: gone: the path is taken away; known: the snapshot before has it.
+CHANGE = f"{ENTRY}, gone boolean, known boolean"
 MANIFEST = "id string, seq long, parent string, created_at timestamp, created_by string, kind string, entries long"
+#: Rows of the segments, as a share of the base's, above which a commit writes a new base.
+LOG_SHARE = 0.5
 KINDS = ("observe", "mutate")
 #: Expected head of a commit that takes any.
 ANY = object()
 
 
+_BLOBS = "blob string, content binary, batch string"
+
+
 class StoreError(RuntimeError):
     pass
 
@@ -39,6 +51,24 @@ def content_hash(content):
     return F.concat(F.lit("s2:"), F.sha2(content, 256))
 
 
+def _columns() -> list:
+    return [F.col(c.split()[0]).cast(c.split()[1]) for c in ENTRY.split(", ")]
+
+
+def _typed(entries: DataFrame) -> DataFrame:
+    return entries.select(*_columns())
+
+
+def taken_away(paths: DataFrame) -> DataFrame:
+    """Changes that take paths (path) away."""
+    return paths.select("path", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in ENTRY.split(", ")[1:]), F.lit(True).alias("gone"))
+
+
+def replaced(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changes that put the entries after in the place of those before: paths only before are gone."""
+    return _typed(after).withColumn("gone", F.lit(False)).unionByName(taken_away(before.join(after.select("path"), "path", "left_anti")))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -78,20 +108,69 @@ class Store:
             raise HeadMoved("the head moved meanwhile")
 
     def at(self, manifest: str | None = None) -> DataFrame:
-        """Entries of a snapshot, the head by default: one partition is read."""
+        """Entries of a snapshot, the head by default: its base, but for the paths of its segments, and what these put."""
         manifest = manifest or self.head
         if manifest is None:
             return self.spark.createDataFrame([], ENTRY)
-        if not self.folder.exists(f"entries/manifest_id={manifest}"):
+        if not self.folder.exists(f"manifests/{manifest}.json"):
             raise StoreError(f"no snapshot {manifest}")
-        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/manifest_id={manifest}")
+        row = self.manifest(manifest)
+        return self._state(row.get("base") or f"entries/manifest_id={manifest}", row.get("log") or [])
+
+    def _state(self, base: str, log: list[dict]) -> DataFrame:
+        held = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{base}")
+        if not log:
+            return held
+        last = self._folded(log)
+        return held.join(last.select("path"), "path", "left_anti").unionByName(last.where("not gone").select(*FIELDS))
+
+    def _folded(self, log: list[dict]) -> DataFrame:
+        """One row a path of the segments: its last change, and whether the snapshot before the first of them has it."""
+        out = None
+        for i, x in enumerate(log):
+            part = self.spark.read.schema(CHANGE).parquet(f"{self.path}/{x['at']}").withColumn("step", F.lit(i))
+            out = part if out is None else out.unionByName(part)
+        if len(log) == 1:
+            return out.drop("step")
+        rest = F.struct(*(c for c in FIELDS if c != "path"), "gone")
+        return out.groupBy("path").agg(F.max_by(rest, "step").alias("x"), F.min_by("known", "step").alias("known")).select("path", "x.*", "known")
+
+    def changed(self, manifest: str) -> DataFrame:
+        """The paths that a snapshot put or took away (CHANGE); all of a first one's are put."""
+        if not self.folder.exists(f"changes/manifest_id={manifest}"):
+            none = F.lit(False)
+            return self.at(manifest).withColumns({"gone": none, "known": none})
+        return self.spark.read.schema(CHANGE).parquet(f"{self.path}/changes/manifest_id={manifest}")
 
     def commit(self, entries: DataFrame, kind: str, created_by: str = "", expected: str | None | object = ANY) -> str:
-        """Writes a snapshot on top of the head and moves the head to it.
+        """A snapshot of these entries on top of the head: compared with the head's, and what differs is written.
 
         expected: the head that entries were derived from; if it isn't the head any more, nothing is committed and HeadMoved
         is raised.  The head is also checked when it is moved, so no commit made meanwhile is ever overwritten.
         """
+        entries = _typed(entries)
+
+        def against(parent: str) -> DataFrame:
+            old = self.at(parent).select(F.col("path").alias("was_path"), F.struct(*FIELDS).alias("was"))
+            both = entries.select("path", F.struct(*FIELDS).alias("now")).join(old, F.col("path") == F.col("was_path"), "full_outer").where(~F.col("now").eqNullSafe(F.col("was")))
+            gone = F.col("path").isNull()
+            return both.select(F.coalesce("path", "was_path").alias("path"), *(F.col(f"now.{c}").alias(c) for c in FIELDS if c != "path"), gone.alias("gone"), F.col("was_path").isNotNull().alias("known"))
+
+        return self._append(against, entries, kind, created_by, expected)
+
+    def commit_changes(self, changes: DataFrame, kind: str, created_by: str = "", expected: str | None | object = ANY) -> str:
+        """A snapshot that differs from the head in these paths (ENTRY and gone, one row a path); nothing else is read but their names."""
+        changes = changes.select(*_columns(), F.coalesce("gone", F.lit(False)).alias("gone"))
+
+        def against(parent: str) -> DataFrame:
+            known = self.at(parent).select("path").withColumn("known", F.lit(True))
+            found = changes.join(known, "path", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+            return found.where("known or not gone")
+
+        return self._append(against, changes.where("not gone").select(*FIELDS), kind, created_by, expected)
+
+    def _append(self, against: Callable[[str], DataFrame], whole: DataFrame, kind: str, created_by: str, expected) -> str:
+        """against: the changes by the head they meet; whole: the entries where there is no head."""
         if kind not in KINDS:
             raise StoreError(f"kind {kind!r}")
         step, parent = self._head()
@@ -101,19 +180,55 @@ class Store:
         while not self.folder.create(f"claims/M{seq}", b"x"):
             seq += 1
         new = f"M{seq}"
-        cols = [F.col(c.split()[0]).cast(c.split()[1]) for c in ENTRY.split(", ")]
-        entries.select(*cols).write.mode("errorifexists").parquet(f"{self.path}/entries/manifest_id={new}")
-        row = {"id": new, "seq": seq, "parent": parent, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "created_by": created_by, "kind": kind, "entries": self.at(new).count()}
+        base, log = f"entries/manifest_id={new}", []
+        if parent is None:
+            whole.write.mode("errorifexists").parquet(f"{self.path}/{base}")
+            rows = n = self._count(base)
+        else:
+            before = self.manifest(parent)
+            place = f"changes/manifest_id={new}"
+            against(parent).select(*FIELDS, "gone", "known").write.mode("errorifexists").parquet(f"{self.path}/{place}")
+            told = self.spark.read.schema(CHANGE).parquet(f"{self.path}/{place}").agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.when(~F.col("known"), 1).when(F.col("gone"), -1).otherwise(0)), F.lit(0)).alias("more")).first()
+            n, rows = before["entries"] + told["more"], before.get("base_rows", before["entries"])
+            log = [*(before.get("log") or []), *([{"at": place, "rows": told["rows"]}] if told["rows"] else [])]
+            held = before.get("base") or f"entries/manifest_id={parent}"
+            if sum(x["rows"] for x in log) > LOG_SHARE * rows:
+                self._state(held, log).write.mode("errorifexists").parquet(f"{self.path}/{base}")
+                rows, log = self._count(base), []
+            else:
+                base, log = held, self._tiered(log)
+        row = {"id": new, "seq": seq, "parent": parent, "created_at": datetime.datetime.now(datetime.UTC).isoformat(), "created_by": created_by, "kind": kind, "entries": n, "base": base, "base_rows": rows, "log": log}
         self.folder.create(f"manifests/{new}.json", json.dumps(row).encode())
         self._move(step, new)
         return new
 
+    def _count(self, base: str) -> int:
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/{base}").count()
+
+    def _tiered(self, log: list[dict]) -> list[dict]:
+        """log, its last segments merged until each holds over twice the rows of the next."""
+        cut, rows = len(log), 0
+        while cut and (not rows or log[cut - 1]["rows"] <= 2 * rows):
+            cut -= 1
+            rows += log[cut]["rows"]
+        if len(log) - cut < 2:
+            return log
+        place = f"segments/{uuid.uuid4().hex}"
+        self._folded(log[cut:]).select(*FIELDS, "gone", "known").write.parquet(f"{self.path}/{place}")
+        return [*log[:cut], {"at": place, "rows": self.spark.read.schema(CHANGE).parquet(f"{self.path}/{place}").count()}]
+
     def update(self, change: Callable[[DataFrame], DataFrame], kind: str, created_by: str = "", tries: int = 100) -> str:
         """Commits change(entries of the head), again from the new head whenever another writer was first."""
+        return self._retried(lambda head: self.commit(change(self.at(head)), kind, created_by, head), tries)
+
+    def amend(self, changes: Callable[[DataFrame], DataFrame], kind: str, created_by: str = "", tries: int = 100) -> str:
+        """As update, with the changed paths only: changes(entries of the head) gives ENTRY and gone."""
+        return self._retried(lambda head: self.commit_changes(changes(self.at(head)), kind, created_by, head), tries)
+
+    def _retried(self, commit: Callable[[str | None], str], tries: int) -> str:
         for _ in range(tries):
-            head = self.head
             try:
-                return self.commit(change(self.at(head)), kind, created_by, head)
+                return commit(self.head)
             except HeadMoved:
                 continue
         raise HeadMoved(f"others were first {tries} times")
@@ -145,19 +260,40 @@ class Store:
 
     def blobs(self) -> DataFrame:
         """Rows by key; two writers that met may both have brought one key, with the same content."""
-        return self.spark.read.schema("blob string, content binary, batch string").parquet(f"{self.path}/blobs").select("blob", "content").dropDuplicates(["blob"])
+        return self.spark.read.schema(_BLOBS).parquet(f"{self.path}/blobs").select("blob", "content").dropDuplicates(["blob"])
+
+    def contents(self, wanted: DataFrame) -> DataFrame:
+        """blob, content of the wanted (blob): keys are looked up without contents, and only the writes that hold some are read."""
+        if not self.folder.exists("blobs"):
+            return self.spark.createDataFrame([], "blob string, content binary")
+        held = self.spark.read.schema(_BLOBS).parquet(f"{self.path}/blobs")
+        # names of writes: as many as there were commits, at most
+        batches = [r[0] for r in held.select("blob", "batch").join(wanted.select("blob").distinct(), "blob", "left_semi").select("batch").distinct().collect()]
+        return held.where(F.col("batch").isin(batches)).select("blob", "content").join(wanted.select("blob").distinct(), "blob", "left_semi").dropDuplicates(["blob"])
 
 
 def history(manifests: DataFrame, head: str | None) -> DataFrame:
-    """The parent chain; a chain is short next to the data, and each step is one recursion of the plan."""
+    """The parent chain from head, by doubling: after k rounds the nearest 2^k ancestors are known, and every row's 2^k-th.
+
+    A chain of n commits takes about log2(n) rounds of two joins on narrow rows.
+    """
     spark = manifests.sparkSession
-    view = f"manifests_{abs(hash((id(manifests), head)))}"
-    manifests.createOrReplaceTempView(view)
-    return spark.sql(f"""
-        with recursive chain(id, parent, kind, created_by, created_at, entries, depth) max recursion level 100000 as (
-            select id, parent, kind, created_by, created_at, entries, 0 from {view} where id = '{head or ""}'
-            union all select m.id, m.parent, m.kind, m.created_by, m.created_at, m.entries, c.depth + 1 from {view} m join chain c on m.id = c.parent)
-        select id, depth, parent, kind, created_by, created_at, entries from chain order by depth""")
+    ups = written(manifests.where("parent is not null").select("id", F.col("parent").alias("up")), "parents")
+    found, jump = spark.createDataFrame([(head, 0)] if head else [], "id string, depth long"), 1
+    while True:
+        more = found.join(ups, "id").select(F.col("up").alias("id"), (F.col("depth") + jump).alias("depth"))
+        further = written(found.unionByName(more), "ancestors")
+        # parents that aren't there, and rows left without one, end the chain
+        n, grown = further.count(), 2 * jump
+        if n < grown:
+            break
+        ahead = ups.select(F.col("id").alias("up"), F.col("up").alias("further"))
+        twice = written(ups.join(ahead, "up").select("id", F.col("further").alias("up")), "parents")
+        release(ups, found)
+        ups, found, jump = twice, further, grown
+    release(ups, found)
+    rows = manifests.select("id", "parent", "kind", "created_by", "created_at", "entries").join(further, "id")
+    return rows.select("id", F.col("depth").cast("int").alias("depth"), "parent", "kind", "created_by", "created_at", "entries").orderBy("depth")
 
 
 def revert_plan(parent: DataFrame, undone: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from kbspark.operators import dedup, drift, organize
 from kbspark.policy import Policy
 from kbspark.sources.durable import scratch, written
 from kbspark.sources.folder import Folder
-from kbspark.sources.snapshots import Store, take_in
+from kbspark.sources.snapshots import Store, take_in, taken_away
 from kbspark.sources.vectors import EmbeddingError, VectorCache
 
 SHOWN = "class string, path string"
@@ -69,13 +69,12 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
     out.ops, out.held = planned.where(acts), planned.where(~acts)
     out.pending = _pending(out.held.select("class", "path"), shown)
     if not out.ops.isEmpty():
-        after = organize.apply(head, out.ops)
         if dry:
-            head = written(after, "applied")
+            head = written(organize.apply(head, out.ops), "applied")
         else:
             if folder:
                 folder.move(lambda: ((r["path"], r["to"]) for r in out.ops.where("class = 'move'").select("path", "to").toLocalIterator()))
-            out.applied = at = store.commit(after, "mutate", "reconcile", at)
+            out.applied = at = store.commit_changes(organize.edits(head, out.ops), "mutate", "reconcile", at)
             head = store.at(at)
     out.copies = written(dedup.members(head, policy.dedup.strategy or "keep-oldest"), "copies")
     if watching:
@@ -83,7 +82,7 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
     elif not dry and not (gone := dedup.removed(out.copies)).isEmpty():
         if folder:
             folder.collapse((r[0] for r in dedup.kept(out.copies).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
-        out.deduped = store.commit(dedup.apply(head, out.copies), "mutate", "reconcile", at)
+        out.deduped = store.commit_changes(taken_away(gone), "mutate", "reconcile", at)
     return out
 
 
