@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from kbspark import policy as P
 from kbspark.functions import paths
 from kbspark.operators import dedup, drift, merge, organize, recall, search
+from kbspark.operators.textindex import IndexStore
 from kbspark.sources import export, sinks, snapshots, transcripts
 from kbspark.sources.folder import Folder
 from kbspark.sources.vectors import EmbeddingError, VectorCache
@@ -151,23 +152,24 @@ class KnowledgeBase:
             found.append(search.vector(cache.chunks_of(head), cache.query(query), pool))
         return search.fuse(*found, k=tuned["rrf_k"], limit=limit) if mode == "hybrid" else found[0]
 
+    def _contents(self, blobs: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
+        """blob, text of these blobs only, null where the first limit bytes aren't UTF-8."""
+        cut = F.substring("content", 1, limit).cast("string")
+        return self.store.contents(blobs).select("blob", F.when(F.is_valid_utf8(cut), cut).alias("text"))
+
     def index(self, manifest: str | None) -> search.Index:
-        """The stored postings of a snapshot, made when they are first asked for; those of all but it and the one before go."""
+        """The stored index of a snapshot, made from its parent's when it is first asked for: only new contents are read."""
         if manifest is None:
             return search.indexed(self._texts(self.store.at()))
-        marker = f".kb/index/{manifest}.ready"
-        if not self.folder.exists(marker):
-            place = f"{manifest}-{uuid.uuid4().hex}"
-            search.indexed(self._texts(self.store.at(manifest)), f"{self.root}/.kb/index/{place}")
-            if not self.folder.create(marker, place.encode()):  # another was first
-                self.folder.remove_all(f".kb/index/{place}")
-            keep = {manifest, self.store.manifest(manifest)["parent"]}
-            for name in self.folder.names(".kb/index"):
-                if name.endswith(".ready") and name[:-6] not in keep:
-                    old = self.folder.read(f".kb/index/{name}").decode()
-                    self.folder.remove_all(f".kb/index/{name}")
-                    self.folder.remove_all(f".kb/index/{old}")
-        return search.opened(self.spark, f"{self.root}/.kb/index/{self.folder.read(marker).decode()}")
+        held = IndexStore(self.spark, f"{self.root}/.kb/index")
+        if not held.has(manifest):
+            parent = self.store.manifest(manifest)["parent"]
+            if parent and held.has(parent):
+                held.update(manifest, self.store.at(manifest), self._contents, parent, self.store.changed(manifest))
+            else:  # from the latest there is; entries are compared
+                held.update(manifest, self.store.at(manifest), self._contents, max(held.names(), key=lambda n: int(n[1:]), default=None))
+            held.prune({manifest, parent})
+        return held.open(manifest)
 
     def watch(self, on_pass, interval: str = "2 seconds"):
         """A running loop that absorbs, organizes, indexes and, where the policy searches by vector, embeds."""

@@ -20,7 +20,8 @@ class TextIndex(Protocol):
     """Documents and postings that full-text search reads; ``operators.search.Index`` is one."""
 
     docs: DataFrame
-    postings: DataFrame
+    heads: DataFrame
+    texts: DataFrame
 
 
 class Embedder(Protocol):

@@ -13,59 +13,93 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.text import parse_query, path_terms, tokens
 from kbspark.interfaces import TextIndex
-from kbspark.sources.durable import release, written
+from kbspark.sources.durable import new_path, release, written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 @dataclass(frozen=True)
 class Index:
-    """docs (doc, path, blob, labels, len) and postings (token, doc, pos), dealt and sorted by token.
+    """docs (doc, path, blob, labels, len, start) and postings of two kinds, dealt and sorted by token.
 
-    Positions run through path, labels and body with a gap between, so no phrase spans two of them.  A query reads the row
+    Texts are indexed once a content: texts (token, blob, pos).  What an entry has besides, its path, labels and the terms of its
+    path, is heads (token, doc, pos); their positions have a gap between, so no phrase spans two of them, and a document's text
+    follows the terms at start.  heads may hold documents that docs doesn't; they count for nothing.  A query reads the row
     groups that its tokens fall in, and no text.
     """
 
     docs: DataFrame
-    postings: DataFrame
+    heads: DataFrame
+    texts: DataFrame
 
 
-def indexed(entries: DataFrame, path: str = "") -> Index:
-    """The index of entries (path, blob, labels, text), each text read once; kept under path, or as an intermediate."""
-    spark = entries.sparkSession
-    body = F.concat_ws("\n", path_terms("path"), F.col("text"))
+POSTING, DOC = "token string, {} string, pos int", "doc string, path string, blob string, labels array<string>, len int, start int"
+
+
+def sorted_by_token(rows: DataFrame, key: str) -> DataFrame:
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(tasks, "token", key).sortWithinPartitions("token", key, "pos")
+
+
+def text_postings(texts: DataFrame, place: str) -> None:
+    """Writes postings and sizes (blob, n) of contents (blob, text; null: no tokens), each read once."""
+    spark = texts.sparkSession
+    cut = written(texts.select("blob", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("toks")), "tokens")
+    cut.select("blob", F.size("toks").alias("n")).write.parquet(f"{place}/sizes")
+    sorted_by_token(cut.select("blob", F.posexplode("toks").alias("pos", "token")).select("token", "blob", "pos"), "blob").write.parquet(f"{place}/postings")
+    release(cut)
+
+
+def head_postings(entries: DataFrame, sizes: DataFrame, name: str, place: str) -> None:
+    """Writes docs and the postings of their paths and labels for entries (path, blob, labels) without their texts, whose sizes (blob, n) are known."""
     none, gap = F.array().cast("array<string>"), F.array(F.lit(""))
-    parts = [F.coalesce(tokens(x), none) for x in (F.col("path"), F.array_join("labels", " "), body)]
-    cut = entries.select("path", "blob", "labels", F.concat(parts[0], gap, parts[1], gap, parts[2]).alias("toks"))
-    cut = written(cut.withColumn("doc", F.monotonically_increasing_id()), "tokens")
-    docs = cut.select("doc", "path", "blob", "labels", (F.size("toks") - 2).alias("len"))
-    postings = cut.select("doc", F.posexplode("toks").alias("pos", "token")).where("token <> ''").select("token", "doc", "pos")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = postings.repartitionByRange(tasks, "token", "doc").sortWithinPartitions("token", "doc", "pos")
-    if not path:
-        out = Index(written(docs, "docs"), written(postings, "postings"))
-    else:
-        docs.write.parquet(f"{path}/docs")
-        postings.write.parquet(f"{path}/postings")
-        out = opened(spark, path)
+    parts = [F.coalesce(tokens(x), none) for x in (F.col("path"), F.array_join("labels", " "), path_terms("path"))]
+    cut = entries.join(sizes, "blob", "left").select("path", "blob", "labels", F.coalesce("n", F.lit(0)).alias("n"), F.concat(parts[0], gap, parts[1], gap, parts[2]).alias("toks"))
+    cut = written(cut.withColumn("doc", F.concat_ws("-", F.lit(name), F.monotonically_increasing_id().cast("string"))), "heads")
+    start = F.size("toks")
+    cut.select("doc", "path", "blob", "labels", (start - 2 + F.col("n")).cast("int").alias("len"), start.alias("start")).write.parquet(f"{place}/docs")
+    sorted_by_token(cut.select("doc", F.posexplode("toks").alias("pos", "token")).where("token <> ''").select("token", "doc", "pos"), "doc").write.parquet(f"{place}/postings")
     release(cut)
-    return out
+
+
+def indexed(entries: DataFrame, path: str = "") -> Index:
+    """The index of entries (path, blob, labels, text), each content read once; kept under path, or as an intermediate."""
+    spark = entries.sparkSession
+    place = path or new_path(spark, "index")
+    text_postings(entries.select("blob", "text").dropDuplicates(["blob"]), f"{place}/contents")
+    head_postings(entries.select("path", "blob", "labels"), spark.read.schema("blob string, n int").parquet(f"{place}/contents/sizes"), "d", f"{place}/heads")
+    return opened(spark, place)
 
 
 def opened(spark: SparkSession, path: str) -> Index:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Index(read("docs", "doc long, path string, blob string, labels array<string>, len int"), read("postings", "token string, doc long, pos int"))
+    return Index(read("heads/docs", DOC), read("heads/postings", POSTING.format("doc")), read("contents/postings", POSTING.format("blob")))
 
 
-def _occurrences(postings: DataFrame, phrase: list[str]) -> DataFrame:
-    """doc, n: how often the phrase occurs, its last token as a prefix."""
+def _begins(rows: DataFrame, key: str, phrase: list[str]) -> DataFrame:
+    """key, at: of each word of the phrase where it stands, where the phrase would begin; the last word is a prefix."""
     *first, last = phrase
-    rows = postings.where(F.col("token").startswith(last)).select("doc", (F.col("pos") - len(first)).alias("at"))
-    if first:
-        for j, word in enumerate(first):
-            rows = rows.unionByName(postings.where(F.col("token") == word).select("doc", (F.col("pos") - j).alias("at")))
-        rows = rows.groupBy("doc", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(phrase))
-    return rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    out = rows.where(F.col("token").startswith(last)).select(key, (F.col("pos") - len(first)).alias("at"))
+    for j, word in enumerate(first):
+        out = out.unionByName(rows.where(F.col("token") == word).select(key, (F.col("pos") - j).alias("at")))
+    return out
+
+
+def _occurrences(index: TextIndex, phrase: list[str]) -> DataFrame:
+    """doc, n: how often the phrase occurs.
+
+    Inside texts it is counted once a content; only where it begins before a text, the text's words meet each document of it.
+    """
+
+    def whole(rows: DataFrame, key: str) -> DataFrame:
+        return rows if len(phrase) == 1 else rows.groupBy(key, "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(phrase))
+
+    docs, count = index.docs.select("doc", "blob", "start"), F.count(F.lit(1)).alias("n")
+    texts, heads = _begins(index.texts, "blob", phrase), _begins(index.heads, "doc", phrase)
+    if len(phrase) > 1:
+        heads = heads.unionByName(texts.where("at < 0").join(docs, "blob").select("doc", (F.col("at") + F.col("start")).alias("at")))
+    inside = whole(texts.where("at >= 0"), "blob").groupBy("blob").agg(count).join(docs, "blob").select("doc", "n")
+    return inside.unionByName(whole(heads, "doc").groupBy("doc").agg(count)).groupBy("doc").agg(F.sum("n").alias("n"))
 
 
 def full_text(index: TextIndex, query: str, limit: int = 20, mode: str | None = None) -> DataFrame:
@@ -81,9 +115,10 @@ def full_text(index: TextIndex, query: str, limit: int = 20, mode: str | None =
     found = None
     for i in n:
         if phrases[i]:  # a field without a token never occurs
-            rows = _occurrences(index.postings, phrases[i]).select("doc", F.lit(i).alias("i"), "n")
+            rows = _occurrences(index, phrases[i]).select("doc", F.lit(i).alias("i"), "n")
             found = rows if found is None else found.unionByName(rows)
     counts = found.groupBy("doc").agg(*(F.sum(F.when(F.col("i") == i, F.col("n")).otherwise(0)).alias(f"f{i}") for i in n))
+    counts = counts.join(index.docs.select("doc", "path", "blob", "labels", "len"), "doc")
     everything = F.lit(True)
     for i in n:
         everything = everything & (F.col(f"f{i}") > 0)
@@ -91,7 +126,7 @@ def full_text(index: TextIndex, query: str, limit: int = 20, mode: str | None =
     corpus = index.docs.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"))
     rows = counts.join(F.broadcast(stats.join(F.broadcast(corpus))))
     wanted = {"and": F.lit(1), "or": F.lit(0)}.get(mode or "", F.col("strict")) == 1
-    rows = rows.where(~wanted | everything).join(index.docs, "doc")
+    rows = rows.where(~wanted | everything)
     score = F.lit(0.0)
     for i in n:
         idf = F.log((F.col("rows") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
@@ -112,17 +147,33 @@ def full_text_batch(index: TextIndex, queries: DataFrame) -> DataFrame:
     sizes = phrases.groupBy("qid").agg(F.count(F.lit(1)).alias("phrases"))
     words = phrases.where("k > 0").select("phrase", "k").distinct().select("phrase", "k", F.posexplode(F.split("phrase", " ")).alias("j", "word"))
     exact = words.where("j < k - 1").select("phrase", "k", "j", F.col("word").alias("token"))
-    vocabulary = index.postings.select("token").distinct().withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("token", 1, n) for n in (1, 2, 3))))))
+    vocabulary = index.texts.select("token").unionByName(index.heads.select("token")).distinct()
+    vocabulary = vocabulary.withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("token", 1, n) for n in (1, 2, 3))))))
     prefixes = words.where("j = k - 1").withColumn("key", F.substring("word", 1, 3))
     opened = vocabulary.join(prefixes, "key").where(F.col("token").startswith(F.col("word"))).select("phrase", "k", "j", "token")
-    hits = index.postings.join(exact.unionByName(opened), "token").groupBy("phrase", "k", "doc", (F.col("pos") - F.col("j")).alias("at")).agg(F.count(F.lit(1)).alias("n")).where("n = k")
-    f = written(hits.groupBy("phrase", "doc").agg(F.count(F.lit(1)).alias("f")), "occurrences")
+    wanted = written(exact.unionByName(opened), "phrase-words")
+    docs = index.docs.select("doc", "blob", "start")
+
+    def begins(rows: DataFrame, key: str) -> DataFrame:
+        return rows.join(wanted, "token").select("phrase", "k", key, (F.col("pos") - F.col("j")).alias("at"))
+
+    def times(rows: DataFrame, key: str) -> DataFrame:
+        whole = rows.groupBy("phrase", "k", key, "at").agg(F.count(F.lit(1)).alias("n")).where("n = k")
+        return whole.groupBy("phrase", key).agg(F.count(F.lit(1)).alias("f"))
+
+    texts = begins(index.texts, "blob")
+    inside = times(texts.where("at >= 0"), "blob").join(docs, "blob").select("phrase", "doc", "f")
+    before = texts.where("at < 0").join(docs, "blob").select("phrase", "k", "doc", (F.col("at") + F.col("start")).alias("at"))
+    heads = times(begins(index.heads, "doc").join(docs.select("doc"), "doc").select("phrase", "k", "doc", "at").unionByName(before), "doc")
+    f = written(inside.unionByName(heads).groupBy("phrase", "doc").agg(F.sum("f").alias("f")), "occurrences")
     df = f.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
     corpus = index.docs.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"))
     rows = phrases.join(f, "phrase").join(df, "phrase").join(index.docs.select("doc", "path", "len"), "doc").join(F.broadcast(corpus))
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = rows.groupBy("qid", "path").agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("found")).join(sizes, "qid")
+    # added in the order of the phrases, so rows that tie do so to the last digit
+    scored = rows.groupBy("qid", "path").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))
+    scored = scored.select("qid", "path", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.size("parts").alias("found")).join(sizes, "qid")
     strict = scored.where("found = phrases").select("qid").distinct().withColumn("strict", F.lit(True))
     return scored.join(strict, "qid", "left").where("strict is null or found = phrases").select("qid", "path", "score")
 

@@ -19,8 +19,9 @@ def entries(spark, *rows):
     return spark.createDataFrame([(p, b, 1, DAY + datetime.timedelta(days=d), list(labels), rule, text) for p, b, d, labels, rule, text in rows], snapshots.ENTRY + ", text string")
 
 
-def entry(path, blob="b", day=0, labels=(), rule=None, text="t"):
-    return (path, blob, day, labels, rule, text)
+def entry(path, blob=None, day=0, labels=(), rule=None, text="t"):
+    """A content has one key, and unlike contents unlike ones."""
+    return (path, blob or f"s2:{text}", day, labels, rule, text)
 
 
 @pytest.mark.parametrize("bad", ["x = 1", "[[rule]]\nname='a'\nmatch={ext=['md']}", "[[rule]]\nname='a'\nmatch={}\ninto='x'", "[[rule]]\nname='a'\nmatch={ext=['md']}\ninto='../x'", "[[rule]]\nname='a'\nmatch={ext=['md']}\ninto='{nope}'", "[[rule]]\nname='a'\nmatch={content_matches='('}\ninto='x'", "[dedup]\nstrategy='best'", "[retrieval]\nmode='hybrid'", "[[event_sink]]\ntype='webhook'"])
