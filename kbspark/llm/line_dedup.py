@@ -187,9 +187,10 @@ def dedup_lines(docs: DataFrame, texts: bool = True, batches: int = BATCHES, cha
         runs.add(lines.where(F.col("batch") == i).select("h", "doc_id"))
     frequent = materialize(runs.frequent(), "frequent-lines")
     runs.close()
-    gone = lines.select("h", "doc_id").join(frequent, "h").where("doc_id < last").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
+    # both sides grow with the data, so neither is sent to all, however small it may be here
+    gone = lines.select("h", "doc_id").join(frequent.hint("merge"), "h").where("doc_id < last").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
     gone = materialize(gone, "dropped-lines")
     lines._kb_path = place
     release(lines, frequent)
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + (", kept_text string" if texts else "")
-    return docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_kept(chars, texts), schema)
+    return docs.join(gone.hint("merge"), "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_kept(chars, texts), schema)
