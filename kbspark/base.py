@@ -10,9 +10,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
-import uuid
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import asdict, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,14 +22,15 @@ from kbspark.functions import paths
 from kbspark.operators import dedup, drift, merge, organize, recall, search
 from kbspark.operators.textindex import IndexStore
 from kbspark.sources import export, sinks, snapshots, transcripts
+from kbspark.sources.durable import written
 from kbspark.sources.folder import Folder
 from kbspark.sources.vectors import EmbeddingError, VectorCache
+from kbspark.sources.views import State, Views
 from kbspark.streaming import watch
 
 MODES = ("fts", "vector", "hybrid")
 #: Bytes of a file that text search reads; blobs embedded right after a commit.
 TEXT_LIMIT, INLINE = 256 << 10, 64
-VIEW = "step long, name string, view string"
 
 
 class KbError(ValueError):
@@ -57,6 +57,7 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, embedder=None):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder
         self.folder, self.store = Folder(spark, self.root), snapshots.Store(spark, f"{self.root}/.kb/store")
+        self._views = Views(spark, f"{self.root}/.kb/views")
         self.failed_sinks: list[str] = []
         self.failed_embedding = ""
         if not self.folder.exists(".kb"):
@@ -301,66 +302,96 @@ class KnowledgeBase:
 
     # --- views -----------------------------------------------------------------------------------------------------
 
-    def _views(self) -> DataFrame:
-        path = f"{self.root}/.kb/views"
-        return self.spark.read.schema(VIEW).parquet(path) if self.folder.exists(".kb/views") else self.spark.createDataFrame([], VIEW)
+    def _view(self, state: State) -> merge.View:
+        """A view with its operations, for people; tables are read instead where it is merged."""
+        ops = (merge.Op(r["path"], r["to"] or "", tuple(r["labels"] or ()), r["rule"] or "") for r in self._views.ops(state).orderBy("seq").collect())
+        return merge.View(state.name, state.base, state.state, tuple(ops) if state.open else (), state.conflict)
 
-    def _keep(self, view: merge.View) -> merge.View:
-        step = (self._views().agg(F.max("step")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(step, view.name, json.dumps(asdict(view)))], VIEW).coalesce(1).write.mode("append").parquet(f"{self.root}/.kb/views")
-        return view
+    def _state(self, name: str) -> State:
+        found = self._views.get(name)
+        if found is None:
+            raise KbError(f"no view {name!r}")
+        return found
 
     def views(self) -> list[merge.View]:
         """The latest state of each view, the last touched first."""
-        last = self._views().groupBy("name").agg(F.max("step").alias("step"), F.max_by("view", "step").alias("view")).orderBy(F.desc("step"))
-        raw = [json.loads(r["view"]) for r in last.collect()]
-        return [merge.View(**{**x, "ops": tuple(merge.Op(**{**o, "labels": tuple(o["labels"])}) for o in x["ops"])}) for x in raw]
+        return [self._view(s) for s in self._views.all()]
 
     def view(self, name: str) -> merge.View:
-        for v in self.views():
-            if v.name == name:
-                return v
-        raise KbError(f"no view {name!r}")
+        return self._view(self._state(name))
 
     def work_create(self, name: str) -> merge.View:
-        if any(v.name == name and v.state not in ("MERGED", "ABORTED") for v in self.views()):
-            raise KbError(f"{name!r} is open already")
-        if not self.store.head:
+        head = self.store.head
+        if not head:
             raise KbError("nothing is scanned yet")
-        return self._keep(merge.View(name, self.store.head))
 
-    def work_stage(self, name: str, ops: list[merge.Op]) -> merge.View:
-        view = self.view(name)
-        return self._keep(merge.stage(view, self.store.at(view.base), ops))
+        def fresh(now: State | None) -> State:
+            if now and now.open:
+                raise KbError(f"{name!r} is open already")
+            return State(name, head)
+
+        return self._view(self._views.change(name, fresh))
+
+    def work_stage(self, name: str, ops: list[merge.Op] | DataFrame) -> merge.View:
+        """ops: a list, or a table (seq, path, to, labels, rule) of any size."""
+        table = merge.table_of(self.spark, ops) if isinstance(ops, list) else ops
+        self._state(name).moved("STAGED")
+        held = self._views.put(table)
+        checked = set()
+
+        def staged(now: State) -> State:
+            if now.base not in checked:  # the view may have been merged meanwhile, and go on from another base
+                merge.checked(table, self.store.at(now.base))
+                checked.add(now.base)
+            return now.moved("STAGED", tables=(*now.tables, held))
+
+        new = self._views.change(name, staged)
+        return self._view(new) if isinstance(ops, list) else merge.View(name, new.base, new.state)
 
     def work_abort(self, name: str) -> merge.View:
-        return self._keep(self.view(name).moved("ABORTED"))
+        self._state(name)
+        return self._view(self._views.change(name, lambda now: now.moved("ABORTED", tables=(), conflict="")))
+
+    def work_merge_table(self, name: str, ranked: bool = True) -> tuple[State, DataFrame, DataFrame, DataFrame]:
+        """(state, operations, outcome, moves), all but the state as tables.
+
+        Files of applied moves follow, then the new state is committed; what is held stays in the view, which goes on from the new head.
+        """
+        return self._merged(self._state(name), self.policy().rank() if ranked else None)
+
+    def _merged(self, view: State, rank: dict[str, int] | None, base: str | None = None) -> tuple[State, DataFrame, DataFrame, DataFrame]:
+        view.moved("MERGED")
+        at, ops = self.store.head, self._views.ops(view)
+        new, outcome, moves = merge.merge_table(ops, self.store.at(base or view.base), self.store.at(at), rank)
+        outcome = written(outcome, "verdicts")
+        if not outcome.where("status = 'applied'").isEmpty():
+            self.folder.move(lambda: ((r["path"], r["to"]) for r in moves.toLocalIterator()))
+            self._commit(new, "mutate", f"merge/{view.name}", at)
+        held = ops.join(outcome.where("status = 'held'"), "seq")
+        count = held.count()
+        reasons = "; ".join(r["reason"] for r in held.orderBy("seq").limit(20).collect())
+        left = (self._views.put(held),) if count else ()
+
+        def settled(now: State) -> State:
+            if not now.open:
+                return now
+            later = tuple(t for t in now.tables if t not in view.tables)  # staged while this was merged
+            state = now.moved("ESCALATED" if count else "MERGED")
+            return replace(state, state="STAGED" if later and not count else state.state, tables=(*left, *later), conflict=reasons, base=(self.store.head or "") if count or later else now.base)
+
+        return self._views.change(view.name, settled), ops, outcome, moves
 
     def work_merge(self, name: str, ranked: bool = True) -> tuple[merge.View, merge.Outcome]:
-        """Files of applied moves follow, then the new state is committed; what is held stays in the view, which goes on from the new head."""
-        view, at = self.view(name), self.store.head
-        new, out = merge.merge(view, self.store.at(view.base), self.store.at(at), self.policy().rank() if ranked else None)
-        return self._merged(view, merge.settled(view, out), new, out, at)
-
-    def _merged(self, before: merge.View, view: merge.View, new: DataFrame, out: merge.Outcome, at: str | None) -> tuple[merge.View, merge.Outcome]:
-        if out.applied:
-            self.folder.move(lambda: _ends(out.moves))
-            self._commit(new, "mutate", f"merge/{before.name}", at)
-        return self._keep(merge.replace(view, base=self.store.head or "") if out.held else view), out
+        """As work_merge_table, listed for people."""
+        state, ops, outcome, moves = self.work_merge_table(name, ranked)
+        return self._view(state), merge.Outcome.listed(ops, outcome, moves)
 
     def work_resolve(self, name: str, mine: bool) -> merge.View:
-        """Only escalated views are resolved."""
-        view, at = self.view(name), self.store.head
-        new, moved, out = merge.resolve(view, self.store.at(at), mine)
-        return self._merged(view, moved, new, out, at)[0] if mine else self._keep(moved)
-
-
-def _ends(moves: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Moves of one file after another as one, from its first place to its last."""
-    first: dict[str, str] = {}
-    for source, to in moves:
-        first[to] = first.pop(source, source)
-    return [(s, t) for t, s in first.items() if s != t]
+        """Of an escalated view.  theirs: it is given up; mine: merged again, from the head as its base and without ranks; it may stay escalated."""
+        state = self._state(name)
+        if state.state != "ESCALATED":
+            raise ValueError(f"{name} is {state.state}, not ESCALATED")
+        return self._view(self._merged(state, None, self.store.head)[0]) if mine else self.work_abort(name)
 
 
 #: name -> (method, what it does, parameters and their types, whether it changes anything); the services offer these.

@@ -105,7 +105,7 @@ def test_large_label_views_are_joined(spark):
     head = base.where("path <> 'f00003'").withColumn("path", F.when(F.col("path") == "f00007", "new/7").otherwise(F.col("path")))
     ops = spark.range(n).selectExpr("id as seq", "concat('f', lpad(id, 5, '0')) as path", "'' as to", "array(concat('l', id % 3)) as labels", "if(id % 2 = 0, 'r', '') as rule")
     new, outcome, moves = merge.merge_table(ops, base, head)
-    assert moves == [] and outcome.where("status = 'held'").collect()[0].seq == 3 and outcome.count() == n
+    assert moves.isEmpty() and outcome.where("status = 'held'").collect()[0].seq == 3 and outcome.count() == n
     assert new.where("size(labels) = 1").count() == n - 1 and new.where("path = 'new/7'").first().labels == ["l1"] and new.where("rule = 'r'").count() == n // 2
 
 
