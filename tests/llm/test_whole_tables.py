@@ -116,6 +116,17 @@ def test_op5_gives_the_article(spark, sf):
         assert r.text == want and r.n_chars == len(r.text)
 
 
+def test_op5_is_decided_by_densities(sf, monkeypatch):
+    """Without them the same containers and names don't give the articles."""
+    from kbspark.llm import html_text
+
+    pages = [h for (h,) in rows(sf, "pages", "html")]
+    found = [html_text.main_text(h) for h in pages]
+    monkeypatch.setattr(html_text, "LONG", float("inf"))
+    monkeypatch.setattr(html_text, "LINKS", 2)
+    assert sum(html_text.main_text(h) != t for h, t in zip(pages, found, strict=True)) > 0.9 * len(pages)
+
+
 def test_op6_counts_base_and_model(spark, sf, docs):
     import math
 
