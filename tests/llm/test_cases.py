@@ -248,8 +248,34 @@ def test_no_language_is_left_out(spark):
     assert {r.lang_pred for r in got} == set(lang.values()) and np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.97
 
 
-def test_texts_longer_than_those_learned_from(spark, monkeypatch):
-    monkeypatch.setattr(langid, "LONGEST", 40)
+def test_long_texts_are_learned_from_whole(spark):
+    """Each language shows only at the end of its texts."""
+    rows = [(i, "0 " * 15_000 + ("the of and to " if i % 2 else "der die und das ") * 9, "en" if i % 2 else "de") for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got)
+
+
+def test_numbers_are_not_letters(spark):
+    texts = ["½ 100", "②", "Ⅻ", "٣ 4_5", "ª", "ß", "日", "x"]
+    rows = [(2 * i, "the of and to it", "en") for i in range(20)] + [(1000 + i, t, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[1000 + i].lang_pred for i in range(len(texts))] == ["und"] * 4 + ["en"] * 4 and all(got[1000 + i].score == 0 for i in range(4))
+
+
+def test_scores_are_equal_by_either_order_of_products(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdé "), rng.integers(0, 300))) for _ in range(60)] + ["", "~", LONG]
+    model = langid.Model(["a", "b", "c"], langid.Landmarks(texts[:20]), rng.normal(size=(20, 3)))
+    narrow = model.scores(texts)
+    monkeypatch.setattr(langid, "FOLD", 0)
+    wide = model.scores(texts)
+    monkeypatch.setattr(langid, "ENTRIES", 100)
+    single = model.scores(texts)
+    monkeypatch.setattr(langid, "FOLD", 1 << 24)
+    assert np.allclose(narrow, wide, rtol=1e-9) and np.allclose(single, wide, rtol=1e-12) and (model.scores(texts) == narrow).all() and model.scores([]).shape == (0, 3)
+
+
+def test_texts_longer_than_those_learned_from(spark):
     rows = [(i, ("the of and to " if i % 2 else "der die und das ") * 30, "en" if i % 2 else "de") for i in range(40)]
     got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got)
