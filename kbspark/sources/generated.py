@@ -1,57 +1,44 @@
-"""A generated collection for trials: nested folders of short texts, copies of some of them, and files that aren't text."""
+"""Made-up collections for trials: a range of numbers whose seeded hashes give each file its folder, its kind and its content."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kbspark.sources.folder import Folder
 
-
-@dataclass(frozen=True)
-class Scale:
-    documents: int
-    copies: int
-    binaries: int
-    depth: int
-    subjects: int
-
-
-#: Numbers of documents, copies and binaries, deepest folder, subjects: fixed values.
-SCALES = {"small": Scale(15, 4, 2, 2, 3), "medium": Scale(60, 12, 6, 3, 5), "large": Scale(200, 40, 20, 5, 8)}
-ENDINGS = ("txt", "md", "log", "csv")
-_SUBJECTS = ("accounts", "travel", "studies", "letters", "recipes", "garden", "music", "health")
-_KINDS = ("list", "record", "note", "outline", "sketch", "receipt")
-_WORDS = ("maple", "river", "lantern", "harbour", "copper", "meadow", "signal", "paper", "winter", "orchard", "ticket", "bridge")
-
-
-def contents(seed: int, size: str) -> dict[str, bytes]:
-    """path -> content; the same for the same seed and size."""
-    scale, rng = SCALES[size], np.random.default_rng(seed)
-    pick = lambda xs: xs[rng.integers(len(xs))]
-
-    def path(n: int) -> str:
-        folders = [f"{pick(_WORDS)}-{rng.integers(20)}" for _ in range(rng.integers(scale.depth))]
-        return "/".join([pick(_SUBJECTS[: scale.subjects]), *folders, f"{pick(_KINDS)}-{n:03}.{pick(ENDINGS)}"])
-
-    out: dict[str, bytes] = {}
-    for n in range(scale.documents):
-        lines = [f"document {n}"] + [" ".join(pick(_WORDS) for _ in range(rng.integers(4, 12))) for _ in range(rng.integers(3, 11))]
-        out[path(n)] = ("\n".join(lines) + "\n").encode()
-    originals = list(out.values())
-    for n in range(scale.copies):
-        out[path(scale.documents + n)] = pick(originals)
-    for n in range(scale.binaries):
-        out[f"unsorted/blob-{n:03}.bin"] = b"\xff" + rng.bytes(int(rng.integers(63, 255)))
-    return out
+#: Texts, copies of texts, files that aren't text, and levels of folders: fixed values.
+SIZES = {"small": (15, 4, 2, 2), "medium": (60, 12, 6, 3), "large": (200, 40, 20, 5)}
+_SUFFIXES = ("txt", "md", "log", "csv")
+
+
+def files(spark: SparkSession, seed: int, texts: int, copies: int, others: int, levels: int) -> DataFrame:
+    """path, content of so many files of each kind, in at most so many levels of folders; equal for equal arguments.
+
+    A file's path begins with one hexadecimal digit a level, taken from a digest of its number.  A text is a table of as many lines
+    as another digest says, each with a digest of the text's and the line's number; a copy has the number of a text for its content.
+    """
+    number = F.col("id")
+    digest = lambda *what: F.sha2(F.concat_ws(":", F.lit(str(seed)), *(x if isinstance(x, Column) else F.lit(x) for x in what)).cast("binary"), 256)
+    part = lambda name, most, of: F.pmod(F.xxhash64(digest(name, of.cast("string"))), F.lit(max(1, most)))
+    kind = F.when(number < texts, "text").when(number < texts + copies, "copy").otherwise("other")
+    source = F.when(F.col("kind") == "copy", part("source", texts, number)).otherwise(number)
+    folders = F.expr(f"transform(sequence(1, {levels}), i -> concat('x', substr(place, i, 1)))")
+    inside = F.slice(folders, F.lit(1), part("depth", levels + 1, number).cast("int"))
+    name = F.concat(F.col("kind"), F.lit("_"), number.cast("string"), F.lit("."), F.when(F.col("kind") == "other", "dat").otherwise(F.element_at(F.array(*map(F.lit, _SUFFIXES)), (part("suffix", len(_SUFFIXES), F.col("source")) + 1).cast("int"))))
+    line = lambda i: F.concat_ws("\t", F.col("source").cast("string"), i.cast("string"), F.substring(digest("line", F.col("source").cast("string"), i.cast("string")), 1, 24))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), part("lines", 12, F.col("source")) + 2), line), "\n")
+    # two bytes that begin no UTF-8 text
+    other = F.unhex(F.concat(F.lit("c0c1"), F.repeat(digest("bytes", number.cast("string")), part("size", 4, number).cast("int") + 1)))
+    rows = spark.range(texts + copies + others).withColumn("kind", kind).withColumn("source", source).withColumn("place", digest("place", number.cast("string")))
+    return rows.select(F.array_join(F.array_append(inside, name), "/").alias("path"), F.when(F.col("kind") == "other", other).otherwise(text.cast("binary")).alias("content"))
 
 
 def generate(spark: SparkSession, root: str, seed: int = 1, size: str = "medium") -> list[str]:
-    """Writes the files under root; their paths in order."""
-    folder, made = Folder(spark, root), contents(seed, size)
-    for name, content in made.items():
-        folder.make(name.rpartition("/")[0])
-        folder.write(name, content)
-    return sorted(made)
+    """Writes a collection of one of the fixed sizes under root; its paths in order."""
+    folder, names = Folder(spark, root), []
+    for r in files(spark, seed, *SIZES[size]).orderBy("path").toLocalIterator():
+        folder.make(r["path"].rpartition("/")[0])
+        folder.write(r["path"], bytes(r["content"]))
+        names.append(r["path"])
+    return names

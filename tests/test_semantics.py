@@ -550,15 +550,18 @@ def test_rankings_of_a_batch_are_those_of_each_query(spark, sf):
 
 
 def test_generated_collections(spark, tmp_path):
-    from kbspark.sources.generated import SCALES, contents, generate
-
-    for size, scale in SCALES.items():
-        made = contents(3, size)
-        assert made == contents(3, size) != contents(4, size) and len(made) == scale.documents + scale.copies + scale.binaries
-        assert len(set(made.values())) == scale.documents + scale.binaries and max(p.count("/") for p in made) <= scale.depth
-        assert sum(c[0] == 0xFF for c in made.values()) == scale.binaries
+    from kbspark.sources.generated import SIZES, files, generate
+
+    made_of = lambda seed, size: {r.path: bytes(r.content) for r in files(spark, seed, *SIZES[size]).collect()}
+    for size, (texts, copies, others, levels) in SIZES.items():
+        made = made_of(3, size)
+        assert made == made_of(3, size) != made_of(4, size) and len(made) == texts + copies + others
+        assert len(set(made.values())) == texts + others and max(p.count("/") for p in made) <= levels
+        assert sum(b"\xc0\xc1" == c[:2] for c in made.values()) == others
+    assert len({p.rpartition("/")[0] for p in made}) > 20
     names = generate(spark, str(tmp_path / "g"), 3, "small")
-    assert names == sorted(r.path for r in snapshots.scan_folder(spark, str(tmp_path / "g"))[0].collect())
+    found = snapshots.scan_folder(spark, str(tmp_path / "g"))[0].collect()
+    assert names == sorted(r.path for r in found) and len({r.blob for r in found}) == 17
 
 
 # --- intermediates --------------------------------------------------------------------------------------------------------
