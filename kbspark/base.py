@@ -176,7 +176,7 @@ class KnowledgeBase:
         """A running loop that absorbs, organizes, indexes and, where the policy searches by vector, embeds."""
         pol = self.policy()
         cache = self._cache() if pol.retrieval.mode in ("vector", "hybrid") else None
-        return watch.watch(self.spark, self.store, self.root, pol, on_pass, interval, self.index, cache, self._texts)
+        return watch.watch(self.spark, self.store, self.root, pol, on_pass, interval, self.index, cache, self._texts, self._views)
 
     def find(self, query: str, mode: str = "", limit: int = 20) -> list[dict]:
         hits = self.search(query, mode, limit).select("path", "score", "rank")

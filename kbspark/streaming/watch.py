@@ -1,48 +1,62 @@
-"""Continuous reconciliation: a clock stream whose batches compare the folder with the head."""
+"""Continuous reconciliation: a clock stream whose batches compare the folder with the head.
+
+What a pass holds back goes to a folder that a second, stateful stream reads: keys it has seen are in its state store, so each
+item surfaces once, also after a restart from its checkpoint.  Nothing held back passes the driver but where it is printed.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.operators import dedup, drift, organize
 from kbspark.policy import Policy
-from kbspark.sources.durable import scratch, written
+from kbspark.sources.durable import release, scratch, written
 from kbspark.sources.folder import Folder
 from kbspark.sources.snapshots import Store, take_in, taken_away
 from kbspark.sources.vectors import EmbeddingError, VectorCache
+from kbspark.sources.views import Views
 
 SHOWN = "class string, path string"
+#: Class of views that wait for a person.
+ESCALATED = "escalated"
 #: Contents embedded a tick.
 EMBED = 32
 
 
 @dataclass
 class Summary:
-    """Snapshots committed and what is held back (class, path); changes, ops and copies are the tables behind them."""
+    """Snapshots committed and what is held back (fresh: class, path); changes, ops and copies are the tables behind them."""
 
     absorbed: str | None = None
     applied: str | None = None
     deduped: str | None = None
-    pending: list[tuple[str, str]] = field(default_factory=list)
+    fresh: DataFrame | None = None
     changes: DataFrame | None = None
     ops: DataFrame | None = None
     held: DataFrame | None = None
     copies: DataFrame | None = None
     stalled: str = ""
 
-    def empty(self) -> bool:
-        return not (self.absorbed or self.applied or self.deduped or self.pending or self.stalled)
+    def listed(self) -> Iterator[tuple[str, str]]:
+        """What is held back, plans before copies and escalated views, a partition at a time."""
+        if self.fresh is not None:
+            for r in self.fresh.orderBy(F.col("class").isin("copies", ESCALATED), "class", "path").toLocalIterator():
+                yield r["class"], r["path"]
 
+    @property
+    def pending(self) -> list[tuple[str, str]]:
+        """The same as a list, for reports."""
+        return list(self.listed())
 
-def _pending(rows: DataFrame, shown: DataFrame | None) -> list[tuple[str, str]]:
-    """All of rows (class, path) by name, without those of shown."""
-    fresh = rows if shown is None else rows.join(shown, ["class", "path"], "left_anti")
-    return [(r["class"], r["path"]) for r in fresh.orderBy("class", "path").toLocalIterator()]
+    def acted(self) -> bool:
+        return bool(self.absorbed or self.applied or self.deduped or self.stalled)
+
+    def empty(self) -> bool:
+        return not self.acted() and (self.fresh is None or self.fresh.isEmpty())
 
 
 def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, folder: Folder | None = None, shown: DataFrame | None = None) -> Summary:
@@ -67,7 +81,7 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
     allowed = [r.name for r in policy.rules if (r.autonomy == "auto" if watching else r.autonomy != "propose")]
     acts = F.col("class").isin("move", "label") & F.col("rule").isin(allowed) | (F.col("class") == "unsorted")
     out.ops, out.held = planned.where(acts), planned.where(~acts)
-    out.pending = _pending(out.held.select("class", "path"), shown)
+    fresh = out.held.select("class", "path")
     if not out.ops.isEmpty():
         if dry:
             head = written(organize.apply(head, out.ops), "applied")
@@ -78,11 +92,12 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
             head = store.at(at)
     out.copies = written(dedup.members(head, policy.dedup.strategy or "keep-oldest"), "copies")
     if watching:
-        out.pending += _pending(out.copies.select(F.lit("copies").alias("class"), F.col("blob").alias("path")).distinct(), shown)
+        fresh = fresh.unionByName(out.copies.select(F.lit("copies").alias("class"), F.col("blob").alias("path")).distinct())
     elif not dry and not (gone := dedup.removed(out.copies)).isEmpty():
         if folder:
             folder.collapse((r[0] for r in dedup.kept(out.copies).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
         out.deduped = store.commit_changes(taken_away(gone), "mutate", "reconcile", at)
+    out.fresh = fresh if shown is None else fresh.join(shown, ["class", "path"], "left_anti")
     return out
 
 
@@ -95,22 +110,53 @@ def rendered(got: Summary) -> Iterator[str]:
     if got.applied:
         for r in got.ops.select("path", effect.alias("effect"), "rule").orderBy("path", "effect").toLocalIterator():
             yield f"applied {r['path']} {r['effect']}" + (f" ({r['rule']})" if r["rule"] else "")
-    says = {"move": "PROPOSED {}: a reconcile would apply it", "label": "PROPOSED {}: a reconcile would apply it", "pinned": "PINNED {}: a person moved it", "conflict": "CONFLICT {}", "copies": "COPIES of {}: a dedup would collapse them"}
-    for kind, path in got.pending:
+    says = {"move": "PROPOSED {}: a reconcile would apply it", "label": "PROPOSED {}: a reconcile would apply it", "pinned": "PINNED {}: a person moved it", "conflict": "CONFLICT {}", "copies": "COPIES of {}: a dedup would collapse them", ESCALATED: "ESCALATED view {}: a person has to resolve it"}
+    for kind, path in got.listed():
         yield says.get(kind, kind + " {}").format(path)
     if got.stalled:
         yield f"embedding stalled ({got.stalled}); it goes on when the endpoint does"
 
 
-def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pass: Callable[[Summary], None], interval: str = "2 seconds", on_head: Callable[[str], None] | None = None, cache: VectorCache | None = None, texts_of: Callable[[DataFrame], DataFrame] | None = None):
+class Surfacing:
+    """Items (class, path) that come out once: appended to a folder, read by a stream that keeps the keys it has seen as state.
+
+    The state and what has been read are in the stream's checkpoint, so another run on the same folder goes on from there.  A
+    batch counts as read when deliver has returned.  One run at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.last: tuple | None = None
+        spark.createDataFrame([], SHOWN).write.mode("append").parquet(f"{path}/held")
+
+    def offer(self, items: DataFrame, deliver: Callable[[DataFrame], None]) -> None:
+        """Gives deliver those of items that were never delivered; not called where there are none.  Items that are the last offer's are left alone."""
+        digest = items.agg(F.count(F.lit(1)), F.sum(F.xxhash64("class", "path").cast("decimal(38,0)"))).first()
+        if tuple(digest) == self.last:
+            return
+        if digest[0]:
+            items.select("class", "path").write.mode("append").parquet(f"{self.path}/held")
+
+        def batch(rows: DataFrame, _: int) -> None:
+            fresh = written(rows, "surfaced")
+            if not fresh.isEmpty():
+                deliver(fresh)
+            release(fresh)
+
+        # a batch that failed before it was delivered is run again, whatever this offer brought
+        stream = self.spark.readStream.schema(SHOWN).parquet(f"{self.path}/held").dropDuplicates(["class", "path"])
+        stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{self.path}/seen").trigger(availableNow=True).start().awaitTermination()
+        self.last = tuple(digest)
+
+
+def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pass: Callable[[Summary], None], interval: str = "2 seconds", on_head: Callable[[str], None] | None = None, cache: VectorCache | None = None, texts_of: Callable[[DataFrame], DataFrame] | None = None, views: Views | None = None):
     """A running query; each tick reads the whole folder, since file streams miss edits and deletions.
 
-    What was shown once isn't shown again; a table of this query keeps it.  on_head gets the head when it moved, to index it
-    anew; with cache, each tick embeds at most EMBED pending contents of texts_of(head), and a failing endpoint is reported
-    once and tried again.
+    What was shown once isn't shown again, also by a later watch of the store; that includes views (of views) that are escalated.
+    on_head gets the head when it moved, to index it anew; with cache, each tick embeds at most EMBED pending contents of
+    texts_of(head), and a failing endpoint is reported once and tried again.
     """
-    seen = f"{store.path}/shown/{uuid.uuid4().hex}"
-    spark.createDataFrame([], SHOWN).write.parquet(seen)
+    surfacing = Surfacing(spark, f"{store.path}/shown")
     last = {"head": None, "stalled": ""}
 
     def tick(_: DataFrame, __: int) -> None:
@@ -118,9 +164,7 @@ def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pas
             entries = take_in(store, folder)
             cut = F.col("content").cast("string")
             texts = entries.select("path", "blob").join(store.blobs(), "blob").select("path", F.when(F.is_valid_utf8(cut), cut).alias("text"))
-            got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder), shown=spark.read.schema(SHOWN).parquet(seen))
-            if got.pending:
-                spark.createDataFrame(got.pending, SHOWN).coalesce(1).write.mode("append").parquet(seen)
+            got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder))
             head = store.head
             if head != last["head"]:
                 if on_head and head:
@@ -133,7 +177,17 @@ def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pas
                 except EmbeddingError as e:
                     got.stalled = "" if str(e) == last["stalled"] else str(e)
                     last["stalled"] = str(e)
-            if not got.empty():
+            # one state file a view, few next to the files
+            waiting = [(ESCALATED, f"{s.name} ({s.touched})") for s in views.all() if s.state == "ESCALATED"] if views else []
+            held, got.fresh, told = got.fresh.unionByName(spark.createDataFrame(waiting, SHOWN)), None, []
+
+            def deliver(fresh: DataFrame) -> None:
+                got.fresh = fresh
+                on_pass(got)
+                told.append(True)
+
+            surfacing.offer(held, deliver)
+            if not told and got.acted():
                 on_pass(got)
 
     clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()

@@ -499,7 +499,59 @@ def test_watch_indexes_embeds_and_says_so(spark, tmp_path, monkeypatch):
             break
     running.stop()
     assert "absorbed added a.md" in said and "applied a.md → in/a.md (r)" in said and any(x.startswith("PROPOSED b.pdf") for x in said) and any("stalled" in x for x in said)
-    assert cache.vectors().count() == 2 and heads[0] == kb.store.head and os.path.exists(root / f".kb/index/{heads[0]}.ready") and (root / "in/a.md").exists()
+    assert cache.vectors().count() == 2 and heads[0] == kb.store.head and os.path.exists(root / f".kb/index/states/{heads[0]}.json") and (root / "in/a.md").exists()
+
+
+def test_items_surface_once_also_after_a_restart(spark, tmp_path, monkeypatch):
+    of = lambda *names: spark.createDataFrame([("move", n) for n in names], watch.SHOWN)
+    told = []
+    deliver = lambda rows: told.append(sorted(r.path for r in rows.collect()))
+    first = watch.Surfacing(spark, str(tmp_path / "shown"))
+    first.offer(of("a", "b", "a"), deliver)
+    first.offer(of("a", "b", "a"), deliver)
+    first.offer(of("b", "c"), deliver)
+    assert told == [["a", "b"], ["c"]]
+    again = watch.Surfacing(spark, str(tmp_path / "shown"))
+    again.offer(of("a", "b", "c"), deliver)
+    again.offer(of("d", "a"), deliver)
+    assert told[2:] == [["d"]]
+
+    def broken(rows):
+        raise RuntimeError("not delivered")
+
+    with pytest.raises(Exception, match="not delivered"):
+        again.offer(of("e"), broken)
+    watch.Surfacing(spark, str(tmp_path / "shown")).offer(of(), deliver)
+    assert told[3:] == [["e"]]
+
+
+def test_escalated_views_surface(spark, tmp_path):
+    root = tmp_path / "kb"
+    root.mkdir()
+    for n in ("a.md", "b.md"):
+        (root / n).write_text(n)
+    kb = kbase.KnowledgeBase.init(spark, str(root))
+    kb.scan()
+    kb.work_create("v")
+    kb.work_stage("v", [Op("a.md", "b.md")])
+    assert kb.work_merge("v")[0].state == "ESCALATED"
+    said, done = [], threading.Event()
+
+    def on_pass(got):
+        said.extend(watch.rendered(got))
+        done.set()
+
+    running = watch.watch(spark, kb.store, str(root), P.Policy(), on_pass, "1 second", views=kb._views)
+    assert done.wait(240)
+    running.stop()
+    assert sum(x.startswith("ESCALATED view v") for x in said) == 1
+    again = []
+    running = watch.watch(spark, kb.store, str(root), P.Policy(), again.append, "1 second", views=kb._views)
+    for _ in range(60):
+        if (running.lastProgress or {}).get("batchId", 0) >= 1 or running.awaitTermination(2):
+            break
+    running.stop()
+    assert again == []
 
 
 # --- benchmarks -----------------------------------------------------------------------------------------------------------
