@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from kbspark import policy as P
 from kbspark.functions.chunks import chunks
-from kbspark.operators import dedup, drift, merge, organize, recall, search
+from kbspark.functions.text import tokens
+from kbspark.operators import dedup, drift, merge, organize, recall, search, textindex
 from kbspark.sources import export, snapshots, transcripts
 from kbspark.sources.durable import new_path
+from kbspark.sources.vectors import VectorCache
+from kbspark.streaming import watch
 
 POLICY = """
 [[rule]]
@@ -70,9 +73,17 @@ def scan_entries(spark, sf):
     return entries_of(spark, sf).select("path", "blob", "size", "mod_time", joined("labels").alias("labels"))
 
 
+def new_store(spark) -> snapshots.Store:
+    return snapshots.Store(spark, new_path(spark, "store")).init()
+
+
 @query
 def blob_store(spark, sf):
-    return entries_of(spark, sf).select("blob", "size").dropDuplicates(["blob"])
+    """Two writes into a store, the second of everything; each content is there once."""
+    store, blobs = new_store(spark), entries_of(spark, sf).select("blob", F.col("text").cast("binary").alias("content"), "doc_id")
+    store.put_blobs(blobs.where("doc_id % 2 = 0"))
+    store.put_blobs(blobs)
+    return store.blobs().select("blob", F.length("content").cast("long").alias("size"))
 
 
 def _matching(m: P.Match):
@@ -143,6 +154,41 @@ def changed_paths(spark, sf):
     return drift.changed_paths(entries_of(spark, sf), second(spark, sf))
 
 
+@query
+def time_travel(spark, sf):
+    """States of a store by snapshot: a first one, one of which many paths differ, one whose copies went, one file retained; and the head after an undo."""
+    store, first = new_store(spark), entries_of(spark, sf).select(*snapshots.FIELDS)
+    later = second(spark, sf).withColumns({"size": F.lit(None).cast("long"), "mod_time": F.lit(None).cast("timestamp")})
+    store.commit(first, "observe")
+    store.commit(later, "observe")
+    head = store.at()
+    store.commit_changes(snapshots.taken_away(dedup.removed(dedup.members(head.withColumn("mod_time", F.to_timestamp(F.concat(F.lit("2024-01-01 00:"), F.lpad((F.length("path") % 60).cast("string"), 2, "0"), F.lit(":00"))))))), "mutate")
+    note = spark.range(1).select(F.lit("memory/note.md").alias("path"), F.lit("s2:note").alias("blob"), F.lit(4).alias("size"), F.lit(None).alias("mod_time"), F.array(F.lit("kept")).alias("labels"), F.lit(None).alias("rule"), F.lit(False).alias("gone"))
+    store.amend(lambda _: note, "mutate")
+    store.amend(lambda _: snapshots.taken_away(note), "mutate")
+    store.undo()
+    out = None
+    for name in ("M1", "M2", "M3", "M4", None):
+        rows = store.at(name).select(F.lit(name or "head").alias("snapshot"), "path", "blob", joined("labels").alias("labels"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def fts_after_commits(spark, sf):
+    """Full text over the third of three states, its index made from that of the first by way of the second."""
+    index, e = textindex.IndexStore(spark, new_path(spark, "index")), entries_of(spark, sf)
+    texts = e.select("blob", "text").dropDuplicates(["blob"])
+    contents = lambda blobs: texts.join(blobs.select("blob"), "blob", "left_semi")
+    moved = e.where("doc_id % 11 <> 0").withColumn("path", F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
+    marked = moved.withColumn("labels", F.when(F.col("doc_id") % 5 == 0, F.array_append("labels", F.lit("tionary"))).otherwise(F.col("labels")))
+    before = None
+    for name, state in (("M1", e.where("doc_id % 3 <> 0")), ("M2", moved), ("M3", marked)):
+        index.update(name, state.select("path", "blob", "labels"), contents, before)
+        before = name
+    return search.full_text(index.open("M3"), QUERY_AND, 20, "and").select("path", F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def revert_plan(spark, sf):
     return snapshots.revert_plan(entries_of(spark, sf), second(spark, sf))
@@ -262,10 +308,47 @@ def hybrid_rrf(spark, sf):
     return search.fuse(a, b).select("path", F.round("score", 6).alias("score"), "rank")
 
 
+def _documents_with_vectors(spark, sf):
+    """Chunks (path, vec) and labels of the documents that have a vector of their number."""
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    return entries_of(spark, sf).select("doc_id", "path").join(v, "doc_id").select("path", "vec")
+
+
+@query
+def hybrid_search(spark, sf):
+    """A text and a vector together: four times the candidates of each side, fused by rank."""
+    held = spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id = 7").select("embedding").first()[0]
+    text = search.full_text(stored_index(spark, sf), QUERY_AND, 80)
+    near = search.vector(_documents_with_vectors(spark, sf), held, 80)
+    return search.fuse(text, near, limit=20).select("path", F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def eval_scoped(spark, sf):
+    """Retrieval of each benchmark passage, asked by its first two words and by the vector of its number, among the documents of one
+    source; those labelled good are the gold.  Metrics of text, of vectors and of both fused, in one plan."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet")
+    e = entries_of(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source"), "doc_id")
+    asked = b.select(F.col("item_id").cast("string").alias("qid"), F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ").alias("text"))
+    scope = b.select(F.col("item_id").cast("string").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("source"))
+    scope = scope.join(e.select("source", "path", "labels"), "source").select("qid", "path", "labels")
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("q"))
+    text = search.in_scope(search.full_text_batch(stored_index(spark, sf), asked), scope)
+    near = search.in_scope(search.vector_scores(_documents_with_vectors(spark, sf), asked.join(vectors, "qid"), scope), scope)
+    gold, out = scope.where("array_contains(labels, 'good')").select("qid", "path"), None
+    for mode, found in (("fts", text), ("vector", near), ("hybrid", search.fuse_batch(text, near))):
+        rows = search.metrics(found, gold).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def pending_blobs(spark, sf):
+    """What a vector cache has left to do after it embedded a third of the documents."""
     e = entries_of(spark, sf)
-    return e.select("blob").distinct().join(e.where("doc_id % 3 = 0").select("blob"), "blob", "left_anti")
+    cache = VectorCache(spark, new_path(spark, "vectors"), P.Retrieval())
+    cache.drain(e.where("doc_id % 3 = 0").select("blob", "text"))
+    return cache.pending(e.select("blob", "text")).select("blob")
 
 
 @query
@@ -312,10 +395,11 @@ def recall_windows(spark, sf):
 
 @query
 def watch_autonomy(spark, sf):
-    pol = P.load(POLICY)
-    auto = [r.name for r in pol.rules if r.autonomy != "propose"]
-    ops = organize.plan(entries_of(spark, sf), pol).where("class in ('move', 'label')")
-    return ops.select("path", "rule", F.col("rule").isin(auto).alias("acts"))
+    """What a pass over the documents would do, and what it would only propose."""
+    e = entries_of(spark, sf)
+    got = watch.reconcile(new_store(spark), e.drop("text", "doc_id"), e.select("path", "text"), P.load(POLICY), dry=True)
+    rows = got.ops.withColumn("acts", F.lit(True)).unionByName(got.held.withColumn("acts", F.lit(False)))
+    return rows.where("class in ('move', 'label')").select("path", "rule", "acts")
 
 
 @query
@@ -326,8 +410,30 @@ def events_windows(spark, sf):
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
+@query
+def reconciled(spark, sf):
+    """A store's head after a pass over a later state: absorbed, organized, copies collapsed."""
+    store, e = new_store(spark), entries_of(spark, sf)
+    store.commit(e.select(*snapshots.FIELDS).where("size % 3 <> 0"), "observe")
+    rules = P.load("[[rule]]\nname='readable'\nmatch={ext=['md', 'txt']}\nlabel=['readable']\n[[rule]]\nname='table'\nmatch={ext=['csv']}\nlabel=['t']\nautonomy='propose'\n")
+    watch.reconcile(store, e.select(*snapshots.FIELDS), e.select("path", "text"), rules)
+    return store.at().select("path", "blob", joined("labels").alias("labels"), "rule")
+
+
+@query
+def events_stream(spark, sf):
+    """Extension: the counts of events_windows by a stream over the same file, its state kept in a checkpoint."""
+    place, out = new_path(spark, "stream"), new_path(spark, "windows")
+    e = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parquet*")
+    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    rows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("start string, event_type string, n long").parquet(out)
+
+
 def entry(spark: SparkSession, sf: str) -> DataFrame:
-    return hybrid_rrf(spark, sf)
+    return hybrid_search(spark, sf)
 
 
 # --- SQL ---------------------------------------------------------------------------------------------------------------
@@ -355,14 +461,14 @@ def _tokens_sql(x: str) -> str:
     return f"regexp_extract_all(strip_accents(lower({x})), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 
 
-def _fts_sql(phrases: list[str], every: bool, limit: int = 20) -> str:
+def _fts_sql(phrases: list[str], every: bool, limit: int = 20, of: str = "entries") -> str:
     tok = _tokens_sql
     f = ", ".join(f"len(list_filter(toks, lambda t: starts_with(t, '{p}'))) as f{i}" for i, p in enumerate(phrases))
     n = range(len(phrases))
     stats = ", ".join(f"count(*) filter (f{i} > 0) as n{i}" for i in n)
     score = " + ".join(f"(case when ln((r - n{i} + 0.5) / (n{i} + 0.5)) <= 0 then 1e-6 else ln((r - n{i} + 0.5) / (n{i} + 0.5)) end) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in n)
     hit = (" and " if every else " or ").join(f"f{i} > 0" for i in n)
-    return f"""t as (select path, list_concat({tok("path")}, {tok("array_to_string(labels, ' ')")}, {tok("translate(path, '/_-.', '    ') || chr(10) || text")}) as toks from entries),
+    return f"""t as (select path, list_concat({tok("path")}, {tok("array_to_string(labels, ' ')")}, {tok("translate(path, '/_-.', '    ') || chr(10) || text")}) as toks from {of}),
  c as (select path, len(toks) as len, {f} from t), s as (select count(*) as r, avg(len) as avgdl, {stats} from c),
  top as (select path, {score} as score from c, s where {hit} order by score desc, path limit {limit})"""
 
@@ -386,7 +492,44 @@ MERGED = f"""with {ENTRIES}, {SECOND}, base as (select *, case when doc_id % 2 =
  verdicts as (select *, case when goal = '' then case when there or follow is not null then 'applied' else 'held' end when not there then 'held' when blob = was then 'applied' when own is null or theirs is null then 'held' when own < theirs then 'applied' else 'dropped' end as status from x)"""
 
 
+_IDF = "case when ln((r - n + 0.5) / (n + 0.5)) <= 0 then 1e-6 else ln((r - n + 0.5) / (n + 0.5)) end"
+_METRICS = f"""select qid, {", ".join(f"round(h{k} / gold, 6) as recall_{k}, (h{k} > 0)::int as hit_{k}" for k in (1, 3, 5, 10))}, round(coalesce(1 / first, 0), 6) as mrr, round(dcg / list_sum(list_transform(range(1, least(10, gold) + 1), lambda i: 1 / log2(i + 1.0))), 6) as ndcg_10"""
+SCOPED = f"""with {ENTRIES}, e as (select entries.*, d.source from entries join documents d using (doc_id)),
+ t as (select path, list_concat({_tokens_sql("path")}, {_tokens_sql("array_to_string(labels, ' ')")}, {_tokens_sql("translate(path, '/_-.', '    ') || chr(10) || text")}) as toks from entries),
+ len as (select path, len(toks) as len from t), s as (select count(*) as r, avg(len) as avgdl from len),
+ tok as (select path, tok, count(*) as n from (select path, unnest(toks) as tok from t) group by 1, 2), vocabulary as (select distinct tok from tok),
+ q as (select item_id::varchar as qid, unnest([1, 2]) as i, unnest(({_tokens_sql("text")})[1:2]) as p from benchmark),
+ w as (select qid, i, tok from q join vocabulary on starts_with(tok, p)),
+ f as (select qid, i, path, sum(tok.n) as f from w join tok using (tok) group by 1, 2, 3), df as (select qid, i, count(*) as n from f group by 1, 2),
+ part as (select qid, i, path, ({_IDF}) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl)) as x from f join df using (qid, i) join len using (path), s),
+ sc as (select qid, path, sum(x order by i) as score, count(*) as found from part group by 1, 2), strict as (select distinct qid from sc where found = 2),
+ scope as (select item_id::varchar as qid, path, doc_id, labels from benchmark join e on e.source = 'src' || (item_id % 20)),
+ text as (select qid, path, row_number() over (partition by qid order by score desc, path) as rank from sc join scope using (qid, path) where found = 2 or qid not in (select qid from strict)),
+ near as (select qid, path, row_number() over (partition by qid order by list_dot_product(d.embedding::double[], v.embedding::double[]) desc, path) as rank from scope join embeddings d on d.vec_id = doc_id join embeddings v on v.vec_id::varchar = qid),
+ fused as (select qid, path, sum(1.0 / (60 + rank)) as score from (select * from text union all select * from near) group by 1, 2),
+ lists as (select 'fts' as mode, * from text union all select 'vector', * from near union all select 'hybrid', qid, path, row_number() over (partition by qid order by score desc, path) from fused),
+ gold as (select qid, path from scope where list_contains(labels, 'good')), g as (select qid, count(*) as gold from gold group by 1),
+ h as (select mode, qid, {", ".join(f"count(*) filter (rank <= {k}) as h{k}" for k in (1, 3, 5, 10))}, min(rank) as first, coalesce(sum(1 / log2(rank + 1.0)) filter (rank <= 10), 0) as dcg from lists join gold using (qid, path) group by 1, 2),
+ a as (select m.mode, g.qid, g.gold, coalesce(h1, 0) as h1, coalesce(h3, 0) as h3, coalesce(h5, 0) as h5, coalesce(h10, 0) as h10, first, coalesce(dcg, 0) as dcg from g cross join (select unnest(['fts', 'vector', 'hybrid']) as mode) m left join h on h.qid = g.qid and h.mode = m.mode)
+ {_METRICS}, mode from a"""
+
+
 ORACLES: dict[str, str] = {
+    "eval_scoped": SCOPED,
+    "hybrid_search": f"""with {ENTRIES}, {_fts_sql(["the", "tion"], True, 80)}, a as (select path, row_number() over (order by score desc, path) as rank from top),
+ v as (select path, list_dot_product(v.embedding::double[], q.embedding::double[]) as score from entries join embeddings v on v.vec_id = doc_id, embeddings q where q.vec_id = 7 order by score desc, path limit 80), b as (select path, row_number() over (order by score desc, path) as rank from v),
+ u as (select path, sum(1.0 / (60 + rank)) as score from (select * from a union all select * from b) group by 1 order by score desc, path limit 20) select path, round(score, 6) as score, {_RANK} from u""",
+    "fts_after_commits": f"""with {ENTRIES}, later as (select case when doc_id % 17 = 0 then 'moved/' || path else path end as path, case when doc_id % 5 = 0 then list_append(labels, 'tionary') else labels end as labels, text from entries where doc_id % 11 <> 0),
+ {_fts_sql(["the", "tion"], True, 20, "later")} select path, round(score, 6) as score, {_RANK} from top""",
+    "time_travel": f"""with {ENTRIES}, {SECOND}, m2 as (select s.path, s.blob, coalesce(array_to_string(list_sort(e.labels), ','), '') as labels from second s left join entries e on e.path = case when starts_with(s.path, 'moved/') then substr(s.path, 7) else s.path end),
+ k as (select *, length(path) % 60 as age, count(*) over (partition by blob) as n, min(length(path) % 60) over (partition by blob) as oldest from m2), c as (select *, count(*) filter (age = oldest) over (partition by blob) as ties from k),
+ m3 as (select path, blob, labels from c where n = 1 or ties > 1 or age = oldest), m4 as (select * from m3 union all select 'memory/note.md', 's2:note', 'kept')
+ select 'M1' as snapshot, path, blob, array_to_string(list_sort(labels), ',') as labels from entries union all select 'M2', * from m2 union all select 'M3', * from m3 union all select 'M4', * from m4 union all select 'head', * from m4""",
+    "reconciled": f"""with {ENTRIES}, r as (select *, split_part(path, '.', -1) as ext, count(*) over (partition by blob) as n, min(mod_time) over (partition by blob) as t from entries), k as (select *, count(*) filter (mod_time = t) over (partition by blob) as ties from r),
+ had as (select *, size % 3 <> 0 as known from k),
+ x as (select path, blob, ext, case when known then labels else [] end as own from had where n = 1 or ties > 1 or mod_time = t)
+ select path, blob, array_to_string(list_sort(list_concat(own, case when ext in ('md', 'txt') then ['readable'] when ext = 'csv' then [] else ['unsorted'] end)), ',') as labels, case when ext in ('md', 'txt') then 'readable' end as rule from x""",
+    "events_stream": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
     "scan_entries": f"with {ENTRIES} select path, blob, size, mod_time, array_to_string(list_sort(labels), ',') as labels from entries",
     "blob_store": f"with {ENTRIES} select distinct blob, size from entries",
     "match_ext": f"with {ENTRIES} select path from entries where split_part(path, '.', -1) in ('md', 'csv')",
