@@ -6,10 +6,11 @@ import re
 import tomllib
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.functions import paths
+from kbspark.functions import paths, patterns
 
 VARIABLES = ("year", "month", "day", "name", "ext")
 AUTONOMY = ("", "propose", "auto")
@@ -89,11 +90,46 @@ class Policy:
         return {r.name: i for i, r in enumerate(self.rules)}
 
 
+_TYPES = {"str": "a string", "int": "a whole number", "tuple[str, ...]": "a list of strings", "Match": "a table"}
+
+
+def _table(raw, where: str) -> dict:
+    if not isinstance(raw, dict):
+        raise PolicyError(f"{where}: not a table")
+    return raw
+
+
+def _tables(raw, where: str) -> list[dict]:
+    if not isinstance(raw, list):
+        raise PolicyError(f"{where}: not a list of tables")
+    return [_table(x, where) for x in raw]
+
+
 def _build(kind, raw: dict, where: str):
-    names = {f.name for f in fields(kind)}
-    if unknown := set(raw) - names:
+    """kind of the keys of raw, each of the type that its field has."""
+    kinds = {f.name: f.type for f in fields(kind)}
+    if unknown := set(_table(raw, where)) - set(kinds):
         raise PolicyError(f"{where}: unknown keys {sorted(unknown)}")
-    return kind(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
+    values = {}
+    for k, v in raw.items():
+        fits = {"str": isinstance(v, str), "int": type(v) is int, "tuple[str, ...]": isinstance(v, list) and all(isinstance(x, str) for x in v), "Match": isinstance(v, Match)}
+        if not fits[kinds[k]]:
+            raise PolicyError(f"{where}: {k} must be {_TYPES[kinds[k]]}, not {v!r}")
+        values[k] = tuple(v) if isinstance(v, list) else v
+    return kind(**values)
+
+
+def _check_pattern(pattern: str, rule: str) -> None:
+    """Of the dialect, and good for the engine that runs it, if there is one by now."""
+    try:
+        text = patterns.matcher(pattern)
+    except patterns.PatternError as e:
+        raise PolicyError(f"rule {rule}: {e}") from e
+    if spark := SparkSession.getActiveSession():
+        try:
+            spark._jvm.java.util.regex.Pattern.compile(text)
+        except Py4JJavaError as e:
+            raise PolicyError(f"rule {rule}: {pattern!r}: {e.java_exception.getMessage()}") from e
 
 
 def _check_template(text: str, rule: str) -> None:
@@ -111,10 +147,9 @@ def load(text: str) -> Policy:
     if unknown := set(raw) - {"rule", "dedup", "retrieval", "event_sink"}:
         raise PolicyError(f"unknown keys {sorted(unknown)}")
     rules, seen = [], set()
-    for r in raw.get("rule", []):
-        r = dict(r)
+    for r in _tables(raw.get("rule", []), "rule"):
         name = r.get("name", "")
-        if not name or name in seen:
+        if not name or not isinstance(name, str) or name in seen:
             raise PolicyError(f"rule name missing or repeated: {name!r}")
         seen.add(name)
         rule = _build(Rule, {**r, "match": _build(Match, r.get("match", {}), f"rule {name} match")}, f"rule {name}")
@@ -134,12 +169,7 @@ def load(text: str) -> Policy:
             except ValueError as e:
                 raise PolicyError(f"rule {name}: {e}") from e
         if rule.match.content_matches:
-            try:
-                re.compile(rule.match.content_matches)
-            except re.error as e:
-                raise PolicyError(f"rule {name}: {e}") from e
-            if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", rule.match.content_matches):
-                raise PolicyError(f"rule {name}: lookaround and back references aren't supported")
+            _check_pattern(rule.match.content_matches, name)
         rules.append(rule)
     dedup = _build(Dedup, raw.get("dedup", {}), "dedup")
     if dedup.strategy not in ("", "keep-oldest", "keep-newest") or dedup.on_conflict not in ("", "escalate"):
@@ -155,7 +185,7 @@ def load(text: str) -> Policy:
     if tuned["chunk_overlap"] >= tuned["chunk_size"]:
         raise PolicyError(f"retrieval: an overlap of {tuned['chunk_overlap']} isn't smaller than a chunk of {tuned['chunk_size']}")
     sinks = []
-    for s in raw.get("event_sink", []):
+    for s in _tables(raw.get("event_sink", []), "event_sink"):
         s = _build(EventSink, s, "event_sink")
         if s.on not in ("", COMMITTED):
             raise PolicyError(f"event_sink: on {s.on!r}")
@@ -178,8 +208,7 @@ def condition(m: Match, path: str = "path", text: str = "text") -> Column:
     if m.path:
         out = out & paths.matches_glob(path, m.path)
     if m.content_matches:
-        pattern = re.sub(r"(?<!\\)\$$", r"\\z", m.content_matches)
-        out = out & F.coalesce(F.substring(text, 1, CONTENT_LIMIT).rlike(f"(?iu){pattern}"), F.lit(False))
+        out = out & F.coalesce(F.substring(text, 1, CONTENT_LIMIT).rlike(patterns.matcher(m.content_matches)), F.lit(False))
     return out
 
 
