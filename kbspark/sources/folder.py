@@ -36,6 +36,10 @@ class Folder:
         """The root's path without scheme and host."""
         return self._fs.makeQualified(self._path("")).toUri().getPath().rstrip("/")
 
+    def qualified(self) -> str:
+        """The root with its scheme."""
+        return self._fs.makeQualified(self._path("")).toString().rstrip("/")
+
     def make(self, name: str) -> None:
         self._fs.mkdirs(self._path(name))
 

@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.sources import listing
 from kbspark.sources.durable import release, written
 from kbspark.sources.folder import Folder, hidden_files
 
@@ -309,7 +310,8 @@ def scan_rows(spark: SparkSession, path: str, skip: str = ".kb") -> DataFrame:
     """path, blob, size, mod_time, content of the files under path.
 
     Folders named skip are left out.  Spark's listing doesn't show files and folders whose names begin with a dot or an
-    underscore; those are read by way of visible copies.
+    underscore; those are listed and read by a source of their own, and copied under visible names only where that has no
+    access to the file system.
     """
     folder = Folder(spark, path)
     root = folder.bare()
@@ -322,6 +324,11 @@ def scan_rows(spark: SparkSession, path: str, skip: str = ".kb") -> DataFrame:
     below = F.lit(f"{root}/")
     files = read(path).withColumn("path", F.substring(F.col("path"), F.position(below, F.col("path")) + F.length(below), F.length("path")))
     files = files.where(~F.concat(F.lit("/"), "path").contains(f"/{skip}/")).select(*columns)
+    uri = folder.qualified()
+    if listing.known(uri):
+        spark.dataSource.register(listing.HiddenFiles)
+        more = spark.read.format(listing.HiddenFiles.name()).option("path", uri).option("skip", skip).option("tasks", spark.conf.get("spark.sql.shuffle.partitions")).load()
+        return files.unionByName(more.withColumn("blob", content_hash("content")).select(*columns))
     copies, named = hidden_files(spark, path, skip)
     if named:
         names = spark.createDataFrame(named, "copy string, name string, at timestamp")

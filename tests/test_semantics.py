@@ -183,6 +183,31 @@ def test_scan_sees_every_file(spark, tmp_path):
     assert kb.reconcile(apply=True)["absorbed"] is None and [r.path for r in kb.store.at().collect()] == ["_note.md"]
 
 
+def test_hidden_files_are_read_by_executors(spark, tmp_path, monkeypatch):
+    from kbspark.sources import listing
+
+    root = tmp_path / "k b's"
+    names = [f"{a}/{b}{i}.md" for a in ("x", ".x", "y/_z/w", "y/v") for b in ("", ".", "_") for i in range(4)] + [".env", "top.md", ".crc.md"]
+    for n in [*names, ".kb/no", "y/.kb/no", ".a.crc"]:
+        (root / n).parent.mkdir(parents=True, exist_ok=True)
+        (root / n).write_text(n)
+    reader = listing.HiddenReader({"path": f"file:{root}", "tasks": "7"})
+    shares = reader.partitions()
+    assert len(shares) >= 7
+    got = [r for s in shares for r in reader.read(s)]
+    assert sorted(r[0] for r in got) == sorted(n for n in names if any(p[0] in "._" for p in n.split("/"))) and all(r[3].decode() == r[0] and r[1] == len(r[0]) for r in got)
+    made = lambda: sorted((r.path, r.blob, r["size"], r.mod_time) for r in snapshots.scan_folder(spark, str(root))[0].collect())
+    direct = made()
+    assert [r[0] for r in direct] == sorted(names)
+    copied = []
+    hidden = snapshots.hidden_files
+    monkeypatch.setattr(snapshots, "hidden_files", lambda *a: copied.append(a) or hidden(*a))
+    assert made() == direct and not copied
+    monkeypatch.setattr(listing, "known", lambda uri: False)  # a file system that only Spark reaches
+    assert made() == direct and copied
+    assert listing.known("viewfs://in/x") is False and listing.known(f"file:{root}/nowhere") is False
+
+
 TRANSCRIPT = [
     {"type": "system", "subtype": "init", "message": {}},
     {"type": "user", "message": {"role": "user", "content": "Should we move billing?<system-reminder>inner\nnote</system-reminder>"}},
