@@ -22,7 +22,8 @@ from kbspark.functions import paths
 from kbspark.operators import dedup, drift, merge, organize, recall, search
 from kbspark.operators.textindex import IndexStore
 from kbspark.sources import export, sinks, snapshots, transcripts
-from kbspark.sources.durable import written
+from kbspark.sources.durable import release, written
+from kbspark.sources.effects import Effects
 from kbspark.sources.folder import Folder
 from kbspark.sources.vectors import EmbeddingError, VectorCache
 from kbspark.sources.views import State, Views
@@ -57,6 +58,7 @@ class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str, embedder=None):
         self.spark, self.root, self.embedder = spark, root.rstrip("/"), embedder
         self.folder, self.store = Folder(spark, self.root), snapshots.Store(spark, f"{self.root}/.kb/store")
+        self.effects = Effects(spark, self.root)
         self._views = Views(spark, f"{self.root}/.kb/views")
         self.failed_sinks: list[str] = []
         self.failed_embedding = ""
@@ -240,8 +242,7 @@ class KnowledgeBase:
         return out
 
     def _move(self, planned: DataFrame) -> None:
-        moves = planned.where("class = 'move'").select("path", "to")
-        self.folder.move(lambda: ((r["path"], r["to"]) for r in moves.toLocalIterator()))
+        self.effects.move(planned.where("class = 'move'").select("path", "to"))
 
     def dedup(self, apply: bool = False) -> dict:
         at = self.store.head
@@ -249,7 +250,7 @@ class KnowledgeBase:
         out: dict = {"groups": _plain(dedup.grouped(rows).orderBy("blob")), "manifest": None}
         gone = dedup.removed(rows)
         if apply and not gone.isEmpty():
-            self.folder.collapse((r[0] for r in dedup.kept(rows).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
+            self.effects.collapse(dedup.kept(rows).select(F.col("keep").alias("path")), gone)
             out["manifest"] = self._amend(snapshots.taken_away(gone), "mutate", "dedup", at)
         return out
 
@@ -260,7 +261,7 @@ class KnowledgeBase:
         return {"changes": _plain(drift.changes(self.store.at(), now).orderBy("path", "kind")), "ops": _plain(got.ops.orderBy("path", "class")), "pending": got.pending, "copies": _plain(dedup.grouped(got.copies).orderBy("blob"))}
 
     def _reconciled(self, now: DataFrame, dry: bool) -> watch.Summary:
-        return watch.reconcile(self.store, now, self._texts(now, P.CONTENT_LIMIT).select("path", "text"), self.policy(), dry=dry, folder=self.folder)
+        return watch.reconcile(self.store, now, self._texts(now, P.CONTENT_LIMIT).select("path", "text"), self.policy(), dry=dry, effects=self.effects)
 
     def reconcile(self, apply: bool = False) -> dict:
         """Absorbs, organizes and collapses; without apply, what that would do, one stage after the other, and nothing is changed."""
@@ -283,18 +284,14 @@ class KnowledgeBase:
         undone, back = self.store.at(), self.store.undo()
         before = self.store.at()
         if kind == "mutate":
-            plan = snapshots.revert_plan(before, undone).persist()
+            plan = written(snapshots.revert_plan(before, undone), "revert")
             # one file can go back to one place; further places of its content are restored from the blobs
-            moved = plan.where("action = 'moved'").groupBy("from_path").agg(F.min("path").alias("path"))
-            self.folder.move(lambda: ((r["from_path"], r["path"]) for r in moved.toLocalIterator()), missing_ok=True)
-            lost = plan.where("action in ('restored', 'moved')").join(before.select("path", "blob"), "path").join(self.store.blobs(), "blob")
-            for r in lost.select("path", "content").toLocalIterator():
-                if not self.folder.exists(r["path"]):
-                    self.folder.write(r["path"], bytes(r["content"]))
-            for r in plan.where("action = 'removed'").join(undone.select("path", "blob"), "path").toLocalIterator():
-                if self.folder.exists(r["path"]) and "s2:" + hashlib.sha256(self.folder.read(r["path"])).hexdigest() == r["blob"]:
-                    self.folder.remove(r["path"])
-            plan.unpersist()
+            moved = plan.where("action = 'moved'").groupBy("from_path").agg(F.min("path").alias("to")).select(F.col("from_path").alias("path"), "to")
+            self.effects.move(moved, missing_ok=True)
+            lost = plan.where("action in ('restored', 'moved')").join(before.select("path", "blob"), "path")
+            self.effects.restore(lost.join(self.store.contents(lost.select("blob")), "blob"))
+            self.effects.remove(plan.where("action = 'removed'").join(undone.select("path", "blob"), "path"))
+            release(plan)
         return {"manifest": back}
 
     def rules(self) -> list[dict]:
@@ -365,7 +362,7 @@ class KnowledgeBase:
         new, outcome, moves = merge.merge_table(ops, self.store.at(base or view.base), self.store.at(at), rank)
         outcome = written(outcome, "verdicts")
         if not outcome.where("status = 'applied'").isEmpty():
-            self.folder.move(lambda: ((r["path"], r["to"]) for r in moves.toLocalIterator()))
+            self.effects.move(moves)
             self._commit(new, "mutate", f"merge/{view.name}", at)
         held = ops.join(outcome.where("status = 'held'"), "seq")
         count = held.count()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kbspark.operators import dedup, drift, organize
 from kbspark.policy import Policy
 from kbspark.sources.durable import release, scratch, written
-from kbspark.sources.folder import Folder
+from kbspark.sources.effects import Effects
 from kbspark.sources.snapshots import Store, take_in, taken_away
 from kbspark.sources.vectors import EmbeddingError, VectorCache
 from kbspark.sources.views import Views
@@ -59,12 +59,12 @@ class Summary:
         return not self.acted() and (self.fresh is None or self.fresh.isEmpty())
 
 
-def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, folder: Folder | None = None, shown: DataFrame | None = None) -> Summary:
+def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy, watching: bool = False, dry: bool = False, effects: Effects | None = None, shown: DataFrame | None = None) -> Summary:
     """Absorbs changes, applies the plan's allowed operations and collapses copies, each as a snapshot of its own; quiet passes commit nothing.
 
     One-shot runs act unless a rule says propose; watching acts only where it says auto and never collapses copies.  What no
     rule matches is labelled unsorted in any case.  A dry run commits nothing; each of its stages sees what the one before
-    would have left.  Where folder is given, its files follow the moves and removals, before they are committed.  What is held
+    would have left.  Where effects are given, files follow the moves and removals, before they are committed.  What is held
     back is listed whole, but for what shown (class, path) has already.  A commit made meanwhile raises HeadMoved.
     """
     out, at = Summary(), store.head
@@ -86,16 +86,16 @@ def reconcile(store: Store, current: DataFrame, texts: DataFrame, policy: Policy
         if dry:
             head = written(organize.apply(head, out.ops), "applied")
         else:
-            if folder:
-                folder.move(lambda: ((r["path"], r["to"]) for r in out.ops.where("class = 'move'").select("path", "to").toLocalIterator()))
+            if effects:
+                effects.move(out.ops.where("class = 'move'").select("path", "to"))
             out.applied = at = store.commit_changes(organize.edits(head, out.ops), "mutate", "reconcile", at)
             head = store.at(at)
     out.copies = written(dedup.members(head, policy.dedup.strategy or "keep-oldest"), "copies")
     if watching:
         fresh = fresh.unionByName(out.copies.select(F.lit("copies").alias("class"), F.col("blob").alias("path")).distinct())
     elif not dry and not (gone := dedup.removed(out.copies)).isEmpty():
-        if folder:
-            folder.collapse((r[0] for r in dedup.kept(out.copies).toLocalIterator()), (r[0] for r in gone.toLocalIterator()))
+        if effects:
+            effects.collapse(dedup.kept(out.copies).select(F.col("keep").alias("path")), gone)
         out.deduped = store.commit_changes(taken_away(gone), "mutate", "reconcile", at)
     out.fresh = fresh if shown is None else fresh.join(shown, ["class", "path"], "left_anti")
     return out
@@ -156,6 +156,7 @@ def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pas
     on_head gets the head when it moved, to index it anew; with cache, each tick embeds at most EMBED pending contents of
     texts_of(head), and a failing endpoint is reported once and tried again.
     """
+    effects = Effects(spark, folder)
     surfacing = Surfacing(spark, f"{store.path}/shown")
     last = {"head": None, "stalled": ""}
 
@@ -164,7 +165,7 @@ def watch(spark: SparkSession, store: Store, folder: str, policy: Policy, on_pas
             entries = take_in(store, folder)
             cut = F.col("content").cast("string")
             texts = entries.select("path", "blob").join(store.blobs(), "blob").select("path", F.when(F.is_valid_utf8(cut), cut).alias("text"))
-            got = reconcile(store, entries, texts, policy, watching=True, folder=Folder(spark, folder))
+            got = reconcile(store, entries, texts, policy, watching=True, effects=effects)
             head = store.head
             if head != last["head"]:
                 if on_head and head:
