@@ -10,9 +10,15 @@ had within one block of its fluid share.  Every document gets exactly one place.
 Nothing is numbered by a global sort of rows: they are dealt to small (source, salt) groups, the counts of the groups give
 each its first number, and only the narrow rows (doc_id, hash) are numbered inside a group.  With weights q in whole parts the
 fluid reaches the end of block i of a source at slot D + i * Q / q, where D is the number of blocks of the sources that end
-before and Q the sum of the other sources' q: running sums over range partitions of sources and blocks.  Slots are given out
-in one pass over the narrow blocks in the order of their release.  The driver reads them as a stream and holds those that are
-released and not yet placed, one a source at most, and the rows of one written piece.
+before and Q the sum of the other sources' q: running sums over range partitions of sources and blocks.
+
+Slots are given out in ranges of ``PIECE`` (of as many as there are sources, if these are more), each by one task: it starts with the blocks that are released before its first slot and
+not yet placed, one a source at most, and goes through those released in it.  How many are carried over an edge is known from
+counts; which, is first taken to be those of the latest deadlines among the blocks whose windows span the edge, for all edges
+at once.  A range whose task doesn't hand on what the next one had started with makes that one run again from what it did hand on, until
+all edges agree: then the schedule is that of one pass, whatever was guessed.  Two starts grow alike as soon as the blocks in
+which they differ are placed, so few ranges run again, and a range is right after as many rounds as ranges before it at the
+latest.  The driver sees a number a range, and no blocks.
 
 Defined cases: a null source is a source of its own; a source without a given weight, or with one not above zero, follows
 when all weighted sources have run out; repeated rows are scheduled once each; an empty table gives an empty result.
@@ -23,13 +29,14 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize
 
-#: Documents in a block, rows in a numbered group about, blocks in a written piece of the schedule.
-BLOCK, GROUP, PIECE = 64, 20_000, 200_000
+#: Documents in a block, rows in a numbered group about, slots of a range.
+BLOCK, GROUP, PIECE = 64, 20_000, 8192
 #: Weights are whole numbers of this many parts, or of two a source where there are more sources.
 PARTS = 1_000_000
 #: Power of a source's size that its default weight follows: under 1 lifts the small sources.
@@ -137,21 +144,95 @@ def _windows(sizes: DataFrame, weights: DataFrame | None, size: int) -> DataFram
     return events.groupBy("src", F.col("i").alias("block")).agg(F.max(F.when(F.col("which") == 1, F.col("time"))).alias("release"), F.max(F.when(F.col("which") == 2, F.col("time"))).alias("due"), F.max(F.col("i") + 1 == F.col("blocks")).alias("last")).select("release", "due", "src", "block", "last")
 
 
-def _plan(spark: SparkSession, windows: DataFrame) -> DataFrame:
-    """src, block, slot, release, due, phase of windows; written in pieces as the driver passes over the blocks."""
-    schema = "src string, block long, slot long, release long, due long, phase int"
-    path = new_path(spark, "schedule")
-    spark.createDataFrame([], schema).write.parquet(path)
-    ordered = windows.orderBy("release", "due", "src", "block").select("release", "due", "src", "block", "last")
-    piece: list[tuple] = []
-    for x in earliest_deadline(ordered.toLocalIterator(prefetchPartitions=True)):
-        piece.append(x)
-        if len(piece) == PIECE:
-            spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
-            piece.clear()
-    if piece:
-        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+_BLOCK = "range long, kind int, release long, due long, src string, block long, last boolean"
+_RUN = f"{_BLOCK}, slot long"
+
+
+def _ranges(piece: int, total: int):
+    """Range after range of a partition sorted by range, kind (0: carried in, 1: released in it) and release: placed blocks
+    (kind 1, with slots), and those handed on to the next range (kind 0, under its number)."""
+    names = [c.split()[0] for c in _RUN.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+
+    def placed(k: int, carried: list[tuple], coming: list[tuple]) -> Iterator[tuple]:
+        ready, at = list(carried), 0
+        heapq.heapify(ready)
+        for slot in range(k * piece, min(total, (k + 1) * piece)):
+            while at < len(coming) and (coming[at][1] <= slot or not ready):
+                heapq.heappush(ready, coming[at])
+                at += 1
+            if not ready:
+                break  # a wrong guess: the range before hands on more
+            due, release, src, block, last = heapq.heappop(ready)
+            yield k, 1, release, due, src, block, last, slot
+        for due, release, src, block, last in [*ready, *coming[at:]]:
+            yield k + 1, 0, release, due, src, block, last, None
+
+    def run(batches):
+        now, carried, coming = None, [], []
+
+        def flush():
+            found = list(placed(now, carried, coming)) if now is not None else []
+            for lo in range(0, len(found), 50_000):
+                part = found[lo : lo + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], t) for i, t in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            for k, kind, release, due, src, block, last in zip(*(batch.column(c).to_pylist() for c in names[:7]), strict=True):
+                if k != now:
+                    yield from flush()
+                    now, carried, coming = k, [], []
+                (coming if kind else carried).append((due, release, src, block, last))
+        yield from flush()
+
+    return run
+
+
+def _carried(windows: DataFrame, piece: int, total: int) -> DataFrame:
+    """The first guess of what each range but the first starts with: of the blocks whose windows span its first slot, those of the latest deadlines."""
+    spanning = windows.where(f"release div {piece} < (due - 1) div {piece}").withColumn("range", F.explode(F.expr(f"sequence(release div {piece} + 1, (due - 1) div {piece})"))).where(f"range * {piece} < {total}")
+    # of all blocks due by the edge every one is placed, and slots before it that these don't fill hold blocks that span it
+    due = windows.groupBy(F.expr(f"(due - 1) div {piece} + 1").alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    edges = windows.sparkSession.range(1, -(-total // piece)).withColumnRenamed("id", "range").join(due, "range", "left")
+    placed = edges.select("range", (F.col("range") * piece - F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))).alias("early"))
+    turn = F.row_number().over(Window.partitionBy("range").orderBy("due", "release", "src", "block"))
+    out = spanning.withColumn("turn", turn).join(placed, "range").where("turn > early")
+    return out.select("range", F.lit(0).alias("kind"), "release", "due", "src", "block", "last")
+
+
+def _plan(windows: DataFrame, piece: int) -> tuple[DataFrame, int]:
+    """(src, block, slot, release, due, phase of windows; rounds that it took)."""
+    spark = windows.sparkSession
+    windows = materialize(windows.where("due > 0").select("release", "due", "src", "block", "last"), "windows")
+    total = windows.count()
+    coming = windows.select(F.expr(f"release div {piece}").alias("range"), F.lit(1).alias("kind"), "release", "due", "src", "block", "last")
+    start = materialize(_carried(windows, piece, total), "carried")
+    digest = lambda rows: rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "block").cast("decimal(38,0)")).alias("sum"))
+    used = {r["range"]: (r["n"], r["sum"]) for r in digest(start).collect()}  # a row a range, of PIECE blocks
+    every = range(-(-total // piece))
+    todo, latest, runs = list(every), {}, []
+    numbers = lambda ks, i=0: spark.createDataFrame([(k, i) for k in ks], "range long, run int")
+    while todo:
+        work = coming.unionByName(start)
+        if runs:
+            work = work.join(numbers(todo).select("range"), "range", "left_semi")
+        tasks = min(len(todo), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        run = work.repartitionByRange(tasks, "range").sortWithinPartitions("range", "kind", "release", "due", "src", "block")
+        runs.append(materialize(run.select(*(c.split()[0] for c in _BLOCK.split(", "))).mapInArrow(_ranges(piece, total), _RUN), "schedule"))
+        latest |= dict.fromkeys(todo, len(runs) - 1)
+        handed = {k + 1: (0, None) for k in todo} | {r["range"]: (r["n"], r["sum"]) for r in digest(runs[-1].where("kind = 0")).collect()}
+        todo = [k for k in sorted(handed) if k in every and handed[k] != used.get(k, (0, None))]
+        used |= handed
+        start = runs[-1].where("kind = 0").drop("slot")
+    out = spark.createDataFrame([], f"{_RUN}, run int")
+    for i, run in enumerate(runs):
+        out = out.unionByName(run.where("kind = 1").withColumn("run", F.lit(i)))
+    if len(runs) > 1:  # of each range, the run that agreed with the one before
+        right = spark.createDataFrame(list(latest.items()), "range long, run int")
+        out = out.join(right, ["range", "run"], "left_semi")
+    # the phase counts the sources that have run out before a slot
+    out = _running(out.select("src", "block", "slot", "release", "due", F.col("last").cast("long").alias("ends")), ["slot"], ["ends"])
+    return out.select("src", "block", "slot", "release", "due", F.col("before_ends").cast("int").alias("phase")), len(runs)
 
 
 def _numbered(docs: DataFrame):
@@ -182,7 +263,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     target = None
     if weights is not None:
         target = spark.createDataFrame([("" if s is None else f"={s}", float(w)) for s, w in weights.items()], "src string, w double")
-    plan = _plan(spark, _windows(sizes, target, block))
+    # a range carries up to one block a source, so it has at least as many slots
+    plan, _ = _plan(_windows(sizes, target, block), max(PIECE, sizes.count()))
     rows = rows.withColumn("block", F.floor(F.col("number") / block)).withColumn("position", F.col("number") % block)
     out = rows.join(plan, ["src", "block"])
     return out.selectExpr("doc_id", "if(src = '', null, substring(src, 2)) as source", "block", "position", "slot", "release", "due", "phase")
