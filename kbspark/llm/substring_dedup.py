@@ -4,7 +4,9 @@ The graph's edges are the 50-word windows (token k-mers), its nodes the 49 words
 built in parts: every window belongs to its *anchor*, the smallest hash among the shorter k-mers inside it, so equal windows have
 one anchor wherever they stand, and only anchors that occur in two documents can hold repeated edges.  Consecutive windows of one
 anchor are one row, a piece: document, start, length, anchor, a 128-bit fingerprint, and the nodes at its ends.  Equal pieces
-collapse by a map-side combined aggregate.  An anchor with one piece is a chain without branches and stays one long edge; the
+collapse by a map-side combined aggregate.  An anchor with one piece stays one long edge, whose inner nodes aren't looked at: where
+another document begins with the words of such a node and goes on otherwise, the path isn't cut there.  (Paths only group what
+repeats; what is removed doesn't depend on them.)  The
 pieces of an anchor with several are opened into single edges, read again at the source coordinates of one representative
 each and named by a 128-bit digest of their words.  Every edge gets its source, the first document and place that hold it.
 

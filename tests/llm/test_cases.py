@@ -532,6 +532,15 @@ def test_html_pages_of_many_elements_take_linear_time():
     assert html_text.main_text(page).count("The one") == 3000
 
 
+def test_vectors_and_pages_with_clashing_columns_and_without_rows(spark):
+    names = "query_id long, rank int, score long, dim int, shard int, qb int, v string, rid long, tree string, d int, shards int, blocks int, n int, q int"
+    rows = [(i, [float(i % 7), 1.0 - i % 3], *([1] * 6), "x", 1, "x", 1, 1, 1, 1, 1) for i in range(120)]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, {names}")
+    plain = lambda df: sorted(map(tuple, mtree.top_k(df).collect()))
+    assert plain(table) == plain(table.select("vec_id", "embedding")) and len(plain(table)) == 15
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")).count() == 0
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "<article>a</article>", 3)], "page_id long, url string, html string, text int")
     assert sorted(r.n_chars for r in html_text.extract(pages).collect()) == [0, 0, 1]
