@@ -366,11 +366,11 @@ def transcript_lines(c: DataFrame) -> DataFrame:
     """conversations as transcript lines: a string, blocks with a tool call, a reminder, a command, a dump, a meta line, by (conv_id + turn) % 6."""
     k, text = (F.col("conv_id") + F.col("turn")) % SHAPES, F.col("text")
     line = lambda content, **more: F.to_json(F.struct(F.col("role").alias("type"), *(v.alias(n) for n, v in more.items()), F.struct(content.alias("content")).alias("message")))
-    tool = F.struct(F.lit("tool_use").alias("type"), F.struct(F.concat(F.lit(" run:\n"), F.substring("text", 1, 150)).alias("command"), F.lit(" ").alias("description")).alias("input"))
+    tool = F.struct(F.lit("tool_use").alias("type"), F.struct(F.concat(F.lit(" run:\n"), text).alias("command"), F.lit(" ").alias("description")).alias("input"))
     blocks = F.array(F.to_json(F.struct(F.lit("text").alias("type"), text.alias("text"))), F.to_json(tool), F.lit('{"type":"tool_result","content":"x"}'))
     listed = F.concat(F.lit('{"type":"'), "role", F.lit('","message":{"content":['), F.array_join(blocks, ","), F.lit("]}}"))
     out = F.when(k == 1, listed).when(k == 2, line(F.concat(F.lit("<system-reminder>a\nb</system-reminder>"), text)))
-    out = out.when(k == 3, line(F.concat(F.lit("<command-name> /go </command-name>\n<command-args>"), F.substring("text", 1, 20), F.lit("</command-args>"))))
+    out = out.when(k == 3, line(F.concat(F.lit("<command-name> /go </command-name>\n<command-args>"), text, F.lit("</command-args>"))))
     out = out.when(k == 4, line(F.concat(F.lit(" <local-command-caveat>"), text))).when(k == 5, line(text, isMeta=F.col("turn") % 2 == 0)).otherwise(line(text))
     return c.select(F.struct("conv_id", "turn").alias("seq"), out.alias("value"))
 
@@ -570,9 +570,9 @@ ORACLES: dict[str, str] = {
     "hybrid_rrf": f"with {ENTRIES}, {_AND}, r1 as (select path, {_RANK} from top), {_OR.replace('t as (', 't2 as (').replace('from t)', 'from t2)').replace('c as (', 'c2 as (').replace('from c)', 'from c2)').replace('s as (', 's2 as (').replace('from c, s ', 'from c2, s2 ').replace('top as (', 'top2 as (')}, r2 as (select path, {_RANK} from top2), u as (select path, sum(1.0 / (60 + rank)) as score from (select * from r1 union all select * from r2) group by 1 order by score desc, path limit 20) select path, round(score, 6) as score, {_RANK} from u",
     "pending_blobs": f"with {ENTRIES} select distinct blob from entries where blob not in (select blob from entries where doc_id % 3 = 0)",
     "retain_entry": f"with {ENTRIES} select path, case when doc_id = 5 then 's2:new' else blob end as blob from entries",
-    "transcript_render": """with c as (select *, (conv_id + turn) % 6 as k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, trim(regexp_replace(' run:' || chr(10) || left(text, 150), '\\s+', ' ', 'g')) as tool from conversations where role in ('user', 'assistant')),
+    "transcript_render": """with c as (select *, (conv_id + turn) % 6 as k, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as t, trim(regexp_replace(' run:' || chr(10) || text, '\\s+', ' ', 'g')) as tool from conversations where role in ('user', 'assistant')),
  x as (select conv_id, turn, case when k = 1 and role = 'assistant' then 'Assistant' else 'User' end as who, case when k = 1 and role = 'assistant' then t || case when t = '' then '' else chr(10) || chr(10) end || '_tools:_' || chr(10) || '- tool: ' || case when length(tool) > 100 then left(tool, 100) || '…' else tool end
-  when k = 3 then trim('/go ' || regexp_replace(left(text, 20), '^\\s+|\\s+$', '', 'g')) when k = 4 then '' when k = 5 and turn % 2 = 0 then '' else t end as body from c)
+  when k = 3 then trim('/go ' || t) when k = 4 then '' when k = 5 and turn % 2 = 0 then '' else t end as body from c)
  select conv_id, string_agg('## ' || who || chr(10) || chr(10) || body, chr(10) || chr(10) order by turn) as md from x where body <> '' group by 1""",
     "watch_autonomy": f"{PLAN} select path, rule, rule <> 'licensed' as acts from plan where class in ('move', 'label')",
     "events_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
