@@ -15,6 +15,22 @@ class BlobStore(Protocol):
 
     def blobs(self) -> DataFrame: ...
 
+    def has(self, wanted: DataFrame) -> DataFrame: ...
+
+    def contents(self, wanted: DataFrame) -> DataFrame: ...
+
+
+class ContentsOf(Protocol):
+    """blob, text of given blobs (blob), for an index or a cache that knows which it lacks."""
+
+    def __call__(self, blobs: DataFrame) -> DataFrame: ...
+
+
+class RuleRank(Protocol):
+    """Places of rules by name, the strongest first, by which a merge settles moves; ``policy.Policy`` is one."""
+
+    def rank(self) -> dict[str, int]: ...
+
 
 class TextIndex(Protocol):
     """Documents and postings that full-text search reads; ``operators.search.Index`` is one."""

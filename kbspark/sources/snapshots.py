@@ -263,6 +263,12 @@ class Store:
         """Rows by key; two writers that met may both have brought one key, with the same content."""
         return self.spark.read.schema(_BLOBS).parquet(f"{self.path}/blobs").select("blob", "content").dropDuplicates(["blob"])
 
+    def has(self, wanted: DataFrame) -> DataFrame:
+        """Those of the wanted (blob) that are stored."""
+        if not self.folder.exists("blobs"):
+            return wanted.select("blob").limit(0)
+        return wanted.select("blob").distinct().join(self.spark.read.schema(_BLOBS).parquet(f"{self.path}/blobs").select("blob"), "blob", "left_semi")
+
     def contents(self, wanted: DataFrame) -> DataFrame:
         """blob, content of the wanted (blob): keys are looked up without contents, and only the writes that hold some are read."""
         if not self.folder.exists("blobs"):

@@ -76,9 +76,10 @@ def test_one_file_is_one_row_whatever_the_size(spark, tmp_path):
 def test_contents_are_read_from_the_writes_that_hold_them(spark, tmp_path):
     store = snapshots.Store(spark, str(tmp_path / "kb")).init()
     wanted = spark.createDataFrame([("k1",), ("k1",), ("nothing",)], "blob string")
-    assert store.contents(wanted).count() == 0
+    assert store.contents(wanted).count() == store.has(wanted).count() == 0
     for i in range(3):
         store.put_blobs(spark.createDataFrame([(f"k{i}", bytearray(b"%d" % i))], "blob string, content binary"))
+    assert [r.blob for r in store.has(wanted).collect()] == ["k1"]
     found = store.contents(wanted)
     assert [(r.blob, bytes(r.content)) for r in found.collect()] == [("k1", b"1")]
     assert len(found.inputFiles()) >= 1 and "batch" in found._jdf.queryExecution().executedPlan().toString()
