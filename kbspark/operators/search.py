@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +21,13 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 @dataclass(frozen=True)
 class Index:
-    """docs (doc, path, blob, labels, len, start) and postings of two kinds, dealt and sorted by token.
+    """docs (doc, path, blob, labels, len, start) and postings of two kinds (token, found: of, at).
 
-    Texts are indexed once a content: texts (token, blob, pos).  What an entry has besides, its path, labels and the terms of its
-    path, is heads (token, doc, pos); their positions have a gap between, so no phrase spans two of them, and a document's text
-    follows the terms at start.  heads may hold documents that docs doesn't; they count for nothing.  A query reads the row
-    groups that its tokens fall in, and no text.
+    Texts are indexed once a content: in texts, of is a blob.  What an entry has besides, its path, labels and the terms of its
+    path, is heads, where of is a doc; their positions have a gap between, so no phrase spans two of them, and a document's text
+    follows the terms at start.  heads may hold documents that docs doesn't, texts contents that no document has; they count for
+    nothing.  Postings stay with the task that made them, which lists a token once for about PIECE words, in the order of the
+    tokens; so none are shuffled.  A query reads the pages that its tokens fall in, and no text.
     """
 
     docs: DataFrame
@@ -33,21 +35,52 @@ class Index:
     texts: DataFrame
 
 
-POSTING, DOC = "token string, {} string, pos int", "doc string, path string, blob string, labels array<string>, len int, start int"
+POSTING, DOC = "token string, found array<struct<of string, at array<int>>>", "doc string, path string, blob string, labels array<string>, len int, start int"
+#: Words that are inverted at a time.
+PIECE = 1_000_000
 
 
-def sorted_by_token(rows: DataFrame, key: str) -> DataFrame:
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(tasks, "token", key).sortWithinPartitions("token", key, "pos")
+def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+def _inverted(batches):
+    """Rows (key, words) as postings.  The empty word lists every key with its number of words."""
+
+    def piece(keys, words):
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        place = pc.sort_indices(coded.dictionary).to_numpy(zero_copy_only=False)
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        code = rank[coded.indices.to_numpy(zero_copy_only=False)]
+        of, pos = np.repeat(np.arange(len(keys)), lengths), np.arange(len(code)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        order = np.argsort(code, kind="stable")
+        if len(place) and coded.dictionary[place[0].item()].as_py() == "":  # gaps
+            order = order[np.searchsorted(code[order], 1) :]
+        code = np.concatenate([np.full(len(keys), -1), code[order]])
+        of, pos = np.concatenate([np.arange(len(keys)), of[order]]), np.concatenate([lengths, pos[order]])
+        pairs = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (of[1:] != of[:-1])))
+        heads = code[pairs]
+        begins = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
+        found = pa.StructArray.from_arrays([keys.take(pa.array(of[pairs])), _lists(pairs, pa.array(pos, pa.int32()))], ["of", "at"])
+        tokens = pa.concat_arrays([pa.array([""], coded.dictionary.type), coded.dictionary.take(pa.array(place[heads[begins[1:]]]))])
+        return pa.RecordBatch.from_arrays([tokens, _lists(begins, found)], names=["token", "found"])
+
+    for batch in batches:
+        upto = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield piece(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
 
 
 def text_postings(texts: DataFrame, place: str) -> None:
     """Writes postings and sizes (blob, n) of contents (blob, text; null: no tokens), each read once."""
-    spark = texts.sparkSession
-    cut = written(texts.select("blob", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("toks")), "tokens")
-    cut.select("blob", F.size("toks").alias("n")).write.parquet(f"{place}/sizes")
-    sorted_by_token(cut.select("blob", F.posexplode("toks").alias("pos", "token")).select("token", "blob", "pos"), "blob").write.parquet(f"{place}/postings")
-    release(cut)
+    cut = texts.select("blob", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("toks"))
+    cut.mapInArrow(_inverted, POSTING).write.parquet(f"{place}/postings")
+    held = texts.sparkSession.read.schema(POSTING).parquet(f"{place}/postings").where("token = ''").selectExpr("inline(found)")
+    held.select(F.col("of").alias("blob"), F.col("at")[0].alias("n")).write.parquet(f"{place}/sizes")
 
 
 def head_postings(entries: DataFrame, sizes: DataFrame, name: str, place: str) -> None:
@@ -58,30 +91,35 @@ def head_postings(entries: DataFrame, sizes: DataFrame, name: str, place: str) -
     cut = written(cut.withColumn("doc", F.concat_ws("-", F.lit(name), F.monotonically_increasing_id().cast("string"))), "heads")
     start = F.size("toks")
     cut.select("doc", "path", "blob", "labels", (start - 2 + F.col("n")).cast("int").alias("len"), start.alias("start")).write.parquet(f"{place}/docs")
-    sorted_by_token(cut.select("doc", F.posexplode("toks").alias("pos", "token")).where("token <> ''").select("token", "doc", "pos"), "doc").write.parquet(f"{place}/postings")
+    cut.select("doc", "toks").mapInArrow(_inverted, POSTING).write.parquet(f"{place}/postings")
     release(cut)
 
 
-def indexed(entries: DataFrame, path: str = "") -> Index:
-    """The index of entries (path, blob, labels, text), each content read once; kept under path, or as an intermediate."""
+def indexed(entries: DataFrame, path: str = "", contents: DataFrame | None = None) -> Index:
+    """The index of entries (path, blob, labels, text), each content read once; kept under path, or as an intermediate.
+
+    contents (blob, text), which may repeat: where the texts are read if entries, for their labels, come out of a join that texts
+    needn't go through.
+    """
     spark = entries.sparkSession
     place = path or new_path(spark, "index")
-    text_postings(entries.select("blob", "text").dropDuplicates(["blob"]), f"{place}/contents")
+    text_postings((entries if contents is None else contents).select("blob", "text").dropDuplicates(["blob"]), f"{place}/contents")
     head_postings(entries.select("path", "blob", "labels"), spark.read.schema("blob string, n int").parquet(f"{place}/contents/sizes"), "d", f"{place}/heads")
     return opened(spark, place)
 
 
 def opened(spark: SparkSession, path: str) -> Index:
     read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
-    return Index(read("heads/docs", DOC), read("heads/postings", POSTING.format("doc")), read("contents/postings", POSTING.format("blob")))
+    return Index(read("heads/docs", DOC), read("heads/postings", POSTING), read("contents/postings", POSTING))
 
 
-def _begins(rows: DataFrame, key: str, phrase: list[str]) -> DataFrame:
-    """key, at: of each word of the phrase where it stands, where the phrase would begin; the last word is a prefix."""
+def _begins(rows: DataFrame, phrase: list[str]) -> DataFrame:
+    """of, at: of each word of the phrase where it stands, where the phrase would begin; the last word is a prefix."""
     *first, last = phrase
-    out = rows.where(F.col("token").startswith(last)).select(key, (F.col("pos") - len(first)).alias("at"))
+    at = lambda held, j: held.selectExpr("inline(found)").select("of", F.explode("at").alias("at")).select("of", (F.col("at") - j).alias("at"))
+    out = at(rows.where(F.col("token").startswith(last)), len(first))
     for j, word in enumerate(first):
-        out = out.unionByName(rows.where(F.col("token") == word).select(key, (F.col("pos") - j).alias("at")))
+        out = out.unionByName(at(rows.where(F.col("token") == word), j))
     return out
 
 
@@ -91,15 +129,20 @@ def _occurrences(index: TextIndex, phrase: list[str]) -> DataFrame:
     Inside texts it is counted once a content; only where it begins before a text, the text's words meet each document of it.
     """
 
-    def whole(rows: DataFrame, key: str) -> DataFrame:
-        return rows if len(phrase) == 1 else rows.groupBy(key, "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(phrase))
+    def times(rows: DataFrame) -> DataFrame:
+        whole = rows.groupBy("of", "at").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(phrase))
+        return whole.groupBy("of").agg(F.count(F.lit(1)).alias("n"))
 
-    docs, count = index.docs.select("doc", "blob", "start"), F.count(F.lit(1)).alias("n")
-    texts, heads = _begins(index.texts, "blob", phrase), _begins(index.heads, "doc", phrase)
-    if len(phrase) > 1:
-        heads = heads.unionByName(texts.where("at < 0").join(docs, "blob").select("doc", (F.col("at") + F.col("start")).alias("at")))
-    inside = whole(texts.where("at >= 0"), "blob").groupBy("blob").agg(count).join(docs, "blob").select("doc", "n")
-    return inside.unionByName(whole(heads, "doc").groupBy("doc").agg(count)).groupBy("doc").agg(F.sum("n").alias("n"))
+    docs = index.docs.select("doc", "blob", "start")
+    if len(phrase) == 1:
+        single = lambda rows: rows.where(F.col("token").startswith(phrase[0])).selectExpr("inline(found)").groupBy("of").agg(F.sum(F.size("at")).alias("n"))
+        texts, heads = single(index.texts), single(index.heads)
+    else:
+        texts, heads = _begins(index.texts, phrase), _begins(index.heads, phrase)
+        before = texts.where("at < 0").join(docs, F.col("of") == F.col("blob")).select(F.col("doc").alias("of"), (F.col("at") + F.col("start")).alias("at"))
+        texts, heads = times(texts.where("at >= 0")), times(heads.unionByName(before))
+    inside = texts.join(docs, F.col("of") == F.col("blob")).select("doc", "n")
+    return inside.unionByName(heads.select(F.col("of").alias("doc"), "n")).groupBy("doc").agg(F.sum("n").alias("n"))
 
 
 def full_text(index: TextIndex, query: str, limit: int = 20, mode: str | None = None) -> DataFrame:
@@ -136,46 +179,169 @@ def full_text(index: TextIndex, query: str, limit: int = 20, mode: str | None =
     return ranked(top)
 
 
-def full_text_batch(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """qid, path, score of every row that a query of a stated set (qid, text) finds: its whole ranking.
+def _by_row(batches, phrases: int):
+    """Of rows (len, hits, ...), a few at a time: where they are, and how often each phrase occurs in each."""
+    step = max(1, 4_000_000 // max(1, phrases))
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            hits = part.column(1)
+            row = np.repeat(np.arange(part.num_rows), pc.list_value_length(hits).to_numpy(zero_copy_only=False))
+            coded = hits.flatten().to_numpy(zero_copy_only=False)
+            f = np.bincount(row * phrases + (coded >> 32), weights=coded & 0xFFFFFFFF, minlength=part.num_rows * phrases)
+            yield part, f.reshape(part.num_rows, phrases)
 
-    Each distinct phrase is looked up once.  A prefix meets the vocabulary on its first three characters, then is compared.
-    """
-    spark = index.docs.sparkSession
-    asked = [(r["qid"], i, " ".join(p), len(p)) for r in queries.select("qid", "text").collect() for i, p in enumerate(parse_query(r["text"] or ""))]
-    phrases = spark.createDataFrame(asked, "qid string, i int, phrase string, k int")
-    sizes = phrases.groupBy("qid").agg(F.count(F.lit(1)).alias("phrases"))
-    words = phrases.where("k > 0").select("phrase", "k").distinct().select("phrase", "k", F.posexplode(F.split("phrase", " ")).alias("j", "word"))
-    exact = words.where("j < k - 1").select("phrase", "k", "j", F.col("word").alias("token"))
-    vocabulary = index.texts.select("token").unionByName(index.heads.select("token")).distinct()
-    vocabulary = vocabulary.withColumn("key", F.explode(F.array_distinct(F.array(*(F.substring("token", 1, n) for n in (1, 2, 3))))))
-    prefixes = words.where("j = k - 1").withColumn("key", F.substring("word", 1, 3))
-    opened = vocabulary.join(prefixes, "key").where(F.col("token").startswith(F.col("word"))).select("phrase", "k", "j", "token")
-    wanted = written(exact.unionByName(opened), "phrase-words")
-    docs = index.docs.select("doc", "blob", "start")
 
-    def begins(rows: DataFrame, key: str) -> DataFrame:
-        return rows.join(wanted, "token").select("phrase", "k", key, (F.col("pos") - F.col("j")).alias("at"))
+def _hits_of_words(words: dict[str, int]):
+    """Postings (token, found) as rows (of, hits): the number of each word that a token begins with << 32, and how often it occurs."""
+    lengths = sorted({len(w) for w in words})
+
+    def run(batches):
+        for batch in batches:
+            begun = [[words[w] for n in lengths if n <= len(t) and (w := t[:n]) in words] for t in batch.column(0).to_pylist()]
+            found, each = batch.column(1), np.array([len(x) for x in begun], np.int64)
+            sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            rows = np.repeat(np.arange(len(begun)), each)  # a token, once for each word that it begins with
+            number, many = np.array([x for y in begun for x in y], np.int64), sizes[rows]
+            pick = np.repeat(starts[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            pairs = found.flatten()
+            keys, times = pairs.field("of").dictionary_encode(), pc.list_value_length(pairs.field("at")).to_numpy(zero_copy_only=False)
+            of = keys.indices.to_numpy(zero_copy_only=False)[pick].astype(np.int64)
+            both, back = np.unique(of * len(words) + np.repeat(number, many), return_inverse=True)
+            total = np.bincount(back, weights=times[pick], minlength=len(both)).astype(np.int64)
+            of, hits = both // len(words), (both % len(words) << 32) + total
+            begins = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(of[begins])), _lists(begins, pa.array(hits, pa.int64()))], names=["of", "hits"])
 
-    def times(rows: DataFrame, key: str) -> DataFrame:
-        whole = rows.groupBy("phrase", "k", key, "at").agg(F.count(F.lit(1)).alias("n")).where("n = k")
-        return whole.groupBy("phrase", key).agg(F.count(F.lit(1)).alias("f"))
+    return run
 
-    texts = begins(index.texts, "blob")
-    inside = times(texts.where("at >= 0"), "blob").join(docs, "blob").select("phrase", "doc", "f")
-    before = texts.where("at < 0").join(docs, "blob").select("phrase", "k", "doc", (F.col("at") + F.col("start")).alias("at"))
-    heads = times(begins(index.heads, "doc").join(docs.select("doc"), "doc").select("phrase", "k", "doc", "at").unionByName(before), "doc")
-    f = written(inside.unionByName(heads).groupBy("phrase", "doc").agg(F.sum("f").alias("f")), "occurrences")
-    df = f.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    corpus = index.docs.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"))
-    rows = phrases.join(f, "phrase").join(df, "phrase").join(index.docs.select("doc", "path", "len"), "doc").join(F.broadcast(corpus))
+
+def _begin_with(rows: DataFrame, words) -> DataFrame:
+    """Postings of tokens that begin with any of a stated set of words."""
+    wanted = F.lit(False)
+    for n in sorted({len(w) for w in words}):
+        wanted = wanted | F.substring("token", 1, n).isin([w for w in words if len(w) == n])
+    return rows.where(wanted)
+
+
+def _hits_of_phrases(index: TextIndex, phrases: dict[tuple[str, ...], int]) -> tuple[DataFrame, DataFrame]:
+    """The same rows for phrases of several words, of texts and of heads."""
+    spark, docs = index.docs.sparkSession, index.docs.select("doc", "blob", "start")
+    words = [(w, j == len(p) - 1, i, len(p), j) for p, i in phrases.items() for j, w in enumerate(p)]
+    asked = F.broadcast(spark.createDataFrame(words, "word string, last boolean, no long, k int, j int"))  # a stated set
+
+    def begins(rows: DataFrame) -> DataFrame:
+        said = F.when(F.col("last"), F.col("token").startswith(F.col("word"))).otherwise(F.col("token") == F.col("word"))
+        met = _begin_with(rows, {w[0] for w in words}).join(asked, said).select("no", "k", "j", F.inline("found"))
+        return met.select("no", "k", "of", F.explode("at").alias("at"), "j").select("no", "k", "of", (F.col("at") - F.col("j")).alias("at"))
+
+    def times(rows: DataFrame) -> DataFrame:
+        whole = rows.groupBy("of", "no", "k", "at").agg(F.count(F.lit(1)).alias("n")).where("n = k")
+        return whole.groupBy("of", "no").agg(F.count(F.lit(1)).alias("f")).select("of", F.array(F.shiftleft("no", 32) + F.col("f")).alias("hits"))
+
+    texts = begins(index.texts)
+    before = texts.where("at < 0").join(docs, F.col("of") == F.col("blob")).select("no", "k", F.col("doc").alias("of"), (F.col("at") + F.col("start")).alias("at"))
+    return times(texts.where("at >= 0")), times(begins(index.heads).unionByName(before))
+
+
+def full_text_documents(index: TextIndex, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """path, found (qid, score): each row with the queries of a stated set (qid, text) that find it.
+
+    scope (path, qids): the queries that may; those a row isn't in the scope of still count it for the corpus figures.  Each
+    distinct phrase is looked up once, and what a document has of all of them is one row of numbers.
+    """
+    spark = index.docs.sparkSession
+    asked = [(r["qid"], [tuple(p) for p in parse_query(r["text"] or "")]) for r in queries.select("qid", "text").collect()]
+    phrases = {p: i for i, p in enumerate(dict.fromkeys(p for _, ps in asked for p in ps if p))}
+    if not phrases:
+        return spark.createDataFrame([], "path string, found array<struct<qid string, score double>>")
+    single, several = {p[0]: i for p, i in phrases.items() if len(p) == 1}, {p: i for p, i in phrases.items() if len(p) > 1}
+    hits: list[list[DataFrame]] = [[], []]
+    if single:
+        run = _hits_of_words({w: k for k, w in enumerate(single)})
+        at = np.array(list(single.values()), np.int64)
+
+        def numbered(batches):
+            for b in run(batches):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False)
+                moved = pa.array((at[x >> 32] << 32) + (x & 0xFFFFFFFF), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(b.column(1).offsets, moved)], names=["of", "hits"])
+
+        for held, rows in zip(hits, (index.texts, index.heads), strict=True):
+            held.append(_begin_with(rows, single).mapInArrow(numbered, "of string, hits array<bigint>"))
+    if several:
+        for held, rows in zip(hits, _hits_of_phrases(index, several), strict=True):
+            held.append(rows)
+    together = []
+    for held in hits:
+        rows = held[0] if len(held) == 1 else held[0].unionByName(held[1])
+        together.append(rows.groupBy("of").agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    docs = index.docs.select("doc", "path", "blob", "len")
+    if scope is not None:
+        docs = docs.join(scope.select("path", "qids"), "path", "left")
+    docs = docs.join(together[1].select(F.col("of").alias("doc"), F.col("hits").alias("h")), "doc", "left")
+    docs = docs.join(together[0].select(F.col("of").alias("blob"), F.col("hits").alias("t")), "blob", "left")
+    none = F.array().cast("array<bigint>")
+    docs = docs.select("len", F.concat(F.coalesce("h", none), F.coalesce("t", none)).alias("hits"), "path", *(["qids"] if scope is not None else []))
+    docs = written(docs.where(F.size("hits") > 0), "hits-of-documents")
+
+    n, numbers = len(phrases), [[phrases.get(p, -1) for p in ps] for _, ps in asked]
+    longest = max(map(len, numbers))
+    nth = np.array([x + [-2] * (longest - len(x)) for x in numbers])  # -1: a field without a token, which never occurs; -2: no more fields
+
+    column = np.maximum(nth, 0)
+
+    def every(f: np.ndarray) -> np.ndarray:
+        out = np.repeat((nth[:, 0] != -2)[None, :], len(f), 0)
+        for i in range(longest):
+            out &= np.where(nth[:, i] >= 0, f[:, column[:, i]] > 0, nth[:, i] == -2)
+        return out
+
+    def figures(batches):
+        has, strict = np.zeros(n, np.int64), np.zeros(len(asked), np.int64)
+        for _, f in _by_row(batches, n):
+            has += (f > 0).sum(0)
+            strict |= every(f).any(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n + len(asked))), pa.array(np.concatenate([has, strict]))], names=["i", "n"])
+
+    # bounded by the stated set: a number for each phrase and each query
+    told = docs.select("len", "hits").mapInArrow(figures, "i long, n long").groupBy("i").agg(F.sum("n").alias("df")).join(F.broadcast(index.docs.agg(F.count(F.lit(1)).alias("rows"), F.avg("len").alias("avgdl"))))
     idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    # added in the order of the phrases, so rows that tie do so to the last digit
-    scored = rows.groupBy("qid", "path").agg(F.array_sort(F.collect_list(F.struct("i", part.alias("part")))).alias("parts"))
-    scored = scored.select("qid", "path", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"]).alias("score"), F.size("parts").alias("found")).join(sizes, "qid")
-    strict = scored.where("found = phrases").select("qid").distinct().withColumn("strict", F.lit(True))
-    return scored.join(strict, "qid", "left").where("strict is null or found = phrases").select("qid", "path", "score")
+    told = {r["i"]: r for r in told.select("i", "df", "avgdl", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf).alias("idf")).collect()}
+    if not told:
+        return spark.createDataFrame([], "path string, found array<struct<qid string, score double>>")
+    avgdl, weight = told[0]["avgdl"], np.array([told[i]["idf"] if i < n and told[i]["df"] else 0.0 for i in range(n)])
+    strict = np.array([told[n + i]["df"] > 0 for i in range(len(asked))])
+    ids = pa.array([q for q, _ in asked], pa.string())
+
+    def scores(batches):
+        order = {q: i for i, (q, _) in enumerate(asked)}
+        for part, f in _by_row(batches, n):
+            length = part.column(0).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+            parts = weight * f * (K1 + 1) / (f + K1 * (1 - B + B * length / avgdl))
+            score, any_ = np.zeros((len(f), len(asked))), np.zeros((len(f), len(asked)), bool)
+            for i in range(longest):  # added in the order of the phrases, so rows that tie do so to the last digit
+                there = nth[:, i] >= 0
+                score += np.where(there, parts[:, column[:, i]], 0.0)
+                any_ |= there & (f[:, column[:, i]] > 0)
+            ok = np.where(strict, every(f), any_)
+            if part.num_columns > 3:
+                allowed = np.zeros_like(ok)
+                for i, qids in enumerate(part.column(3).to_pylist()):
+                    allowed[i, [order[q] for q in qids or () if q in order]] = True
+                ok &= allowed
+            row, query = np.nonzero(ok)
+            begins = np.searchsorted(row, np.arange(len(f)))
+            found = pa.StructArray.from_arrays([ids.take(pa.array(query)), pa.array(score[row, query])], ["qid", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(2), _lists(begins, found)], names=["path", "found"])
+
+    return docs.mapInArrow(scores, "path string, found array<struct<qid string, score double>>").where(F.size("found") > 0)
+
+
+def full_text_batch(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """qid, path, score of every row that a query of a stated set (qid, text) finds: its whole ranking."""
+    return full_text_documents(index, queries).select("path", F.inline("found")).select("qid", "path", "score")
 
 
 def in_scope(scored: DataFrame, scope: DataFrame) -> DataFrame:
@@ -186,7 +352,7 @@ def in_scope(scored: DataFrame, scope: DataFrame) -> DataFrame:
 
 def vector_scores(chunks: DataFrame, queries: DataFrame, scope: DataFrame) -> DataFrame:
     """qid, path, score for the paths in the scope of each query (qid, q) only: its whole ranking there."""
-    pairs = scope.join(queries.select("qid", "q"), "qid").join(chunks.select("path", "vec"), "path")
+    pairs = scope.select("qid", "path").join(chunks.select("path", "vec"), "path").join(F.broadcast(queries.select("qid", "q")), "qid")  # a stated set
     return pairs.groupBy("qid", "path").agg(F.max(dot("vec", "q")).alias("score"))
 
 
@@ -305,11 +471,43 @@ def fuse(*lists: DataFrame, k: int = 60, limit: int = 20) -> DataFrame:
     return ranked(out.groupBy("path").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score")).orderBy(F.desc("score"), "path").limit(limit))
 
 
-def metrics(found: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+CUTS = (1, 3, 5, 10)
+
+
+def _figures(rank, cuts: tuple[int, ...]) -> list:
+    """Of the gold rows of one query by their ranks (null: not found)."""
+    gain = F.when(rank <= 10, 1 / F.log2(rank + 1.0)).otherwise(0.0)
+    return [*(F.sum(F.coalesce((rank <= k).cast("int"), F.lit(0))).alias(f"h{k}") for k in cuts), F.min(rank).alias("first"), F.sum(gain).alias("dcg")]
+
+
+def metrics_of(hits: DataFrame, sizes: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """metrics by hits (qid, rank), the gold rows that were found, and sizes (qid, gold), how many there are."""
+    return _told(sizes.select("qid", "gold").join(hits.groupBy("qid").agg(*_figures(F.col("rank"), cuts)), "qid", "left"), cuts)
+
+
+def _told(out: DataFrame, cuts: tuple[int, ...], *more: str) -> DataFrame:
+    ideal = F.expr("aggregate(sequence(1, least(10, cast(gold as int))), 0D, (s, i) -> s + 1 / log2(i + 1.0D))")
+    out = out.fillna(0, [*(f"h{k}" for k in cuts), "dcg"])
+    return out.select("qid", *(F.round(F.col(f"h{k}") / F.col("gold"), 6).alias(f"recall_{k}") for k in cuts), *((F.col(f"h{k}") > 0).cast("int").alias(f"hit_{k}") for k in cuts), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg_10"), *more)
+
+
+def metrics(found: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
     """qid, recall and hit at the cuts, mrr, ndcg10 of found (qid, path, rank) for the queries with gold (qid, path)."""
     gold = gold.select("qid", "path").distinct()
-    sizes = gold.groupBy("qid").agg(F.count(F.lit(1)).alias("gold"))
-    hits = found.join(gold, ["qid", "path"]).groupBy("qid").agg(*(F.sum((F.col("rank") <= k).cast("int")).alias(f"h{k}") for k in cuts), F.min("rank").alias("first"), F.sum(F.when(F.col("rank") <= 10, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"))
-    ideal = F.expr("aggregate(sequence(1, least(10, cast(gold as int))), 0D, (s, i) -> s + 1 / log2(i + 1.0D))")
-    out = sizes.join(hits, "qid", "left").fillna(0, [*(f"h{k}" for k in cuts), "dcg"])
-    return out.select("qid", *(F.round(F.col(f"h{k}") / F.col("gold"), 6).alias(f"recall_{k}") for k in cuts), *((F.col(f"h{k}") > 0).cast("int").alias(f"hit_{k}") for k in cuts), F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("dcg") / ideal, 6).alias("ndcg_10"))
+    return metrics_of(found.join(gold, ["qid", "path"]), gold.groupBy("qid").agg(F.count(F.lit(1)).alias("gold")), cuts)
+
+
+def metrics_of_modes(scored: DataFrame, k: int = 60, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """metrics and mode of text, of vectors and of both fused, in scored (qid, path, text, near, good): all rows of the scope of each
+    query once, with their scores where they have one.  The rows are dealt by query once for all three rankings.
+    """
+    of = lambda score: Window.partitionBy("qid").orderBy(F.desc_nulls_last(score), "path")
+    place = lambda score: F.when(F.col(score).isNotNull(), F.row_number().over(of(score)))
+    rows = scored.withColumn("fts", place("text")).withColumn("vector", place("near"))
+    share = lambda rank: F.coalesce(1.0 / (k + F.col(rank)), F.lit(0.0))
+    rows = rows.withColumn("both", F.when(F.coalesce("fts", "vector").isNotNull(), share("fts") + share("vector"))).withColumn("hybrid", place("both"))
+    modes = ("fts", "vector", "hybrid")
+    sums = rows.where("good").groupBy("qid").agg(F.count(F.lit(1)).alias("gold"), *(c.alias(f"{m}-{i}") for m in modes for i, c in enumerate(_figures(F.col(m), cuts))))
+    names = [*(f"h{k}" for k in cuts), "first", "dcg"]
+    each = F.array(*(F.struct(F.lit(m).alias("mode"), *(F.col(f"{m}-{i}").alias(x) for i, x in enumerate(names))) for m in modes))
+    return _told(sums.select("qid", "gold", F.inline(each)), cuts, "mode")

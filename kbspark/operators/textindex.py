@@ -3,7 +3,8 @@
 Contents are indexed once, by hash, whatever paths they stand at; entries (paths, labels) without their texts.  A new state adds a
 segment with the contents that no segment has, and one with the entries that changed, and names the paths that these replace
 or take away; those paths' rows in earlier segments are dead.  Segments shrink at least by half from one to the next; where a new one
-breaks that, the last ones are merged, dead rows left out.  So a state of n new contents reads n texts, and a query meets a
+breaks that, the last ones are merged; postings are copied as they are where at most half of them are of dead rows, which count for
+nothing, and else those are left out.  So a state of n new contents reads n texts, and a query meets a
 logarithmic number of segments.  States are named; what makes one is a file that must not exist before, and segments that no kept state names are removed.
 """
 
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.operators.search import DOC, POSTING, Index, head_postings, sorted_by_token, text_postings
+from kbspark.operators.search import DOC, POSTING, Index, head_postings, text_postings
 from kbspark.sources.durable import release, written
 from kbspark.sources.folder import Folder
 
@@ -56,7 +57,7 @@ class IndexStore:
 
     def open(self, name: str) -> Index:
         state = self._state(name)
-        return Index(self._live(state["heads"]), self._read(state["heads"], "postings", POSTING.format("doc")), self._read(state["texts"], "postings", POSTING.format("blob")))
+        return Index(self._live(state["heads"]), self._read(state["heads"], "postings", POSTING), self._read(state["texts"], "postings", POSTING))
 
     def update(self, name: str, entries: DataFrame, contents: Callable[[DataFrame], DataFrame], before: str | None = None, changes: DataFrame | None = None) -> dict:
         """Makes the state name of entries (path, blob, labels) from the state before; gives the numbers of texts and of entries indexed for it.
@@ -91,6 +92,18 @@ class IndexStore:
         self.folder.create(f"states/{name}.json", json.dumps(state).encode())  # if another was first, its state is the same
         return told
 
+    def _copy(self, old: list[dict], place: str, live: DataFrame) -> bool:
+        """Writes the postings of segments into one; whether with those of rows that live hasn't."""
+        rows = self._read(old, "postings", POSTING)
+        every = rows.where("token = ''").agg(F.sum(F.size("found"))).first()[0] or 0
+        whole = every <= 2 * live.count()
+        if not whole:
+            key = live.select(F.col(live.columns[0]).alias("of"))
+            rows = rows.select("token", F.inline("found")).join(key, "of", "left_semi").select("token", F.array(F.struct("of", "at")).alias("found"))
+            rows = rows.sortWithinPartitions("token")
+        rows.write.parquet(f"{self.path}/{place}/postings")
+        return whole
+
     def _merged_heads(self, heads: list[dict]) -> list[dict]:
         cut = tail([x["rows"] for x in heads])
         if cut == len(heads):
@@ -98,7 +111,7 @@ class IndexStore:
         old, place = heads[cut:], f"heads/{uuid.uuid4().hex}"
         docs = written(self._live(old), "live-docs")
         docs.write.parquet(f"{self.path}/{place}/docs")
-        sorted_by_token(self._read(old, "postings", POSTING.format("doc")).join(docs.select("doc"), "doc", "left_semi").select("token", "doc", "pos"), "doc").write.parquet(f"{self.path}/{place}/postings")
+        self._copy(old, place, docs.select("doc"))
         paths = self._read(old, "paths", "path string").distinct() if cut else docs.select("path")
         paths.write.parquet(f"{self.path}/{place}/paths")
         rows = self._read([{"at": place}], "paths", "path string").count()
@@ -110,11 +123,12 @@ class IndexStore:
         if cut == len(texts):
             return texts
         old, place = texts[cut:], f"contents/{uuid.uuid4().hex}"
-        # contents that no path of this state holds any more are left out
-        live = self._live(heads).select("blob").distinct()
-        self._read(old, "sizes", _SIZES).join(live, "blob", "left_semi").write.parquet(f"{self.path}/{place}/sizes")
+        # contents that no path of this state holds any more
+        live, held = self._live(heads).select("blob").distinct(), self._read(old, "sizes", _SIZES)
+        kept = written(held.join(live, "blob", "left_semi"), "live-contents")
+        kept = held if self._copy(old, place, kept.select("blob")) else kept
+        kept.write.parquet(f"{self.path}/{place}/sizes")
         sizes = self._read([{"at": place}], "sizes", _SIZES)
-        sorted_by_token(self._read(old, "postings", POSTING.format("blob")).join(sizes.select("blob"), "blob", "left_semi").select("token", "blob", "pos"), "blob").write.parquet(f"{self.path}/{place}/postings")
         return [*texts[:cut], {"at": place, "rows": sizes.count()}]
 
     def names(self) -> list[str]:

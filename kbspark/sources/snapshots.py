@@ -370,14 +370,19 @@ def retain(head: DataFrame, entry: DataFrame) -> DataFrame:
     return head.join(entry.select("path"), "path", "left_anti").unionByName(entry, allowMissingColumns=True)
 
 
+def contents_of_documents(docs: DataFrame) -> DataFrame:
+    """The test tables' documents as path, blob, size, mod_time, text, doc_id: what needs no join."""
+    ext = F.element_at(F.array(*map(F.lit, ("md", "txt", "log", "csv", "pdf"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    return docs.select(
+        "doc_id", F.concat("lang", F.lit("/"), "source", F.lit("/doc-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("."), ext).alias("path"), F.concat(F.lit("s2:"), F.sha2(F.col("text").cast("binary"), 256)).alias("blob"),
+        F.octet_length("text").cast("long").alias("size"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id * 37 % 7 as int))").alias("mod_time"), "text",
+    )
+
+
 def from_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The test tables as entries with text: path, blob, size, mod_time, labels, rule, text."""
-    ext = F.element_at(F.array(*map(F.lit, ("md", "txt", "log", "csv", "pdf"))), (F.col("doc_id") % 5 + 1).cast("int"))
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     named = F.filter(F.array(F.when(F.col("q") == 1, F.lit("good")), F.when(F.col("t") == 1, F.lit("toxic"))), lambda x: x.isNotNull())
     # hashes are made before the join, so that texts go through it only for those who want them
-    narrow = docs.select(
-        "doc_id", F.concat("lang", F.lit("/"), "source", F.lit("/doc-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit("."), ext).alias("path"), F.concat(F.lit("s2:"), F.sha2(F.col("text").cast("binary"), 256)).alias("blob"),
-        F.octet_length("text").cast("long").alias("size"), F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(cast(doc_id * 37 % 7 as int))").alias("mod_time"), "text",
-    )
+    narrow = contents_of_documents(docs)
     return narrow.join(marks, "doc_id", "left").select("path", "blob", "size", "mod_time", named.alias("labels"), F.lit(None).cast("string").alias("rule"), "text", "doc_id")
