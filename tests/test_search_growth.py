@@ -38,3 +38,19 @@ def test_metrics_of_modes_are_those_of_each_ranking(spark):
         for r in search.metrics(found, gold).collect():
             assert got.pop((mode, r.qid)).asDict() == {**r.asDict(), "mode": mode}
     assert not got
+
+
+def test_postings_stay_where_they_are_made(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("postings are shuffled")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", refuse)
+    monkeypatch.setattr(search, "PIECE", 50)
+    e = collection(spark)
+    index = search.indexed(e)
+    want = {}
+    for r in e.collect():
+        for i, t in enumerate(x for w in r.text.split() for x in w.split("-")):
+            want.setdefault((t, r.blob), set()).add(i)
+    rows = index.texts.where("token <> ''").select("token", F.inline("found")).collect()
+    assert {(r.token, r.of): set(r.at) for r in rows} == want and len(rows) == len(want)
