@@ -57,7 +57,8 @@ def pack(found: DataFrame, texts: DataFrame, query: str, budget: int = BUDGET, m
     chars = (budget if budget > 0 else BUDGET) * CHARS
     each = chars // 3 if chars // 3 >= CHARS else chars
     top = found.orderBy("rank").limit(CANDIDATES).select("path", "score", "rank")
-    rows = top.join(texts.select("path", "blob", "text"), "path").orderBy("rank").collect()
+    # few rows are broadcast, so no text is shuffled
+    rows = texts.select("path", "blob", "text").join(F.broadcast(top), "path").orderBy("rank").collect()
     out, used, words = [], 0, terms(query)
     for r in rows:
         if used >= chars:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kbspark.operators import search
+from kbspark.plans import registry
 
 ENTRY = "path string, blob string, labels array<string>, text string"
 
@@ -54,3 +55,16 @@ def test_postings_stay_where_they_are_made(spark, monkeypatch):
             want.setdefault((t, r.blob), set()).add(i)
     rows = index.texts.where("token <> ''").select("token", F.inline("found")).collect()
     assert {(r.token, r.of): set(r.at) for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_pack_shuffles_no_texts(spark, monkeypatch):
+    plans, cls = [], type(spark.range(1))
+    monkeypatch.setattr(cls, "collect", lambda self, f=cls.collect: plans.append(self._jdf.queryExecution().executedPlan().toString()) or f(self))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = spark.createDataFrame([("p/01", 1.0, 1), ("p/02", 0.5, 2)], "path string, score double, rank int")
+        assert [x["path"] for x in registry.recall.pack(found, collection(spark), "a", 100)] == ["p/01", "p/02"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert plans and "BroadcastHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1]
