@@ -92,3 +92,26 @@ def test_a_pack_shuffles_no_texts(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert plans and "BroadcastHashJoin" in plans[-1] and "SortMergeJoin" not in plans[-1]
+
+
+def test_merged_segments_leave_out_what_is_mostly_dead(spark, tmp_path):
+    texts = {f"s2:{i}": f"walnut w{i}" for i in range(16)}
+    contents = lambda blobs: spark.createDataFrame([(r.blob, texts[r.blob]) for r in blobs.collect()], "blob string, text string")
+    rows = lambda those: spark.createDataFrame([(f"p/{i}", f"s2:{i}", []) for i in those], "path string, blob string, labels array<string>")
+    store = registry.textindex.IndexStore(spark, str(tmp_path / "index"))
+    store.update("M1", rows(range(10)), contents)
+    for name, those in (("M2", range(4, 14)), ("M3", (13, 14, 15))):  # at most half dead at first, then more
+        store.update(name, rows(those), contents, "M1" if name == "M2" else "M2")
+    held = store.open("M3")
+    assert {r.path for r in search.full_text(held, "walnut").collect()} == {"p/13", "p/14", "p/15"}
+    apart = textindex_of(spark, tmp_path / "apart", rows, contents)
+    assert {r.of for r in apart.texts.select(F.inline("found")).collect()} == {"s2:9", *(f"s2:{i}" for i in range(10, 16))}
+    assert {r.path for r in search.full_text(apart, "walnut").collect()} == {f"p/{i}" for i in range(9, 16)}
+
+
+def textindex_of(spark, place, rows, contents):
+    """One of ten contents is kept, six come: the two segments are merged, and nine of sixteen rows are dead."""
+    store = registry.textindex.IndexStore(spark, str(place))
+    store.update("M1", rows(range(10)), contents)
+    store.update("M2", rows(range(9, 16)), contents, "M1")
+    return store.open("M2")
