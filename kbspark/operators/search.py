@@ -38,6 +38,9 @@ class Index:
 POSTING, DOC = "token string, found array<struct<of string, at array<int>>>", "doc string, path string, blob string, labels array<string>, len int, start int"
 #: Words that are inverted at a time.
 PIECE = 1_000_000
+#: Bytes of a row group of postings, and of the keys that it may list once and refer to, which a group of this size doesn't reach unless
+#: texts have a few words only.  With Parquet's own 1 MB, tasks of over about 15,000 texts write a key in full for each of its words.
+GROUP, KEYS = 16 << 20, 32 << 20
 
 
 def _lists(starts: np.ndarray, values: pa.Array) -> pa.ListArray:
@@ -75,10 +78,14 @@ def _inverted(batches):
                 yield piece(batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
 
 
+def write_postings(rows: DataFrame, place: str) -> None:
+    rows.write.option("parquet.block.size", GROUP).option("parquet.dictionary.page.size", KEYS).parquet(place)
+
+
 def text_postings(texts: DataFrame, place: str) -> None:
     """Writes postings and sizes (blob, n) of contents (blob, text; null: no tokens), each read once."""
     cut = texts.select("blob", F.coalesce(tokens("text"), F.array().cast("array<string>")).alias("toks"))
-    cut.mapInArrow(_inverted, POSTING).write.parquet(f"{place}/postings")
+    write_postings(cut.mapInArrow(_inverted, POSTING), f"{place}/postings")
     held = texts.sparkSession.read.schema(POSTING).parquet(f"{place}/postings").where("token = ''").selectExpr("inline(found)")
     held.select(F.col("of").alias("blob"), F.col("at")[0].alias("n")).write.parquet(f"{place}/sizes")
 
@@ -91,7 +98,7 @@ def head_postings(entries: DataFrame, sizes: DataFrame, name: str, place: str) -
     cut = written(cut.withColumn("doc", F.concat_ws("-", F.lit(name), F.monotonically_increasing_id().cast("string"))), "heads")
     start = F.size("toks")
     cut.select("doc", "path", "blob", "labels", (start - 2 + F.col("n")).cast("int").alias("len"), start.alias("start")).write.parquet(f"{place}/docs")
-    cut.select("doc", "toks").mapInArrow(_inverted, POSTING).write.parquet(f"{place}/postings")
+    write_postings(cut.select("doc", "toks").mapInArrow(_inverted, POSTING), f"{place}/postings")
     release(cut)
 
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kbspark.operators.search import DOC, POSTING, Index, head_postings, text_postings
+from kbspark.operators.search import DOC, POSTING, Index, head_postings, text_postings, write_postings
 from kbspark.sources.durable import release, written
 from kbspark.sources.folder import Folder
 
@@ -101,7 +101,7 @@ class IndexStore:
             key = live.select(F.col(live.columns[0]).alias("of"))
             rows = rows.select("token", F.inline("found")).join(key, "of", "left_semi").select("token", F.array(F.struct("of", "at")).alias("found"))
             rows = rows.sortWithinPartitions("token")
-        rows.write.parquet(f"{self.path}/{place}/postings")
+        write_postings(rows, f"{self.path}/{place}/postings")
         return whole
 
     def _merged_heads(self, heads: list[dict]) -> list[dict]:

@@ -57,6 +57,24 @@ def test_postings_stay_where_they_are_made(spark, monkeypatch):
     assert {(r.token, r.of): set(r.at) for r in rows} == want and len(rows) == len(want)
 
 
+def test_a_key_is_not_written_in_full_for_each_of_its_words(spark, tmp_path):
+    def texts(first, n):
+        words = F.expr("array_join(transform(sequence(1, 12), i -> concat('w', pmod(xxhash64(id, i), 300))), ' ')")
+        return spark.range(first, first + n, 1, 1).select(F.concat(F.lit("s2:"), F.sha2(F.col("id").cast("string"), 256)).alias("blob"), words.alias("text"))
+
+    size = lambda place: sum(f.stat().st_size for f in place.glob("postings/*.parquet"))
+    for n in (4000, 40000):
+        search.text_postings(texts(0, n), str(tmp_path / str(n)))
+    few = size(tmp_path / "4000")
+    assert size(tmp_path / "40000") < 12 * few
+    store = registry.textindex.IndexStore(spark, str(tmp_path / "index"))
+    for name, n, before in (("M1", 20000, None), ("M2", 40000, "M1")):
+        entries = texts(0, n).select(F.concat(F.lit("p/"), "blob").alias("path"), "blob", F.array().cast("array<string>").alias("labels"))
+        store.update(name, entries, lambda blobs: texts(0, 40000).join(blobs, "blob", "left_semi"), before)
+    (merged,) = store._state("M2")["texts"]
+    assert merged["rows"] == 40000 and size(tmp_path / "index" / merged["at"]) < 12 * few
+
+
 def test_gold_is_not_listed_as_pairs(spark, sf, monkeypatch):
     def refuse(*_):
         raise AssertionError("the gold is a list of pairs")
